@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tofcube.llm import decontam, lines, packing, quality, shards, tokens, urls, warc
+from tofcube.llm import decontam, lines, near, packing, quality, shards, tokens, urls, warc
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,6 +118,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.word_count(F.col("text")), F.col("source"), F.md5(F.col("text").cast("binary")), capacity=2048)
 
 
+# -- 5 -----------------------------------------------------------------------------
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near.near_duplicates(table(spark, sf_dir, "documents"), near.NearRules(shingle=2, percent=80))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh FROM w, unnest(range(1, greatest(len(w), 2))) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+g AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT y, c FROM r JOIN g ON doc_id = x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
 # -- 7 -----------------------------------------------------------------------------
 
 
@@ -194,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
@@ -204,5 +225,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op2_url_filter": _op2_sql(),
     "op3_decontamination": OP3_SQL,
+    "op5_near_duplicates": OP5_SQL,
     "op9_quality_rules": _op9_sql(),
 }

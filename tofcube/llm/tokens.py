@@ -14,6 +14,7 @@ repeated rows are counted alike; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -25,13 +26,17 @@ from pyspark.sql import functions as F
 from tofcube.llm.common import binaries, map_batches
 
 END = "</w>"
+NEVER = 1 << 60
+#: For chunks of printable ASCII, the pre-tokenizer's pattern (a fixed value of the vocabulary file) with its classes cut to ASCII.
+_ASCII = re.compile(rb"[!-~]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class PrefixCounter(dict):
     """Counts for one BPE vocabulary file with word-end symbols. As a dict: chunk (bytes) to its token count."""
 
     #: Entries held before the cache starts anew; longer chunks than LONG bytes are never held.
-    MOST, LONG = 300_000, 48
+    MOST, LONG = 1_000_000, 48
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,51 +56,70 @@ class PrefixCounter(dict):
 
     # -- one piece -----------------------------------------------------------------
 
-    def _merge(self, symbols: list[str]) -> list[str]:
-        """Merge by rank, the leftmost first, until nothing merges. Used for one or two tokens only."""
-        while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            if (symbols[best], symbols[best + 1]) not in self.rank:
+    def _apart(self, left: list[str], right: list[str]) -> bool:
+        """Whether merging by rank, the leftmost first, ends with just these two tokens: no merge ever crosses from left to right."""
+        symbols, cut, rank = left + right, len(left), self.rank
+        ranks = [rank.get(p, NEVER) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
                 break
-            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
-        return symbols
+            i = ranks.index(least)
+            if i == cut - 1:
+                return False
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            cut -= i < cut
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank.get((symbols[i], symbols[i + 1]), NEVER)
+        return len(symbols) == 1 + (cut > 0)
 
     def _fits(self, left: str, right: str) -> bool:
         """Whether the token `left` ('' at the start) may stand before the token `right`."""
         key = (left, right)
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > self.MOST:
                 self.pairs.clear()
-            chars = list(right.removesuffix(END))
+            chars = list(right)
             if right.endswith(END) and len(right) > len(END):
-                chars[-1] += END
-            got = self.pairs[key] = self._merge(list(left) + chars) == ([left, right] if left else [right])
+                chars[-len(END) - 1 :] = [right[-len(END) - 1 :]]
+            got = self.pairs[key] = self._apart(list(left), chars)
         return got
 
-    def piece_prefix_counts(self, piece: str) -> list[int]:
-        """Token counts of piece[:1], piece[:2], ... each taken as a whole piece."""
-        plain: list[tuple[int, str]] = [(0, "")]  # count and last token of each prefix without a word end
-        out: list[int] = []
-        vocab = self.vocab
+    def _plain(self, piece: str) -> list[tuple[int, str]]:
+        """Count and last token of each prefix, from the empty one on, without a word end."""
+        out: list[tuple[int, str]] = [(0, "")]
+        vocab, fits, longest = self.vocab, self._fits, self.longest
         for i in range(1, len(piece) + 1):
-            at = ended = None
-            for j in range(max(0, i - self.longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 token = piece[j:i]
-                if at is None and token in vocab and plain[j] is not None and self._fits(plain[j][1], token):
-                    at = (plain[j][0] + 1, token)
-                if ended is None and token + END in vocab and plain[j] is not None and self._fits(plain[j][1], token + END):
-                    ended = plain[j][0] + 1
-            if at is None or ended is None:
+                if token in vocab and fits(out[j][1], token):
+                    out.append((out[j][0] + 1, token))
+                    break
+            else:
                 raise ValueError(f"no encoding of {piece[:i]!r}")
-            plain.append(at)
-            out.append(ended)
         return out
 
+    def _ended(self, piece: str, plain: list[tuple[int, str]], i: int) -> int:
+        """Count of piece[:i] as a whole piece."""
+        for j in range(max(0, i - self.longest), i):
+            token = piece[j:i] + END
+            if token in self.vocab and self._fits(plain[j][1], token):
+                return plain[j][0] + 1
+        raise ValueError(f"no encoding of {piece[:i]!r}")
+
+    def piece_prefix_counts(self, piece: str) -> list[int]:
+        """Token counts of piece[:1], piece[:2], ... each taken as a whole piece."""
+        plain = self._plain(piece[:-1])
+        return [self._ended(piece, plain, i) for i in range(1, len(piece) + 1)]
+
     def piece_count(self, piece: str) -> int:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.piece_prefix_counts(piece)[-1]
+            got = self._ended(piece, self._plain(piece[:-1]), len(piece))
             if len(piece) <= self.LONG:
                 if len(self.pieces) >= self.MOST:
                     self.pieces.clear()
@@ -116,7 +140,10 @@ class PrefixCounter(dict):
         return sum(self.piece_count(p) for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(chunk)))
 
     def __missing__(self, chunk: bytes) -> int:
-        n = self.chunk_count(chunk.decode("utf-8"))
+        if _ASCII.fullmatch(chunk) and b"<|" not in chunk:
+            n = sum(map(self.piece_count, _PIECES.findall(chunk.decode("ascii").lower())))
+        else:
+            n = self.chunk_count(chunk.decode("utf-8"))
         if len(chunk) <= self.LONG:
             if len(self) >= self.MOST:
                 self.clear()
