@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tofcube.llm import decontam, lines, near, packing, quality, shards, tokens, urls, warc
+from tofcube.llm import decontam, lines, near, packing, quality, shards, substrings, tokens, urls, warc
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -138,6 +138,29 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.do
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
 
+# -- 6 -----------------------------------------------------------------------------
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents"), substrings.SubstringRules(min_len=50))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win FROM d, unnest(range(0, n - 49)) AS t(i)),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS MATERIALIZED (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w JOIN f ON w.win = f.win AND doc_id > first),
+r AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS MATERIALIZED (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM s),
+o AS (SELECT d.doc_id, sum(b - a) AS gone, count(*) AS runs,
+             string_agg(CASE WHEN k = 1 THEN substr(h, 1, 2 * a) ELSE '' END || substr(h, 2 * b + 1, 2 * (coalesce(nxt, n) - b)), '' ORDER BY a) AS rest
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
 # -- 7 -----------------------------------------------------------------------------
 
 
@@ -215,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
@@ -226,5 +250,6 @@ ORACLES: dict[str, str] = {
     "op2_url_filter": _op2_sql(),
     "op3_decontamination": OP3_SQL,
     "op5_near_duplicates": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op9_quality_rules": _op9_sql(),
 }
