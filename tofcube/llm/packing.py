@@ -19,6 +19,7 @@ gives an empty result; columns beyond those named are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tofcube.llm.common import map_batches
+
 PIECES = "id {id}, piece int, start bigint, size bigint, bin string, bin_offset bigint"
 
 
@@ -98,3 +101,24 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sequences(docs: DataFrame, layout: DataFrame, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bin, n_words, ids and text of each training sequence, from a layout of word counts and ids that are unique."""
+    pieces = layout.where("bin IS NOT NULL").select(F.col(id_col).alias("p_id"), "start", "size", "bin", "bin_offset")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pieces, F.col("id") == F.col("p_id")).select("id", "text", "start", "size", "bin", "bin_offset")
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t, start, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            at = [m.span() for m in _WORD.finditer(t)]
+            out.append(t[at[start][0] : at[start + n - 1][1]])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), *(b.column(k) for k in (3, 4, 5))], names=["id", "text", "size", "bin", "bin_offset"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    part = map_batches(joined, cut, f"id {kind}, text string, size bigint, bin string, bin_offset bigint")
+    held = F.array_sort(F.collect_list(F.struct("bin_offset", "id", "text")))  # a bin's capacity bounds it
+    return part.groupBy("bin").agg(F.sum("size").alias("n_words"), held.alias("held")).select("bin", "n_words", F.col("held.id").alias("ids"), F.array_join("held.text", separator).alias("text"))
