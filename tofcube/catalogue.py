@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tofcube.plans import axes, cubes, fits, models, texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (cubes, axes, texts, models, fits):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
