@@ -31,12 +31,12 @@ def interpolate(x: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     Laws by interval: 1 histogram, 2 lin-lin, 3 linear in ln x, 4 ln y linear in x, 5 log-log; lin-lin
     where a logarithm has no argument. Each row meets the one interval that holds it."""
     w = W.partitionBy(*by).orderBy("x")
-    cut = table.select(*[F.col(c).alias(f"t_{c}") for c in by], F.col("x").alias("x0"), F.col("y").alias("y0"), "law", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.row_number().over(w).alias("k"))
-    lowest = F.col("k") == 1
-    inside = ((F.col("x") >= F.col("x0")) | lowest) & (F.col("x1").isNull() | (F.col("x") < F.col("x1")))
-    on = [F.col(c) == F.col(f"t_{c}") for c in by]
-    joined = x.join(cut, [*on, inside])
-    return joined.select(*x.columns, law_value(F.col("x"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("law")).alias("y"))
+    cut = table.select(
+        *[F.col(c).alias(f"t_{c}") for c in by], F.col("x").alias("t_x0"), F.col("y").alias("t_y0"), F.col("law").alias("t_law"), F.lead("x").over(w).alias("t_x1"), F.lead("y").over(w).alias("t_y1"), (F.row_number().over(w) == 1).alias("t_lowest")
+    )
+    inside = ((F.col("x") >= F.col("t_x0")) | F.col("t_lowest")) & (F.col("t_x1").isNull() | (F.col("x") < F.col("t_x1")))
+    joined = x.join(cut, [*(F.col(c) == F.col(f"t_{c}") for c in by), inside])
+    return joined.select(*x.columns, law_value(F.col("x"), F.col("t_x0"), F.col("t_y0"), F.col("t_x1"), F.col("t_y1"), F.col("t_law")).alias("y"))
 
 
 def law_value(x: Column, x0: Column, y0: Column, x1: Column, y1: Column, law: Column) -> Column:
