@@ -2,11 +2,12 @@
 
 1. One pass gives each text its shingle-set size, a digest of the set, a MinHash signature and
    band keys. Texts with equal sets form a class, and classes alone go on.
-2. Classes that share a band key are candidates. A bucket never emits all its pairs: its members
-   are compared with one pivot each round (first the least id, then pseudo-random members), and
-   only while the bucket still holds members of different components. What is left after
-   `rounds` rounds is settled exactly: members outside a bucket's largest component against all
-   members of other components there.
+2. Classes that share a band key are candidates. A bucket never emits its pairs: all its members
+   are compared with its least id, the pivot, which links most of a group of copies. Where a
+   bucket then still holds several components, the members outside its largest one are strays
+   of that component. A component's members and strays are dealt into blocks, and each block is
+   compared with all strays inside one task, which returns new links alone: exact, and linear
+   in the rows that move but for the copies of the strays, one for each block.
 3. A candidate pair's signatures are compared batch by batch; after m matches in n values the
    pair is dropped if the posterior probability (uniform prior) that its similarity reaches the
    threshold is under `miss`. Survivors are verified on their full sets.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ class NearRules:
     values: int = 4
     batch: int = 16
     miss: float = 1e-7
-    rounds: int = 3
+    block: int = 512
 
     @property
     def least(self) -> int:
@@ -104,6 +106,7 @@ def band_keys(sig: np.ndarray, rules: NearRules) -> np.ndarray:
     return out
 
 
+@lru_cache(256)
 def least_matches(n: int, rules: NearRules) -> int:
     """The fewest matches among n values with which a pair goes on: P(s >= t | m, n) = P(Bin(n + 1, t) <= m)."""
     t, total = rules.percent / 100, 0.0
@@ -115,18 +118,32 @@ def least_matches(n: int, rules: NearRules) -> int:
 
 
 def may_link(a: np.ndarray, b: np.ndarray, rules: NearRules) -> np.ndarray:
-    """Which rows of two signature matrices survive all batches."""
+    """Which pairs of rows of two signature matrices survive all batches."""
+    at = np.arange(len(a))
+    out = np.zeros(len(a), bool)
+    out[surviving(a, b, at, at, rules)] = True
+    return out
+
+
+def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, rules: NearRules) -> np.ndarray:
+    """Positions k for which row i[k] of a and row j[k] of b may link: batch by batch, only pairs that are still likely go on."""
     n = rules.bands * rules.values
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int32)
     for at in range(0, n, rules.batch):
-        stop = min(n, at + rules.batch)
-        matches[alive] += (a[alive, at:stop] == b[alive, at:stop]).sum(axis=1)
-        alive = alive[matches[alive] >= least_matches(stop, rules)]
         if not len(alive):
             break
-    out = np.zeros(len(a), bool)
-    out[alive] = True
-    return out
+        stop = min(n, at + rules.batch)
+        matches[alive] += (a[i[alive], at:stop] == b[j[alive], at:stop]).sum(axis=1)
+        alive = alive[matches[alive] >= least_matches(stop, rules)]
+    return alive
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    inter = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
 def _sketches(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) -> DataFrame:
@@ -151,65 +168,97 @@ def _sketches(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) ->
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f, f"id {kind}, n bigint, digest binary, sig binary, keys array<bigint>")
 
 
-class _Verifier:
-    """Tests candidate pairs (a, b) of class ids and remembers what was tested."""
-
-    #: Ids of texts to fetch that may be broadcast; more are joined by a shuffle.
-    MOST_IDS = 1_000_000
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, rules: NearRules, kind: str):
-        self.docs, self.classes, self.rules, self.kind = docs, classes, rules, kind
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def add(self, pairs: DataFrame) -> bool:
-        """Test the pairs that are new. True if any link was found."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = work_table(pairs, "near-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        rules = self.rules
-        side = lambda x: self.classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("digest").alias(f"d_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b") >= rules.percent * F.greatest("n_a", "n_b")))
-
-        def prune(t: pa.RecordBatch) -> pa.RecordBatch:
-            wide = rules.bands * rules.values
-            a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, wide) for c in ("sig_a", "sig_b"))
-            return t.select(["a", "b", "d_a", "d_b"]).filter(pa.array(may_link(a, b, rules)))
-
-        kind = self.kind
-        alive = work_table(map_batches(both.select("a", "b", "sig_a", "sig_b", "d_a", "d_b"), prune, f"a {kind}, b {kind}, d_a binary, d_b binary"), "near-alive")
-        sets = self._sets(alive)
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("digest").alias(f"d_{x}"), F.col("set").alias(f"set_{x}"))
-        full = alive.join(side("a"), ["a", "d_a"]).join(side("b"), ["b", "d_b"])
-
-        def verify(t: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * inter >= rules.percent * (len(x) + len(y) - inter))
-            return t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        links = work_table(map_batches(full.select("a", "b", "set_a", "set_b"), verify, f"a {kind}, b {kind}"), "near-links")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return not links.isEmpty()
-
-    def _sets(self, alive: DataFrame) -> DataFrame:
-        """Full shingle sets of the texts in the pairs: id, digest, set."""
-        ids = alive.select(F.col("a").alias("w")).union(alive.select("b")).distinct()
-        few = ids.count() <= self.MOST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("w"), "left_semi")
-        k, kind = self.rules.shingle, self.kind
-
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, k).tobytes() for t in binaries(b.column(1))]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "set"])
-
-        return work_table(map_batches(texts.select("id", "text"), f, f"id {kind}, digest binary, set binary").dropDuplicates(["id", "digest"]), "near-sets")
+#: Ids of texts to fetch that may be broadcast; more are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def _sets(docs: DataFrame, ids: DataFrame, rules: NearRules, kind: str) -> DataFrame:
+    """Full shingle sets of the texts with the given ids (w): id, digest, set."""
+    few = ids.count() <= MOST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("w"), "left_semi")
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, rules.shingle).tobytes() for t in binaries(b.column(1))]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "set"])
+
+    return work_table(map_batches(texts.select("id", "text"), f, f"id {kind}, digest binary, set binary").dropDuplicates(["id", "digest"]), "near-sets")
+
+
+def _pivot_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rules: NearRules, kind: str) -> DataFrame:
+    """Verified links (a, b) of bucket members with their pivots."""
+    pairs = shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("digest").alias(f"d_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= rules.percent * F.greatest("n_a", "n_b"))
+
+    def prune(t: pa.RecordBatch) -> pa.RecordBatch:
+        wide = rules.bands * rules.values
+        a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, wide) for c in ("sig_a", "sig_b"))
+        return t.select(["a", "b", "d_a", "d_b"]).filter(pa.array(may_link(a, b, rules)))
+
+    alive = work_table(map_batches(both.select("a", "b", "sig_a", "sig_b", "d_a", "d_b"), prune, f"a {kind}, b {kind}, d_a binary, d_b binary"), "near-alive")
+    sets = _sets(docs, alive.select(F.col("a").alias("w")).union(alive.select("b")).distinct(), rules, kind)
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("digest").alias(f"d_{x}"), F.col("set").alias(f"set_{x}"))
+    full = alive.join(side("a"), ["a", "d_a"]).join(side("b"), ["b", "d_b"])
+
+    def verify(t: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rules.percent) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+        return t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return work_table(map_batches(full.select("a", "b", "set_a", "set_b"), verify, f"a {kind}, b {kind}"), "near-links")
+
+
+def _stray_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, rules: NearRules, kind: str) -> DataFrame | None:
+    """Links (a, b) between different components of one bucket; of many between two components one is enough. None if no bucket is mixed."""
+    rows = shared.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    in_bucket = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"))
+    main = work_table(in_bucket.where("comps > 1").select(F.col("key").alias("m_key"), F.col("m.comp").alias("main")), "near-mains")
+    strays = rows.join(main, (F.col("key") == F.col("m_key")) & (F.col("comp") != F.col("main"))).select("main", "rep", "comp").distinct()
+    strays = work_table(strays, "near-strays")
+    if strays.isEmpty():
+        return None
+    groups = strays.select("main").distinct()
+    everyone = shared.select("rep").distinct().join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+    members = everyone.join(groups, F.col("comp") == F.col("main")).select("main", "rep", "comp")
+    targets = work_table(members.unionByName(strays), "near-targets")
+    blocks = targets.groupBy(F.col("main").alias("b_main")).agg(F.ceil(F.count("*") / rules.block).cast("int").alias("blocks"))
+    sets = _sets(docs, targets.select(F.col("rep").alias("w")).distinct(), rules, kind)
+    held = classes.join(sets.select(F.col("id").alias("s_id"), F.col("digest").alias("s_digest"), "set"), (F.col("rep") == F.col("s_id")) & (F.col("digest") == F.col("s_digest"))).select(F.col("rep").alias("h_rep"), "n", "sig", "set")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    cast = targets.join(blocks, F.col("main") == F.col("b_main")).select("main", block.alias("block"), F.lit(False).alias("query"), "rep", "comp")
+    cast = cast.unionByName(strays.join(blocks, F.col("main") == F.col("b_main")).select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "rep", "comp"))
+    full = cast.join(held, F.col("rep") == F.col("h_rep")).select("main", "block", "query", "rep", "comp", "n", "sig", "set")
+
+    def compare(t: pa.Table) -> pa.Table:
+        query = np.array(t.column("query").to_pylist(), bool)
+        rep, comp, n = t.column("rep").to_pylist(), t.column("comp").to_pylist(), t.column("n").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(query), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        up: dict = {c: c for c in comp}
+        number = {c: k for k, c in enumerate(up)}
+        code = np.array([number[c] for c in comp])
+
+        def root(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        ask, hold = np.flatnonzero(query), np.flatnonzero(~query)
+        out = []
+        for at in range(0, len(ask), 128):
+            q = ask[at : at + 128]
+            fits = (code[q][:, None] != code[hold]) & (100 * np.minimum(n[q][:, None], n[hold]) >= rules.percent * np.maximum(n[q][:, None], n[hold]))
+            i, j = np.nonzero(fits)
+            i, j = q[i], hold[j]
+            for k in surviving(sig, sig, i, j, rules).tolist():
+                x, y = int(i[k]), int(j[k])
+                if root(comp[x]) != root(comp[y]) and linked(sets[x], sets[y], rules.percent):
+                    up[root(comp[x])] = root(comp[y])
+                    out.append((rep[x], rep[y]))
+        kind_ = t.schema.field("rep").type
+        return pa.table({"a": pa.array([x for x, _ in out], kind_), "b": pa.array([y for _, y in out], kind_)})
+
+    return work_table(full.groupBy("main", "block").applyInArrow(compare, f"a {kind}, b {kind}"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,23 +290,12 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     pivots = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = work_table(bands.join(pivots.select(F.col("key").alias("p_key"), "pivot"), F.col("key") == F.col("p_key")).select("key", "rep", "pivot"), "near-buckets")
 
-    v = _Verifier(texts, classes.select("rep", "n", "sig", "digest"), rules, kind)
-    v.add(shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    comps = components(v.links)
-    for k in range(1, rules.rounds + 1):
-        left = _mixed(shared, comps)
-        if left.isEmpty():
-            break
-        if k < rules.rounds:
-            order = F.xxhash64("rep", F.lit(k))
-            pick = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p")).select(F.col("key").alias("p_key"), F.col("p.rep").alias("p_rep"), F.col("p.comp").alias("p_comp"))
-            pairs = left.join(pick, (F.col("key") == F.col("p_key")) & (F.col("comp") != F.col("p_comp"))).select(F.col("rep").alias("a"), F.col("p_rep").alias("b"))
-        else:
-            most = left.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select(F.col("key").alias("m_key"), F.col("m.comp").alias("main"))
-            stray = left.join(most, (F.col("key") == F.col("m_key")) & (F.col("comp") != F.col("main"))).select(F.col("key").alias("s_key"), F.col("rep").alias("a"), F.col("comp").alias("s_comp"))
-            pairs = stray.join(left, (F.col("key") == F.col("s_key")) & (F.col("comp") != F.col("s_comp"))).select("a", F.col("rep").alias("b"))
-        if v.add(pairs):
-            comps = components(v.links)
+    known = classes.select("rep", "n", "sig", "digest")
+    links = _pivot_links(texts, known, shared, rules, kind)
+    comps = components(links)
+    more = _stray_links(texts, known, shared, comps, rules, kind)
+    if more is not None and not more.isEmpty():
+        comps = components(links.unionByName(more))
 
     comp = comps.select(F.col("node").alias("c_node"), "comp")
     least = reps.join(comp, F.col("rep") == F.col("c_node"), "left").select(F.col("digest").alias("l_digest"), F.coalesce("comp", "rep").alias("component"))
@@ -266,13 +304,6 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, rep, comp of the buckets that hold more than one component."""
-    rows = shared.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("x_key"))
-    return work_table(rows.join(mixed, F.col("key") == F.col("x_key"), "left_semi"), "near-mixed")
-
-
 def drop_near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one of each component."""
     gone = near_duplicates(docs, rules, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
