@@ -187,3 +187,23 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 def test_catalogue_names_agree():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+def line(*fields, mat=9237, mf=2, mt=151):
+    return "".join(f"{x:>11}" for x in fields).ljust(66) + f"{mat:4d}{mf:2d}{mt:3d}"
+
+
+def test_resonance_file(spark):
+    from tofcube.sources import resonance
+
+    head = [line("9.223800+4", "2.360060+2", 0, 0, 1, 0), line("9.223800+4", "1.000000+0", 0, 0, 2, 0)]
+    rm = [line("1.000000-5", "1.000000+2", 1, 3, 0, 0), line("0.0", "9.480000-1", 0, 0, 1, 0), line("2.360060+2", "0.0", 0, 0, 12, 2), line("6.674280+0", "5.000000-1", "1.492300-3", "2.271100-2", "0.0", "9.990000-9"), line("-1.0+1", "5.000000-1", "1.0-3", "2.3-2", "", "")]
+    bw = [line("1.000000+2", "2.000000+2", 1, 2, 1, 1), line("0.0", "0.0", 0, 0, 1, 4), line(4, 2), line(1.0, 2.0, 3.0, 4.0, 5.0, 6.0), line(1.0, 2.0), line("0.5", "9.0-1", 0, 0, 1, 0), line("2.360060+2", "0.0", 1, 0, 6, 1), line("1.5+2", "1.5", "3.3-2", "1.0-2", "2.3-2", "1.0-4")]
+    rows = [line("x", mf=1)] + head + rm + bw + [line(0, mt=0)]
+    df = spark.createDataFrame([("u", k, t) for k, t in enumerate(rows)], "file string, lineno int, line string")
+    got = resonance.resonance_table(df).orderBy("range_idx", "er").collect()
+    assert [(r["range_idx"], r["l"], r["er"], r["gn"], r["gg"]) for r in got] == [(0, 0, -10.0, 1e-3, 2.3e-2), (0, 0, 6.67428, 1.4923e-3, 2.2711e-2), (1, 1, 150.0, 1e-2, 2.3e-2)]
+    assert got[1]["za"] == 92238 and math.isclose(got[1]["radius_fm"], 9.48) and got[2]["gfa"] == 1e-4 and got[2]["spin"] == 0.5
+    e = spark.range(600).select(F.lit("92238").alias("za"), (6.0 + F.col("id") * 0.002).alias("e"))
+    top = M.reich_moore(e, resonance.resolved(resonance.resonance_table(df)).where("l = 0 AND er > 0")).orderBy(F.desc("total")).first()
+    assert abs(top["e"] - 6.67428) < 0.005
