@@ -207,3 +207,33 @@ def test_resonance_file(spark):
     e = spark.range(600).select(F.lit("92238").alias("za"), (6.0 + F.col("id") * 0.002).alias("e"))
     top = M.reich_moore(e, resonance.resolved(resonance.resonance_table(df)).where("l = 0 AND er > 0")).orderBy(F.desc("total")).first()
     assert abs(top["e"] - 6.67428) < 0.005
+
+
+def test_map_query(spark):
+    from tofcube.operators import spatial as P
+
+    rng = np.random.default_rng(3)
+    s = 5 + 60 * np.exp(-(((np.arange(40) - 20) / 5.0) ** 2))
+    truth = {(y, x): 0.004 + 0.002 * (3 * y + x) for y in range(3) for x in range(3)}
+    rows = [(t, y, x, float(rng.poisson(4000 * math.exp(-n * s[t]))), 4000.0) for (y, x), n in truth.items() for t in range(40)]
+    df = spark.createDataFrame(rows, "tof_bin int, y int, x int, k double, o double")
+    sample, beam = df.selectExpr("tof_bin", "y", "x", "k AS value"), df.selectExpr("tof_bin", "y", "x", "o AS value")
+    sigma = spark.createDataFrame([(t, 1.0 + t, float(v)) for t, v in enumerate(s)], "tof_bin int, energy double, sigma double")
+    dead = spark.createDataFrame([(1, 1)], "y int, x int")
+    t = C.normalize(sample, beam)
+    trans = P.from_transmission(t.selectExpr("tof_bin", "y", "x", "transmission AS value"), t.selectExpr("tof_bin", "y", "x", "sigma AS value"))
+    for data, config in ((P.from_counts(sample, beam), P.FitConfig()), (P.from_counts(sample, beam), P.FitConfig("lm")), (trans, P.FitConfig()), (trans, P.FitConfig("poisson")), (P.from_counts_with_nuisance(sample, beam), P.FitConfig(window=(3.0, 35.0)))):
+        got = P.with_all_pixels(P.fit_cube(data, sigma, config, dead), sample.select("y", "x").distinct()).collect()
+        assert len(got) == 9
+        for r in got:
+            if (r["y"], r["x"]) == (1, 1):
+                assert math.isnan(r["density"]) and not r["converged"]
+            else:
+                assert r["converged"] and abs(r["density"] - truth[r["y"], r["x"]]) < 1.5e-3
+    for data, config in ((P.from_counts_with_nuisance(sample, beam), P.FitConfig("lm")), (trans, P.FitConfig("kl", window=(3.0, 9.0))), (P.from_counts_with_nuisance(sample, beam, beam), P.FitConfig())):
+        with pytest.raises(ValueError):
+            P.fit_cube(data, sigma, config)
+    with pytest.raises(ValueError):
+        P.FitConfig("simplex")
+    none = P.fit_cube(P.from_counts(sample, beam), sigma, P.FitConfig(), sample.select("y", "x").distinct())
+    assert none.count() == 0

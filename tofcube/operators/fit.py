@@ -69,6 +69,20 @@ def joint_poisson(bins: Column, c: float) -> Callable[[Column], Column]:
     return at
 
 
+def single_poisson(bins: Column) -> Callable[[Column], Column]:
+    """Objective of bins (t, s): twice the Poisson likelihood of t under exp(-n s)."""
+
+    def at(n: Column) -> Column:
+        def one(b: Column) -> tuple[Column, Column, Column]:
+            m = F.greatest(F.exp(-n * b["s"]), F.lit(K.POISSON_FLOOR))
+            j = -b["s"] * m
+            return 2.0 * (m - F.when(b["t"] > 0, b["t"] * F.ln(m)).otherwise(0.0)), -(1.0 - b["t"] / m) * j, j * j / m
+
+        return _sum3(bins, one)
+
+    return at
+
+
 def minimise(at: Callable[[Column], Column], start: float, iterations: int = 60, tol: float = 1e-8) -> Column:
     """struct(n, f, g, h, damping, iterations, converged) after damped steps from `start`."""
 
@@ -98,10 +112,11 @@ def minimise(at: Callable[[Column], Column], start: float, iterations: int = 60,
 def fit_map(pixels: DataFrame, bins: Column, objective: str, start: float = 0.01, c: float = 1.0, iterations: int = 60) -> DataFrame:
     """y, x, density, uncertainty, objective_r (per degree of freedom), iterations, converged.
 
-    bins: array of structs, (t, w, s) for 'lm' or (k, o, s) for 'kl'. Values that are not
+    bins: array of structs, (t, w, s) for 'lm', (k, o, s) for 'kl' or (t, s) for 'poisson'. Values that are not
     converged are NaN in density and uncertainty; fewer than two bins never converge."""
     held = pixels.select("y", "x", bins.alias("bins"))
-    at = least_squares(F.col("bins")) if objective == "lm" else joint_poisson(F.col("bins"), c)
+    b = F.col("bins")
+    at = {"lm": lambda: least_squares(b), "kl": lambda: joint_poisson(b, c), "poisson": lambda: single_poisson(b)}[objective]()
     out = held.select("y", "x", F.size("bins").alias("m"), minimise(at, start, iterations).alias("s"))
     dof = F.col("m") - 1
     per = F.when(dof > 0, F.col("s.f") / dof).otherwise(float("nan"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tofcube.operators import broaden as B
-from tofcube.operators import fit
+from tofcube.operators import cube, fit, spatial
 from tofcube.operators import models as M
+from tofcube.plans import cubes as C
 from tofcube.plans import models as P
 
 
@@ -33,6 +34,14 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select("y", "x", F.round("density", 5).alias("density"), "converged")
 
 
+def event_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole map query on the event cubes: dead pixels out, likelihood with the mean open beam."""
+    sigma = spark.range(50).select(F.col("id").cast("int").alias("tof_bin"), (1.0 + F.col("id")).alias("energy"), (1.0 + 20.0 / (1.0 + F.pow((F.col("id") - 12.0) / 4.0, F.lit(2.0)))).alias("sigma"))
+    sample = C.full(spark, sf, "view")
+    fits = spatial.fit_cube(spatial.from_counts(sample, C.full(spark, sf, "click")), sigma, spatial.FitConfig(start=0.05), cube.dead_pixels(sample))
+    return spatial.with_all_pixels(fits, sample.select("y", "x").distinct())
+
+
 def curves(spark: SparkSession, sf: str) -> DataFrame:
     """grp, e, sigma of single-level resonances on a fine grid for two isotopes."""
     z = P.energies(spark, sf).select("za").distinct().orderBy("za").limit(2)
@@ -43,6 +52,7 @@ def curves(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "fit_spectrum_lm": lambda s, d: _rounded(spatial_map(s, d, "lm")),
     "fit_counts_kl": lambda s, d: _rounded(spatial_map(s, d, "kl")),
+    "spatial_map": lambda s, d: event_map(s, d).select("y", "x", F.round("density", 5).alias("density"), "converged"),
     "map_report": lambda s, d: fit.map_summary(spatial_map(s, d, "lm")).select("n_total", "n_converged", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std")),
     "doppler_broaden": lambda s, d: B.doppler(curves(s, d), 293.6, 178.0, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("sigma", 6).alias("sigma")),
     "resolution_broaden": lambda s, d: B.gaussian_resolution(curves(s, d).select("grp", "e", F.exp(-0.01 * F.col("sigma")).alias("value")), 25.0, 0.5, 0.01, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("value", 9).alias("value")),
