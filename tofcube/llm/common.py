@@ -67,44 +67,48 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class TwiceFilter:
     """The merged filter of hashes that were seen twice or more, as broadcast to the tasks.
 
-    words: uint64 bit words, 2**bits_log2 bits in 2**parts_log2 equal parts.
-    """
+    words: uint64 bit words, 2**bits_log2 bits in 2**parts_log2 equal parts. Of a hash, the top
+    parts_log2 bits name its part, and the 32 bits below place it there."""
 
     def __init__(self, words: np.ndarray, bits_log2: int, parts_log2: int):
         self.words, self.bits_log2, self.parts_log2 = words, bits_log2, parts_log2
 
-    def __contains__(self, h: int) -> bool:
-        return bool(self.test(np.array([h], np.uint64))[0])
-
     def test(self, h: np.ndarray) -> np.ndarray:
         """Which of the uint64 hashes were perhaps seen twice. False is certain."""
-        part = (h >> np.uint64(64 - self.parts_log2)).astype(np.int64)
-        base = part << (self.bits_log2 - self.parts_log2)
+        key = short(h, self.parts_log2)
+        log2 = self.bits_log2 - self.parts_log2
+        base = (key >> np.uint64(32)).astype(np.int64) << log2
         out = np.ones(len(h), bool)
-        for p in _probes(h, self.bits_log2 - self.parts_log2):
+        for p in _probes(key, log2):
             at = base + p
             out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return out
 
 
-def _probes(h: np.ndarray, log2: int) -> list[np.ndarray]:
+def short(h: np.ndarray, parts_log2: int) -> np.ndarray:
+    """The bits of a hash that filters know: its part, and 32 bits more."""
+    return h >> np.uint64(32 - parts_log2)
+
+
+def _probes(key: np.ndarray, log2: int) -> list[np.ndarray]:
     """Two bit positions within a part of 2**log2 bits."""
     mask = np.uint64((1 << log2) - 1)
-    g = mix64(h)
+    g = mix64(key)
     return [(g & mask).astype(np.int64), ((g >> np.uint64(32)) & mask).astype(np.int64)]
 
 
+PACKED = "part int, hashes binary"
+
+
 def route(h: np.ndarray, parts_log2: int) -> list[tuple[int, bytes]]:
-    """Hashes of one batch, packed by part of the filter."""
+    """Hashes of one batch, packed as 4 bytes each by part of the filter."""
     if not len(h):
         return []
-    h = np.sort(h)
-    part = (h >> np.uint64(64 - parts_log2)).astype(np.int64)
+    key = np.sort(short(h, parts_log2))
+    part = (key >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(part)) + 1
-    return [(int(x[0] >> np.uint64(64 - parts_log2)), x.tobytes()) for x in np.split(h, cuts)]
-
-
-PACKED = "part int, hashes binary"
+    low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return [(int(k), x.tobytes()) for k, x in zip(part[np.append(0, cuts)], np.split(low, cuts), strict=True)]
 
 
 def packed(hashes: list[np.ndarray], parts_log2: int) -> pa.RecordBatch:
@@ -121,8 +125,9 @@ def twice_filter(routed: DataFrame, bits_log2: int, parts_log2: int, heavy_at: i
     2**bits_log2 / 8 bytes whatever the input, so it may be collected and broadcast. If it is
     too small for the input it passes more hashes, never fewer.
 
-    heavy_at: also return the hashes counted at least so often, with their counts (a Misra-Gries
-    summary of 65536 counters a task; a count may be too low by a task's hashes / 65536). 0: none.
+    heavy_at: also return the hashes (as short() gives them) counted at least so often, with
+    their counts: a Misra-Gries summary of 65536 counters a task, so a count may be too low by a
+    task's hashes / 65536, and by the first time a hash was seen. 0: none.
     """
     log2 = bits_log2 - parts_log2
 
@@ -131,32 +136,27 @@ def twice_filter(routed: DataFrame, bits_log2: int, parts_log2: int, heavy_at: i
         twice: dict[int, np.ndarray] = {}
         counts: dict[int, int] = {}
         for b in batches:
-            seen: list[np.ndarray] = []
             for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.uint64)
                 if part not in once:
                     once[part], twice[part] = np.zeros(1 << log2, bool), np.zeros(1 << log2, bool)
-                uniq, n = np.unique(h, return_counts=True)
-                p, q = _probes(uniq, log2)
+                uniq, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+                key = uniq.astype(np.uint64) | np.uint64(part << 32)
+                p, q = _probes(key, log2)
                 again = (once[part][p] & once[part][q]) | (n > 1)
                 twice[part][p[again]] = True
                 twice[part][q[again]] = True
                 once[part][p] = True
                 once[part][q] = True
                 if heavy_at:
-                    seen.append(h)
-            if seen:
-                uniq, n = np.unique(np.concatenate(seen), return_counts=True)
-                many = n > 1
-                for k, v in zip(uniq[many].tolist(), n[many].tolist(), strict=True):
-                    counts[k] = counts.get(k, 0) + v
-                if len(counts) > 65536:
-                    cut = sorted(counts.values())[-65536]
-                    counts = {k: v - cut for k, v in counts.items() if v > cut}
+                    for k, v in zip(key[again].tolist(), n[again].tolist(), strict=True):
+                        counts[k] = counts.get(k, 0) + v
+                    if len(counts) > 131072:
+                        cut = sorted(counts.values())[-65536]
+                        counts = {k: v - cut for k, v in counts.items() if v > cut}
         for part, bits in twice.items():
-            heavy = {k: v for k, v in counts.items() if v >= heavy_at and k >> (64 - parts_log2) == part} if heavy_at else {}
+            heavy = {k: v for k, v in counts.items() if v + 1 >= heavy_at and k >> 32 == part} if heavy_at else {}
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([list(heavy)], pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False), pa.array([list(heavy.values())], pa.list_(pa.int64()))],
+                [pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([list(heavy)], pa.list_(pa.int64())), pa.array([list(heavy.values())], pa.list_(pa.int64()))],
                 names=["part", "bits", "heavy", "counts"],
             )
 
@@ -166,7 +166,7 @@ def twice_filter(routed: DataFrame, bits_log2: int, parts_log2: int, heavy_at: i
     for row in routed.repartition(n, "part").mapInArrow(build, "part int, bits binary, heavy array<bigint>, counts array<bigint>").collect():
         at = row["part"] << (log2 - 3)
         words[at : at + (1 << (log2 - 3))] = np.frombuffer(row["bits"], np.uint8)
-        heavy |= {k & 0xFFFFFFFFFFFFFFFF: v for k, v in zip(row["heavy"], row["counts"], strict=True)}
+        heavy |= dict(zip(row["heavy"], row["counts"], strict=True))
     return TwiceFilter(words.view(np.uint64), bits_log2, parts_log2), heavy
 
 

@@ -32,10 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import PACKED, binaries, filter_bits, map_batches, mix64, packed, twice_filter, work_table
+from tofcube.llm.common import PACKED, TwiceFilter, binaries, filter_bits, map_batches, mix64, packed, short, twice_filter, work_table
 
 _M = 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 28) - 1)
@@ -98,7 +100,8 @@ def window_runs(b: np.ndarray, ends: np.ndarray, rules: SubstringRules) -> tuple
     last = np.append(first[1:], size) - 1
     keep = inside[first]
     first, last = first[keep], last[keep]
-    return first, last, h[at[first]]
+    # mixed again: hashes that are least in their windows are small
+    return first, last, mix64(h[at[first]])
 
 
 def slices(texts: list[bytes | None], rules: SubstringRules) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
@@ -205,9 +208,6 @@ def previous_factors(buf: bytes, starts: np.ndarray, doc: np.ndarray, need: int)
 
 # -- the distributed steps -----------------------------------------------------------------
 
-_RUNS = "mini bigint, id bigint, fp bigint, at int, bytes binary"
-_FOUND = "id bigint, fp bigint, start bigint, stop bigint, win binary"
-
 
 def _spans(removed: np.ndarray, row: np.ndarray, at: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and stop of the bytes that runs of removed windows cover."""
@@ -221,8 +221,82 @@ def _spans(removed: np.ndarray, row: np.ndarray, at: np.ndarray, need: int) -> t
     return row[k][first], at[k][first], at[k][last] + need
 
 
-def repeated_spans(docs: DataFrame, rules: SubstringRules) -> DataFrame:
-    """id, fp, start, stop: covered bytes; spans may overlap. docs: id bigint (never null), fp, text."""
+#: What a packed run of windows has besides its bytes.
+_HEAD = np.dtype([("id", "<i8"), ("fp", "<u4"), ("at", "<i4"), ("size", "<u4"), ("hot", "u1")])
+_SPAN = np.dtype([("id", "<i8"), ("fp", "<u4"), ("start", "<i4"), ("stop", "<i4")])
+_FOUND = "dgrp bigint, spans binary, id bigint, fp bigint, start bigint, win binary"
+_FLUSH = 200_000
+
+
+def _packed_runs(b: pa.RecordBatch, twice: TwiceFilter, keys: np.ndarray, blocks: np.ndarray, groups: int, rules: SubstringRules) -> Iterator[pa.RecordBatch]:
+    """grp, payload: the suspected runs of the texts in a batch (id, fp, text), many to a row."""
+    ids, fps, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), binaries(b.column(2))
+    heads: list[np.ndarray] = []
+    grps: list[np.ndarray] = []
+    raws: list[bytes] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not raws:
+            return
+        head, grp = np.concatenate(heads), np.concatenate(grps)
+        order = np.argsort(grp, kind="stable")
+        grp, head = grp[order], head[order]
+        cuts = np.append(np.flatnonzero(np.diff(grp, prepend=-1)), len(grp)).tolist()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        at = order.tolist()
+        rows = [(int(grp[x]), pack(b"".join([(y - x).to_bytes(8, "little"), *(head[x:y][c].tobytes() for c in _HEAD.names), *(raws[k] for k in at[x:y])]))) for x, y in zip(cuts, cuts[1:], strict=False)]
+        heads.clear(), grps.clear(), raws.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["grp", "payload"])
+
+    for x, ends, pieces in slices(texts, rules):
+        first, last, h = window_runs(x, ends, rules)
+        keep = twice.test(h)
+        first, last, h = first[keep], last[keep], h[keep]
+        if not len(h):
+            continue
+        begin = np.array([p[2] for p in pieces])
+        piece = np.searchsorted(begin, first, "right") - 1
+        row = np.array([p[0] for p in pieces])[piece]
+        head = np.zeros(len(h), _HEAD)
+        head["id"], head["fp"] = ids[row], fps[row]
+        head["at"] = first - begin[piece] + np.array([p[1] for p in pieces])[piece]
+        head["size"] = last - first + rules.min_len
+        block = np.zeros(len(h), np.uint64)
+        if len(keys):
+            own = short(h, twice.parts_log2)
+            k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hot = keys[k] == own
+            block[hot] = np.uint64(1) + mix64(head["id"][hot].astype(np.uint64)) % blocks[k[hot]]
+        head["hot"] = block > 0
+        with np.errstate(over="ignore"):
+            grps.append((mix64(h + block * np.uint64(_M)) % np.uint64(groups)).astype(np.int64))
+        heads.append(head)
+        raw = x.tobytes()
+        raws.extend(raw[s:e] for s, e in zip(first.tolist(), (last + rules.min_len).tolist(), strict=True))
+        if len(raws) >= _FLUSH:
+            yield from flush()
+    yield from flush()
+
+
+def _unpacked(payloads: list[bytes]) -> tuple[np.ndarray, bytes]:
+    heads, raws = [], []
+    unpack = zstandard.ZstdDecompressor().decompress
+    for raw in map(unpack, payloads):
+        n, at = int.from_bytes(raw[:8], "little"), 8
+        head = np.zeros(n, _HEAD)
+        for c in _HEAD.names:
+            width = _HEAD[c].itemsize * n
+            head[c] = np.frombuffer(raw[at : at + width], _HEAD[c])
+            at += width
+        heads.append(head)
+        raws.append(raw[at:])
+    return np.concatenate(heads), b"".join(raws)
+
+
+def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) -> DataFrame:
+    """id, fp, spans (packed _SPAN pairs start, stop; maximal): what goes from each document that loses bytes.
+
+    docs: id bigint (never null), fp bigint below 2**32, text. known: id, fp, start, stop of spans found otherwise."""
     spark, need = docs.sparkSession, rules.min_len
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     minis = math.ceil(2 * chars / (need - rules.gram + 2))
@@ -235,85 +309,86 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules) -> DataFrame:
 
     twice, heavy = twice_filter(map_batches(docs.select("text"), pack, PACKED), bits, parts, heavy_at)
     keys = np.array(sorted(heavy), np.uint64)
-    blocks = np.array([-(-heavy[int(k)] // heavy_at) + 1 for k in keys], np.int64)
+    blocks = np.array([-(-heavy[int(k)] // heavy_at) + 1 for k in keys], np.uint64)
     shared = spark.sparkContext.broadcast((twice, keys, blocks))
+    groups = max(1, -(-chars // rules.group_bytes)) | 1
 
-    def emit(b: pa.RecordBatch) -> pa.Table:
-        twice = shared.value[0]
-        ids, fps, texts = (b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), binaries(b.column(2)))
-        out = []
-        for x, _, pieces in ((x, e, p) for x, e, p in slices(texts, rules)):
-            ends = np.array([p[2] for p in pieces[1:]] + [len(x)])
-            first, last, h = window_runs(x, ends, rules)
-            keep = twice.test(h)
-            first, last, h = first[keep], last[keep], h[keep]
-            begin = np.array([p[2] for p in pieces])
-            piece = np.searchsorted(begin, first, "right") - 1
-            row = np.array([p[0] for p in pieces])[piece]
-            at = first - begin[piece] + np.array([p[1] for p in pieces])[piece]
-            raw = x.tobytes()
-            out.append(pa.table({"mini": pa.array(h.view(np.int64)), "id": pa.array(ids[row], pa.int64()), "fp": pa.array(fps[row], pa.int64()), "at": pa.array(at.astype(np.int32)), "bytes": pa.array([raw[s : e + need] for s, e in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())}))
-        empty = pa.table({"mini": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "fp": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "bytes": pa.array([], pa.binary())})
-        return pa.concat_tables(out) if out else empty
-
-    def grouped(b: pa.RecordBatch) -> pa.Table:
-        t = emit(b)
-        mini = t.column("mini").to_numpy().view(np.uint64)
-        _, keys, blocks = shared.value
-        block = np.zeros(len(mini), np.int64)
-        if len(keys) and len(mini):
-            k = np.minimum(np.searchsorted(keys, mini), len(keys) - 1)
-            hot = keys[k] == mini
-            who = mix64(t.column("id").to_numpy().view(np.uint64))
-            block[hot] = 1 + (who[hot] % blocks[k[hot]].astype(np.uint64)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            group = mix64(mini + mix64(block.astype(np.uint64))) % np.uint64(groups)
-        return t.append_column("block", pa.array(block.astype(np.int32))).append_column("grp", pa.array(group.astype(np.int64)))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _packed_runs(b, *shared.value, groups, rules)
 
-    groups = max(1, -(-chars // rules.group_bytes))
-    runs = map_batches(docs.select("id", "fp", "text"), grouped, f"{_RUNS}, block int, grp bigint")
+    runs = docs.select("id", "fp", "text").mapInArrow(emit, "grp bigint, payload binary")
 
     def settle(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids, fps, at = (t.column(c).to_numpy() for c in ("id", "fp", "at"))
-        hot = t.column("block").to_numpy() > 0
-        pieces = t.column("bytes").to_pylist()
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        buf = b"".join(pieces)
+        head, buf = _unpacked(t.column("payload").to_pylist())
+        size = head["size"].astype(np.int64)
         begin = np.cumsum(size) - size
         n = size - need + 1
         row = np.repeat(np.arange(len(n)), n)
         off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        starts = begin[row] + off
-        gone = previous_factors(buf, starts, ids[row], need) >= need
-        r, s, e = _spans(gone, row, at[row] + off, need)
-        left = np.flatnonzero(~gone & hot[row])
-        cols = [np.concatenate((ids[r], ids[row[left]])), np.concatenate((fps[r], fps[row[left]])), np.concatenate((s, (at[row] + off)[left])), np.concatenate((e, (at[row] + off)[left] + need))]
-        wins = [None] * len(r) + [buf[x : x + need] for x in starts[left].tolist()]
-        return pa.table([*(pa.array(c.astype(np.int64)) for c in cols), pa.array(wins, pa.binary())], names=["id", "fp", "start", "stop", "win"])
+        starts, at = begin[row] + off, head["at"].astype(np.int64)[row] + off
+        gone = previous_factors(buf, starts, head["id"][row], need) >= need
+        r, s, e = _spans(gone, row, at, need)
+        span = np.zeros(len(r), _SPAN)
+        span["id"], span["fp"], span["start"], span["stop"] = head["id"][r], head["fp"][r], s, e
+        dgrp = span["id"] % groups
+        order = np.argsort(dgrp, kind="stable")
+        span, dgrp = span[order], dgrp[order]
+        cuts = np.append(np.flatnonzero(np.diff(dgrp, prepend=-1)), len(dgrp)).tolist() if len(dgrp) else [0]
+        packs = [span[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+        left = np.flatnonzero(~gone & (head["hot"] > 0)[row])
+        ids, none = head["id"][row[left]], [None] * len(packs)
+        return pa.table(
+            [
+                pa.array(np.concatenate((dgrp[cuts[:-1]], ids % groups)).astype(np.int64)),
+                pa.array(packs + [None] * len(left), pa.binary()),
+                pa.array(none + ids.tolist(), pa.int64()),
+                pa.array(none + head["fp"][row[left]].tolist(), pa.int64()),
+                pa.array(none + at[left].tolist(), pa.int64()),
+                pa.array(none + [buf[x : x + need] for x in starts[left].tolist()], pa.binary()),
+            ],
+            names=["dgrp", "spans", "id", "fp", "start", "win"],
+        )
 
     found = work_table(runs.groupBy("grp").applyInArrow(settle, _FOUND), "substring-found")
-    firsts = found.where("win IS NOT NULL").groupBy(F.col("win").alias("f_win")).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    late = found.where("win IS NOT NULL").join(firsts, (F.col("win") == F.col("f_win")) & (F.col("id") > F.col("first")))
-    return found.where("win IS NULL").select("id", "fp", "start", "stop").unionByName(late.select("id", "fp", "start", "stop"))
+    wins = found.where("win IS NOT NULL")
+    firsts = wins.groupBy(F.col("win").alias("f_win")).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    late = wins.join(firsts, (F.col("win") == F.col("f_win")) & (F.col("id") > F.col("first")))
+    named = ["dgrp", "spans", "id", "fp", "start", "stop"]
+    all_ = found.where("win IS NULL").withColumn("stop", F.lit(None).cast("bigint")).select(named)
+    all_ = all_.unionByName(late.withColumn("stop", F.col("start") + need).select(named))
+    all_ = all_.unionByName(known.withColumns({"dgrp": F.pmod("id", F.lit(groups)), "spans": F.lit(None).cast("binary")}).select(named))
+
+    def merge(t: pa.Table) -> pa.Table:
+        one = t.filter(pc.is_null(t.column("spans")))
+        more = np.zeros(one.num_rows, _SPAN)
+        for c in _SPAN.names:
+            more[c] = one.column(c).to_numpy()
+        span = np.concatenate([more, *(np.frombuffer(x, _SPAN) for x in t.column("spans").to_pylist() if x)])
+        span = np.sort(span, order=["id", "fp", "start"])
+        cuts = np.append(np.flatnonzero(np.append(True, (span["id"][1:] != span["id"][:-1]) | (span["fp"][1:] != span["fp"][:-1]))), len(span)).tolist()
+        rows = [(int(span["id"][x]), int(span["fp"][x]), np.array(merged(span["start"][x:y], span["stop"][x:y]), "<i8").tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "fp": pa.array([r[1] for r in rows], pa.int64()), "spans": pa.array([r[2] for r in rows], pa.binary())})
+
+    return all_.groupBy("dgrp").applyInArrow(merge, "id bigint, fp bigint, spans binary")
 
 
 def dedup_substrings(docs: DataFrame, rules: SubstringRules = SubstringRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: a cut may fall within a character)."""
+    """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: a cut may fall within a character).
+
+    Documents are told apart by id and a 32-bit hash of the text."""
     src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
-    src = src.withColumn("fp", F.xxhash64("text"))
-    wide = src.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    src = src.withColumn("fp", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     long = F.octet_length("text") >= rules.min_len
-    named = wide.where(long).select("id", "fp", "digest", F.octet_length("text").cast("bigint").alias("stop"))
-    firsts = named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("digest").alias("f_digest"), "first")
-    copies = work_table(named.join(firsts, (F.col("digest") == F.col("f_digest")) & (F.col("id") > F.col("first"))).select("id", "fp", "stop"), "substring-copies")
+    named = src.where(long).select("id", "fp", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("bigint").alias("stop"))
+    firsts = work_table(named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("digest").alias("f_digest"), "first"), "substring-firsts")
+    copies = work_table(named.join(firsts, (F.col("digest") == F.col("f_digest")) & (F.col("id") > F.col("first"))).select("id", "fp", F.lit(0).cast("bigint").alias("start"), "stop"), "substring-copies")
     known = copies.select(F.col("id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
     if known.count() <= 1_000_000:  # 16 bytes each
         known = F.broadcast(known)
     rest = src.where(long).join(known, (F.col("id") == F.col("k_id")) & (F.col("fp") == F.col("k_fp")), "left_anti").select("id", "fp", "text")
 
-    spans = repeated_spans(rest, rules).unionByName(copies.select("id", "fp", F.lit(0).cast("bigint").alias("start"), "stop"))
-    spans = spans.groupBy(F.col("id").alias("s_id"), F.col("fp").alias("s_fp")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = work_table(repeated_spans(rest, rules, copies), "substring-spans").select(F.col("id").alias("s_id"), F.col("fp").alias("s_fp"), "spans")
     joined = src.join(spans, (F.col("id") == F.col("s_id")) & (F.col("fp") == F.col("s_fp")), "left").select("own", "text", "spans")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -321,7 +396,7 @@ def dedup_substrings(docs: DataFrame, rules: SubstringRules = SubstringRules(),
         for t, spans in zip(binaries(b.column(1)), b.column(2).to_pylist(), strict=True):
             t = t or b""
             out, done, count = [], 0, 0
-            for s, e in merged(spans or []):
+            for s, e in np.frombuffer(spans or b"", "<i8").reshape(-1, 2).tolist():
                 out.append(t[done:s])
                 done = e
                 count += 1
@@ -336,12 +411,9 @@ def dedup_substrings(docs: DataFrame, rules: SubstringRules = SubstringRules(),
     return out.withColumnRenamed("own", id_col)
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Sorted maximal runs; touching ones are one."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["start"], x["stop"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of spans sorted by start; touching ones are one."""
+    reach = np.maximum.accumulate(stop)
+    head = np.append(True, start[1:] > reach[:-1])
+    last = np.append(head[1:], True)
+    return list(zip(start[head].tolist(), reach[last].tolist(), strict=True))
