@@ -22,20 +22,31 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import LOWER, PACKED, SPACE, SPACE_SQL, UPPER, binaries, filter_bits, lower_ascii, map_batches, packed, twice_filter
+from tofcube.llm.common import LOWER, PACKED, SPACE, UPPER, binaries, filter_bits, map_batches, packed, twice_filter, work_table
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PARTS_LOG2 = 10
 
 
+HASH = xxhash.xxh3_64_intdigest
+
+
 def line_key(line: bytes) -> bytes:
     return line.strip(SPACE).translate(_LOWER)
 
 
+def line_keys(text: bytes | None, min_chars: int) -> list[bytes]:
+    """The distinct keys of a text that have min_chars code points."""
+    if not text:
+        return []
+    keys = {x.strip(SPACE) for x in text.translate(_LOWER).split(b"\n")}
+    return [k for k in keys if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode()) >= min_chars)]
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), max_filter_log2: int = 28) -> DataFrame:
     """One row per document: id, the columns named in carry, n_lines, n_dropped, and text without the dropped lines.
 
@@ -48,28 +59,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 2, keep: s
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = F.transform(F.split("text", "\n"), lambda x: lower_ascii(F.btrim(x, F.lit(SPACE_SQL))))
-    keys = src.select("id", F.array_distinct(F.filter(lines, lambda x: F.length(x) >= min_chars)).alias("keys")).where("size(keys) > 0")
-    keys = keys.select("id", "keys", F.transform("keys", lambda x: F.xxhash64(x)).alias("hashes"))
-
     chars = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = filter_bits(math.ceil(chars / 64), max_filter_log2)
     parts = min(PARTS_LOG2, bits - 10)
 
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        return packed([b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)], parts)
+        return packed([np.fromiter(map(HASH, keys), np.uint64, len(keys)) for t in binaries(b.column(0)) if (keys := line_keys(t, min_chars))], parts)
 
-    twice, _ = twice_filter(map_batches(keys.select("hashes"), pack, PACKED), bits, parts)
+    twice, _ = twice_filter(map_batches(src.select("text"), pack, PACKED), bits, parts)
     shared = spark.sparkContext.broadcast(twice)
 
     def suspects(b: pa.RecordBatch) -> pa.RecordBatch:
-        hit = pa.array(shared.value.test(b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
-        owner = pc.list_parent_indices(b.column(1)).filter(hit)
-        return pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).flatten().filter(hit)], names=["id", "key"])
-
-    found = map_batches(keys, suspects, f"id {kind}, key string")
+        keys = [line_keys(t, min_chars) for t in binaries(b.column(1))]
+        flat = [k for ks in keys for k in ks]
+        hit = np.flatnonzero(shared.value.test(np.fromiter(map(HASH, flat), np.uint64, len(flat))))
+        owner = np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)))[hit]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array([flat[k] for k in hit.tolist()], pa.binary()).cast(pa.string())], names=["id", "key"])
+
+    # Both tables are small beside the texts; written, they are joined with exchanges of their own, which can be split.
+    found = work_table(map_batches(src, suspects, f"id {kind}, key string"), "line-suspects")
     pick = F.min("id") if keep == "first" else F.max("id")
-    repeats = found.groupBy("key").agg(F.count("*").alias("n"), pick.alias("keeper")).where(F.col("n") >= min_docs).select(F.col("key").alias("r_key"), "keeper")
+    repeats = work_table(found.groupBy("key").agg(F.count("*").alias("n"), pick.alias("keeper")).where(F.col("n") >= min_docs).select(F.col("key").alias("r_key"), "keeper"), "line-repeats")
     lost = found.join(repeats, F.col("key") == F.col("r_key")).where(~F.col("id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("id").alias("l_id")).agg(F.collect_set("key").alias("lost"))
 
