@@ -135,3 +135,31 @@ def tabulated_resolution(curve: DataFrame, kernels: DataFrame, flight_m: float)
     rows = pts.withColumn("xb", bucket("x")).join(seg, (F.col("xb") == F.col("b")) & inside)
     y = F.when(last, F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / F.when(last, 1.0).otherwise(F.col("x1") - F.col("x0")))
     return rows.groupBy(F.col("out").alias("e")).agg((F.sum(F.col("wt") * y) / F.sum("wt")).alias("value"))
+
+
+def fisher_matrix(sigma: DataFrame, densities: DataFrame, counts: float) -> DataFrame:
+    """g1, g2, fisher: information on the densities (grp, n) in `counts` open-beam counts a bin, J = -sigma T and weight counts / T.
+
+    sigma: (grp, i, sigma), a dimension: groups times bins; pairs are those of the few groups."""
+    t = sigma.join(densities, "grp").groupBy("i").agg(F.exp(-F.sum(F.col("n") * F.col("sigma"))).alias("t"))
+    rows = sigma.join(t, "i").select("i", "grp", "sigma", "t")
+    other = rows.select(F.col("i").alias("i2"), F.col("grp").alias("g2"), F.col("sigma").alias("s2"))
+    pairs = rows.join(other, (F.col("i") == F.col("i2")) & (F.col("grp") <= F.col("g2")))
+    return pairs.groupBy(F.col("grp").alias("g1"), "g2").agg(F.sum(counts * F.col("sigma") * F.col("s2") * F.col("t")).alias("fisher"))
+
+
+def add_poisson_noise(pixels: DataFrame, counts: float, seed: int) -> DataFrame:
+    """y, x, transmission, sigma arrays of pixels (y, x, spectrum): N ~ Poisson(counts max(T, 0)), T' = N / counts, sigma = sqrt(max(N, 1)) / counts.
+
+    Each pixel has a generator of its own from (seed, y, x), so the result does not depend on partitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ys, xs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            n = [np.random.default_rng([seed, y, x]).poisson(counts * np.maximum(np.asarray(s, float), 0)) for y, x, s in zip(ys, xs, b.column(2).to_pylist(), strict=True)]
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v / counts for v in n], kind), pa.array([np.sqrt(np.maximum(v, 1)) / counts for v in n], kind)], names=["y", "x", "transmission", "sigma"])
+
+    return pixels.select("y", "x", "spectrum").mapInArrow(run, "y int, x int, transmission array<double>, sigma array<double>")

@@ -71,3 +71,14 @@ def plot_rows(lines: DataFrame) -> DataFrame:
 def named_like(names: DataFrame, pattern: str, col: str = "name") -> DataFrame:
     """Frame files whose whole name matches a * and ? pattern in any case, numbered by name."""
     return names.where(F.col(col).rlike(S.glob_regex(pattern))).withColumn("frame", (F.row_number().over(W.orderBy(col)) - 1).cast("int"))
+
+
+def parameter_cards(lines: DataFrame) -> DataFrame:
+    """energy_ev, gamma_gamma_ev, gamma_n_ev, gamma_f1_ev, gamma_f2_ev, spin_group of fixed-width resonance cards: five fields of
+    11 characters, widths in meV, the group in columns 65-66. The table ends at its first blank line; a negative group leaves its row out."""
+    ended = F.max(F.when(F.trim("line") == "", 1).otherwise(0)).over(_in_file())
+    rows = lines.withColumn("ended", ended).where("ended = 0")
+    f = [S.endf_float(F.substring("line", 1 + 11 * k, 11)) for k in range(5)]
+    group = F.trim(F.substring("line", 65, 2))
+    rows = rows.select("file", "lineno", f[0].alias("energy_ev"), *[(f[k] / 1000.0).alias(n) for k, n in enumerate(("gamma_gamma_ev", "gamma_n_ev", "gamma_f1_ev", "gamma_f2_ev"), 1)], F.when(group.rlike("^-?[0-9]+$"), group.cast("int")).otherwise(1).alias("spin_group"))
+    return rows.where("spin_group >= 0")

@@ -68,6 +68,8 @@ QUERIES = {
     "background_jacobian": lambda s, d: curve(s).select(R("e").alias("e"), *[R(c).alias(n) for n, c in X.background_jacobian(F.col("value"), F.col("e"), 0.03, 1.5).items()]),
     "kernel_at_energy": lambda s, d: X.kernels_at(A.grid(s).select(F.col("value").alias("e")), kernels(s)).select(R("e").alias("e"), "k", R("offset").alias("offset"), R("weight").alias("weight")),
     "tabulated_resolution": lambda s, d: X.tabulated_resolution(curve(s), kernels(s), L).select(R("e").alias("e"), R("value", 8).alias("value")),
+    "fisher_matrix": lambda s, d: X.fisher_matrix(P.M.group_sigma(P.spectra(s, d).drop("grp"), P.members(s, d)), P.members(s, d).select("grp").distinct().select("grp", (0.0005 * (1 + F.col("grp").cast("int") % 4)).alias("n")), 1e3).select("g1", "g2", R("fisher", 4).alias("fisher")),
+    "noisy_cube": lambda s, d: X.add_poisson_noise(C.C.to_spectra(C.cells(s, d), "transmission"), 1e4, 7),
     "embedded_size": lambda s, d: project.embedded_size(C.full(s, d, "view")),
     "map_report_rows": lambda s, d: project.report_rows(C.cells(s, d).select(F.concat(F.lit("a|"), F.col("y").cast("string")).alias("label"), F.round("transmission", 2).alias("density"), (F.col("sigma") < float("inf")).alias("converged"))).select("label", "n_converged", "n_total"),
     "wave_numbers": lambda s, d: A.grid(s).select("i", R(S.wave_number_squared(F.col("value"), F.lit(236.006)), 15).alias("k2"), R(S.pi_over_k2_barns(F.col("value"), F.lit(236.006)), 6).alias("pi_k2"), R(S.channel_radius_fm(F.col("value")), 9).alias("radius"), R(S.statistical_weight(F.lit(0.5) + F.col("i") % 4, F.lit(3.5)), 9).alias("g")),
@@ -91,6 +93,7 @@ SELECT i, round(CASE WHEN i >= 2 THEN v1 ELSE 0 END + CASE WHEN i >= 1 THEN 5 *
 pt AS (SELECT e AS oe, w * abs(CASE WHEN p IS NULL AND q IS NULL THEN 1 WHEN p IS NULL THEN q - o WHEN q IS NULL THEN o - p ELSE (q - p) / 2 END) AS wt, pow({_FL} / ({_FL} / sqrt(e) + o), 2) AS x FROM wd WHERE w > 0 AND {_FL} / sqrt(e) + o > 0),
 cv AS (SELECT value AS x0, exp(-1 / (1 + pow((value - 15) / 0.8::DOUBLE, 2))) AS y0, lead(value) OVER (ORDER BY i) AS x1, exp(-1 / (1 + pow((lead(value) OVER (ORDER BY i) - 15) / 0.8::DOUBLE, 2))) AS y1 FROM gr)
 SELECT round(oe, 9) AS e, round(sum(wt * coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0)) / sum(wt), 8) AS value FROM pt JOIN cv ON x >= x0 AND (x < x1 OR (x1 IS NULL AND x = x0)) GROUP BY oe""",
+    "fisher_matrix": f"WITH {P.SP}, g AS (SELECT grp, i, sum(sigma / n) AS sigma FROM sp JOIN (SELECT label::VARCHAR AS grp, count(*) AS n FROM embeddings GROUP BY 1) USING (grp) GROUP BY grp, i), t AS (SELECT i, exp(-sum(0.0005::DOUBLE * (1 + grp::INT % 4) * sigma)) AS t FROM g GROUP BY i) SELECT a.grp AS g1, b.grp AS g2, round(sum(1e3 * a.sigma * b.sigma * t), 4) AS fisher FROM g a JOIN g b ON a.i = b.i AND a.grp <= b.grp JOIN t ON t.i = a.i GROUP BY ALL",
     "embedded_size": "SELECT 40000::BIGINT AS raw_bytes, 13333::BIGINT AS compressed_bytes",
     "map_report_rows": f"WITH {C.EV}, {C.NORM} SELECT 'a\\|' || y AS label, count(*) FILTER (WHERE isfinite(sigma)) AS n_converged, count(*) AS n_total FROM nm GROUP BY y",
     "wave_numbers": f"WITH {A.GR}, k AS (SELECT i, value, 236.006::DOUBLE AS awr FROM gr) SELECT i, round({P._K2('value')}, 15) AS k2, round(pi() / {P._K2('value')} / 100, 6) AS pi_k2, round((0.123::DOUBLE * cbrt(value) + 0.08::DOUBLE) * 10, 9) AS radius, round((2 * (0.5 + i % 4) + 1) / 16, 9) AS g FROM k",
