@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the class [\x20\x09-\x0D] of the contracts.
 SPACE = b" \t\n\x0b\x0c\r"
-SPACE_SQL = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. A folder of our own is made only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tofcube.work.dir", None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="spark-work-")
-        spark.conf.set("tofcube.work.dir", at) if not spark.conf.get("tofcube.work.dir", None) else None
-        at = spark.conf.get("tofcube.work.dir")
+        spark.conf.set("tofcube.work.dir", at)
     return at.rstrip("/")
 
 
@@ -45,6 +43,17 @@ def binaries(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+#: Spark's own number of rows in an Arrow batch, and ours: rows here are whole texts.
+SPARK_ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it names a number of its own: a batch of texts exists several times in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARK_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """mapInArrow, one batch in and one out."""
 
@@ -53,6 +62,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
             out = f(b)
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -116,6 +126,25 @@ def packed(hashes: list[np.ndarray], parts_log2: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["part", "hashes"])
 
 
+def packed_hashes(df: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndarray]], parts_log2: int) -> DataFrame:
+    """PACKED rows of what `hashes` gives for each batch, a million hashes or so at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for b in batches:
+            for h in hashes(b):
+                held.append(h)
+                n += len(h)
+            if n >= 1 << 20:
+                yield packed(held, parts_log2)
+                held, n = [], 0
+        yield packed(held, parts_log2)
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, PACKED)
+
+
 def twice_filter(routed: DataFrame, bits_log2: int, parts_log2: int, heavy_at: int = 0) -> tuple[TwiceFilter, dict[int, int]]:
     """Build both Bloom filters from packed hashes (part int, hashes binary), part by part on the executors.
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,8 +252,9 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, ma
     """The documents with all their columns, hit spans cut from the text. Documents of which
     more than max_coverage of the words are hit are dropped. Cutting is repeated until no
     window is left, as the ends of a cut may meet in a new one."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kind = docs.schema.simpleString()
+    rest = docs.select(*[f"`{c}`" for c in docs.columns if c != text_col])
+    row = F.struct(*[F.col(f"`{c}`") for c in rest.columns])
+    kind = rest.schema.simpleString()
     out = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     for names, texts in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(texts, window))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import LOWER, PACKED, SPACE, UPPER, binaries, filter_bits, map_batches, packed, twice_filter, work_table
+from tofcube.llm.common import LOWER, SPACE, UPPER, binaries, filter_bits, map_batches, packed_hashes, twice_filter, work_table
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PARTS_LOG2 = 10
@@ -63,10 +63,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 2, keep: s
     bits = filter_bits(math.ceil(chars / 64), max_filter_log2)
     parts = min(PARTS_LOG2, bits - 10)
 
-    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        return packed([np.fromiter(map(HASH, keys), np.uint64, len(keys)) for t in binaries(b.column(0)) if (keys := line_keys(t, min_chars))], parts)
+    def hashes(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.fromiter(map(HASH, keys), np.uint64, len(keys)) for t in binaries(b.column(0)) if (keys := line_keys(t, min_chars))]
 
-    twice, _ = twice_filter(map_batches(src.select("text"), pack, PACKED), bits, parts)
+    twice, _ = twice_filter(packed_hashes(src.select("text"), hashes, parts), bits, parts)
     shared = spark.sparkContext.broadcast(twice)
 
     def suspects(b: pa.RecordBatch) -> pa.RecordBatch:

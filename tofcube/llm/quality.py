@@ -148,11 +148,13 @@ def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules(), text_c
     """The documents that the rules keep, with all their columns, in one pass."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        kept = [signals(t or b"", rules)[-1] for t in binaries(b.column(1))]
-        return pa.RecordBatch.from_arrays([pc.filter(b.column(0), pa.array(kept, pa.bool_()))], names=["row"])
+        kept = pa.array([signals(t or b"", rules)[-1] for t in binaries(b.column(1))], pa.bool_())
+        return pa.RecordBatch.from_arrays([pc.filter(c, kept) for c in b.columns], names=["row", "text"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return map_batches(docs.select(row.alias("row"), F.col(text_col).alias("text")), f, f"row {row_type(docs)}").select("row.*")
+    rest = docs.select(*[f"`{c}`" for c in docs.columns if c != text_col])
+    row = F.struct(*[F.col(f"`{c}`") for c in rest.columns])
+    out = map_batches(docs.select(row.alias("row"), F.col(text_col).alias("text")), f, f"row {row_type(rest)}, text string")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def row_type(df: DataFrame) -> str:
