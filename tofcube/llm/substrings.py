@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import PACKED, TwiceFilter, binaries, filter_bits, map_batches, mix64, packed, short, twice_filter, work_table
+from tofcube.llm.common import TwiceFilter, binaries, bound_batches, filter_bits, map_batches, mix64, packed_hashes, short, twice_filter, work_table
 
 _M = 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 28) - 1)
@@ -51,7 +51,7 @@ class SubstringRules:
     gram: int = 24
     #: Text bytes for each group of windows that a task sorts at once.
     group_bytes: int = 1 << 20
-    #: A minimizer found so often is dealt over blocks of about so many occurrences.
+    #: A minimizer found more often than this, and than one in 4096 of all or 100 000 times, is dealt over blocks of so many occurrences.
     heavy: int = 2000
     max_filter_log2: int = 28
     #: Bytes that are hashed at once; longer texts are worked through in overlapping slices.
@@ -228,9 +228,8 @@ _FOUND = "dgrp bigint, spans binary, id bigint, fp bigint, start bigint, win bin
 _FLUSH = 200_000
 
 
-def _packed_runs(b: pa.RecordBatch, twice: TwiceFilter, keys: np.ndarray, blocks: np.ndarray, groups: int, rules: SubstringRules) -> Iterator[pa.RecordBatch]:
-    """grp, payload: the suspected runs of the texts in a batch (id, fp, text), many to a row."""
-    ids, fps, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), binaries(b.column(2))
+def _packed_runs(batches: Iterator[pa.RecordBatch], twice: TwiceFilter, keys: np.ndarray, blocks: np.ndarray, groups: int, rules: SubstringRules) -> Iterator[pa.RecordBatch]:
+    """grp, payload: the suspected runs of the texts in batches (id, fp, text), many to a row."""
     heads: list[np.ndarray] = []
     grps: list[np.ndarray] = []
     raws: list[bytes] = []
@@ -248,33 +247,35 @@ def _packed_runs(b: pa.RecordBatch, twice: TwiceFilter, keys: np.ndarray, blocks
         heads.clear(), grps.clear(), raws.clear()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["grp", "payload"])
 
-    for x, ends, pieces in slices(texts, rules):
-        first, last, h = window_runs(x, ends, rules)
-        keep = twice.test(h)
-        first, last, h = first[keep], last[keep], h[keep]
-        if not len(h):
-            continue
-        begin = np.array([p[2] for p in pieces])
-        piece = np.searchsorted(begin, first, "right") - 1
-        row = np.array([p[0] for p in pieces])[piece]
-        head = np.zeros(len(h), _HEAD)
-        head["id"], head["fp"] = ids[row], fps[row]
-        head["at"] = first - begin[piece] + np.array([p[1] for p in pieces])[piece]
-        head["size"] = last - first + rules.min_len
-        block = np.zeros(len(h), np.uint64)
-        if len(keys):
-            own = short(h, twice.parts_log2)
-            k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            hot = keys[k] == own
-            block[hot] = np.uint64(1) + mix64(head["id"][hot].astype(np.uint64)) % blocks[k[hot]]
-        head["hot"] = block > 0
-        with np.errstate(over="ignore"):
-            grps.append((mix64(h + block * np.uint64(_M)) % np.uint64(groups)).astype(np.int64))
-        heads.append(head)
-        raw = x.tobytes()
-        raws.extend(raw[s:e] for s, e in zip(first.tolist(), (last + rules.min_len).tolist(), strict=True))
-        if len(raws) >= _FLUSH:
-            yield from flush()
+    for b in batches:
+        ids, fps, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), binaries(b.column(2))
+        for x, ends, pieces in slices(texts, rules):
+            first, last, h = window_runs(x, ends, rules)
+            keep = twice.test(h)
+            first, last, h = first[keep], last[keep], h[keep]
+            if not len(h):
+                continue
+            begin = np.array([p[2] for p in pieces])
+            piece = np.searchsorted(begin, first, "right") - 1
+            row = np.array([p[0] for p in pieces])[piece]
+            head = np.zeros(len(h), _HEAD)
+            head["id"], head["fp"] = ids[row], fps[row]
+            head["at"] = first - begin[piece] + np.array([p[1] for p in pieces])[piece]
+            head["size"] = last - first + rules.min_len
+            block = np.zeros(len(h), np.uint64)
+            if len(keys):
+                own = short(h, twice.parts_log2)
+                k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hot = keys[k] == own
+                block[hot] = np.uint64(1) + mix64(head["id"][hot].astype(np.uint64)) % blocks[k[hot]]
+            head["hot"] = block > 0
+            with np.errstate(over="ignore"):
+                grps.append((mix64(h + block * np.uint64(_M)) % np.uint64(groups)).astype(np.int64))
+            heads.append(head)
+            raw = x.tobytes()
+            raws.extend(raw[s:e] for s, e in zip(first.tolist(), (last + rules.min_len).tolist(), strict=True))
+            if len(raws) >= _FLUSH:
+                yield from flush()
     yield from flush()
 
 
@@ -302,21 +303,23 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
     minis = math.ceil(2 * chars / (need - rules.gram + 2))
     bits = filter_bits(minis, rules.max_filter_log2)
     parts = min(PARTS_LOG2, bits - 10)
-    heavy_at = max(rules.heavy, minis >> 16)
+    heavy_at = max(rules.heavy, min(minis >> 12, 100_000))
 
-    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        return packed([window_runs(x, ends, rules)[2] for x, ends, _ in slices(binaries(b.column(0)), rules)], parts)
+    def hashes(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [window_runs(x, ends, rules)[2] for x, ends, _ in slices(binaries(b.column(0)), rules)]
 
-    twice, heavy = twice_filter(map_batches(docs.select("text"), pack, PACKED), bits, parts, heavy_at)
+    twice, heavy = twice_filter(packed_hashes(docs.select("text"), hashes, parts), bits, parts, heavy_at)
     keys = np.array(sorted(heavy), np.uint64)
     blocks = np.array([-(-heavy[int(k)] // heavy_at) + 1 for k in keys], np.uint64)
     shared = spark.sparkContext.broadcast((twice, keys, blocks))
     groups = max(1, -(-chars // rules.group_bytes)) | 1
+    # documents' spans meet in fewer groups, so that a task's spans for one of them fill a row
+    dgroups = max(1, -(-chars // (32 * rules.group_bytes))) | 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _packed_runs(b, *shared.value, groups, rules)
+        yield from _packed_runs(batches, *shared.value, groups, rules)
 
+    bound_batches(spark)
     runs = docs.select("id", "fp", "text").mapInArrow(emit, "grp bigint, payload binary")
 
     def settle(t: pa.Table) -> pa.Table:
@@ -331,7 +334,7 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
         r, s, e = _spans(gone, row, at, need)
         span = np.zeros(len(r), _SPAN)
         span["id"], span["fp"], span["start"], span["stop"] = head["id"][r], head["fp"][r], s, e
-        dgrp = span["id"] % groups
+        dgrp = span["id"] % dgroups
         order = np.argsort(dgrp, kind="stable")
         span, dgrp = span[order], dgrp[order]
         cuts = np.append(np.flatnonzero(np.diff(dgrp, prepend=-1)), len(dgrp)).tolist() if len(dgrp) else [0]
@@ -340,7 +343,7 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
         ids, none = head["id"][row[left]], [None] * len(packs)
         return pa.table(
             [
-                pa.array(np.concatenate((dgrp[cuts[:-1]], ids % groups)).astype(np.int64)),
+                pa.array(np.concatenate((dgrp[cuts[:-1]], ids % dgroups)).astype(np.int64)),
                 pa.array(packs + [None] * len(left), pa.binary()),
                 pa.array(none + ids.tolist(), pa.int64()),
                 pa.array(none + head["fp"][row[left]].tolist(), pa.int64()),
@@ -357,7 +360,7 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
     named = ["dgrp", "spans", "id", "fp", "start", "stop"]
     all_ = found.where("win IS NULL").withColumn("stop", F.lit(None).cast("bigint")).select(named)
     all_ = all_.unionByName(late.withColumn("stop", F.col("start") + need).select(named))
-    all_ = all_.unionByName(known.withColumns({"dgrp": F.pmod("id", F.lit(groups)), "spans": F.lit(None).cast("binary")}).select(named))
+    all_ = all_.unionByName(known.withColumns({"dgrp": F.pmod("id", F.lit(dgroups)), "spans": F.lit(None).cast("binary")}).select(named))
 
     def merge(t: pa.Table) -> pa.Table:
         one = t.filter(pc.is_null(t.column("spans")))
