@@ -17,13 +17,18 @@ benchmark nothing is hit; columns beyond those named are ignored.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import binaries, map_batches
+from tofcube.llm.common import binaries, map_batches, shared_dir, work_table
 
 #: Bytes to themselves if they belong to words, A-Z to a-z, all else to a space.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -170,57 +175,68 @@ class Automaton:
         return spans, found, longest
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -> list[tuple[list[str], list[bytes]]]:
-    """The items in blocks of at most most_bytes of text (an item larger than that is a block alone)."""
-    blocks, size = [], most_bytes + 1
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -> Iterator[tuple[list[str], list[bytes]]]:
+    """The items in blocks of at most most_bytes of text (an item larger than that is a block alone), one at a time."""
+    names, texts, size = [], [], 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").toLocalIterator():
         t = row["t"].encode()
-        if size + len(t) > most_bytes:
-            blocks.append(([], []))
-            size = 0
-        blocks[-1][0].append(row["i"])
-        blocks[-1][1].append(t)
+        if names and size + len(t) > most_bytes:
+            yield names, texts
+            names, texts, size = [], [], 0
+        names.append(row["i"])
+        texts.append(t)
         size += len(t)
-    return blocks
+    if names:
+        yield names, texts
 
 
 _HITS = "n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>, longest bigint"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
+def _hits(src: DataFrame, names: list[str], texts: list[bytes], window: int) -> tuple[DataFrame, Broadcast]:
+    """id and _HITS of the texts (id, text) with one block of items, and what is broadcast for it."""
+    shared = src.sparkSession.sparkContext.broadcast((names, Automaton.build(texts, window)))
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        names, a = shared.value
+        ns, spans, items, longest = [], [], [], []
+        for t in binaries(b.column(1)):
+            ws = words_of(t or b"")
+            s, found, most = a.scan(ws)
+            ns.append(len(ws))
+            spans.append([{"start": x, "stop": y} for x, y in s])
+            items.append(sorted({names[k] for k in found}))
+            longest.append(most)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["id", "n_words", "spans", "items", "longest"])
+
+    return map_batches(src, f, f"id {src.schema['id'].dataType.simpleString()}, {_HITS}"), shared
+
+
+def _all_hits(src: DataFrame, blocks: Iterable[tuple[list[str], list[bytes]]], window: int, hit_only: bool = False) -> DataFrame:
+    """The rows of _hits for all blocks, written block by block: one automaton at a time is held."""
+    path = f"{shared_dir(src.sparkSession)}/decontam-hits-{uuid.uuid4().hex}"
+    for names, texts in blocks:
+        out, shared = _hits(src, names, texts, window)
+        (out.where(F.size("spans") > 0) if hit_only else out).write.mode("append").parquet(path)
+        shared.destroy()
+    return src.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans (hit words [start, stop), maximal), items
     (ids hit, sorted as strings), longest (longest matching length in words).
 
     block_bytes bounds what is broadcast at once."""
-    kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes) or [([], [])]
-    parts = []
-    if len(blocks) > 1:
-        src = src.withColumn("id", F.struct(F.monotonically_increasing_id().alias("row"), F.col("id")))
-        kind = f"struct<row:bigint,id:{kind}>"
-    for names, texts in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast((names, Automaton.build(texts, window)))
-
-        def f(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            names, a = shared.value
-            ns, spans, items, longest = [], [], [], []
-            for t in binaries(b.column(1)):
-                ws = words_of(t or b"")
-                s, found, most = a.scan(ws)
-                ns.append(len(ws))
-                spans.append([{"start": x, "stop": y} for x, y in s])
-                items.append(sorted({names[k] for k in found}))
-                longest.append(most)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["id", "n_words", "spans", "items", "longest"])
-
-        parts.append(map_batches(src, f, f"id {kind}, {_HITS}"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        out = _hits(src, *first, window)[0]
+    else:
+        src = work_table(src.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
+        found = _all_hits(src.select(F.struct("row", "id").alias("id"), "text"), chain([first, second], blocks), window)
+        out = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
         out = out.withColumn("spans", _merged(F.array_sort("spans"))).withColumn("id", F.col("id.id"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["stop"] - s["start"])
     return out.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "spans", "items", "longest")
@@ -256,10 +272,12 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, ma
     row = F.struct(*[F.col(f"`{c}`") for c in rest.columns])
     kind = rest.schema.simpleString()
     out = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    for names, texts in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(texts, window))
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks, ([], [])), next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(first[1], window))
 
-        def f(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def f(b: pa.RecordBatch) -> pa.Table:
             a = shared.value
             texts, keep = [], []
             for t in binaries(b.column(1)):
@@ -270,8 +288,37 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, ma
                     t = cut_words(t, spans)
                     spans, _, _ = a.scan(words_of(t))
                 texts.append(t)
-            table = pa.Table.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"]).filter(pa.array(keep, pa.bool_()))
-            return table
+            return pa.Table.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"]).filter(pa.array(keep, pa.bool_()))
 
         out = map_batches(out, f, f"row {kind}, text string")
+    else:
+        out = _remove_by_blocks(out, lambda: item_blocks(benchmark, item_col, item_text_col, block_bytes), window, max_coverage)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _remove_by_blocks(src: DataFrame, blocks: Callable[[], Iterable[tuple[list[str], list[bytes]]]], window: int, max_coverage: float) -> DataFrame:
+    """remove_benchmark of (row, text) with more items than one automaton holds.
+
+    Each round takes the spans of all blocks from the same texts and joins them by text, so
+    coverage is judged on their union and cuts are those of a single automaton. Texts without a
+    hit are done; those that were cut go into the next round."""
+    kind = src.schema["row"].dataType.simpleString()
+    now = work_table(src.withColumn("id", F.monotonically_increasing_id()), "decontam-texts")
+    done, limit = [], max_coverage
+    while True:
+        found = _all_hits(now.select("id", "text"), blocks(), window, hit_only=True)
+        spans = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, now.select("row", "text")])
+        done.append(now.join(spans, "id", "left_anti").select("row", "text"))
+
+        def f(b: pa.RecordBatch, limit=limit) -> pa.Table:
+            texts, keep = [], []
+            for t, spans in zip(binaries(b.column(2)), b.column(3).to_pylist(), strict=True):
+                spans = [(s["start"], s["stop"]) for s in spans]
+                keep.append(sum(e - s for s, e in spans) <= limit * len(words_of(t)))
+                texts.append(cut_words(t, spans))
+            return pa.Table.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "row", "text"]).filter(pa.array(keep, pa.bool_()))
+
+        cut = now.join(spans, "id").select("id", "row", "text", _merged(F.col("spans")).alias("spans"))
+        now, limit = work_table(map_batches(cut, f, f"id bigint, row {kind}, text string"), "decontam-texts"), 1.0
