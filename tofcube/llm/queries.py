@@ -221,14 +221,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {bas
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC archives against a second replica with planted damage: the page text of
     ids that leave 13 modulo 97 has its last character replaced, and records of ids that leave 5
-    modulo 211 are lost. One row per record, with what the audit finds."""
+    modulo 211 are lost. The second replica's records are indexed on their own. One row per
+    record of the first, with what the audit finds."""
     pages = table(spark, sf_dir, "pages")
     spoilt = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\u0000"))).otherwise(F.col("html"))
-    records = pages.select("page_id", warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("bytes"), F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), spoilt).cast("binary"), 256).alias("sha256_b"), F.coalesce(F.col("page_id") % 211 == 5, F.lit(False)).alias("lost"))
-    index = warc.work_table(warc.archive_index(records, "page_id", "bytes", extra=("sha256_b", "lost")), "warc-index")
-    second = index.where("NOT lost").drop("sha256").withColumnRenamed("sha256_b", "sha256")
-    found = warc.audit(index, second).select(F.col("archive").alias("f_archive"), F.col("ordinal").alias("f_ordinal"), "status")
-    out = index.join(found, (F.col("archive") == F.col("f_archive")) & (F.col("ordinal") == F.col("f_ordinal")), "left")
+    records = lambda p, html: p.select("page_id", warc.record_bytes(F.col("page_id"), F.col("url"), html).alias("bytes"))
+    n = warc.archive_count(pages)
+    first = warc.work_table(warc.archive_index(records(pages, F.col("html")), "page_id", "bytes", archives=n), "warc-index")
+    kept = pages.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False)))
+    second = warc.work_table(warc.archive_index(records(kept, spoilt), "page_id", "bytes", archives=n), "warc-index")
+    found = warc.audit(first, second).where("status <> 'extra'").select(F.col("archive").alias("f_archive"), F.col("ordinal").alias("f_ordinal"), "status")
+    out = first.join(found, (F.col("archive") == F.col("f_archive")) & (F.col("ordinal") == F.col("f_ordinal")), "left")
     return out.select("page_id", "archive", "ordinal", "start", "stop", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 

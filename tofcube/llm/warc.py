@@ -1,17 +1,19 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-An archive index has one row per record: its archive, ordinal, offset range and SHA-256. Over
-the ordered ranges of each archive a hash tree is built level by level (`fanout` children a
-node; a node's hash is that of its children's hashes in order, its range theirs together). Two
-replicas are compared at the roots, and only the branches whose hashes differ are descended, to
-the ranges that are damaged.
-
-Archives hold `archive_rows` records or so, dealt by input position, so a hot key or source is
-spread; a node has at most `fanout` children. Records' bytes are hashed where they are read and
+An archive index has one row per record: its archive, ordinal, offset range, SHA-256 and record
+key. Replicas are aligned by record key, whatever archive or position a record has in either: a
+hash of the key deals records to the leaves of one tree of `fanout` children a node, so a lost
+record alters its own branch alone and not those of the records behind it. A leaf's hash is that
+of its records' keys, lengths and SHA-256; a node's hash is that of its children's. The trees are
+compared at the root, and only the branches whose hashes differ are descended, to the records
+that are damaged. Absolute offsets are not hashed, as those behind a lost record shift.
+
+Archives hold `archive_rows` records or so, dealt by key (records without one by their bytes);
+records of one key share an archive and a leaf. Records' bytes are hashed where they are read and
 not shuffled.
 
 Defined cases: a null url or page is written as an empty one; repeated rows are records of
-their own; a record that one replica lacks is 'missing' or 'extra'; empty tables give empty
+their own, and of one key those of equal bytes are matched first; a record that one replica lacks is 'missing' or 'extra'; empty tables give empty
 results; other columns are ignored.
 """
 
@@ -36,38 +38,51 @@ def record_bytes(key: Column, url: Column, html: Column) -> Column:
     return F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def archive_index(records: DataFrame, key_col: str, bytes_col: str, archive_rows: int = 512, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The index of records (key, bytes): key, INDEX columns, and `extra` columns as they are. Records of an archive are ordered by key."""
-    n = max(1, -(-records.count() // archive_rows))
+def archive_count(records: DataFrame, archive_rows: int = 512) -> int:
+    return max(1, -(-records.count() // archive_rows))
+
+
+def archive_index(records: DataFrame, key_col: str, bytes_col: str, archive_rows: int = 512, extra: tuple[str, ...] = (), archives: int | None = None) -> DataFrame:
+    """The index of records (key, bytes): key, INDEX columns, record_key, and `extra` columns as they are. Records of an archive are ordered by key.
+
+    archives: their number; by default it follows from the number of records."""
+    n = archives or archive_count(records, archive_rows)
     c = F.col(bytes_col)
     rows = records.select(F.col(key_col).alias("key"), F.octet_length(c).cast("bigint").alias("length"), F.sha2(c.cast("binary"), 256).alias("sha256"), F.monotonically_increasing_id().alias("row"), *extra)
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
+    rows = rows.withColumn("archive", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.col("sha256"))), F.lit(n)).cast("int"))
     w = W.partitionBy("archive").orderBy("key", "row")
     stop = F.sum("length").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.select(F.col("key").alias(key_col), "archive", (F.row_number().over(w) - 1).cast("int").alias("ordinal"), (stop - F.col("length")).alias("start"), stop.alias("stop"), "sha256", *extra)
+    return rows.select(F.col("key").alias(key_col), "archive", (F.row_number().over(w) - 1).cast("int").alias("ordinal"), (stop - F.col("length")).alias("start"), stop.alias("stop"), "sha256", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("record_key"), *extra)
+
+
+_SAME = ["record_key", "length", "sha256"]
+
+
+def merkle_leaves(index: DataFrame, slots: int) -> DataFrame:
+    """node, hash: the records of each of so many ranges of key hashes."""
+    rows = index.select(F.pmod(F.xxhash64("record_key"), F.lit(slots)).alias("node"), F.struct("record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256").alias("r"))
+    text = F.array_join(F.transform("rs", lambda r: F.concat_ws(":", F.octet_length(r["record_key"]).cast("string"), r["record_key"], r["length"].cast("string"), r["sha256"])), ",")
+    return rows.groupBy("node").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("node", F.sha2(text.cast("binary"), 256).alias("hash"))
 
 
 def merkle_level(nodes: DataFrame, fanout: int) -> DataFrame:
-    """The level above: archive, node, start, stop, hash, from the same columns."""
-    child = F.struct("node", "hash", "start", "stop")
-    up = nodes.groupBy("archive", F.floor(F.col("node") / fanout).cast("int").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("kids"))
+    """The level above: node, hash, from the same columns."""
+    up = nodes.groupBy(F.floor(F.col("node") / fanout).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("kids"))
     joined = F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["hash"])), ",")
-    return up.select("archive", F.col("up").alias("node"), F.array_min("kids.start").alias("start"), F.array_max("kids.stop").alias("stop"), F.sha2(joined.cast("binary"), 256).alias("hash"))
+    return up.select(F.col("up").alias("node"), F.sha2(joined.cast("binary"), 256).alias("hash"))
 
 
 def merkle_levels(index: DataFrame, fanout: int, height: int) -> list[DataFrame]:
-    """Leaves first, roots last."""
-    leaves = index.select("archive", F.col("ordinal").alias("node"), "start", "stop", F.col("sha256").alias("hash")).repartition("archive")
-    levels = [leaves]
+    """Leaves first, the root last."""
+    levels = [work_table(merkle_leaves(index, fanout**height), "merkle-leaves")]
     for _ in range(height):
         levels.append(merkle_level(levels[-1], fanout))
     return levels
 
 
-def tree_height(index: DataFrame, fanout: int) -> int:
-    most = index.agg(F.max("ordinal")).first()[0] or 0
+def tree_height(records: int, fanout: int) -> int:
     height = 1
-    while fanout**height <= most:
+    while fanout**height < records:
         height += 1
     return height
 
@@ -76,22 +91,34 @@ def audit(first: DataFrame, second: DataFrame, fanout: int = 8) -> DataFrame:
     """The damaged ranges: archive, ordinal, start, stop (of the first replica, else of the second), status.
 
     status: 'changed', 'missing' (the second lacks it) or 'extra'. Both are index tables."""
-    height = max(tree_height(first, fanout), tree_height(second, fanout))
+    height = tree_height(max(first.count(), second.count()), fanout)
     one, two = merkle_levels(first, fanout, height), merkle_levels(second, fanout, height)
-    names = ["archive", "node", "start", "stop", "hash"]
     suspect: DataFrame | None = None
     for level in range(height, -1, -1):
         a, b = one[level], two[level]
         if suspect is not None:
-            parent = (F.col("archive") == F.col("s_archive")) & (F.floor(F.col("node") / fanout) == F.col("s_node"))
+            parent = F.floor(F.col("node") / fanout) == F.col("s_node")
             a, b = a.join(suspect, parent, "left_semi"), b.join(suspect, parent, "left_semi")
-        b = b.select(*[F.col(c).alias(f"b_{c}") for c in names])
-        both = a.join(b, (F.col("archive") == F.col("b_archive")) & (F.col("node") == F.col("b_node")), "full_outer").where(~F.col("hash").eqNullSafe(F.col("b_hash")))
-        status = F.when(F.col("b_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-        found = both.select(*[F.coalesce(F.col(c), F.col(f"b_{c}")).alias(c) for c in names[:4]], status.alias("status"))
-        if level:
-            suspect = work_table(found.select(F.col("archive").alias("s_archive"), F.col("node").alias("s_node")), "merkle-suspects")
-    return found.withColumnRenamed("node", "ordinal")
+        b = b.select(F.col("node").alias("b_node"), F.col("hash").alias("b_hash"))
+        both = a.join(b, F.col("node") == F.col("b_node"), "full_outer").where(~F.col("hash").eqNullSafe(F.col("b_hash")))
+        suspect = work_table(both.select(F.coalesce("node", "b_node").alias("s_node")), "merkle-suspects")
+
+    def held(index: DataFrame) -> DataFrame:
+        rows = index.select("archive", "ordinal", "start", "stop", "record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256")
+        rows = rows.join(suspect, F.pmod(F.xxhash64("record_key"), F.lit(fanout**height)) == F.col("s_node"), "left_semi")
+        return work_table(rows.withColumn("copy", F.row_number().over(W.partitionBy(*_SAME).orderBy("archive", "ordinal"))), "merkle-records")
+
+    def left(these: DataFrame, those: DataFrame) -> DataFrame:
+        rest = these.join(those.select(*_SAME, "copy"), [*_SAME, "copy"], "left_anti")
+        return rest.withColumn("k", F.row_number().over(W.partitionBy("record_key").orderBy("archive", "ordinal")))
+
+    x, y = held(first), held(second)
+    names = ["archive", "ordinal", "start", "stop"]
+    b = left(y, x).select(*[F.col(c).alias(f"b_{c}") for c in [*names, "record_key", "k"]])
+    both = left(x, y).join(b, (F.col("record_key") == F.col("b_record_key")) & (F.col("k") == F.col("b_k")), "full_outer")
+    status = F.when(F.col("b_k").isNull(), "missing").when(F.col("k").isNull(), "extra").otherwise("changed")
+    # a record's place is that of one replica as a whole
+    return both.select(*[F.when(F.col("k").isNull(), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in names], status.alias("status"))
 
 
 def write_warc(index: DataFrame, bytes_col: str, path: str) -> None:
@@ -102,6 +129,7 @@ def write_warc(index: DataFrame, bytes_col: str, path: str) -> None:
     body.select("archive", F.expr(f"substring(`{bytes_col}`, 1, length(`{bytes_col}`) - 1)").alias("value")).write.partitionBy("archive").text(path)
 
 
+_KEY = re.compile(rb"(?i)^warc-record-id:\s*<urn:record:(.*)>\s*$", re.M)
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
@@ -116,8 +144,15 @@ def parse_warc(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = stop
 
 
+def record_key(record: bytes) -> str:
+    """The key in a record's head; empty if it can't be read."""
+    m = _HEAD.match(record)
+    k = _KEY.search(m[1]) if m else None
+    return k[1].decode(errors="replace") if k else ""
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """archive (int), ordinal, start, stop, sha256 and record (binary) of the files that write_warc wrote."""
+    """archive (int), ordinal, start, stop, sha256, record_key and record (binary) of the files that write_warc wrote."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"archive=(\d+)", 1).cast("int").alias("archive"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +161,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for archive, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = list(parse_warc(raw))
-                yield pa.RecordBatch.from_pydict({"archive": pa.array([archive] * len(rows), pa.int32()), "ordinal": pa.array(range(len(rows)), pa.int32()), "start": pa.array([r[0] for r in rows], pa.int64()), "stop": pa.array([r[1] for r in rows], pa.int64()), "sha256": [hashlib.sha256(r[2]).hexdigest() for r in rows], "record": [r[2] for r in rows]})
+                yield pa.RecordBatch.from_pydict({"archive": pa.array([archive] * len(rows), pa.int32()), "ordinal": pa.array(range(len(rows)), pa.int32()), "start": pa.array([r[0] for r in rows], pa.int64()), "stop": pa.array([r[1] for r in rows], pa.int64()), "sha256": [hashlib.sha256(r[2]).hexdigest() for r in rows], "record_key": [record_key(r[2]) for r in rows], "record": [r[2] for r in rows]})
 
-    return files.mapInArrow(run, "archive int, ordinal int, start bigint, stop bigint, sha256 string, record binary")
+    return files.mapInArrow(run, "archive int, ordinal int, start bigint, stop bigint, sha256 string, record_key string, record binary")
