@@ -62,8 +62,9 @@ def plain_lines(rows, min_docs, keep):
 def test_line_dedup(spark, min_docs, keep):
     rows = corpus(1)
     rows += [rows[3], rows[3], (None, rows[0][1])]
-    got = lines.dedup_lines(frame(spark, rows), min_docs=min_docs, keep=keep)
-    assert Counter(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect())) == plain_lines(rows, min_docs, keep)
+    for most in (1 << 20, 0):  # confirmed keys broadcast, and joined
+        got = lines.dedup_lines(frame(spark, rows), min_docs=min_docs, keep=keep, max_key_bytes=most)
+        assert Counter(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect())) == plain_lines(rows, min_docs, keep)
 
 
 def test_line_dedup_small_filter_and_carry(spark):
