@@ -266,8 +266,8 @@ def plain_near(rows, k, percent):
     return Counter((i, len(sets[a]), None if i is None else comp[root(a)], i is None or comp[root(a)] == i) for a, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(spark, k):
+@pytest.mark.parametrize("k,tile", [(2, 512), (5, 512), (2, 7)])
+def test_near_duplicates(spark, k, tile):
     rnd = random.Random(8)
     rows = corpus(8, 30)
     base = rnd.choices([f"w{j}" for j in range(300)], k=200)
@@ -279,7 +279,7 @@ def test_near_duplicates(spark, k):
     for i in range(300, 312):  # a chain
         rows.append((i, " ".join(f"c{j}" for j in range(4 * (i - 300), 4 * (i - 300) + 60))))
     rows += [rows[0], (None, rows[1][1]), (None, "x y z"), (400, "solo"), (401, "SOLO"), (402, "solo solo")]
-    got = near.near_duplicates(frame(spark, rows), near.NearRules(shingle=k))
+    got = near.near_duplicates(frame(spark, rows), near.NearRules(shingle=k, block=tile, strays=tile))
     assert Counter(map(tuple, got.collect())) == plain_near(rows, k, 80)
     assert near.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
     left = near.drop_near_duplicates(frame(spark, rows), near.NearRules(shingle=k))
@@ -287,6 +287,15 @@ def test_near_duplicates(spark, k):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter(i for (i, _, _, kept), n in plain_near(rows, k, 80).items() if kept for _ in range(n))
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{j}" for j in range(40)) for x in "ab")
+    rows = [(5, a), (1, b), (5, b), (7, a + " tail"), (9, "other words here")]
+    got = near.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter([(5, 36, 5), (1, 36, 1), (5, 36, 1), (7, 37, 5), (9, 1, 9)])
+    left = near.drop_near_duplicates(frame(spark, rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter([(5, a), (1, b), (9, "other words here")])
+
+
 def test_posterior_bounds():
     rules = near.NearRules()
     n = rules.bands * rules.values

@@ -5,9 +5,9 @@
 2. Classes that share a band key are candidates. A bucket never emits its pairs: all its members
    are compared with its least id, the pivot, which links most of a group of copies. Where a
    bucket then still holds several components, the members outside its largest one are strays
-   of that component. A component's members and strays are dealt into blocks, and each block is
-   compared with all strays inside one task, which returns new links alone: exact, and linear
-   in the rows that move but for the copies of the strays, one for each block.
+   of that component. Both a component's texts and its strays are dealt into blocks, and each
+   block of texts meets each block of strays in a task of its own, which returns new links
+   alone: exact, and no task holds more than two blocks, however large a bucket is.
 3. A candidate pair's signatures are compared batch by batch; after m matches in n values the
    pair is dropped if the posterior probability (uniform prior) that its similarity reaches the
    threshold is under `miss`. Survivors are verified on their full sets.
@@ -20,8 +20,8 @@ of texts to be verified where they are few, reaches the driver or is broadcast.
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; rows with equal texts are one
 component; a row with a null id is linked with nothing, its component is null and it is kept;
-rows that share an id but not a text are judged each by its text; an empty table gives an empty
-result; other columns are ignored.
+rows that share an id but not a text are judged, and dropped, each by its text; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ class NearRules:
     values: int = 4
     batch: int = 16
     miss: float = 1e-7
+    #: Texts, and strays, that one task compares.
     block: int = 512
+    strays: int = 256
 
     @property
     def least(self) -> int:
@@ -145,13 +147,13 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
-def _sketches(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
+def _sketches(docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Of docs (id, fp, text): id, fp, n, digest, and sig and keys of sets that can be linked with another set."""
     factors = multipliers(rules.bands * rules.values)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         n, digest, sig, keys = [], [], [], []
-        for t in binaries(b.column(1)):
+        for t in binaries(b.column(2)):
             s = shingle_set(t, rules.shingle)
             n.append(len(s))
             digest.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
@@ -162,74 +164,86 @@ def _sketches(docs: DataFrame, rules: NearRules, id_col: str, text_col: str) ->
             else:
                 sig.append(None)
                 keys.append(None)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "sig", "keys"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "n", "digest", "sig", "keys"])
 
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f, f"id {kind}, n bigint, digest binary, sig binary, keys array<bigint>")
+    return map_batches(docs, f, f"id {docs.schema['id'].dataType.simpleString()}, fp bigint, n bigint, digest binary, sig binary, keys array<bigint>")
 
 
-#: Ids of texts to fetch that may be broadcast; more are joined by a shuffle.
-MOST_IDS = 1_000_000
+#: Classes to fetch that may be broadcast (some 40 bytes each); more are joined by a shuffle.
+MOST_CLASSES = 500_000
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rules: NearRules, kind: str) -> DataFrame:
-    """Full shingle sets of the texts with the given ids (w): id, digest, set."""
-    few = ids.count() <= MOST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("w"), "left_semi")
+def _sets(docs: DataFrame, wanted: DataFrame, rules: NearRules) -> DataFrame:
+    """node, set: full shingle sets of the wanted classes (w_node, w_id, w_fp)."""
+    few = wanted.count() <= MOST_CLASSES
+    texts = docs.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("w_id")) & (F.col("fp") == F.col("w_fp"))).select("w_node", "text")
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, rules.shingle).tobytes() for t in binaries(b.column(1))]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "set"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, rules.shingle).tobytes() for t in binaries(b.column(1))], pa.binary())], names=["node", "set"])
 
-    return work_table(map_batches(texts.select("id", "text"), f, f"id {kind}, digest binary, set binary").dropDuplicates(["id", "digest"]), "near-sets")
+    # rows that repeat id and text would give a set twice
+    return work_table(map_batches(texts, f, "node bigint, set binary").dropDuplicates(["node"]), "near-sets")
 
 
-def _pivot_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rules: NearRules, kind: str) -> DataFrame:
+def _pivot_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rules: NearRules) -> DataFrame:
     """Verified links (a, b) of bucket members with their pivots."""
-    pairs = shared.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("digest").alias(f"d_{x}"))
+    pairs = shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= rules.percent * F.greatest("n_a", "n_b"))
 
     def prune(t: pa.RecordBatch) -> pa.RecordBatch:
         wide = rules.bands * rules.values
         a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, wide) for c in ("sig_a", "sig_b"))
-        return t.select(["a", "b", "d_a", "d_b"]).filter(pa.array(may_link(a, b, rules)))
+        return t.select(["a", "b"]).filter(pa.array(may_link(a, b, rules)))
 
-    alive = work_table(map_batches(both.select("a", "b", "sig_a", "sig_b", "d_a", "d_b"), prune, f"a {kind}, b {kind}, d_a binary, d_b binary"), "near-alive")
-    sets = _sets(docs, alive.select(F.col("a").alias("w")).union(alive.select("b")).distinct(), rules, kind)
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("digest").alias(f"d_{x}"), F.col("set").alias(f"set_{x}"))
-    full = alive.join(side("a"), ["a", "d_a"]).join(side("b"), ["b", "d_b"])
+    alive = work_table(map_batches(both.select("a", "b", "sig_a", "sig_b"), prune, "a bigint, b bigint"), "near-alive")
+    nodes = alive.select(F.col("a").alias("w")).union(alive.select("b")).distinct()
+    sets = _sets(docs, classes.join(nodes, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("w_node"), F.col("id").alias("w_id"), F.col("fp").alias("w_fp")), rules)
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
+    full = alive.join(side("a"), "a").join(side("b"), "b")
 
     def verify(t: pa.RecordBatch) -> pa.RecordBatch:
         keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rules.percent) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
         return t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return work_table(map_batches(full.select("a", "b", "set_a", "set_b"), verify, f"a {kind}, b {kind}"), "near-links")
+    return work_table(map_batches(full.select("a", "b", "set_a", "set_b"), verify, "a bigint, b bigint"), "near-links")
 
 
-def _stray_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, rules: NearRules, kind: str) -> DataFrame | None:
+def _stray_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, rules: NearRules) -> DataFrame | None:
     """Links (a, b) between different components of one bucket; of many between two components one is enough. None if no bucket is mixed."""
-    rows = shared.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    comps = comps.select(F.col("node").alias("c_node"), "comp")
+    rows = shared.join(comps, F.col("node") == F.col("c_node"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     in_bucket = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"))
     main = work_table(in_bucket.where("comps > 1").select(F.col("key").alias("m_key"), F.col("m.comp").alias("main")), "near-mains")
-    strays = rows.join(main, (F.col("key") == F.col("m_key")) & (F.col("comp") != F.col("main"))).select("main", "rep", "comp").distinct()
+    strays = rows.join(main, (F.col("key") == F.col("m_key")) & (F.col("comp") != F.col("main"))).select("main", "node", "comp").distinct()
     strays = work_table(strays, "near-strays")
     if strays.isEmpty():
         return None
     groups = strays.select("main").distinct()
-    everyone = shared.select("rep").distinct().join(comps, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-    members = everyone.join(groups, F.col("comp") == F.col("main")).select("main", "rep", "comp")
+    everyone = shared.select("node").distinct().join(comps, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    members = everyone.join(groups, F.col("comp") == F.col("main")).select("main", "node", "comp")
     targets = work_table(members.unionByName(strays), "near-targets")
     blocks = targets.groupBy(F.col("main").alias("b_main")).agg(F.ceil(F.count("*") / rules.block).cast("int").alias("blocks"))
-    sets = _sets(docs, targets.select(F.col("rep").alias("w")).distinct(), rules, kind)
-    held = classes.join(sets.select(F.col("id").alias("s_id"), F.col("digest").alias("s_digest"), "set"), (F.col("rep") == F.col("s_id")) & (F.col("digest") == F.col("s_digest"))).select(F.col("rep").alias("h_rep"), "n", "sig", "set")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cast = targets.join(blocks, F.col("main") == F.col("b_main")).select("main", block.alias("block"), F.lit(False).alias("query"), "rep", "comp")
-    cast = cast.unionByName(strays.join(blocks, F.col("main") == F.col("b_main")).select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "rep", "comp"))
-    full = cast.join(held, F.col("rep") == F.col("h_rep")).select("main", "block", "query", "rep", "comp", "n", "sig", "set")
+    sblocks = strays.groupBy(F.col("main").alias("s_main")).agg(F.ceil(F.count("*") / rules.strays).cast("int").alias("sblocks"))
+    sizes = work_table(blocks.join(sblocks, F.col("b_main") == F.col("s_main")).select("b_main", "blocks", "sblocks"), "near-tiles")
+    wanted = classes.join(targets.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi")
+    sets = _sets(docs, wanted.select(F.col("node").alias("w_node"), F.col("id").alias("w_id"), F.col("fp").alias("w_fp")), rules)
+    held = wanted.select(F.col("node").alias("h_node"), "n", "sig").join(sets.withColumnRenamed("node", "s_node"), F.col("h_node") == F.col("s_node")).select("h_node", "n", "sig", "set")
+
+    def dealt(rows: DataFrame, query: bool) -> DataFrame:
+        """Each row with its own block, once for each block of the other side."""
+        own, other = ("sblocks", "blocks") if query else ("blocks", "sblocks")
+        rows = rows.join(sizes, F.col("main") == F.col("b_main"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        block, sblock = ("other", "own") if query else ("own", "other")
+        return rows.select("main", F.col(block).alias("block"), F.col(sblock).alias("sblock"), F.lit(query).alias("query"), "node", "comp")
+
+    cast = dealt(targets, False).unionByName(dealt(strays, True))
+    full = cast.join(held, F.col("node") == F.col("h_node")).select("main", "block", "sblock", "query", "node", "comp", "n", "sig", "set")
 
     def compare(t: pa.Table) -> pa.Table:
         query = np.array(t.column("query").to_pylist(), bool)
-        rep, comp, n = t.column("rep").to_pylist(), t.column("comp").to_pylist(), t.column("n").to_numpy()
+        node, comp, n = t.column("node").to_pylist(), t.column("comp").to_pylist(), t.column("n").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(query), -1)
         sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
         up: dict = {c: c for c in comp}
@@ -253,11 +267,10 @@ def _stray_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps:
                 x, y = int(i[k]), int(j[k])
                 if root(comp[x]) != root(comp[y]) and linked(sets[x], sets[y], rules.percent):
                     up[root(comp[x])] = root(comp[y])
-                    out.append((rep[x], rep[y]))
-        kind_ = t.schema.field("rep").type
-        return pa.table({"a": pa.array([x for x, _ in out], kind_), "b": pa.array([y for _, y in out], kind_)})
+                    out.append((node[x], node[y]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return work_table(full.groupBy("main", "block").applyInArrow(compare, f"a {kind}, b {kind}"), "near-links")
+    return work_table(full.groupBy("main", "block", "sblock").applyInArrow(compare, "a bigint, b bigint"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,35 +288,47 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id that links reach), kept (id = component_id)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    sketches = work_table(_sketches(docs, rules, id_col, text_col), "near-sketches")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    reps = sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = work_table(reps, "near-reps")
-    first = sketches.where("sig IS NOT NULL AND id IS NOT NULL").join(reps.select(F.col("digest").alias("r_digest"), "rep"), (F.col("digest") == F.col("r_digest")) & (F.col("id") == F.col("rep")))
-    classes = work_table(first.select("digest", "rep", "n", "sig", "keys").dropDuplicates(["digest"]), "near-classes")
-
-    bands = classes.select(F.explode("keys").alias("key"), "rep")
-    pivots = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    shared = work_table(bands.join(pivots.select(F.col("key").alias("p_key"), "pivot"), F.col("key") == F.col("p_key")).select("key", "rep", "pivot"), "near-buckets")
-
-    known = classes.select("rep", "n", "sig", "digest")
-    links = _pivot_links(texts, known, shared, rules, kind)
+def _judged(docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Of docs (id, fp, text): id, fp, n, component; a class of equal sets is one node, whatever ids it has."""
+    sketches = work_table(_sketches(docs, rules), "near-sketches")
+    firsts = sketches.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "fp")).alias("f"))
+    firsts = work_table(firsts.select(F.col("digest").alias("f_digest"), F.col("f.id").alias("f_id"), F.col("f.fp").alias("f_fp"), F.monotonically_increasing_id().alias("node")), "near-firsts")
+    first = sketches.where("sig IS NOT NULL").join(firsts, (F.col("digest") == F.col("f_digest")) & (F.col("id") == F.col("f_id")) & (F.col("fp") == F.col("f_fp")))
+    classes = work_table(first.select("node", "id", "fp", "n", "sig", "keys").dropDuplicates(["node"]), "near-classes")
+
+    bands = classes.select(F.explode("keys").alias("key"), "node")
+    pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    shared = work_table(bands.join(pivots.select(F.col("key").alias("p_key"), "pivot"), F.col("key") == F.col("p_key")).select("key", "node", "pivot"), "near-buckets")
+
+    known = classes.select("node", "id", "fp", "n", "sig")
+    links = _pivot_links(docs, known, shared, rules)
     comps = components(links)
-    more = _stray_links(texts, known, shared, comps, rules, kind)
+    more = _stray_links(docs, known, shared, comps, rules)
     if more is not None and not more.isEmpty():
         comps = components(links.unionByName(more))
 
-    comp = comps.select(F.col("node").alias("c_node"), "comp")
-    least = reps.join(comp, F.col("rep") == F.col("c_node"), "left").select(F.col("digest").alias("l_digest"), F.coalesce("comp", "rep").alias("component"))
-    out = sketches.select("id", "n", "digest").join(least, F.col("digest") == F.col("l_digest"), "left")
+    comps = comps.select(F.col("node").alias("c_node"), "comp")
+    named = firsts.join(comps, F.col("node") == F.col("c_node"), "left").select("f_digest", "f_id", "comp")
+    least = named.where("comp IS NOT NULL").groupBy(F.col("comp").alias("l_comp")).agg(F.min("f_id").alias("component"))
+    named = named.join(least, F.col("comp") == F.col("l_comp"), "left").select("f_digest", F.coalesce("component", "f_id").alias("component"))
+    out = sketches.select("id", "fp", "n", "digest").join(named, F.col("digest") == F.col("f_digest"), "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select("id", "fp", "n", component.alias("component"))
+
+
+def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, fp (a hash of the text, which tells apart rows of one id), text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the least id that links reach), kept (id = component_id)."""
+    out = _judged(_input(docs, id_col, text_col), rules)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, one of each component."""
-    gone = near_duplicates(docs, rules, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """The documents with all their columns, one of each component (rows that repeat its id and text stay with it)."""
+    gone = _judged(_input(docs, id_col, text_col), rules).where("id <> component").select(F.col("id").alias("__gone"), F.col("fp").alias("__fp")).distinct()
+    gone = work_table(gone, "near-gone")
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__fp")), "left_anti")
