@@ -338,6 +338,7 @@ def test_substrings(spark, heavy, slice_bytes):
     passage = "".join(rnd.choices("abcdefgh éß", k=120))
     rows = [(i, "".join(rnd.choices("abé ", k=rnd.randint(0, 200))) + (passage[rnd.randint(0, 30) : rnd.randint(60, 120)] if i % 2 else "") + "".join(rnd.choices("abcdefgh ", k=rnd.randint(0, 60)))) for i in range(60)]
     rows += [(70, rows[1][1]), (71, rows[1][1]), (5, rows[5][1]), (72, None), (73, ""), (74, "q" * 300), (75, "q" * 120), (None, passage), (None, passage), (76, rows[9][1] + rows[9][1]), (5, passage + "other")]
+    rows += [(80, "q" * 2000), (81, "xyz" * 900 + "q" * 700 + "tail of " * 200), (82, "ab" + "q" * 900 + "yzx" * 400), (83, "q" * 430 + "!" + "q" * 430 + " of tail" * 90)]
     rules = substrings.SubstringRules(min_len=50, heavy=heavy, slice_bytes=slice_bytes, group_bytes=2000)
     got = substrings.dedup_substrings(frame(spark, rows), rules)
     have = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in got.collect())
@@ -345,6 +346,24 @@ def test_substrings(spark, heavy, slice_bytes):
     assert substrings.dedup_substrings(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_periods_stand_for_all_windows():
+    import numpy as np
+
+    rnd = random.Random(3)
+    for _ in range(40):
+        b = b"".join(rnd.choice([b"q", b"ab", b"xyz", b"r"]) * rnd.choice([1, 30, 400]) for _ in range(6))
+        if len(b) < 12:
+            continue
+        n = len(b) - 12 + 1
+        seen = [set() for _ in range(n)]
+        for at, k, stands in substrings.periods(np.frombuffer(b, np.uint8), 12, 5):
+            for j in range(stands):
+                seen[at + j].add(b[at + j % k : at + j % k + 12])
+        assert seen == [{b[j : j + 12]} for j in range(n)]
+    runs = substrings.window_runs(np.full(100_000, 113, np.uint8), np.array([100_000]), substrings.SubstringRules())
+    assert len(runs[0]) == 1
+
+
 def test_previous_factors_match_plain():
     import numpy as np
 

@@ -15,8 +15,14 @@ so that equal windows meet, and each task builds the order of its own suffixes:
    document), takes the common prefix lengths of neighbours, and finds for every start the
    previous and the next position in that order whose document is smaller; the longer of the
    two common prefixes is the longest previous factor.
+   Windows that a document repeats are sorted once.
 4. A minimizer found very often is dealt over blocks of documents. What is first in its block
-   is settled between blocks by the windows themselves, of which each block has one.
+   is settled between blocks by the windows themselves, of which each block has one; they are
+   dealt, many to a row, over as many groups as the minimizer has blocks.
+
+A run goes on as long as the minimizer's hash stays the same, wherever it stands, so a text that
+repeats itself within a few bytes is one run; a long stretch of one period is sent as its first
+period with the number of windows that it stands for.
 
 Defined cases: a null text is empty; a null id counts as greater than all others, and such
 documents do not remove from each other; repeated rows (equal id) do not remove from each other;
@@ -90,18 +96,43 @@ def window_runs(b: np.ndarray, ends: np.ndarray, rules: SubstringRules) -> tuple
         n *= 2
     if width > n:
         least = np.minimum(least[: len(h) - width + 1], least[width - n :][: len(h) - width + 1])
-    at = (least & _POS).astype(np.int64)
+    value = h[(least & _POS).astype(np.int64)]
     inside = np.ones(size, bool)
     for e in ends.tolist():
         inside[max(0, e - rules.min_len + 1) : e] = False
     change = np.ones(size, bool)
-    change[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])
+    change[1:] = (value[1:] != value[:-1]) | (inside[1:] != inside[:-1])
     first = np.flatnonzero(change)
     last = np.append(first[1:], size) - 1
     keep = inside[first]
     first, last = first[keep], last[keep]
     # mixed again: hashes that are least in their windows are small
-    return first, last, mix64(h[at[first]])
+    return first, last, mix64(value[first])
+
+
+def periods(b: np.ndarray, need: int, most: int) -> list[tuple[int, int, int]]:
+    """The windows of a long run, in order, as pieces (first window, windows to sort, windows they stand for).
+
+    A stretch of period p, up to `most`, is its first p windows and stands for all of it; what
+    else there is stands for itself."""
+    size = len(b) - need + 1
+    breaks = [np.append(np.flatnonzero(b[p:] != b[:-p]), len(b) - p) for p in range(1, most + 1)]
+    out: list[tuple[int, int, int]] = []
+    at = plain = 0
+    while at < size:
+        # windows from here that lie within the stretch of each period
+        reach = [int(x[np.searchsorted(x, at)]) + p - at - need + 1 for p, x in enumerate(breaks, 1)]
+        p = int(np.argmax(reach))
+        if reach[p] < 4 * need:
+            at += need
+            continue
+        if plain < at:
+            out.append((plain, at - plain, at - plain))
+        out.append((at, p + 1, reach[p]))
+        at = plain = at + reach[p]
+    if plain < size:
+        out.append((plain, size - plain, size - plain))
+    return out
 
 
 def slices(texts: list[bytes | None], rules: SubstringRules) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
@@ -181,12 +212,35 @@ def smaller_before(doc: np.ndarray, lcp: np.ndarray, need: int) -> np.ndarray:
 
 def previous_factors(buf: bytes, starts: np.ndarray, doc: np.ndarray, need: int) -> np.ndarray:
     """Longest previous factor, cut at need bytes, of each start: its longest common prefix with a start of a smaller document. Below need it is given as 0."""
-    out = np.zeros(len(starts), np.int64)
-    words = _words(buf, starts, need)
+    h = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(starts), np.uint64)
-        for w in words:
-            h = mix64(h * np.uint64(_M) + w)
+        for at in range(0, len(starts), _CHUNK):
+            part = h[at : at + _CHUNK]
+            for w in _words(buf, starts[at : at + _CHUNK], need):
+                part[:] = mix64(part * np.uint64(_M) + w)
+    # one start stands for all of its document with the same bytes
+    o = np.lexsort((doc, h))
+    new = np.ones(len(o), bool)
+    new[1:] = (h[o][1:] != h[o][:-1]) | (doc[o][1:] != doc[o][:-1])
+    one = o[new]
+    stands = np.empty(len(o), np.int64)
+    stands[o] = np.cumsum(new) - 1
+    again = o[~new]
+    for at in range(0, len(again), _CHUNK):
+        part = again[at : at + _CHUNK]
+        odd = np.zeros(len(part), bool)
+        for x, y in zip(_words(buf, starts[part], need), _words(buf, starts[one[stands[part]]], need), strict=True):
+            odd |= x != y
+        stands[part[odd]] = np.arange(len(one), len(one) + odd.sum())
+        one = np.append(one, part[odd])
+    return _factors(buf, starts[one], doc[one], h[one], need)[stands]
+
+
+_CHUNK = 1 << 18
+
+
+def _factors(buf: bytes, starts: np.ndarray, doc: np.ndarray, h: np.ndarray, need: int) -> np.ndarray:
+    out = np.zeros(len(starts), np.int64)
     # Starts whose hash no start of another document shares have no factor of that length.
     o = np.argsort(h)
     new = np.ones(len(o), bool)
@@ -196,7 +250,7 @@ def previous_factors(buf: bytes, starts: np.ndarray, doc: np.ndarray, need: int)
     some = np.sort(o[np.repeat(mixed, np.diff(np.append(heads, len(o))))])
     if not len(some):
         return out
-    words, doc = [w[some] for w in words], doc[some]
+    words, doc = _words(buf, starts[some], need), doc[some]
     order = np.lexsort((doc, *reversed(words)))
     words, doc = [w[order] for w in words], doc[order]
     lcp = common_prefix(words, need)
@@ -221,13 +275,29 @@ def _spans(removed: np.ndarray, row: np.ndarray, at: np.ndarray, need: int) -> t
     return row[k][first], at[k][first], at[k][last] + need
 
 
-#: What a packed run of windows has besides its bytes.
-_HEAD = np.dtype([("id", "<i8"), ("fp", "<u4"), ("at", "<i4"), ("size", "<u4"), ("hot", "u1")])
+#: What a packed run of windows has besides its bytes. reach: the windows that it stands for;
+#: deal: over how many groups its firsts are dealt if its minimizer is hot, else 0.
+_HEAD = np.dtype([("id", "<i8"), ("fp", "<u4"), ("at", "<i4"), ("size", "<u4"), ("reach", "<u4"), ("deal", "<u4"), ("key", "<u8")])
 _SPAN = np.dtype([("id", "<i8"), ("fp", "<u4"), ("start", "<i4"), ("stop", "<i4")])
-_FOUND = "dgrp bigint, spans binary, id bigint, fp bigint, start bigint, win binary"
+#: spans: packed _SPAN rows of one dgrp; firsts: packed _SPAN rows and their windows, of one wgrp.
+_FOUND = "dgrp bigint, spans binary, wgrp bigint, firsts binary"
 _FLUSH = 200_000
 
 
+def _pieces(x: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, rules: SubstringRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs with the number of windows that each stands for; long ones cut into their periods."""
+    reach = last - first + 1
+    long = reach > 8 * rules.min_len
+    if not long.any():
+        return first, last, h, reach
+    rows = [r for r in zip(first[~long].tolist(), last[~long].tolist(), h[~long].tolist(), reach[~long].tolist(), strict=True)]
+    for k in np.flatnonzero(long).tolist():
+        s = int(first[k])
+        rows += [(s + at, s + at + n - 1, int(h[k]), stands) for at, n, stands in periods(x[s : last[k] + rules.min_len], rules.min_len, rules.min_len - rules.gram + 1)]
+    a, b, c, d = zip(*rows, strict=True)
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(c, np.uint64), np.array(d, np.int64)
+
+
 def _packed_runs(batches: Iterator[pa.RecordBatch], twice: TwiceFilter, keys: np.ndarray, blocks: np.ndarray, groups: int, rules: SubstringRules) -> Iterator[pa.RecordBatch]:
     """grp, payload: the suspected runs of the texts in batches (id, fp, text), many to a row."""
     heads: list[np.ndarray] = []
@@ -255,20 +325,21 @@ def _packed_runs(batches: Iterator[pa.RecordBatch], twice: TwiceFilter, keys: np
             first, last, h = first[keep], last[keep], h[keep]
             if not len(h):
                 continue
+            first, last, h, reach = _pieces(x, first, last, h, rules)
             begin = np.array([p[2] for p in pieces])
             piece = np.searchsorted(begin, first, "right") - 1
             row = np.array([p[0] for p in pieces])[piece]
             head = np.zeros(len(h), _HEAD)
             head["id"], head["fp"] = ids[row], fps[row]
             head["at"] = first - begin[piece] + np.array([p[1] for p in pieces])[piece]
-            head["size"] = last - first + rules.min_len
+            head["size"], head["reach"], head["key"] = last - first + rules.min_len, reach, h
             block = np.zeros(len(h), np.uint64)
             if len(keys):
                 own = short(h, twice.parts_log2)
                 k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hot = keys[k] == own
                 block[hot] = np.uint64(1) + mix64(head["id"][hot].astype(np.uint64)) % blocks[k[hot]]
-            head["hot"] = block > 0
+                head["deal"][hot] = blocks[k[hot]]
             with np.errstate(over="ignore"):
                 grps.append((mix64(h + block * np.uint64(_M)) % np.uint64(groups)).astype(np.int64))
             heads.append(head)
@@ -322,6 +393,14 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
     bound_batches(spark)
     runs = docs.select("id", "fp", "text").mapInArrow(emit, "grp bigint, payload binary")
 
+    def dealt(span: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Spans packed by group of documents."""
+        dgrp = span["id"] % dgroups
+        order = np.argsort(dgrp, kind="stable")
+        span, dgrp = span[order], dgrp[order]
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(dgrp) != 0)), len(dgrp)).tolist() if len(dgrp) else []
+        return [int(dgrp[x]) for x in cuts[:-1]], [span[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+
     def settle(t: pa.Table) -> pa.Table:
         head, buf = _unpacked(t.column("payload").to_pylist())
         size = head["size"].astype(np.int64)
@@ -330,36 +409,55 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
         row = np.repeat(np.arange(len(n)), n)
         off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts, at = begin[row] + off, head["at"].astype(np.int64)[row] + off
+        # the last window that each stands for: a whole number of periods on
+        stop = at + (head["reach"].astype(np.int64)[row] - 1 - off) // n[row] * n[row] + need
         gone = previous_factors(buf, starts, head["id"][row], need) >= need
-        r, s, e = _spans(gone, row, at, need)
+        alone = stop > at + need
+        r, s, e = _spans(gone & ~alone, row, at, need)
+        more = np.flatnonzero(gone & alone)
+        r, s, e = np.append(r, row[more]), np.append(s, at[more]), np.append(e, stop[more])
         span = np.zeros(len(r), _SPAN)
         span["id"], span["fp"], span["start"], span["stop"] = head["id"][r], head["fp"][r], s, e
-        dgrp = span["id"] % dgroups
-        order = np.argsort(dgrp, kind="stable")
-        span, dgrp = span[order], dgrp[order]
-        cuts = np.append(np.flatnonzero(np.diff(dgrp, prepend=-1)), len(dgrp)).tolist() if len(dgrp) else [0]
-        packs = [span[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
-        left = np.flatnonzero(~gone & (head["hot"] > 0)[row])
-        ids, none = head["id"][row[left]], [None] * len(packs)
-        return pa.table(
-            [
-                pa.array(np.concatenate((dgrp[cuts[:-1]], ids % dgroups)).astype(np.int64)),
-                pa.array(packs + [None] * len(left), pa.binary()),
-                pa.array(none + ids.tolist(), pa.int64()),
-                pa.array(none + head["fp"][row[left]].tolist(), pa.int64()),
-                pa.array(none + at[left].tolist(), pa.int64()),
-                pa.array(none + [buf[x : x + need] for x in starts[left].tolist()], pa.binary()),
-            ],
-            names=["dgrp", "spans", "id", "fp", "start", "win"],
-        )
+        dgrp, packs = dealt(span)
+        left = np.flatnonzero(~gone & (head["deal"] > 0)[row])
+        first = np.zeros(len(left), _SPAN)
+        first["id"], first["fp"], first["start"], first["stop"] = head["id"][row[left]], head["fp"][row[left]], at[left], stop[left]
+        wins = np.frombuffer(b"".join([buf[x : x + need] for x in starts[left].tolist()]), f"V{need}")
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(left), np.uint64)
+            for w in _words(buf, starts[left], need):
+                h = mix64(h * np.uint64(_M) + w)
+            wgrp = mix64(head["key"][row[left]] + (h % np.maximum(head["deal"][row[left]], 1)) * np.uint64(_M)).view(np.int64)
+        order = np.argsort(wgrp, kind="stable")
+        first, wins, wgrp = first[order], wins[order], wgrp[order]
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(wgrp) != 0)), len(wgrp)).tolist() if len(wgrp) else []
+        firsts = [zstandard.ZstdCompressor(level=1).compress((y - x).to_bytes(8, "little") + first[x:y].tobytes() + wins[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
+        names, none = [int(wgrp[x]) for x in cuts[:-1]], [None] * len(firsts)
+        return pa.table([pa.array(dgrp + none, pa.int64()), pa.array(packs + none, pa.binary()), pa.array([None] * len(packs) + names, pa.int64()), pa.array([None] * len(packs) + firsts, pa.binary())], names=["dgrp", "spans", "wgrp", "firsts"])
+
+    def across(t: pa.Table) -> pa.Table:
+        """Between blocks: what is not of the smallest document that has the window goes."""
+        parts = []
+        for raw in map(zstandard.ZstdDecompressor().decompress, t.column("firsts").to_pylist()):
+            n = int.from_bytes(raw[:8], "little")
+            parts.append((np.frombuffer(raw, _SPAN, n, 8), np.frombuffer(raw, f"V{need}", n, 8 + n * _SPAN.itemsize)))
+        span, wins = (np.concatenate(x) for x in zip(*parts, strict=True))
+        words = _words(wins.tobytes() + bytes(8), np.arange(len(wins)) * need, need)
+        order = np.lexsort((span["id"], *reversed(words)))
+        span = span[order]
+        new = np.zeros(len(span), bool)
+        new[:1] = True
+        for w in words:
+            new[1:] |= w[order][1:] != w[order][:-1]
+        least = span["id"][new][np.cumsum(new) - 1]
+        dgrp, packs = dealt(span[span["id"] > least])
+        return pa.table({"dgrp": pa.array(dgrp, pa.int64()), "spans": pa.array(packs, pa.binary())})
 
     found = work_table(runs.groupBy("grp").applyInArrow(settle, _FOUND), "substring-found")
-    wins = found.where("win IS NOT NULL")
-    firsts = wins.groupBy(F.col("win").alias("f_win")).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    late = wins.join(firsts, (F.col("win") == F.col("f_win")) & (F.col("id") > F.col("first")))
+    late = found.where("firsts IS NOT NULL").select("wgrp", "firsts").groupBy("wgrp").applyInArrow(across, "dgrp bigint, spans binary")
     named = ["dgrp", "spans", "id", "fp", "start", "stop"]
-    all_ = found.where("win IS NULL").withColumn("stop", F.lit(None).cast("bigint")).select(named)
-    all_ = all_.unionByName(late.withColumn("stop", F.col("start") + need).select(named))
+    blank = {"id": F.lit(None).cast("bigint"), "fp": F.lit(None).cast("bigint"), "start": F.lit(None).cast("bigint"), "stop": F.lit(None).cast("bigint")}
+    all_ = found.where("spans IS NOT NULL").select("dgrp", "spans").unionByName(late).withColumns(blank).select(named)
     all_ = all_.unionByName(known.withColumns({"dgrp": F.pmod("id", F.lit(dgroups)), "spans": F.lit(None).cast("binary")}).select(named))
 
     def merge(t: pa.Table) -> pa.Table:
