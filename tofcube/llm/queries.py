@@ -227,10 +227,9 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     spoilt = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\u0000"))).otherwise(F.col("html"))
     records = lambda p, html: p.select("page_id", warc.record_bytes(F.col("page_id"), F.col("url"), html).alias("bytes"))
-    n = warc.archive_count(pages)
-    first = warc.work_table(warc.archive_index(records(pages, F.col("html")), "page_id", "bytes", archives=n), "warc-index")
+    first = warc.work_table(warc.archive_index(records(pages, F.col("html")), "page_id", "bytes"), "warc-index")
     kept = pages.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False)))
-    second = warc.work_table(warc.archive_index(records(kept, spoilt), "page_id", "bytes", archives=n), "warc-index")
+    second = warc.work_table(warc.archive_index(records(kept, spoilt), "page_id", "bytes"), "warc-index")
     found = warc.audit(first, second).where("status <> 'extra'").select(F.col("archive").alias("f_archive"), F.col("ordinal").alias("f_ordinal"), "status")
     out = first.join(found, (F.col("archive") == F.col("f_archive")) & (F.col("ordinal") == F.col("f_ordinal")), "left")
     return out.select("page_id", "archive", "ordinal", "start", "stop", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))

@@ -2,15 +2,15 @@
 
 An archive index has one row per record: its archive, ordinal, offset range, SHA-256 and record
 key. Replicas are aligned by record key, whatever archive or position a record has in either: a
-hash of the key deals records to the leaves of one tree of `fanout` children a node, so a lost
-record alters its own branch alone and not those of the records behind it. A leaf's hash is that
-of its records' keys, lengths and SHA-256; a node's hash is that of its children's. The trees are
+hash of key and content deals records to the leaves of one tree of `fanout` children a node, so
+a lost record alters its own branch alone and not those of the records behind it, and a key of
+very many records is spread. A leaf's hash is that of its records' keys, lengths, SHA-256 and
+numbers; a node's hash is that of its children's. The levels are written once. The trees are
 compared at the root, and only the branches whose hashes differ are descended, to the records
 that are damaged. Absolute offsets are not hashed, as those behind a lost record shift.
 
-Archives hold `archive_rows` records or so, dealt by key (records without one by their bytes);
-records of one key share an archive and a leaf. Records' bytes are hashed where they are read and
-not shuffled.
+Archives are ranges of `archive_rows` records in the order of key and SHA-256, whatever the
+layout of the input. Records' bytes are hashed where they are read and not shuffled.
 
 Defined cases: a null url or page is written as an empty one; repeated rows are records of
 their own, and of one key those of equal bytes are matched first; a record that one replica lacks is 'missing' or 'extra'; empty tables give empty
@@ -38,30 +38,35 @@ def record_bytes(key: Column, url: Column, html: Column) -> Column:
     return F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def archive_count(records: DataFrame, archive_rows: int = 512) -> int:
-    return max(1, -(-records.count() // archive_rows))
-
-
-def archive_index(records: DataFrame, key_col: str, bytes_col: str, archive_rows: int = 512, extra: tuple[str, ...] = (), archives: int | None = None) -> DataFrame:
-    """The index of records (key, bytes): key, INDEX columns, record_key, and `extra` columns as they are. Records of an archive are ordered by key.
-
-    archives: their number; by default it follows from the number of records."""
-    n = archives or archive_count(records, archive_rows)
+def archive_index(records: DataFrame, key_col: str, bytes_col: str, archive_rows: int = 512, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The index of records (key, bytes): key, INDEX columns, record_key, and `extra` columns as they are. Records of an archive are ordered by key."""
     c = F.col(bytes_col)
     rows = records.select(F.col(key_col).alias("key"), F.octet_length(c).cast("bigint").alias("length"), F.sha2(c.cast("binary"), 256).alias("sha256"), F.monotonically_increasing_id().alias("row"), *extra)
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.col("sha256"))), F.lit(n)).cast("int"))
-    w = W.partitionBy("archive").orderBy("key", "row")
-    stop = F.sum("length").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.select(F.col("key").alias(key_col), "archive", (F.row_number().over(w) - 1).cast("int").alias("ordinal"), (stop - F.col("length")).alias("start"), stop.alias("stop"), "sha256", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("record_key"), *extra)
+    # equal records are told apart by the input position, so that many of them are split over partitions too
+    order = ["key", "sha256", "row"]
+    rows = work_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "warc-sorted")
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy(part.alias("c_part")).agg(F.count("*").alias("n"))  # one row for each partition
+    before = F.coalesce(F.sum("n").over(W.orderBy("c_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("at") - F.shiftleft(part, 33) + F.col("before")
+    rows = rows.join(F.broadcast(counts.select("c_part", before.alias("before"))), part == F.col("c_part"))
+    rows = rows.withColumn("archive", F.floor(place / archive_rows).cast("int")).withColumn("ordinal", F.pmod(place, F.lit(archive_rows)).cast("int"))
+    stop = F.sum("length").over(W.partitionBy("archive").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select(F.col("key").alias(key_col), "archive", "ordinal", (stop - F.col("length")).alias("start"), stop.alias("stop"), "sha256", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("record_key"), *extra)
 
 
 _SAME = ["record_key", "length", "sha256"]
 
 
+def leaf_of(slots: int) -> Column:
+    return F.pmod(F.xxhash64("record_key", "sha256"), F.lit(slots))
+
+
 def merkle_leaves(index: DataFrame, slots: int) -> DataFrame:
-    """node, hash: the records of each of so many ranges of key hashes."""
-    rows = index.select(F.pmod(F.xxhash64("record_key"), F.lit(slots)).alias("node"), F.struct("record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256").alias("r"))
-    text = F.array_join(F.transform("rs", lambda r: F.concat_ws(":", F.octet_length(r["record_key"]).cast("string"), r["record_key"], r["length"].cast("string"), r["sha256"])), ",")
+    """node, hash: the records of each of so many ranges of hashes of key and content; equal ones as one, with their number."""
+    rows = index.select(leaf_of(slots).alias("node"), "record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256")
+    rows = rows.groupBy("node", *_SAME).agg(F.count("*").alias("n")).select("node", F.struct(*_SAME, "n").alias("r"))
+    text = F.array_join(F.transform("rs", lambda r: F.concat_ws(":", F.octet_length(r["record_key"]).cast("string"), r["record_key"], r["length"].cast("string"), r["sha256"], r["n"].cast("string"))), ",")
     return rows.groupBy("node").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("node", F.sha2(text.cast("binary"), 256).alias("hash"))
 
 
@@ -76,7 +81,7 @@ def merkle_levels(index: DataFrame, fanout: int, height: int) -> list[DataFrame]
     """Leaves first, the root last."""
     levels = [work_table(merkle_leaves(index, fanout**height), "merkle-leaves")]
     for _ in range(height):
-        levels.append(merkle_level(levels[-1], fanout))
+        levels.append(work_table(merkle_level(levels[-1], fanout), "merkle-level"))
     return levels
 
 
@@ -105,7 +110,7 @@ def audit(first: DataFrame, second: DataFrame, fanout: int = 8) -> DataFrame:
 
     def held(index: DataFrame) -> DataFrame:
         rows = index.select("archive", "ordinal", "start", "stop", "record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256")
-        rows = rows.join(suspect, F.pmod(F.xxhash64("record_key"), F.lit(fanout**height)) == F.col("s_node"), "left_semi")
+        rows = rows.join(suspect, leaf_of(fanout**height) == F.col("s_node"), "left_semi")
         return work_table(rows.withColumn("copy", F.row_number().over(W.partitionBy(*_SAME).orderBy("archive", "ordinal"))), "merkle-records")
 
     def left(these: DataFrame, those: DataFrame) -> DataFrame:
@@ -152,7 +157,7 @@ def record_key(record: bytes) -> str:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """archive (int), ordinal, start, stop, sha256, record_key and record (binary) of the files that write_warc wrote."""
+    """archive (int), ordinal, start, stop, sha256, record_key and record (binary) of the files that write_warc wrote, each below 2 GB."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"archive=(\d+)", 1).cast("int").alias("archive"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
