@@ -1,8 +1,10 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Documents are dealt at random, with their input position, into groups of about `group_rows`
-rows, so a hot source or a large cluster of copies is spread evenly; each group is packed by
-one task from sizes and keys alone (no texts). Within a group, pieces come in falling size.
+Documents are dealt by a hash of their id, size, source and cluster, and rows alike in all of
+them by their number too, into groups of about `group_rows` rows; so a hot source or a large
+cluster of copies is spread evenly, and the layout doesn't depend on how the input is split.
+Each group is packed by one task from sizes and keys alone (no texts). Within a group, pieces
+come in falling size, ties by id, source and cluster.
 Open bins are ordered by residual and carry a bitmap of the sources and one of the duplicate
 clusters they hold; the search starts at the least residual that fits and goes on to its
 successors until a bin without a conflict is found, which is the tightest compatible one, or a
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import map_batches
+from tofcube.llm.common import map_batches, work_table
 
 PIECES = "id {id}, piece int, start bigint, size bigint, bin string, bin_offset bigint"
 
@@ -79,12 +81,15 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
 
     group_rows sets how the work is dealt; a group's rows are sizes and keys of a few dozen bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    groups = max(1, -(-docs.count() // group_rows))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    keys = ["id", "size", "source", "cluster"]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
+    rows = work_table(rows.groupBy(keys).agg(F.count("*").alias("n")), "packing-rows")
+    groups = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // group_rows))
+    rows = rows.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(*keys, "copy"), F.lit(groups)).cast("int"))
 
     def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by("row")
+        t = t.sort_by([("id", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
         ids, sizes = t.column("id").to_pylist(), t.column("size").to_pylist()
         name = f"g{t.column('grp')[0].as_py()}"
         cols: list[list] = [[], [], [], [], [], []]
