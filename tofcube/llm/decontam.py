@@ -4,22 +4,22 @@ The automaton of all normalised items is built once, from a benchmark whose size
 broadcast; the training texts stream through it word by word, each position knowing the length
 of the longest item substring that ends there. A benchmark of more words than one automaton may
 hold is dealt into blocks, each with an automaton and a pass of its own, and what they hit is
-joined by document. No text is shuffled with one block.
+joined by document. No text is shuffled with one block. An automaton of n words has 2 n states
+at most, held in flat arrays, with a dict for the states that branch alone.
 
 Words are runs of ASCII letters and digits and of all characters above U+007F, A-Z lower-cased.
 A window is `window` consecutive words of an item; a shorter item with words is one window.
 
 Defined cases: a null or empty text has no words and no hits; a null or wordless item matches
-nothing; items with equal texts are all reported; repeated rows are judged alike; with an empty
+nothing; an item without an id hits words but is not named; items with equal texts are all reported; repeated rows are judged alike; with an empty
 benchmark nothing is hit; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 from itertools import chain
 
@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import binaries, map_batches, shared_dir, work_table
+from tofcube.llm.common import binaries, map_batches, work_path, work_table
 
 #: Bytes to themselves if they belong to words, A-Z to a-z, all else to a space.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -39,33 +39,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-@dataclass
 class Automaton:
-    """Generalised suffix automaton over item word numbers."""
-
-    window: int
-    number: dict[bytes, int] = field(default_factory=dict)
-    next: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    #: The state that stands for the last `window` words, by state that is as long at least.
-    tail: list[int] = field(default_factory=list)
-    #: Item numbers by such a state.
-    items: dict[int, list[int]] = field(default_factory=dict)
-    #: By state: (words, item numbers) of whole short items that are suffixes of it.
-    short: dict[int, list[tuple[int, list[int]]]] = field(default_factory=dict)
+    """Generalised suffix automaton over item word numbers.
+
+    Of a state's transitions the first is held in the arrays `word` and `to` (the start has none
+    there) and all others in the dict `more`."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.number: dict[bytes, int] = {}
+        self.word, self.to, self.link, self.length = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {0: {}}
+        #: The state that stands for the last `window` words, by state that is as long at least.
+        self.tail = array("i")
+        #: Item numbers by such a state.
+        self.items: dict[int, list[int]] = {}
+        #: By state: (words, item numbers) of whole short items that are suffixes of it.
+        self.short: dict[int, list[tuple[int, list[int]]]] = {}
 
     @classmethod
     def build(cls, texts: list[bytes], window: int) -> Automaton:
         a = cls(window)
-        all_words = [words_of(t) for t in texts]
-        seqs = [[a.number.setdefault(w, len(a.number)) for w in ws] for ws in all_words]
+        seqs = [array("i", [a.number.setdefault(w, len(a.number)) for w in words_of(t)]) for t in texts]
         for s in seqs:
             last = 0
             for c in s:
                 last = a._extend(last, c)
         order = sorted(range(1, len(a.length)), key=a.length.__getitem__)
-        a.tail = [0] * len(a.length)
+        a.tail = array("i", bytes(4 * len(a.length)))
         for v in order:
             up = a.link[v]
             a.tail[v] = a.tail[up] if a.length[up] >= window else v
@@ -76,7 +77,7 @@ class Automaton:
             if len(s) < window:
                 v = 0
                 for c in s:
-                    v = a.next[v][c]
+                    v = a.next(v, c)
                 whole.setdefault(v, {}).setdefault(len(s), []).append(k)
                 continue
             v = n = 0
@@ -93,49 +94,64 @@ class Automaton:
                     a.short[v] = found
         return a
 
+    def next(self, v: int, c: int) -> int | None:
+        if self.word[v] == c:
+            return self.to[v]
+        rest = self.more.get(v)
+        return rest.get(c) if rest else None
+
+    def _set(self, v: int, c: int, to: int) -> None:
+        if v and self.word[v] in (-1, c):
+            self.word[v], self.to[v] = c, to
+        else:
+            self.more.setdefault(v, {})[c] = to
+
     def _new(self, length: int) -> int:
+        self.word.append(-1)
+        self.to.append(0)
         self.length.append(length)
         self.link.append(-1)
-        self.next.append({})
         return len(self.length) - 1
 
     def _clone(self, p: int, q: int, c: int) -> int:
         twin = self._new(self.length[p] + 1)
-        self.next[twin] = dict(self.next[q])
+        self.word[twin], self.to[twin] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[twin] = dict(self.more[q])
         self.link[twin] = self.link[q]
         self.link[q] = twin
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = twin
+        while p != -1 and self.next(p, c) == q:
+            self._set(p, c, twin)
             p = self.link[p]
         return twin
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
+        q = self.next(last, c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, c)
         cur, p = self._new(self.length[last] + 1), last
-        while p != -1 and c not in self.next[p]:
-            self.next[p][c] = cur
+        while p != -1 and (q := self.next(p, c)) is None:
+            self._set(p, c, cur)
             p = self.link[p]
         if p == -1:
             self.link[cur] = 0
         else:
-            q = self.next[p][c]
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, c)
         return cur
 
     def step(self, v: int, n: int, c: int) -> tuple[int, int]:
         """State and longest matching length after one more word."""
-        to = self.next[v].get(c)
+        to = self.next(v, c)
         while to is None and v:
             v = self.link[v]
             n = self.length[v]
-            to = self.next[v].get(c)
+            to = self.next(v, c)
         return (0, 0) if to is None else (to, n + 1)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
         """Maximal hit spans [start, end) in words, item numbers hit, and the longest match."""
-        window, nxt, link, length, short = self.window, self.next, self.link, self.length, self.short
+        window, word, dest, more, link, length, short = self.window, self.word, self.to, self.more, self.link, self.length, self.short
+        none: dict[int, int] = {}
         spans: list[tuple[int, int]] = []
         states: set[int] = set()
         found: set[int] = set()
@@ -145,13 +161,16 @@ class Automaton:
             if c is None:
                 v = n = 0
                 continue
-            to = nxt[v].get(c)
-            while to is None and v:
-                v = link[v]
-                n = length[v]
-                to = nxt[v].get(c)
-            if to is None:
-                continue
+            if word[v] == c:
+                to = dest[v]
+            else:
+                to = more.get(v, none).get(c)
+                while to is None and v:
+                    v = link[v]
+                    n = length[v]
+                    to = dest[v] if word[v] == c else more.get(v, none).get(c)
+                if to is None:
+                    continue
             v = to
             n += 1
             start = i
@@ -175,17 +194,28 @@ class Automaton:
         return spans, found, longest
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -> Iterator[tuple[list[str], list[bytes]]]:
-    """The items in blocks of at most most_bytes of text (an item larger than that is a block alone), one at a time."""
-    names, texts, size = [], [], 0
+#: Words of one automaton.
+MOST_WORDS = 1 << 20
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int, window: int, most_words: int = MOST_WORDS) -> Iterator[tuple[list[str | None], list[bytes]]]:
+    """The items in blocks of at most most_bytes of text and most_words words, one block at a time.
+
+    An item of more words is cut into pieces that overlap by all but one word of a window, so
+    that its windows are those of the pieces; one of more bytes is a block alone."""
+    names, texts, size, count = [], [], 0, 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").toLocalIterator():
-        t = row["t"].encode()
-        if names and size + len(t) > most_bytes:
-            yield names, texts
-            names, texts, size = [], [], 0
-        names.append(row["i"])
-        texts.append(t)
-        size += len(t)
+        words = words_of(row["t"].encode())
+        for at in range(0, max(1, len(words) - window + 1), max(1, most_words - window + 1)):
+            piece = words[at : at + most_words]
+            t = b" ".join(piece)
+            if names and (size + len(t) > most_bytes or count + len(piece) > most_words):
+                yield names, texts
+                names, texts, size, count = [], [], 0, 0
+            names.append(row["i"])
+            texts.append(t)
+            size += len(t)
+            count += len(piece)
     if names:
         yield names, texts
 
@@ -194,7 +224,7 @@ _HITS = "n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items ar
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _hits(src: DataFrame, names: list[str], texts: list[bytes], window: int) -> tuple[DataFrame, Broadcast]:
+def _hits(src: DataFrame, names: list[str | None], texts: list[bytes], window: int) -> tuple[DataFrame, Broadcast]:
     """id and _HITS of the texts (id, text) with one block of items, and what is broadcast for it."""
     shared = src.sparkSession.sparkContext.broadcast((names, Automaton.build(texts, window)))
 
@@ -206,16 +236,16 @@ def _hits(src: DataFrame, names: list[str], texts: list[bytes], window: int) ->
             s, found, most = a.scan(ws)
             ns.append(len(ws))
             spans.append([{"start": x, "stop": y} for x, y in s])
-            items.append(sorted({names[k] for k in found}))
+            items.append(sorted({names[k] for k in found} - {None}))
             longest.append(most)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["id", "n_words", "spans", "items", "longest"])
 
     return map_batches(src, f, f"id {src.schema['id'].dataType.simpleString()}, {_HITS}"), shared
 
 
-def _all_hits(src: DataFrame, blocks: Iterable[tuple[list[str], list[bytes]]], window: int, hit_only: bool = False) -> DataFrame:
+def _all_hits(src: DataFrame, blocks: Iterable[tuple[list[str | None], list[bytes]]], window: int, hit_only: bool = False) -> DataFrame:
     """The rows of _hits for all blocks, written block by block: one automaton at a time is held."""
-    path = f"{shared_dir(src.sparkSession)}/decontam-hits-{uuid.uuid4().hex}"
+    path = work_path(src.sparkSession, "decontam-hits")
     for names, texts in blocks:
         out, shared = _hits(src, names, texts, window)
         (out.where(F.size("spans") > 0) if hit_only else out).write.mode("append").parquet(path)
@@ -229,7 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     block_bytes bounds what is broadcast at once."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes, window)
     first, second = next(blocks, ([], [])), next(blocks, None)
     if second is None:
         out = _hits(src, *first, window)[0]
@@ -272,7 +302,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, ma
     row = F.struct(*[F.col(f"`{c}`") for c in rest.columns])
     kind = rest.schema.simpleString()
     out = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes, window)
     first, second = next(blocks, ([], [])), next(blocks, None)
     if second is None:
         shared = docs.sparkSession.sparkContext.broadcast(Automaton.build(first[1], window))
@@ -292,11 +322,11 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, ma
 
         out = map_batches(out, f, f"row {kind}, text string")
     else:
-        out = _remove_by_blocks(out, lambda: item_blocks(benchmark, item_col, item_text_col, block_bytes), window, max_coverage)
+        out = _remove_by_blocks(out, lambda: item_blocks(benchmark, item_col, item_text_col, block_bytes, window), window, max_coverage)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def _remove_by_blocks(src: DataFrame, blocks: Callable[[], Iterable[tuple[list[str], list[bytes]]]], window: int, max_coverage: float) -> DataFrame:
+def _remove_by_blocks(src: DataFrame, blocks: Callable[[], Iterable[tuple[list[str | None], list[bytes]]]], window: int, max_coverage: float) -> DataFrame:
     """remove_benchmark of (row, text) with more items than one automaton holds.
 
     Each round takes the spans of all blocks from the same texts and joins them by text, so
