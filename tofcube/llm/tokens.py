@@ -47,7 +47,8 @@ class PrefixCounter(dict):
             model = json.load(f)
         if model["model"]["type"] != "BPE" or model["model"]["end_of_word_suffix"] != END:
             raise ValueError("a BPE vocabulary with word-end symbols is expected")
-        self.special = [t["content"] for t in model["added_tokens"]]
+        special = sorted((t["content"] for t in model["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.vocab = model["model"]["vocab"]
         self.rank = {tuple(m): i for i, m in enumerate(model["model"]["merges"])}
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
@@ -128,16 +129,13 @@ class PrefixCounter(dict):
 
     # -- chunks and texts ------------------------------------------------------------
 
-    def chunk_count(self, chunk: str) -> int:
-        for s in self.special:  # a special string in a text is one token
-            if s in chunk:
-                left, _, right = chunk.partition(s)
-                if not any(x in left for x in self.special):
-                    return self.chunk_count(left) + 1 + self.chunk_count(right)
-        if not chunk:
-            return 0
+    def _pieces(self, chunk: str) -> list[str]:
         tok = self.tokenizer
-        return sum(self.piece_count(p) for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(chunk)))
+        return [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(chunk))]
+
+    def chunk_count(self, chunk: str) -> int:
+        parts = self.special.split(chunk) if self.special else [chunk]  # a special string in a text is one token
+        return len(parts) - 1 + sum(self.piece_count(p) for part in parts if part for p in self._pieces(part))
 
     def __missing__(self, chunk: bytes) -> int:
         if _ASCII.fullmatch(chunk) and b"<|" not in chunk:
@@ -175,10 +173,31 @@ class PrefixCounter(dict):
         start = ends[k - 1] if k else 0
         chunk = text.split()[k].decode()
         lead = text.index(chunk.encode(), start)
+        i, n = self._longest(chunk, budget - base)
+        return text[: lead + len(chunk[:i].encode())], base + n
+
+    def _longest(self, chunk: str, budget: int) -> tuple[int, int]:
+        """Length of the longest proper prefix of a chunk with at most `budget` tokens, and its count.
+
+        Only the piece in which the budget ends is looked into, by the counts at its prefixes; a
+        chunk whose pieces don't line up with its characters (normalisation changes their number)
+        and special strings are tried prefix by prefix."""
+        pieces = self._pieces(chunk)
+        if "".join(pieces) == chunk.lower() and len(chunk.lower()) == len(chunk) and not (self.special and self.special.search(chunk)):
+            at = n = 0
+            for p in pieces:
+                if n + (c := self.piece_count(p)) > budget or at + len(p) == len(chunk):
+                    break
+                at, n = at + len(p), n + c
+            inner = self.piece_prefix_counts(p)
+            for i in range(len(p) - 1, 0, -1):
+                if n + inner[i - 1] <= budget and n + self.chunk_count(chunk[at : at + i]) <= budget:
+                    return at + i, n + self.chunk_count(chunk[at : at + i])
+            return at, n
         for i in range(len(chunk) - 1, 0, -1):
-            if base + (n := self.chunk_count(chunk[:i])) <= budget:
-                return text[: lead + len(chunk[:i].encode())], base + n
-        return text[:lead], base
+            if (n := self.chunk_count(chunk[:i])) <= budget:
+                return i, n
+        return 0, 0
 
 
 @lru_cache(2)
