@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,20 +18,32 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A folder of our own is made only where the session names none (tests)."""
+    """The folder that all executors share. A folder of our own is made only where the session names none and everything runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tofcube.work.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("tofcube.work.dir", at)
     return at.rstrip("/")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tofcube-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_work_tables(spark: SparkSession) -> None:
+    """Delete this application's work tables; results that were not written elsewhere can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tofcube-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -43,14 +56,14 @@ def binaries(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-#: Spark's own number of rows in an Arrow batch, and ours: rows here are whole texts.
-SPARK_ROWS, TEXT_ROWS = "10000", "1000"
+#: Rows of an Arrow batch: rows here are whole texts.
+TEXT_ROWS = "1000"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, unless it names a number of its own: a batch of texts exists several times in memory."""
+    """Smaller Arrow batches for this session, unless it has set a number of its own: a batch of texts exists several times in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == SPARK_ROWS:
+    if name not in spark.conf.getAll:
         spark.conf.set(name, TEXT_ROWS)
 
 
