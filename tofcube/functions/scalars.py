@@ -72,6 +72,28 @@ def poisson_nll(y: Column, mu: Column, eps: float = K.POISSON_FLOOR) -> Column:
     return F.when(mu > eps, mu - F.when(y > 0, y * F.ln(mu)).otherwise(0.0)).otherwise(low)
 
 
+def poisson_weight(y: Column, mu: Column, eps: float = K.POISSON_FLOOR) -> Column:
+    """Derivative of poisson_nll by mu: 1 - y / mu, and that of the continuation below eps."""
+    curve = F.greatest(y / (eps * eps), F.lit(1.0 / eps))
+    return F.when(mu > eps, 1.0 - y / F.when(mu > eps, mu).otherwise(1.0)).otherwise(1.0 - y / eps + curve * (mu - eps))
+
+
+def poisson_curvature(y: Column, mu: Column, eps: float = K.POISSON_FLOOR) -> Column:
+    """Second derivative of poisson_nll by mu."""
+    safe = F.when(mu > eps, mu).otherwise(1.0)
+    return F.when(mu > eps, y / (safe * safe)).otherwise(F.greatest(y / (eps * eps), F.lit(1.0 / eps)))
+
+
+def counts_model(flux: Column, t: Column, background: Column, alpha_flux: float = 1.0, alpha_background: float = 1.0) -> Column:
+    """Expected counts: alpha_flux flux T + alpha_background B."""
+    return alpha_flux * flux * t + alpha_background * background
+
+
+def likelihood_background(t: Column, energy: Column, b0: float, b1: float) -> Column:
+    """T + b0 + b1 / sqrt(E)."""
+    return t + b0 + b1 * inverse_root(energy)
+
+
 def profile_lambda(s: Column, o: Column, t: Column, c: float) -> Column:
     den = 1.0 + c * t
     return F.when(den > 1e-10, c * (o + s) / den).otherwise(0.0)
@@ -116,12 +138,34 @@ def statistical_weight(j: Column, spin: Column) -> Column:
     return (2.0 * F.abs(j) + 1.0) / ((2.0 * spin + 1.0) * 2.0)
 
 
+def lab_to_cm(energy: Column, awr: Column) -> Column:
+    return energy * awr / (1.0 + awr)
+
+
+def scattering_radius(tabulated: Column, constant: Column) -> Column:
+    """The radius at an energy: interpolated from the range's table if it has one, else the constant."""
+    return F.coalesce(tabulated, constant)
+
+
 def channel_radius_fm(awr: Column) -> Column:
     return (0.123 * F.cbrt(awr) + 0.08) * 10.0
 
 
+def _higher(l: Column, rho: Column) -> Column:  # noqa: E741
+    """struct(p, s, phi) by the recurrence from l = 0: with q = (l - s)**2 + p**2 of the step before, p r**2 / q,
+    r**2 (l - s) / q - l, and phi less the angle of (l - s, p)."""
+    first = F.struct(rho.alias("p"), F.lit(0.0).alias("s"), rho.alias("phi"))
+
+    def step(a: Column, k: Column) -> Column:
+        u = k - a["s"]
+        q = rho * rho / (u * u + a["p"] * a["p"])
+        return F.struct((a["p"] * q).alias("p"), (u * q - k).alias("s"), (a["phi"] - F.atan2(a["p"], u)).alias("phi"))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), l.cast("int")), lambda k: k.cast("double")), first, step)
+
+
 def penetrability(l: Column, rho: Column) -> Column:  # noqa: E741
-    """Closed forms for l from 0 to 4."""
+    """Closed forms for l from 0 to 4, the recurrence beyond."""
     r2 = rho * rho
     r4, r6, r8 = r2 * r2, r2 * r2 * r2, r2 * r2 * r2 * r2
     return (
@@ -130,6 +174,7 @@ def penetrability(l: Column, rho: Column) -> Column:  # noqa: E741
         .when(l == 2, rho * r4 / (9.0 + 3.0 * r2 + r4))
         .when(l == 3, rho * r6 / (225.0 + 45.0 * r2 + 6.0 * r4 + r6))
         .when(l == 4, rho * r8 / (11025.0 + 1575.0 * r2 + 135.0 * r4 + 10.0 * r6 + r8))
+        .when(l > 4, _higher(l, rho)["p"])
     )
 
 
@@ -142,9 +187,16 @@ def shift_factor(l: Column, rho: Column) -> Column:  # noqa: E741
         .when(l == 2, -(18.0 + 3.0 * r2) / (9.0 + 3.0 * r2 + r4))
         .when(l == 3, -(675.0 + 90.0 * r2 + 6.0 * r4) / (225.0 + 45.0 * r2 + 6.0 * r4 + r6))
         .when(l == 4, -(44100.0 + 4725.0 * r2 + 270.0 * r4 + 10.0 * r6) / (11025.0 + 1575.0 * r2 + 135.0 * r4 + 10.0 * r6 + r8))
+        .when(l > 4, _higher(l, rho)["s"])
     )
 
 
+def penetrability_slope(l: Column, rho: Column) -> Column:  # noqa: E741
+    """Derivative of the penetrability by rho. P = rho / (F**2 + G**2) and S = rho / 2 times the logarithmic slope of F**2 + G**2, so it is P (1 - 2 S) / rho."""
+    p, s = penetrability(l, rho), shift_factor(l, rho)
+    return F.when(rho > 0, p * (1.0 - 2.0 * s) / rho).otherwise(0.0)
+
+
 def phase_shift(l: Column, rho: Column) -> Column:  # noqa: E741
     r2 = rho * rho
     return (
@@ -153,6 +205,7 @@ def phase_shift(l: Column, rho: Column) -> Column:  # noqa: E741
         .when(l == 2, rho - F.atan(3.0 * rho / (3.0 - r2)))
         .when(l == 3, rho - F.atan(rho * (15.0 - r2) / (15.0 - 6.0 * r2)))
         .when(l == 4, rho - F.atan(rho * (105.0 - 10.0 * r2) / (105.0 - 45.0 * r2 + r2 * r2)))
+        .when(l > 4, _higher(l, rho)["phi"])
     )
 
 

@@ -1,23 +1,25 @@
-"""Doppler and resolution broadening as band joins on the energy grid.
+"""Doppler and resolution broadening, curve by curve.
 
-Each output energy meets the segments of the input within its window: bucketed equi-joins on the
-velocity or energy axis keep the band narrow, and the sums are grouped. The grid is one
-dimension (thousands of points); the many curves broadened on it are the long side.
-
-The error function is a column expression: a Taylor series near 0 and the continued fraction of
-erfc beyond, both cut far below 1e-12.
+A curve is one grid of energies (thousands of points at most); the many curves of isotopes,
+temperatures or pixels are the long side. One group-by deals the curves over the cluster, and a
+task sums a curve's (point, segment) pairs in blocks with numpy, so its memory is bounded by a
+block and not by the width of the kernel. Nothing is joined and no job runs while the plan is built.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
-from tofcube.functions import scalars as S
+
+#: (point, segment) pairs of a block.
+_PAIRS = 1 << 19
 
 
 def _odd_double_factorials(n: int) -> list[float]:
@@ -39,68 +41,201 @@ def erfc(x: Column) -> Column:
     return F.when(x >= 0, tail).otherwise(2.0 - tail)
 
 
-def _segments(curve: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    w = W.partitionBy(*by).orderBy(x)
-    seg = curve.select(*by, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"))
-    return seg.where("x1 IS NOT NULL")
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """erfc of an array, by the series and the continued fraction of the column expression."""
+    a = np.abs(x)
+    out = _scaled(a) * np.exp(-a * a)
+    return np.where(x >= 0, out, 2.0 - out)
+
+
+def _scaled(a: np.ndarray) -> np.ndarray:
+    """exp(a*a) erfc(a) of numbers that aren't negative."""
+    near = a < 2.5
+    out = np.empty_like(a)
+    z = a[near]
+    series = np.zeros_like(z)
+    for c in reversed(_odd_double_factorials(40)):
+        series = series * (2.0 * z * z) + 1.0 / c
+    out[near] = np.exp(z * z) - 2.0 / math.sqrt(math.pi) * z * series
+    z = frac = a[~near]
+    for k in range(40, 0, -1):
+        frac = z + (k / 2.0) / frac
+    out[~near] = 1.0 / (math.sqrt(math.pi) * frac)
+    return out
+
+
+def _blocks(first: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of points, with the point (within the block) and the number of each member of its range [first, stop)."""
+    n = np.maximum(stop - first, 0)
+    at = 0
+    ends = np.cumsum(n)
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+        own = np.repeat(np.arange(to - at), n[at:to])
+        yield np.arange(at, to), own, np.arange(len(own)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to]) + np.repeat(first[at:to], n[at:to])
+        at = to
+
 
+def _by_curve(curves: DataFrame, by: list[str], f: Callable[[pa.Table], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+    """by, e and the columns of f for each curve, its points in the order of e."""
+    kinds = {c: curves.schema[c].dataType.simpleString() for c in by}
 
-def _band(points: DataFrame, segments: DataFrame, reach: Column, most_reach: float, by: list[str]) -> DataFrame:
-    """Points (by, x, ...) with the segments that overlap [x - reach, x + reach], by equi-join on buckets as wide as the greatest reach."""
-    width = float(most_reach)
-    p = points.withColumn("reach", reach).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("x") - F.col("reach")) / width), F.floor((F.col("x") + F.col("reach")) / width))))
-    s = segments.withColumn("s_bucket", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
-    s = s.select(*[F.col(c).alias(f"s_{c}") for c in by], "s_bucket", "x0", "y0", "x1", "y1")
-    # a pair that shares several buckets is taken in the first of them
-    once = F.col("bucket") == F.greatest(F.floor((F.col("x") - F.col("reach")) / width), F.floor(F.col("x0") / width))
-    on = [F.col(c) == F.col(f"s_{c}") for c in by]
-    overlap = (F.col("x1") > F.col("x") - F.col("reach")) & (F.col("x0") < F.col("x") + F.col("reach"))
-    return p.join(s, [*on, F.col("bucket") == F.col("s_bucket"), once, overlap])
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("e")
+        out = t.select([*by, "e"])
+        for name, values in f(t).items():
+            out = out.append_column(name, pa.array(values, pa.float64()))
+        return out.select([*by, "e", *names])
 
+    return curves.groupBy(*by).applyInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "e double", *(f"{c} double" for c in names)]))
 
-def doppler(curves: DataFrame, temperature: float, awr: float, by: list[str]) -> DataFrame:
-    """Free-gas broadening of (by, e, sigma): by, e, sigma.
+
+def free_gas(e: np.ndarray, sigma: np.ndarray, temperature: float, awr: float) -> tuple[np.ndarray, np.ndarray]:
+    """Broadened sigma and its derivative by temperature.
 
     In v = sqrt(E), with u = sqrt(kT / A), Y = v sigma piecewise linear and extended 6u beyond the
-    ends by sigma ~ 1/v; sums of the exact integrals of each segment, floored at 0."""
+    ends by sigma ~ 1/v (Y stays at the edge's value); sums of the exact integrals of each segment,
+    floored at 0. With t = (w - v) / u the kernel's own weight doesn't depend on u, so only
+    Y(v + u t) does, and its derivative is the slope times t."""
     u = math.sqrt(K.BOLTZMANN_EV_K * temperature / awr)
-    v = curves.select(*by, "e", F.sqrt("e").alias("v"), (F.sqrt("e") * F.col("sigma")).alias("yy"))
-    w = W.partitionBy(*by)
-    ends = v.withColumns({"lo": F.min("v").over(w), "hi": F.max("v").over(w)})
-    # sigma ~ 1/v beyond the ends keeps Y at the edge's value
-    pads = ends.where((F.col("v") == F.col("lo")) | (F.col("v") == F.col("hi"))).select(*by, F.when(F.col("v") == F.col("lo"), F.greatest(F.col("v") - 6 * u, F.lit(1e-12))).otherwise(F.col("v") + 6 * u).alias("v"), "yy")
-    seg = _segments(v.select(*by, "v", "yy").unionByName(pads), "v", "yy", by)
-    rows = _band(v.select(*by, "e", F.col("v").alias("x")), seg, F.lit(6 * u), 6 * u, by)
-    rows = rows.withColumns({"b0": (F.col("x0") - F.col("x")) / u, "b1": (F.col("x1") - F.col("x")) / u}).withColumns({"c0": erfc(F.col("b0")), "c1": erfc(F.col("b1"))})
-    b0, b1 = F.col("b0"), F.col("b1")
-    j0 = math.sqrt(math.pi) / 2 * (F.col("c0") - F.col("c1"))
-    j1 = 0.5 * (F.exp(-b0 * b0) - F.exp(-b1 * b1))
-    slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    part = rows.select(*by, "e", "x", j0.alias("j0"), ((F.col("y0") - slope * u * b0) * j0 + slope * u * j1).alias("part"))
-    return part.groupBy(*by, "e", "x").agg(F.greatest(F.sum("part") / F.sum("j0") / F.first("x"), F.lit(0.0)).alias("sigma")).drop("x")
-
-
-def gaussian_resolution(curves: DataFrame, flight_m: float, dt_us: float, dl_m: float, by: list[str]) -> DataFrame:
-    """Gaussian resolution of (by, e, value) with the energy-dependent width W, over 5W, normalised by the window's own weight. One point in the window passes through."""
-    width = S.gaussian_width(F.col("x"), flight_m, dt_us, dl_m)
-    points = curves.select(*by, F.col("e").alias("x"), F.col("value").alias("own"))
-    most = points.agg(F.max(5.0 * width)).first()[0] or 1.0  # one number
-    rows = _band(points.withColumn("w", width), _segments(curves, "e", "value", by), 5.0 * F.col("w"), most, by)
-    lo, hi = F.greatest(F.col("x0"), F.col("x") - F.col("reach")), F.least(F.col("x1"), F.col("x") + F.col("reach"))
-    slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    start = F.col("y0") + slope * (lo - F.col("x0"))
-    rows = rows.withColumns({"a0": (lo - F.col("x")) / F.col("w"), "a1": (hi - F.col("x")) / F.col("w")}).withColumns({"c0": erfc(F.col("a0")), "c1": erfc(F.col("a1"))})
-    a0, a1, i0 = F.col("a0"), F.col("a1"), F.col("c0") - F.col("c1")
-    i1 = 0.5 * (F.exp(-a0 * a0) - F.exp(-a1 * a1))
-    part = rows.select(*by, "x", i0.alias("i0"), (start * i0 + slope * F.col("w") * (2.0 / math.sqrt(math.pi) * i1 - a0 * i0)).alias("part"))
-    sums = part.groupBy(*by, "x").agg(F.sum("part").alias("part"), F.sum("i0").alias("norm"))
-    out = points.join(sums, [*by, "x"], "left")
-    good = F.coalesce(F.col("norm"), F.lit(0.0)) > 0
-    return out.select(*by, F.col("x").alias("e"), F.when(good, F.col("part") / F.when(good, F.col("norm")).otherwise(1.0)).otherwise(F.col("own")).alias("value"))
-
-
-def forward(sigma: DataFrame, densities: DataFrame, temperature: float, awr: float, flight_m: float, dt_us: float, dl_m: float) -> DataFrame:
-    """e, value: cross sections (grp, e, sigma) are broadened by temperature, summed with densities (grp, n), turned into transmission, and only then blurred by the resolution."""
+    v = np.sqrt(e)
+    y = v * sigma
+    pv = np.concatenate(([max(v[0] - 6 * u, 1e-12)], v, [v[-1] + 6 * u]))
+    py = np.concatenate((y[:1], y, y[-1:]))
+    slope = np.diff(py) / np.where(np.diff(pv) > 0, np.diff(pv), 1.0)
+    first = np.maximum(np.searchsorted(pv, v - 6 * u, "right") - 1, 0)
+    last = np.minimum(np.searchsorted(pv, v + 6 * u, "left"), len(pv) - 1)
+    out, der = np.empty_like(v), np.empty_like(v)
+    for rows, own, edge in _blocks(first, last + 1):
+        b = (pv[edge] - v[rows][own]) / u
+        c, g = _erfc(b), np.exp(-b * b)
+        seg = np.flatnonzero(own[1:] == own[:-1])
+        j0 = math.sqrt(math.pi) / 2 * (c[seg] - c[seg + 1])
+        j1 = 0.5 * (g[seg] - g[seg + 1])
+        k = edge[seg]
+        sums = lambda x: np.bincount(own[seg], x, len(rows))  # noqa: B023, E731
+        norm = sums(j0)
+        out[rows] = sums((py[k] - slope[k] * u * b[seg]) * j0 + slope[k] * u * j1) / norm / v[rows]
+        der[rows] = sums(slope[k] * j1) / norm / v[rows] * u / (2 * temperature)
+    return np.maximum(out, 0.0), np.where(out > 0, der, 0.0)
+
+
+def _one(t: pa.Table, awr: float | str) -> float:
+    return float(t.column(awr)[0].as_py()) if isinstance(awr, str) else awr
+
+
+def doppler(curves: DataFrame, temperature: float, awr: float | str, by: list[str]) -> DataFrame:
+    """Free-gas broadening of (by, e, sigma): by, e, sigma. awr: a number, or the column that holds each curve's."""
+
+    def f(t: pa.Table) -> dict[str, np.ndarray]:
+        return {"sigma": free_gas(t.column("e").to_numpy(), t.column("sigma").to_numpy(), temperature, _one(t, awr))[0]}
+
+    return _by_curve(curves, by, f, ["sigma"])
+
+
+def doppler_with_derivative(curves: DataFrame, temperature: float, awr: float | str, by: list[str]) -> DataFrame:
+    """As doppler, with d_sigma, the derivative by temperature."""
+
+    def f(t: pa.Table) -> dict[str, np.ndarray]:
+        return dict(zip(("sigma", "d_sigma"), free_gas(t.column("e").to_numpy(), t.column("sigma").to_numpy(), temperature, _one(t, awr)), strict=True))
+
+    return _by_curve(curves, by, f, ["sigma", "d_sigma"])
+
+
+#: Above this ratio of half the Gaussian to the exponential width the tail is left out. Fixed value.
+TAIL_RATIO = 2.5
+#: Where the combined kernel's argument is below this, it is cut as the original formula cuts it. Fixed value.
+TAIL_CUT = -5.01
+
+
+def _peak(c: np.ndarray) -> np.ndarray:
+    """The argument x at which c sqrt(pi) exp(x*x) erfc(x) is 1: there the combined kernel has its peak. By bisection."""
+    def over(x: np.ndarray) -> np.ndarray:
+        a = np.abs(x)
+        s = np.where(x >= 0, _scaled(a), 2.0 * np.exp(np.minimum(a * a, 600.0)) - _scaled(a))
+        return c * math.sqrt(math.pi) * s > 1.0
+
+    lo, hi = np.full_like(c, -20.0), np.maximum(c, 1.0) + 1.0
+    for _ in range(60):
+        mid = 0.5 * (lo + hi)
+        up = over(mid)
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return 0.5 * (lo + hi)
+
+
+def point_weights(e: np.ndarray) -> np.ndarray:
+    """Five-point weights of a grid, as operators.extras.quadrature_weights gives them for a table."""
+    if len(e) == 1:
+        return np.ones(1)
+    x = np.concatenate(([0.0, 0.0], e, [0.0, 0.0]))
+    d = np.diff(x)
+    v1, v2, v3, v4 = (d[k : k + len(e)] for k in range(4))
+    k, last = np.arange(len(e)), len(e) - 1
+    ratio = lambda num, den: np.where(np.abs(den) > K.DIVISION_FLOOR, num / np.where(np.abs(den) > K.DIVISION_FLOOR, den, 1.0), 0.0)
+    out = np.where(k >= 2, v1, 0.0) + np.where(k >= 1, 5 * v2, 0.0) + np.where(k != last, 5 * v3, 0.0) + np.where(k < last - 1, v4, 0.0)
+    out += np.where((k >= 2) & (k != last), ratio(v3 * v3 - v1 * v1, v2), 0.0)
+    return out - np.where((k >= 1) & (k < last - 1), ratio(v4 * v4 - v2 * v2, v3), 0.0)
+
+
+def blur(e: np.ndarray, value: np.ndarray, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0) -> np.ndarray:
+    """The curve seen with a Gaussian of energy-dependent width W over 5W, with an exponential tail where it matters, normalised by the window's own weight.
+
+    Pure Gaussian: exact integrals of the piecewise-linear curve between the grid's points in the
+    window. With the tail: point weights times the combined kernel, its peak at the energy. One
+    point in the window passes through."""
+    w = np.sqrt((2.0 * dt_us * e**1.5 / (K.TOF_FACTOR * flight_m)) ** 2 + (2.0 * dl_m * e / flight_m) ** 2)
+    we = 2.0 * de_us * e**1.5 / (K.TOF_FACTOR * flight_m)
+    c = w / np.where(we > 1e-60, 2.0 * we, 1.0)
+    tail = (we > 1e-60) & (c <= TAIL_RATIO) & (w > 0)
+    up = np.where(tail, np.where(2 * c <= 1, 6.25 * we, np.where(2 * c <= 2, 5.0 * (3.0 - 2 * c) * w, 5.0 * w)), 5.0 * w)
+    first, stop = np.searchsorted(e, e - 5.0 * w, "left"), np.searchsorted(e, e + up, "right")
+    out = value.astype(float).copy()
+    some = (stop - first > 1) & (w > 1e-60)
+    slope = np.diff(value) / np.where(np.diff(e) > 0, np.diff(e), 1.0) if len(e) > 1 else np.zeros(0)
+    plain = np.flatnonzero(some & ~tail)
+    for rows, own, edge in _blocks(first[plain], stop[plain]):
+        at = plain[rows]
+        a = (e[edge] - e[at][own]) / w[at][own]
+        f, g = _erfc(a), np.exp(-a * a)
+        seg = np.flatnonzero(own[1:] == own[:-1])
+        k = edge[seg]
+        i0, i1 = f[seg] - f[seg + 1], 0.5 * (g[seg] - g[seg + 1])
+        norm = np.bincount(own[seg], i0, len(rows))
+        part = np.bincount(own[seg], value[k] * i0 + slope[k] * w[at][own[seg]] * (2.0 / math.sqrt(math.pi) * i1 - a[seg] * i0), len(rows))
+        out[at] = np.where(norm > K.DIVISION_FLOOR, part / np.where(norm > K.DIVISION_FLOOR, norm, 1.0), out[at])
+    if tail.any():
+        weight, shift = point_weights(e), np.zeros_like(e)
+        shift[tail] = (c[tail] - _peak(c[tail])) * w[tail]
+        long = np.flatnonzero(some & tail)
+        for rows, own, k in _blocks(first[long], stop[long]):
+            at = long[rows][own]
+            a = (e[at] - shift[at] - e[k]) / w[at]
+            b = a + c[at]
+            s = _scaled(np.abs(b))
+            z = np.where(b >= 0, np.exp(-a * a) * s, np.where(b >= TAIL_CUT, 2.0 * np.exp(np.minimum(b * b - a * a, 600.0)) - np.exp(-a * a) * s, np.exp(-a * a) * s))
+            norm, part = np.bincount(own, weight[k] * z, len(rows)), np.bincount(own, weight[k] * z * value[k], len(rows))
+            out[long[rows]] = np.where(norm > K.DIVISION_FLOOR, part / np.where(norm > K.DIVISION_FLOOR, norm, 1.0), out[long[rows]])
+    return out
+
+
+def gaussian_resolution(curves: DataFrame, flight_m: float, dt_us: float, dl_m: float, by: list[str], de_us: float = 0.0) -> DataFrame:
+    """Resolution of (by, e, value): by, e, value; de_us adds the exponential tail."""
+
+    def f(t: pa.Table) -> dict[str, np.ndarray]:
+        return {"value": blur(t.column("e").to_numpy(), t.column("value").to_numpy(), flight_m, dt_us, dl_m, de_us)}
+
+    return _by_curve(curves, by, f, ["value"])
+
+
+def forward(sigma: DataFrame, densities: DataFrame, temperature: float, awr: float | str, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0) -> DataFrame:
+    """e, value: cross sections (grp, e, sigma) are broadened by temperature, summed with densities (grp, n), turned into transmission, and only then blurred by the resolution. awr: a number, or the column of sigma that holds each group's."""
     broad = doppler(sigma, temperature, awr, ["grp"])
     t = broad.join(densities.where("n > 0"), "grp").groupBy("e").agg(F.exp(-F.sum(F.col("n") * F.col("sigma"))).alias("value"))
-    return gaussian_resolution(t.withColumn("one", F.lit(1)), flight_m, dt_us, dl_m, ["one"]).drop("one")
+    return gaussian_resolution(t.withColumn("one", F.lit(1)), flight_m, dt_us, dl_m, ["one"], de_us).drop("one")
+
+
+def effective_sigma(sigma: DataFrame, density: float, temperature: float, awr: float | str, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0) -> DataFrame:
+    """grp, e, sigma: of each group alone at a density, the cross section that gives its blurred transmission: -ln(R exp(-n sigma)) / n, the transmission kept within 1e-30 and 1."""
+    t = doppler(sigma, temperature, awr, ["grp"]).select("grp", "e", F.exp(-density * F.col("sigma")).alias("value"))
+    out = gaussian_resolution(t, flight_m, dt_us, dl_m, ["grp"], de_us)
+    return out.select("grp", "e", (-F.ln(F.greatest(F.least("value", F.lit(1.0)), F.lit(1e-30))) / density).alias("sigma"))

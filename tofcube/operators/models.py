@@ -7,6 +7,10 @@ grouped aggregation with map-side partials, so nothing is gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,28 +60,52 @@ def law_value(x: Column, x0: Column, y0: Column, x1: Column, y1: Column, law: Co
 
 
 def in_ranges(energies: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Energies (e) with the ranges (za, lo, hi) that hold them: half open where the next range of the
-    isotope starts where this one ends, else closed. The ranges are a dimension."""
+    """Energies (za, e) with the ranges (za, lo, hi) of their isotope that hold them: half open where
+    the next range starts where this one ends, else closed. An equi-join on the isotope."""
     w = W.partitionBy("za").orderBy("lo")
     r = ranges.withColumn("open", F.coalesce(F.lead("lo").over(w) == F.col("hi"), F.lit(False)))
-    return energies.join(r, (F.col("e") >= F.col("lo")) & ((F.col("e") < F.col("hi")) | (~F.col("open") & (F.col("e") == F.col("hi")))))
+    return energies.join(r, "za").where((F.col("e") >= F.col("lo")) & ((F.col("e") < F.col("hi")) | (~F.col("open") & (F.col("e") == F.col("hi")))))
+
+
+#: Copies of the resonance table, so that the energies of one isotope spread over as many tasks.
+SALTS = 16
 
 
 def _kinematics(energies: DataFrame, res: DataFrame, spin: float) -> DataFrame:
-    """Energies (e) with resonances (za, awr, radius, l, j, er, gn, gg, gf) and what all formalisms need.
-    The resonances are a dimension table; every energy meets the resonances of its isotopes."""
-    rows = energies.join(res, "za")
+    """Energies (e) with resonances (za, awr, radius, l, j, er, gn, gg, gf, and gfa, gfb for gf) and what all formalisms need.
+
+    Columns spin, e_low and e_high of the resonances tell each one's target spin (else `spin` holds
+    for all) and range (else all energies): a shared end belongs to the range above. What depends
+    on the resonance alone, and what depends on energy and l alone, is computed before they meet.
+    They meet by a salted equi-join, so no side is broadcast and a hot isotope is spread."""
+    has = set(res.columns)
+    fa = F.col("gfa") if "gfa" in has else F.col("gf")
+    fb = F.col("gfb") if "gfb" in has else F.lit(0.0)
+    none = F.lit(None).cast("double")
+    rows = res.select(
+        "za", "awr", "radius", "l", F.abs("j").alias("j"), "er", "gn", "gg", fa.alias("gfa"), fb.alias("gfb"),
+        (F.col("spin") if "spin" in has else F.lit(float(spin))).alias("spin"), (F.col("e_low") if "e_low" in has else none).alias("e_low"), (F.col("e_high") if "e_high" in has else none).alias("e_high"),
+    )
+    # one group for each isotope, l and range; equal j are those that agree to 1e-9
+    rows = rows.withColumn("gid", F.xxhash64("za", "awr", "radius", "l", "spin", "e_low", "e_high"))
     k = lambda e: F.sqrt(S.wave_number_squared(e, F.col("awr")))
-    rho, rho_r = k(F.col("e")) * F.col("radius"), k(F.abs("er")) * F.col("radius")
-    return rows.select(
-        "*",
-        S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"),
-        S.statistical_weight(F.col("j"), F.lit(spin)).alias("g"),
-        S.phase_shift(F.col("l"), rho).alias("phi"),
-        S.penetrability(F.col("l"), rho).alias("p"),
-        S.penetrability(F.col("l"), rho_r).alias("pr"),
-        (F.col("e") - F.col("er")).alias("d"),
-    ).withColumn("gne", F.abs("gn") * F.sqrt(F.col("e") / F.abs("er")) * F.col("p") / F.col("pr"))
+    groups = rows.select("gid", "za", "awr", "radius", "l", "e_low", "e_high").distinct()
+    ends = groups.where("e_low IS NOT NULL").select("za", "e_low", "e_high").distinct()
+    ends = ends.select(F.col("za").alias("o_za"), F.col("e_low").alias("o_low"), F.col("e_high").alias("o_high"), F.coalesce(F.lead("e_low").over(W.partitionBy("za").orderBy("e_low", "e_high")) == F.col("e_high"), F.lit(False)).alias("open"))
+    groups = groups.join(ends, (F.col("za") == F.col("o_za")) & (F.col("e_low") == F.col("o_low")) & (F.col("e_high") == F.col("o_high")), "left").drop("o_za", "o_low", "o_high")
+    inside = F.col("e_low").isNull() | ((F.col("e") >= F.col("e_low")) & ((F.col("e") < F.col("e_high")) | (~F.coalesce("open", F.lit(False)) & (F.col("e") == F.col("e_high")))))
+    rho = k(F.col("e")) * F.col("radius")
+    left = energies.select("za", "e").distinct().join(groups, "za").where(inside)
+    left = left.select("za", "e", "gid", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), rho).alias("phi"), S.penetrability(F.col("l"), rho).alias("p"), F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int").alias("salt"))
+    rho_r = k(F.abs("er")) * F.col("radius")
+    right = rows.withColumn("pr", S.penetrability(F.col("l"), rho_r))
+    right = right.select(F.col("gid").alias("r_gid"), F.round("j", 9).alias("j"), S.statistical_weight(F.col("j"), F.col("spin")).alias("g"), "er", "gn", "gg", "gfa", "gfb", (F.abs("gfa") + F.abs("gfb")).alias("gf"), "pr", (F.abs("gn") / F.sqrt(F.abs("er")) / F.col("pr")).alias("gnr"))
+    right = right.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = left.join(right.hint("shuffle_hash"), (F.col("gid") == F.col("r_gid")) & (F.col("salt") == F.col("r_salt")))
+    return out.withColumns({"d": F.col("e") - F.col("er"), "gne": F.col("gnr") * F.sqrt("e") * F.col("p")})
+
+
+_GROUP = ["gid", "salt", "za", "e", "j"]
 
 
 def slbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
@@ -86,7 +114,7 @@ def slbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
     den = F.col("d") * F.col("d") + F.col("tot") * F.col("tot") / 4.0
     s, c = F.sin("phi"), F.cos("phi")
     unit = F.col("pk") * F.col("g")
-    groups = rows.groupBy("za", "e", "l", "j").agg(
+    groups = rows.groupBy(_GROUP).agg(
         F.first(4.0 * unit * s * s).alias("pot"),
         F.sum(unit * F.col("gne") * F.col("gg") / den).alias("capture"),
         F.sum(unit * F.col("gne") * F.col("gf") / den).alias("fission"),
@@ -100,7 +128,7 @@ def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
     rows = _kinematics(energies, res, spin).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
     den = F.col("d") * F.col("d") + F.col("tot") * F.col("tot") / 4.0
     unit = F.col("pk") * F.col("g")
-    sums = rows.groupBy("za", "e", "l", "j").agg(
+    sums = rows.groupBy(_GROUP).agg(
         F.first(unit).alias("unit"),
         F.first("phi").alias("phi"),
         F.sum(-F.col("gne") * F.col("d") / den).alias("xr"),
@@ -115,25 +143,52 @@ def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
     return _totals(sums.withColumn("elastic", F.col("unit") * ((1.0 - ur) * (1.0 - ur) + ui * ui)))
 
 
+#: Pairs of channels: the neutron's (0) and two of fission.
+_PAIRS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
 def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
-    """One-channel Reich-Moore (no fission widths): R = sum g2 / (er - e - i gg/2) of each (l, j), with complex numbers as pairs of columns."""
+    """Reich-Moore with a neutron channel and up to two of fission.
+
+    R_ij = sum b_i b_j / (er - e - i gg/2) of each (l, j) are grouped sums; the 3 by 3 systems of
+    the groups are then solved in batches. With L = iP for the neutron and i for fission,
+    A = (1/L - R)**-1 R gives U_nn = exp(-2 i phi) (1 + 2 A_nn) and |U_nf|**2 = 4 |A_nf|**2 / P;
+    capture is what is left of the total. A singular system gives zeros."""
     rows = _kinematics(energies, res, spin)
-    g2 = F.abs("gn") / (2.0 * F.col("pr"))
+    root = lambda w, per: F.signum(w) * F.sqrt(F.abs(w) / per)
+    rows = rows.withColumns({"b0": root(F.col("gn"), 2.0 * F.col("pr")), "b1": root(F.col("gfa"), F.lit(2.0)), "b2": root(F.col("gfb"), F.lit(2.0))})
     half = F.col("gg") / 2.0
     den = F.col("d") * F.col("d") + half * half
-    sums = rows.groupBy("za", "e", "l", "j").agg(F.first(F.col("pk") * F.col("g")).alias("unit"), F.first("phi").alias("phi"), F.first("p").alias("p"), F.sum(-g2 * F.col("d") / den).alias("rr"), F.sum(g2 * half / den).alias("ri"))
-    # L = iP: 1 + 2iX with X = P R / (1 - i P R), so it is (1 + i P R) / (1 - i P R)
-    p = F.col("p")
-    nr, ni = 1.0 - p * F.col("ri"), p * F.col("rr")
-    dr, di = 1.0 + p * F.col("ri"), -p * F.col("rr")
-    m = dr * dr + di * di
-    ar, ai = (nr * dr + ni * di) / m, (ni * dr - nr * di) / m
-    c, s = F.cos(2.0 * F.col("phi")), F.sin(2.0 * F.col("phi"))
-    ur, ui = ar * c + ai * s, ai * c - ar * s
-    elastic = F.col("unit") * ((1.0 - ur) * (1.0 - ur) + ui * ui)
-    total = 2.0 * F.col("unit") * (1.0 - ur)
-    out = sums.select("za", "e", elastic.alias("elastic"), (total - elastic).alias("capture"), F.lit(0.0).alias("fission"))
-    return _totals(out)
+    real, imag = -F.col("d") / den, half / den
+    sums = rows.groupBy(_GROUP).agg(
+        F.first(F.col("pk") * F.col("g")).alias("unit"), F.first("phi").alias("phi"), F.first("p").alias("p"),
+        F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}") * real) for i, j in _PAIRS]).alias("re"),
+        F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}") * imag) for i, j in _PAIRS]).alias("im"),
+    )
+    solved = sums.select("za", "e", "unit", "phi", "p", "re", "im").mapInArrow(_solve_channels, "za string, e double, elastic double, capture double, fission double")
+    return _totals(solved)
+
+
+def _solve_channels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        unit, phi, p = (b.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "phi", "p"))
+        r6 = b.column("re").flatten().to_numpy().reshape(-1, 6) + 1j * b.column("im").flatten().to_numpy().reshape(-1, 6)
+        r = np.empty((len(unit), 3, 3), complex)
+        for k, (i, j) in enumerate(_PAIRS):
+            r[:, i, j] = r[:, j, i] = r6[:, k]
+        open_ = p > 1e-300
+        y = -r
+        y[:, 0, 0] += np.where(open_, -1j / np.where(open_, p, 1.0), 1.0)
+        y[:, 1, 1] -= 1j
+        y[:, 2, 2] -= 1j
+        fine = open_ & (np.abs(np.linalg.det(y)) > 1e-300)
+        y[~fine] = np.eye(3)
+        a = np.linalg.solve(y, r)
+        u = np.exp(-2j * phi) * (1.0 + 2.0 * a[:, 0, 0])
+        ok = np.where(fine, unit, 0.0)
+        elastic, total = ok * np.abs(1.0 - u) ** 2, 2.0 * ok * (1.0 - u.real)
+        fission = ok * 4.0 * (np.abs(a[:, 0, 1:]) ** 2).sum(1) / np.where(open_, p, 1.0)
+        yield pa.RecordBatch.from_arrays([b.column("za"), b.column("e"), pa.array(elastic), pa.array(total - elastic - fission), pa.array(fission)], names=["za", "e", "elastic", "capture", "fission"])
 
 
 def _totals(groups: DataFrame) -> DataFrame:
@@ -141,19 +196,36 @@ def _totals(groups: DataFrame) -> DataFrame:
     return out.withColumn("total", F.col("elastic") + F.col("capture") + F.col("fission"))
 
 
-def unresolved(energies: DataFrame, averages: DataFrame, spin: float, radius_fm: float) -> DataFrame:
-    """Averaged cross sections from (za, awr, l, j, spacing, gn, gg, gf) with the potential part."""
-    rows = energies.join(averages, "za")
-    pre = S.pi_over_k2_barns(F.col("e"), F.col("awr")) * S.statistical_weight(F.col("j"), F.lit(spin)) * 2.0 * F.pi() * F.col("gn") / F.col("spacing")
-    tot = F.col("gn") + F.col("gg") + F.col("gf")
-    out = rows.groupBy("za", "e").agg(F.sum(pre * F.col("gn") / tot).alias("el"), F.sum(pre * F.col("gg") / tot).alias("capture"), F.sum(pre * F.col("gf") / tot).alias("fission"))
-    pot = 4.0 * F.pi() * radius_fm * radius_fm / 100.0
-    return out.select("za", "e", (F.col("el") + pot).alias("elastic"), "capture", "fission", (F.col("el") + pot + F.col("capture") + F.col("fission")).alias("total"))
-
-
-def apply_matrix(matrix: DataFrame, spectrum: DataFrame) -> DataFrame:
-    """i, value: sums of w over (i, j, w) and (j, value)."""
-    return matrix.join(spectrum, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+def unresolved(energies: DataFrame, table: DataFrame) -> DataFrame:
+    """za, e, elastic, capture, fission, total from tables of averages, within their ranges.
+
+    table: za, awr, spin, radius (fm), e_low, e_high, l, j, law, reduced, and points x (energy) with
+    spacing, gx, gn, gg, gf. Of each (za, range, l, j) the points are interpolated by the law, clamped
+    at the ends; one point holds everywhere. reduced: gn is a reduced width, to be multiplied by 2 P.
+    Each energy meets the one interval of each (l, j) that holds it; gx is in the total alone."""
+    key = ["za", "e_low", "l", "j"]
+    values = ["spacing", "gx", "gn", "gg", "gf"]
+    w = W.partitionBy(*key).orderBy("x")
+    cut = table.select("*", F.lead("x").over(w).alias("x1"), *[F.lead(v).over(w).alias(f"{v}_1") for v in values], (F.row_number().over(w) == 1).alias("lowest"))
+    e = F.col("e")
+    inside = ((e >= F.col("x")) | F.col("lowest")) & (F.col("x1").isNull() | (e < F.col("x1"))) & e.between(F.col("e_low"), F.col("e_high"))
+    rows = energies.select("za", "e").distinct().join(cut, "za").where(inside)
+    at = {v: law_value(e, F.col("x"), F.col(v), F.col("x1"), F.col(f"{v}_1"), F.col("law")) for v in values}
+    rows = rows.select("za", "e", "e_low", "radius", "awr", "spin", "l", "j", "reduced", *[c.alias(v) for v, c in at.items()])
+    rho = F.sqrt(S.wave_number_squared(e, F.col("awr"))) * F.col("radius")
+    rows = rows.withColumn("gn", F.when(F.col("reduced"), 2.0 * S.penetrability(F.col("l"), rho) * F.col("gn")).otherwise(F.col("gn")))
+    tot = F.col("gn") + F.col("gg") + F.col("gf") + F.col("gx")
+    good = (F.col("spacing") > 0) & (F.col("gn") > 0) & (tot > 0) & (F.col("awr") > 0)
+    pre = S.pi_over_k2_barns(e, F.col("awr")) * S.statistical_weight(F.col("j"), F.col("spin")) * 2.0 * F.pi() * F.col("gn") / F.when(good, F.col("spacing")) / F.when(good, tot)
+    part = lambda v: F.coalesce(F.sum(F.when(good, pre * F.col(v))), F.lit(0.0))
+    ranges = rows.groupBy("za", "e", "e_low").agg(part("gn").alias("el"), part("gg").alias("capture"), part("gf").alias("fission"), part("gx").alias("other"), F.first(4.0 * F.pi() * F.col("radius") * F.col("radius") / 100.0).alias("pot"))
+    out = ranges.groupBy("za", "e").agg(F.sum(F.col("el") + F.col("pot")).alias("elastic"), F.sum("capture").alias("capture"), F.sum("fission").alias("fission"), F.sum("other").alias("other"))
+    return out.select("za", "e", "elastic", "capture", "fission", (F.col("elastic") + F.col("capture") + F.col("fission") + F.col("other")).alias("total"))
+
+
+def apply_matrix(matrix: DataFrame, spectra: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, i, value: sums of w over (i, j, w) and (by, j, value); by names the spectrum if there are several."""
+    return matrix.join(spectra, "j").groupBy(*(by or []), "i").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 # -- goodness of fit: long tables with the cell's data and model -------------------------------

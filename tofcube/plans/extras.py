@@ -28,7 +28,7 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as resonances of spin groups; every seventh names a group that does not exist."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
-    o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).where("o_custkey % 5 <> 0")
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     return o.select(F.col("c_nationkey").alias("case"), F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("number"), F.col("o_totalprice").alias("er"), (F.col("o_orderkey") % 11 * 0.001).alias("gn"))
 
 
@@ -52,7 +52,7 @@ _AT = f"""{A.GR}, {_REF}, en AS (SELECT value AS e, CASE WHEN value <= 2 THEN 2.
 fr AS (SELECT *, (ln(e) - ln(lo)) / (ln(hi) - ln(lo)) AS f FROM en),
 ka AS (SELECT e, a.k, CASE WHEN hi = 20 THEN a.o + f * (b.o - a.o) ELSE a.o END AS o, CASE WHEN hi = 20 THEN a.w + f * (b.w - a.w) ELSE a.w END AS w FROM fr JOIN kr a ON a.ref_energy = CASE WHEN hi = 90 AND f >= 0.5 THEN 90 ELSE lo END LEFT JOIN kr b ON hi = 20 AND b.ref_energy = 20 AND b.k = a.k)"""
 _FL = f"({K.TOF_FACTOR!r}::DOUBLE * {L})"
-_SG = "sg AS (SELECT c_nationkey AS \"case\", c_custkey AS number, (c_custkey % 3)::INT AS l, (0.5 + c_custkey % 4)::DOUBLE AS j, CASE WHEN c_nationkey % 2 = 0 THEN 3.5 ELSE 0 END::DOUBLE AS spin FROM customer), rs AS (SELECT c_nationkey AS \"case\", CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS number, o_totalprice AS er, (o_orderkey % 11) * 0.001::DOUBLE AS gn FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 5 <> 0)"
+_SG = "sg AS (SELECT c_nationkey AS \"case\", c_custkey AS number, (c_custkey % 3)::INT AS l, (0.5 + c_custkey % 4)::DOUBLE AS j, CASE WHEN c_nationkey % 2 = 0 THEN 3.5 ELSE 0 END::DOUBLE AS spin FROM customer), rs AS (SELECT c_nationkey AS \"case\", CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS number, o_totalprice AS er, (o_orderkey % 11) * 0.001::DOUBLE AS gn FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 QUERIES = {
     "quadrature_weights": lambda s, d: X.quadrature_weights(A.grid(s)).select("i", R("weight").alias("weight")),
