@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tofcube.functions import scalars
-from tofcube.operators import axes, broaden, calibrate, cube, extras, isotopes, models, spatial, texts
+from tofcube.operators import axes, broaden, calibrate, cube, extras, isotopes, models, multifit, spatial, texts
 from tofcube.sources import resonance, tiff
 
 # -- sources -----------------------------------------------------------------------------
@@ -85,10 +85,13 @@ FORMALISMS = {"slbw": models.slbw, "mlbw": models.mlbw, "reich_moore": models.re
 
 
 def cross_sections(energies: DataFrame, resonances: DataFrame, spin: float = 0.0, formalism: str = "reich_moore") -> DataFrame:
+    """spin holds for resonances without a column of their own; ranges are those of their columns e_low and e_high."""
     return FORMALISMS[formalism](energies, resonances, spin)
 
 
+unresolved_cross_sections = models.unresolved
 doppler_broaden = broaden.doppler
+doppler_broaden_with_derivative = broaden.doppler_with_derivative
 forward_model = broaden.forward
 
 
@@ -101,7 +104,7 @@ def resolution_broaden(curves: DataFrame, by: list[str], flight_m: float, dt_us:
 
 apply_resolution = models.apply_matrix
 trace_detectability_survey = models.detectability
-calibrate_energy = calibrate.grid_search
+calibrate_energy = calibrate.calibrate_energy
 
 # -- fits ------------------------------------------------------------------------------------
 
@@ -109,7 +112,9 @@ from_counts = spatial.from_counts
 from_counts_with_nuisance = spatial.from_counts_with_nuisance
 from_transmission = spatial.from_transmission
 spatial_map_typed = spatial.fit_cube
-compute_model_jacobian = extras.background_jacobian
+compute_model_jacobian = multifit.evaluate
+fit_pixels = multifit.fit_pixels
+evaluate_jacobian_and_fisher = multifit.jacobian_and_fisher
 
 
 def fit_spectrum_typed(data: spatial.InputData, sigma: DataFrame, config: spatial.FitConfig = spatial.FitConfig()) -> DataFrame:
