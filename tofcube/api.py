@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tofcube.functions import scalars
-from tofcube.operators import axes, broaden, calibrate, cube, extras, isotopes, models, multifit, spatial, texts
+from tofcube.operators import axes, broaden, calibrate, cube, extras, isotopes, limited, models, multifit, spatial, texts
 from tofcube.sources import resonance, tiff
 
 # -- sources -----------------------------------------------------------------------------
@@ -24,6 +24,16 @@ def load_endf_file(spark: SparkSession, path: str) -> DataFrame:
     return resonance.resonance_table(texts.read_lines(spark, path))
 
 
+def load_unresolved(spark: SparkSession, path: str) -> DataFrame:
+    """The averages of unresolved ranges of one file or of a folder of files."""
+    return resonance.unresolved_table(texts.read_lines(spark, path))
+
+
+def load_limited(spark: SparkSession, path: str) -> DataFrame:
+    """The spin groups of R-matrix limited ranges of one file or of a folder of files."""
+    return resonance.limited_groups(texts.read_lines(spark, path))
+
+
 def create_resonance_data(spark: SparkSession, z: int, a: int, awr: float, radius_fm: float, rows: list[tuple[float, float, float, float]], l: int = 0) -> DataFrame:  # noqa: E741
     """Resonances (er, j, gn, gg) of one isotope as the formulas take them; no fission widths."""
     if not rows:
@@ -90,6 +100,7 @@ def cross_sections(energies: DataFrame, resonances: DataFrame, spin: float = 0.0
 
 
 unresolved_cross_sections = models.unresolved
+limited_cross_sections = limited.limited
 doppler_broaden = broaden.doppler
 doppler_broaden_with_derivative = broaden.doppler_with_derivative
 forward_model = broaden.forward
