@@ -82,7 +82,7 @@ def test_twice_filter_never_misses(spark):
     h = rnd.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
     twice = np.concatenate((h[:1000], h[:1000], h))
     rows = [(p, v) for part in np.array_split(rnd.permutation(twice), 7) for p, v in common.route(part, 6)]
-    f, heavy = common.twice_filter(spark.createDataFrame(rows, common.PACKED), 18, 6, heavy_at=3)
+    f, heavy = common.twice_filter(spark.createDataFrame(rows, common.PACKED), 7000, 6, 18, heavy_at=3)
     assert f.test(h[:1000]).all()
     assert f.test(h[1000:]).mean() < 0.1
     assert set(heavy) >= set(common.short(h[:1000], 6).tolist()) and set(heavy.values()) <= {2, 3}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -158,56 +159,79 @@ def packed_hashes(df: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndar
     return df.mapInArrow(run, PACKED)
 
 
-def twice_filter(routed: DataFrame, bits_log2: int, parts_log2: int, heavy_at: int = 0) -> tuple[TwiceFilter, dict[int, int]]:
+def parts_for(hashes: int) -> int:
+    """log2 of the number of parts: some 65536 hashes each."""
+    return int(min(16, max(4, math.ceil(math.log2(max(hashes, 1) / 65536)))))
+
+
+def twice_filter(routed: DataFrame, expected: int, parts_log2: int, most_log2: int, heavy_at: int = 0) -> tuple[TwiceFilter, dict[int, int]]:
     """Build both Bloom filters from packed hashes (part int, hashes binary), part by part on the executors.
 
-    Each task holds the once-seen and the twice-seen filter of its parts alone and reads its
-    hashes as a stream: a hash whose bits are all set in the once-seen filter is put into the
-    twice-seen filter too. Only the twice-seen filter leaves the executors; its size is
-    2**bits_log2 / 8 bytes whatever the input, so it may be collected and broadcast. If it is
-    too small for the input it passes more hashes, never fewer.
+    Each task holds the once-seen filter of its parts alone, with 8 bits for each expected hash,
+    and reads its hashes as a stream: those whose bits are all set, or that are twice in a row,
+    are kept. Of these the twice-seen filter is made, part by part again; it alone leaves the
+    executors. Its size follows the number of distinct repeats, not that of all hashes, and is
+    at most 2**most_log2 / 8 bytes. A filter too small for the input passes more hashes, never
+    fewer.
 
     heavy_at: also return the hashes (as short() gives them) counted at least so often, with
     their counts: a Misra-Gries summary of 65536 counters a task, so a count may be too low by a
     task's hashes / 65536, and by the first time a hash was seen. 0: none.
     """
-    log2 = bits_log2 - parts_log2
+    log2 = max(10, math.ceil(math.log2(max(expected, 1) * 8)) - parts_log2)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+        repeats: dict[int, np.ndarray] = {}
+        recent: dict[int, list[np.ndarray]] = {}
         counts: dict[int, int] = {}
         for b in batches:
             for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if part not in once:
-                    once[part], twice[part] = np.zeros(1 << log2, bool), np.zeros(1 << log2, bool)
+                    once[part], repeats[part], recent[part] = np.zeros(1 << log2, bool), np.zeros(0, np.uint32), []
                 uniq, n = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
                 key = uniq.astype(np.uint64) | np.uint64(part << 32)
                 p, q = _probes(key, log2)
                 again = (once[part][p] & once[part][q]) | (n > 1)
-                twice[part][p[again]] = True
-                twice[part][q[again]] = True
                 once[part][p] = True
                 once[part][q] = True
+                recent[part].append(uniq[again])
+                if len(recent[part]) >= 64:  # a hash that comes in every row is held once
+                    repeats[part], recent[part] = np.unique(np.concatenate((repeats[part], *recent[part]))), []
                 if heavy_at:
                     for k, v in zip(key[again].tolist(), n[again].tolist(), strict=True):
                         counts[k] = counts.get(k, 0) + v
                     if len(counts) > 131072:
                         cut = sorted(counts.values())[-65536]
                         counts = {k: v - cut for k, v in counts.items() if v > cut}
-        for part, bits in twice.items():
+        for part, held in repeats.items():
+            keys = np.unique(np.concatenate((held, *recent[part])))
             heavy = {k: v for k, v in counts.items() if v + 1 >= heavy_at and k >> 32 == part} if heavy_at else {}
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([list(heavy)], pa.list_(pa.int64())), pa.array([list(heavy.values())], pa.list_(pa.int64()))],
-                names=["part", "bits", "heavy", "counts"],
+                [pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([list(heavy)], pa.list_(pa.int64())), pa.array([list(heavy.values())], pa.list_(pa.int64()))],
+                names=["part", "n", "keys", "heavy", "counts"],
             )
 
+    n = min(1 << parts_log2, max(1, int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    seen = work_table(routed.repartition(n, "part").mapInArrow(build, "part int, n bigint, keys binary, heavy array<bigint>, counts array<bigint>"), "twice-seen")
+    bits_log2 = filter_bits(seen.agg(F.sum("n")).first()[0] or 0, max(most_log2, parts_log2 + 6), parts_log2 + 6)
+    own = bits_log2 - parts_log2
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits = np.zeros(1 << own, bool)
+                for p in _probes(np.frombuffer(raw, np.uint32).astype(np.uint64) | np.uint64(part << 32), own):
+                    bits[p] = True
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), *b.columns[2:]], names=["part", "bits", "heavy", "counts"])
+
     words = np.zeros(1 << (bits_log2 - 3), np.uint8)
     heavy: dict[int, int] = {}
-    n = min(1 << parts_log2, max(1, int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    for row in routed.repartition(n, "part").mapInArrow(build, "part int, bits binary, heavy array<bigint>, counts array<bigint>").collect():
-        at = row["part"] << (log2 - 3)
-        words[at : at + (1 << (log2 - 3))] = np.frombuffer(row["bits"], np.uint8)
+    for row in seen.select("part", "keys", "heavy", "counts").mapInArrow(fill, "part int, bits binary, heavy array<bigint>, counts array<bigint>").collect():
+        at = row["part"] << (own - 3)
+        words[at : at + (1 << (own - 3))] = np.frombuffer(row["bits"], np.uint8)
         heavy |= dict(zip(row["heavy"], row["counts"], strict=True))
     return TwiceFilter(words.view(np.uint64), bits_log2, parts_log2), heavy
 

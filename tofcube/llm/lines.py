@@ -1,7 +1,8 @@
 """Line dedup with two Bloom filters.
 
 Pass 1 hashes the keys of all lines and builds, part by part on the executors, a filter of the
-hashes seen once and one of those seen twice; only the second, of bounded size, is broadcast.
+hashes seen once and one of those seen twice; only the second, which grows with the distinct
+repeats alone and is bounded, is broadcast.
 Pass 2 tests every key against it, and only suspected repeats are shuffled, with their full
 text, to be counted exactly and to find the document that keeps its lines. Where the confirmed
 keys are measured to be few they are broadcast, and every text is rebuilt where it is read: no
@@ -29,11 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import LOWER, SPACE, UPPER, binaries, filter_bits, map_batches, packed_hashes, twice_filter, work_table
+from tofcube.llm.common import LOWER, SPACE, UPPER, binaries, map_batches, packed_hashes, parts_for, twice_filter, work_table
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-PARTS_LOG2 = 10
-
 
 HASH = xxhash.xxh3_64_intdigest
 
@@ -64,13 +63,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 2, keep: s
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     chars = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = filter_bits(math.ceil(chars / 64), max_filter_log2)
-    parts = min(PARTS_LOG2, bits - 10)
+    expected = math.ceil(chars / 64)
+    parts = parts_for(expected)
 
     def hashes(b: pa.RecordBatch) -> list[np.ndarray]:
         return [np.fromiter(map(HASH, keys), np.uint64, len(keys)) for t in binaries(b.column(0)) if (keys := line_keys(t, min_chars))]
 
-    twice, _ = twice_filter(packed_hashes(src.select("text"), hashes, parts), bits, parts)
+    twice, _ = twice_filter(packed_hashes(src.select("text"), hashes, parts), expected, parts, max_filter_log2)
     shared = spark.sparkContext.broadcast(twice)
 
     def suspected(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:

@@ -8,8 +8,8 @@ so that equal windows meet, and each task builds the order of its own suffixes:
    first of them takes part in the rest.
 2. Every window is owned by its minimizer, the gram of `gram` bytes in it with the least hash.
    The minimizers' hashes build two Bloom filters; windows whose minimizer was seen once can't
-   repeat and stay. The filter that is broadcast has a bounded size; too small a filter passes
-   more windows on and changes no result.
+   repeat and stay. The filter that is broadcast grows with the distinct repeats and is bounded;
+   too small a filter passes more windows on and changes no result.
 3. The other windows are dealt by minimizer, as runs of neighbouring windows with their bytes.
    A task sorts the starts in suffix order (to the depth of min_len bytes, equal ones by
    document), takes the common prefix lengths of neighbours, and finds for every start the
@@ -43,12 +43,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tofcube.llm.common import TwiceFilter, binaries, bound_batches, filter_bits, map_batches, mix64, packed_hashes, short, twice_filter, work_table
+from tofcube.llm.common import TwiceFilter, binaries, bound_batches, map_batches, mix64, packed_hashes, parts_for, short, twice_filter, work_table
 
 _M = 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 28) - 1)
 LAST = (1 << 63) - 1
-PARTS_LOG2 = 10
 
 
 @dataclass(frozen=True)
@@ -372,14 +371,13 @@ def repeated_spans(docs: DataFrame, rules: SubstringRules, known: DataFrame) ->
     spark, need = docs.sparkSession, rules.min_len
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     minis = math.ceil(2 * chars / (need - rules.gram + 2))
-    bits = filter_bits(minis, rules.max_filter_log2)
-    parts = min(PARTS_LOG2, bits - 10)
+    parts = parts_for(minis)
     heavy_at = max(rules.heavy, min(minis >> 12, 100_000))
 
     def hashes(b: pa.RecordBatch) -> list[np.ndarray]:
         return [window_runs(x, ends, rules)[2] for x, ends, _ in slices(binaries(b.column(0)), rules)]
 
-    twice, heavy = twice_filter(packed_hashes(docs.select("text"), hashes, parts), bits, parts, heavy_at)
+    twice, heavy = twice_filter(packed_hashes(docs.select("text"), hashes, parts), minis, parts, rules.max_filter_log2, heavy_at)
     keys = np.array(sorted(heavy), np.uint64)
     blocks = np.array([-(-heavy[int(k)] // heavy_at) + 1 for k in keys], np.uint64)
     shared = spark.sparkContext.broadcast((twice, keys, blocks))
