@@ -15,8 +15,9 @@ from tofcube.sources import resonance, tiff
 
 # -- sources -----------------------------------------------------------------------------
 
-load_tiff_stack = tiff.load_tiff
-load_tiff_folder = tiff.load_tiff
+load_tiff_stack = tiff.load_tiff_stack
+load_tiff_folder = tiff.load_tiff_folder
+load_tiff_auto = tiff.load_tiff
 
 
 def load_endf_file(spark: SparkSession, path: str) -> DataFrame:

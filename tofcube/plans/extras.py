@@ -94,7 +94,7 @@ pt AS (SELECT e AS oe, w * abs(CASE WHEN p IS NULL AND q IS NULL THEN 1 WHEN p I
 cv AS (SELECT value AS x0, exp(-1 / (1 + pow((value - 15) / 0.8::DOUBLE, 2))) AS y0, lead(value) OVER (ORDER BY i) AS x1, exp(-1 / (1 + pow((lead(value) OVER (ORDER BY i) - 15) / 0.8::DOUBLE, 2))) AS y1 FROM gr)
 SELECT round(oe, 9) AS e, round(sum(wt * coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0)) / sum(wt), 8) AS value FROM pt JOIN cv ON x >= x0 AND (x < x1 OR (x1 IS NULL AND x = x0)) GROUP BY oe""",
     "fisher_matrix": f"WITH {P.SP}, g AS (SELECT grp, i, sum(sigma / n) AS sigma FROM sp JOIN (SELECT label::VARCHAR AS grp, count(*) AS n FROM embeddings GROUP BY 1) USING (grp) GROUP BY grp, i), t AS (SELECT i, exp(-sum(0.0005::DOUBLE * (1 + grp::INT % 4) * sigma)) AS t FROM g GROUP BY i) SELECT a.grp AS g1, b.grp AS g2, round(sum(1e3 * a.sigma * b.sigma * t), 4) AS fisher FROM g a JOIN g b ON a.i = b.i AND a.grp <= b.grp JOIN t ON t.i = a.i GROUP BY ALL",
-    "embedded_size": "SELECT 40000::BIGINT AS raw_bytes, 13333::BIGINT AS compressed_bytes",
+    "embedded_size": f"WITH {C.EV} SELECT count(*) * 8 AS raw_bytes, floor(count(*) * 8 / 3.0)::BIGINT AS compressed_bytes FROM vw",
     "map_report_rows": f"WITH {C.EV}, {C.NORM} SELECT 'a\\|' || y AS label, count(*) FILTER (WHERE isfinite(sigma)) AS n_converged, count(*) AS n_total FROM nm GROUP BY y",
     "wave_numbers": f"WITH {A.GR}, k AS (SELECT i, value, 236.006::DOUBLE AS awr FROM gr) SELECT i, round({P._K2('value')}, 15) AS k2, round(pi() / {P._K2('value')} / 100, 6) AS pi_k2, round((0.123::DOUBLE * cbrt(value) + 0.08::DOUBLE) * 10, 9) AS radius, round((2 * (0.5 + i % 4) + 1) / 16, 9) AS g FROM k",
 }

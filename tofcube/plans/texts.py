@@ -53,7 +53,8 @@ ORACLES = {
     "kernel_blocks": f"""WITH l AS (SELECT lineno, trim(line) AS t FROM (VALUES {_values(KERNEL)}) t(lineno, line) WHERE lineno >= 2),
 b AS (SELECT lineno, t, sum((t = '')::INT) OVER (ORDER BY lineno) AS blk FROM l), c AS (SELECT lineno, blk, split_part(t, ' ', 1)::DOUBLE AS a, split_part(t, ' ', 2)::DOUBLE AS w FROM b WHERE t <> '')
 SELECT 'f' AS file, ref_energy, k::INT AS k, a AS "offset", w AS weight FROM (SELECT *, first_value(a) OVER (PARTITION BY blk ORDER BY lineno) AS ref_energy, row_number() OVER (PARTITION BY blk ORDER BY lineno) - 2 AS k FROM c) WHERE k >= 0""",
-    "plot_rows": "SELECT 'f' AS file, * FROM (VALUES (1::INT, 1.0::DOUBLE, 0.5::DOUBLE, 0.01::DOUBLE, 0.49::DOUBLE, 0.495::DOUBLE), (2, 2.0, 0.6, 0.01, 0.61, 0.0), (4, 3.0, 0.7, 0.01, 0.69, 0.7)) t(lineno, energy_kev, data, uncertainty, theory_initial, theory_final)",
+    "plot_rows": f"""WITH l AS (SELECT lineno, regexp_split_to_array(trim(line), '\\s+') AS c FROM (VALUES {_values(PLOT)}) t(lineno, line)), n AS (SELECT lineno, list_transform(c, lambda x: CASE WHEN regexp_matches(x, '{_NUM}') THEN x::DOUBLE END) AS c FROM l)
+SELECT 'f' AS file, lineno::INT AS lineno, c[1] AS energy_kev, c[2] AS data, c[3] AS uncertainty, c[4] AS theory_initial, coalesce(c[5], 0) AS theory_final FROM n WHERE c[1] IS NOT NULL AND c[2] IS NOT NULL AND c[3] IS NOT NULL AND c[4] IS NOT NULL""",
     "parameter_cards": f"WITH c AS (SELECT lineno, regexp_replace(regexp_replace(replace(substr(line, 1, 11), ' ', ''), '[dD]', 'E', 'g'), '([0-9.])([+-][0-9]+)$', '\\1E\\2') AS e, trim(substr(line, 12, 11))::DOUBLE AS g, trim(substr(line, 23, 11))::DOUBLE AS n, trim(substr(line, 65, 2)) AS s FROM (VALUES {_values(CARDS[:3])}) t(lineno, line)) SELECT lineno::INT AS lineno, e::DOUBLE AS energy_ev, round(g / 1000, 9) AS gamma_gamma_ev, round(n / 1000, 9) AS gamma_n_ev, s::INT AS spin_group FROM c WHERE s::INT >= 0",
     "frame_names": "SELECT name, (row_number() OVER (ORDER BY name) - 1)::INT AS frame FROM (VALUES ('a_001.tif'), ('A_002.TIF'), ('b_001.tiff'), ('a_10.tif'), ('ab.tif'), ('a_x.tif.bak')) t(name) WHERE regexp_full_match(name, '(?i)a_.*\\.tif')",
 }

@@ -47,13 +47,7 @@ def frames(raw: bytes) -> Iterator[np.ndarray]:
         (at,) = struct.unpack_from(f"{end}I", raw, at + 2 + 12 * n)
 
 
-def load_tiff(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """tof_bin, y, x, value of a multi-page file or of a folder with one frame a file, which are
-    numbered by path. All frames must have one size; that is checked where the cube is used first."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"(?i)\.tiff?$"))
-    if pattern:
-        files = files.where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(pattern)))
-
+def _cells(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -61,11 +55,62 @@ def load_tiff(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
                     y, x = np.indices(f.shape, dtype=np.int32)
                     yield pa.RecordBatch.from_pydict({"file": pa.array([name] * f.size), "page": pa.array(np.full(f.size, page, np.int32)), "y": pa.array(y.ravel()), "x": pa.array(x.ravel()), "value": pa.array(f.ravel())})
 
-    cells = files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def _sizes(files: DataFrame) -> DataFrame:
+    """path, pages, and the least and greatest height and width of a file's frames: from the files' directories, no pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shapes = [f.shape for f in frames(raw)]
+                hs, ws = [h for h, _ in shapes] or [0], [w for _, w in shapes] or [0]
+                rows.append((name, len(shapes), min(hs), max(hs), min(ws), max(ws)))
+            cols = list(zip(*rows, strict=True)) or [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["path", "pages", "h0", "h1", "w0", "w1"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, pages int, h0 int, h1 int, w0 int, w1 int")
+
+
+def _checked(files: DataFrame, what: str, single: bool | None) -> DataFrame:
+    """The files, after one row about all of them was read: that there are frames, of one size, and one a file in a folder."""
+    n, pages, most, h0, h1, w0, w1 = _sizes(files).agg(F.count("*"), F.sum("pages"), F.max("pages"), F.min("h0"), F.max("h1"), F.min("w0"), F.max("w1")).first()
+    if not n:
+        raise ValueError(f"no TIFF files in {what}")
+    if not pages:
+        raise ValueError(f"no frames in {what}")
+    if single and most > 1:
+        raise ValueError(f"a file of {most} frames in the folder {what}")
+    if single is False and n > 1:
+        raise ValueError(f"{what} is not one file")
+    if (h0, w0) != (h1, w1):
+        raise ValueError(f"frames of different sizes in {what}: {h0} to {h1} by {w0} to {w1}")
+    return files
+
+
+def load_tiff_stack(spark: SparkSession, path: str) -> DataFrame:
+    """tof_bin, y, x, value of one multi-page file. No frames, or frames of different sizes, are an error."""
+    files = _checked(spark.read.format("binaryFile").load(path), path, False)
+    return _cells(files).select(F.col("page").alias("tof_bin"), "y", "x", "value")
+
+
+def load_tiff_folder(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """tof_bin, y, x, value of a folder with one frame a file, numbered by path; pattern: * and ?, the
+    whole name, in any case. No files, a file of several frames, or frames of different sizes are an error."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"(?i)\.tiff?$"))
+    if pattern:
+        files = files.where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(pattern)))
+    _checked(files, path, True)
     order = files.select(F.col("path").alias("o_file"), (F.row_number().over(W.orderBy("path")) - 1).cast("int").alias("no"))
-    out = cells.join(order, F.col("file") == F.col("o_file"))
-    # one frame a file, or one file of pages
-    return out.select((F.col("no") + F.col("page")).alias("tof_bin"), "y", "x", "value")
+    out = _cells(files).join(order, F.col("file") == F.col("o_file"))
+    return out.select(F.col("no").alias("tof_bin"), "y", "x", "value")
+
+
+def load_tiff(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """A stack if the path names a TIFF file, else a folder."""
+    return load_tiff_stack(spark, path) if path.lower().endswith((".tif", ".tiff")) else load_tiff_folder(spark, path, pattern)
 
 
 def tiff_bytes(frame: np.ndarray) -> bytes:
