@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tofcube.functions import scalars
-from tofcube.operators import axes, broaden, calibrate, cube, extras, isotopes, limited, models, multifit, spatial, texts
+from tofcube.operators import axes, broaden, calibrate, cube, decks, extras, isotopes, limited, models, multifit, spatial, surrogate, texts
 from tofcube.sources import resonance, tiff
 
 # -- sources -----------------------------------------------------------------------------
@@ -35,6 +35,14 @@ def load_limited(spark: SparkSession, path: str) -> DataFrame:
     return resonance.limited_groups(texts.read_lines(spark, path))
 
 
+def load_deck(spark: SparkSession, deck: str, cards: str) -> tuple[DataFrame, DataFrame]:
+    """The spin groups of control decks and their resonances as the formulas take them: files or folders of both, matched by name without ending."""
+    name = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    lines = lambda path: texts.read_lines(spark, path).withColumn("file", name)
+    groups = decks.decks(lines(deck))
+    return groups, decks.deck_resonances(groups, texts.parameter_cards(lines(cards)), texts.radius_cards(lines(cards)))
+
+
 def create_resonance_data(spark: SparkSession, z: int, a: int, awr: float, radius_fm: float, rows: list[tuple[float, float, float, float]], l: int = 0) -> DataFrame:  # noqa: E741
     """Resonances (er, j, gn, gg) of one isotope as the formulas take them; no fission widths."""
     if not rows:
@@ -115,6 +123,8 @@ def resolution_broaden(curves: DataFrame, by: list[str], flight_m: float, dt_us:
 
 
 apply_resolution = models.apply_matrix
+broadened_cross_sections_for_transmission = broaden.effective_sigma
+extended_grid = surrogate.extended_grid
 trace_detectability_survey = models.detectability
 calibrate_energy = calibrate.calibrate_energy
 

@@ -75,10 +75,27 @@ def named_like(names: DataFrame, pattern: str, col: str = "name") -> DataFrame:
 
 def parameter_cards(lines: DataFrame) -> DataFrame:
     """energy_ev, gamma_gamma_ev, gamma_n_ev, gamma_f1_ev, gamma_f2_ev, spin_group of fixed-width resonance cards: five fields of
-    11 characters, widths in meV, the group in columns 65-66. The table ends at its first blank line; a negative group leaves its row out."""
+    11 characters, widths in meV, the group in columns 66-67. The table ends at its first blank line; a negative group leaves its row out."""
     ended = F.max(F.when(F.trim("line") == "", 1).otherwise(0)).over(_in_file())
     rows = lines.withColumn("ended", ended).where("ended = 0")
     f = [S.endf_float(F.substring("line", 1 + 11 * k, 11)) for k in range(5)]
-    group = F.trim(F.substring("line", 65, 2))
+    group = F.trim(F.substring("line", 66, 2))
     rows = rows.select("file", "lineno", f[0].alias("energy_ev"), *[(f[k] / 1000.0).alias(n) for k, n in enumerate(("gamma_gamma_ev", "gamma_n_ev", "gamma_f1_ev", "gamma_f2_ev"), 1)], F.when(group.rlike("^-?[0-9]+$"), group.cast("int")).otherwise(1).alias("spin_group"))
     return rows.where("spin_group >= 0")
+
+
+def radius_cards(lines: DataFrame) -> DataFrame:
+    """file, spin_group, radius_fm from the cards that follow RADIUS up to a blank line or another heading: the effective radius
+    in the first ten columns, spin groups in fields of two from column 25 on, up to the first 0. Of several the last card holds."""
+    head = F.upper(F.trim("line"))
+    rows = lines.withColumn("heads", F.sum(F.when(head.rlike("^[A-Z]") | (head == ""), 1).otherwise(0)).over(_in_file()))
+    first = lines.where(head.startswith("RADIUS")).groupBy(F.col("file").alias("r_file")).agg(F.min("lineno").alias("r_line"))
+    at = rows.join(first, (F.col("file") == F.col("r_file")) & (F.col("lineno") == F.col("r_line"))).select(F.col("file").alias("h_file"), F.col("heads").alias("h_heads"))
+    body = rows.join(at, (F.col("file") == F.col("h_file")) & (F.col("heads") == F.col("h_heads"))).where(~head.startswith("RADIUS"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest((F.length("line") - 24) / 2 - 1, F.lit(0)).cast("int")), lambda k: F.trim(F.substr(F.col("line"), 25 + 2 * k, F.lit(2))))
+    numbers = F.transform(F.filter(cut, lambda x: x.rlike("^-?[0-9]+$")), lambda x: x.cast("int"))
+    zero = F.array_position(numbers, 0)
+    groups = F.filter(F.when(zero > 0, F.slice(numbers, F.lit(1), (zero - 1).cast("int"))).otherwise(numbers), lambda n: n > 0)
+    radius = F.trim(F.substring("line", 1, 10))
+    body = body.where(radius.rlike(NUMBER)).select("file", "lineno", radius.cast("double").alias("radius_fm"), F.explode(groups).alias("spin_group")).where("radius_fm > 0")
+    return body.groupBy("file", "spin_group").agg(F.max_by("radius_fm", "lineno").alias("radius_fm"))

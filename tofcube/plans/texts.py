@@ -12,7 +12,7 @@ FLOATS = ["1.234567+2", " 9.223800+4", "2.360060+2 ", "-1.5-3", "1.0E+5", "1.5D-
 SPECTRUM = ["# comment", "", "energy,counts", "1000.0,0.5", "2000.0\t0.6", " 3000 ", "nan,1", "x", "4e3,1"]
 KERNEL = ["FTS kernel", "-----", "5.0 0.0", "-1.0 0.25", "0.0 0.5", "1.0 0.25", "", "10.0 0.0", "-2.0 0.1", "0.0 0.8", "2.0 0.1"]
 PLOT = ["E data err th0 th1", "1.0 0.5 0.01 0.49 0.495", "2.0 0.6 0.01 0.61", "bad row", "3 .7 1e-2 .69 .7 9"]
-CARDS = [f"{t:<64}{g}" for t, g in ((" 6.674280+0   22.71100    1.49230    0.00000    0.00000 0 0 0 0 0", " 1"), ("    -10.000     23.000      1.000      0.500          -", "-2"), ("1.00000D+02     25.000        2.0", " 2"))] + ["", "      5.000      1.000"]
+CARDS = [f"{t:<65}{g}" for t, g in ((" 6.674280+0   22.71100    1.49230    0.00000    0.00000 0 0 0 0 0", " 1"), ("    -10.000     23.000      1.000      0.500          -", "-2"), ("1.00000D+02     25.000        2.0", " 2"))] + ["", "      5.000      1.000"]
 NAMES = ["a_001.tif", "A_002.TIF", "b_001.tiff", "a_10.tif", "ab.tif", "a_x.tif.bak"]
 
 
@@ -55,6 +55,6 @@ b AS (SELECT lineno, t, sum((t = '')::INT) OVER (ORDER BY lineno) AS blk FROM l)
 SELECT 'f' AS file, ref_energy, k::INT AS k, a AS "offset", w AS weight FROM (SELECT *, first_value(a) OVER (PARTITION BY blk ORDER BY lineno) AS ref_energy, row_number() OVER (PARTITION BY blk ORDER BY lineno) - 2 AS k FROM c) WHERE k >= 0""",
     "plot_rows": f"""WITH l AS (SELECT lineno, regexp_split_to_array(trim(line), '\\s+') AS c FROM (VALUES {_values(PLOT)}) t(lineno, line)), n AS (SELECT lineno, list_transform(c, lambda x: CASE WHEN regexp_matches(x, '{_NUM}') THEN x::DOUBLE END) AS c FROM l)
 SELECT 'f' AS file, lineno::INT AS lineno, c[1] AS energy_kev, c[2] AS data, c[3] AS uncertainty, c[4] AS theory_initial, coalesce(c[5], 0) AS theory_final FROM n WHERE c[1] IS NOT NULL AND c[2] IS NOT NULL AND c[3] IS NOT NULL AND c[4] IS NOT NULL""",
-    "parameter_cards": f"WITH c AS (SELECT lineno, regexp_replace(regexp_replace(replace(substr(line, 1, 11), ' ', ''), '[dD]', 'E', 'g'), '([0-9.])([+-][0-9]+)$', '\\1E\\2') AS e, trim(substr(line, 12, 11))::DOUBLE AS g, trim(substr(line, 23, 11))::DOUBLE AS n, trim(substr(line, 65, 2)) AS s FROM (VALUES {_values(CARDS[:3])}) t(lineno, line)) SELECT lineno::INT AS lineno, e::DOUBLE AS energy_ev, round(g / 1000, 9) AS gamma_gamma_ev, round(n / 1000, 9) AS gamma_n_ev, s::INT AS spin_group FROM c WHERE s::INT >= 0",
+    "parameter_cards": f"WITH c AS (SELECT lineno, regexp_replace(regexp_replace(replace(substr(line, 1, 11), ' ', ''), '[dD]', 'E', 'g'), '([0-9.])([+-][0-9]+)$', '\\1E\\2') AS e, trim(substr(line, 12, 11))::DOUBLE AS g, trim(substr(line, 23, 11))::DOUBLE AS n, trim(substr(line, 66, 2)) AS s FROM (VALUES {_values(CARDS[:3])}) t(lineno, line)) SELECT lineno::INT AS lineno, e::DOUBLE AS energy_ev, round(g / 1000, 9) AS gamma_gamma_ev, round(n / 1000, 9) AS gamma_n_ev, s::INT AS spin_group FROM c WHERE s::INT >= 0",
     "frame_names": "SELECT name, (row_number() OVER (ORDER BY name) - 1)::INT AS frame FROM (VALUES ('a_001.tif'), ('A_002.TIF'), ('b_001.tiff'), ('a_10.tif'), ('ab.tif'), ('a_x.tif.bak')) t(name) WHERE regexp_full_match(name, '(?i)a_.*\\.tif')",
 }
