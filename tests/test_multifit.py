@@ -102,3 +102,21 @@ def test_energy_scale_is_the_axis_formula():
     e = (K.TOF_FACTOR * m.flight_m * 1.002 / (tof - 0.7)) ** 2
     t = X.evaluate(m, ["n_a", "n_b", "t0_us", "l_scale"], np.array([[0.002, 0.003, 0.7, 1.002]]), False)[0][0]
     assert np.allclose(t, np.exp(-np.array([0.002, 0.003]) @ sigma(e)), rtol=1e-3)
+
+
+def test_map_of_groups(spark):
+    from tofcube.operators import spatial as P
+
+    m = model()
+    truth = {"n_a": 0.002, "n_b": 0.003, "a": 0.97}
+    df, x = cells(spark, m, truth, ["n_a", "n_b", "a"], "kl", 12)
+    sample, beam = df.selectExpr("i AS tof_bin", "y", "x", "a AS value"), df.selectExpr("i AS tof_bin", "y", "x", "b AS value")
+    dead = spark.createDataFrame([(0, 1)], "y int, x int")
+    for solver in ("kl", "lm"):
+        got = {(r["y"], r["x"]): r for r in P.fit_groups(P.from_counts(sample, beam), m, P.FitConfig(solver, rois=[(0, 2, 0, 5)]), ("a",), dead).collect()}
+        assert set(got) == {(p // 6, p % 6) for p in range(12) if p % 6 < 5} - {(0, 1)}
+        for (y, c), r in got.items():
+            assert r["converged"] and abs(r["n_a"] - x[6 * y + c, 0]) < 5 * r["err_n_a"] and abs(r["a"] - 0.97) < 5 * r["err_a"]
+    for free, solver in ((("t0_us",), "lm"), (("t0_us", "temperature"), "kl")):
+        with pytest.raises(ValueError):
+            P.fit_groups(P.from_counts(sample, beam), m, P.FitConfig(solver), free)

@@ -134,6 +134,7 @@ from_counts = spatial.from_counts
 from_counts_with_nuisance = spatial.from_counts_with_nuisance
 from_transmission = spatial.from_transmission
 spatial_map_typed = spatial.fit_cube
+spatial_map_groups = spatial.fit_groups
 compute_model_jacobian = multifit.evaluate
 fit_pixels = multifit.fit_pixels
 evaluate_jacobian_and_fisher = multifit.jacobian_and_fisher

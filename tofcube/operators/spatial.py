@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tofcube.functions import scalars as S
 from tofcube.operators import cube as C
-from tofcube.operators import fit
+from tofcube.operators import fit, multifit
 
 #: Solver names and what they stand for. Fixed values.
 SOLVERS = {"auto": "auto", "lm": "lm", "kl": "kl", "poisson": "kl", "joint_poisson": "kl"}
@@ -81,22 +81,25 @@ def check(data: InputData, config: FitConfig) -> str:
     return solver
 
 
-def fit_cube(data: InputData, sigma: DataFrame, config: FitConfig = FitConfig(), dead: DataFrame | None = None) -> DataFrame:
-    """y, x, density, uncertainty, objective_r, iterations, converged of each live pixel. sigma: (tof_bin, energy, sigma), one row per bin."""
-    solver = check(data, config)
+def _cells(data: InputData, config: FitConfig, solver: str, dead: DataFrame | None) -> DataFrame:
+    """tof_bin, y, x, a, b of the live pixels in the regions: what the solver fits."""
     a = data.a if dead is None else data.a.join(dead, ["y", "x"], "left_anti")
     a = a.where(C.in_any(config.rois)) if config.rois else a
     value = lambda df, name: df.select(*C.CELL, F.col("value").cast("double").alias(name))
-    bins = sigma.where(F.col("energy").between(*config.window)) if config.window else sigma
-    bins = F.broadcast(bins.select("tof_bin", F.col("sigma").alias("s")))  # one row per bin of the detector
     if data.kind == "counts" and solver == "kl":
         # the likelihood takes the open beam's mean over live pixels, least squares takes each pixel's own
         live = data.b.join(a.select("y", "x").distinct(), ["y", "x"], "left_semi")
         flux = live.groupBy("tof_bin").agg(F.avg(F.col("value").cast("double")).alias("b"))
-        cells = value(a, "a").join(flux, "tof_bin")
-    else:
-        cells = value(a, "a").join(value(data.b, "b"), C.CELL)
-    cells = cells.join(bins, "tof_bin")
+        return value(a, "a").join(flux, "tof_bin")
+    return value(a, "a").join(value(data.b, "b"), C.CELL)
+
+
+def fit_cube(data: InputData, sigma: DataFrame, config: FitConfig = FitConfig(), dead: DataFrame | None = None) -> DataFrame:
+    """y, x, density, uncertainty, objective_r, iterations, converged of each live pixel. sigma: (tof_bin, energy, sigma), one row per bin."""
+    solver = check(data, config)
+    bins = sigma.where(F.col("energy").between(*config.window)) if config.window else sigma
+    bins = F.broadcast(bins.select("tof_bin", F.col("sigma").alias("s")))  # one row per bin of the detector
+    cells = _cells(data, config, solver, dead).join(bins, "tof_bin")
     if solver == "kl" and data.kind == "transmission":
         objective, one = "poisson", F.struct("tof_bin", F.col("a").alias("t"), "s")
     elif solver == "kl":
@@ -109,6 +112,26 @@ def fit_cube(data: InputData, sigma: DataFrame, config: FitConfig = FitConfig(),
     return fit.fit_map(pixels, F.col("held"), objective, config.start, config.charge, config.iterations)
 
 
+def fit_groups(data: InputData, model: multifit.Model, config: FitConfig = FitConfig(), free: tuple[str, ...] = (), dead: DataFrame | None = None, **more) -> DataFrame:
+    """The map of several densities and the parameters in free: y, x, the columns of multifit.fit_pixels.
+
+    tof_bin numbers the model's bins, in the order of energy. Counts fitted by least squares take no
+    energy scale, and energy scale and temperature are not fitted together."""
+    solver = check(data, config)
+    scale = {"t0_us", "l_scale"} & set(free)
+    if scale and solver == "lm" and data.kind != "transmission":
+        raise ValueError("an energy scale is not fitted to counts by least squares")
+    if scale and "temperature" in free:
+        raise ValueError("energy scale and temperature are not fitted together")
+    cells = _cells(data, config, solver, dead)
+    if solver == "lm" and data.kind != "transmission":
+        t, u = S.transmission(F.col("a"), F.col("b")), S.counts_transmission_sigma(F.col("a"), F.col("b"))
+        cells = cells.select(*C.CELL, t.alias("a"), u.alias("b"))
+    kind = "poisson" if solver == "kl" and data.kind == "transmission" else solver
+    how = multifit.Fit(kind, free, density=config.start, charge=config.charge, iterations=config.iterations, window=config.window, **more)
+    return multifit.fit_pixels(cells.withColumnRenamed("tof_bin", "i"), ["y", "x"], model, how)
+
+
 def with_all_pixels(fits: DataFrame, pixels: DataFrame) -> DataFrame:
     """The map over all pixels (y, x): NaN and not converged where nothing was fitted."""
     nan = F.lit(float("nan"))
