@@ -116,10 +116,10 @@ forward_model = broaden.forward
 
 
 def resolution_broaden(curves: DataFrame, by: list[str], flight_m: float, dt_us: float | None = None, dl_m: float | None = None, kernels: DataFrame | None = None) -> DataFrame:
-    """Gaussian widths, both or none, or tabulated kernels for a single curve; never both."""
+    """Gaussian widths, both or none, or tabulated kernels; never both."""
     if (dt_us is None) != (dl_m is None) or (dt_us is not None) == (kernels is not None):
         raise ValueError("give both widths, or kernels")
-    return extras.tabulated_resolution(curves, kernels, flight_m) if kernels is not None else broaden.gaussian_resolution(curves, flight_m, dt_us, dl_m, by)
+    return extras.tabulated_resolution(curves, kernels, flight_m, by) if kernels is not None else broaden.gaussian_resolution(curves, flight_m, dt_us, dl_m, by)
 
 
 apply_resolution = models.apply_matrix

@@ -117,24 +117,28 @@ def kernels_at(energies: DataFrame, kernels: DataFrame) -> DataFrame:
     return rows.select("e", "k", mix("o1", "o2").alias("offset"), mix("w1", "w2").alias("weight"))
 
 
-def tabulated_resolution(curve: DataFrame, kernels: DataFrame, flight_m: float) -> DataFrame:
-    """e, value: the curve (e, value) seen through tabulated kernels: sums over kernel points of weight times trapezoid
+def tabulated_resolution(curve: DataFrame, kernels: DataFrame, flight_m: float, by: list[str] | None = None) -> DataFrame:
+    """by, e, value: curves (by, e, value) seen through tabulated kernels: sums over kernel points of weight times trapezoid
     width times the curve at the shifted energy, over the sums of those weights. Points without weight, without positive
-    time or off the grid are left out."""
+    time or off the grid are left out. Kernels are interpolated once for each energy, whatever the number of curves."""
+    by = by or []
     w = W.partitionBy("e").orderBy("k")
-    pts = kernels_at(curve.select("e"), kernels).withColumns({"p": F.lag("offset").over(w), "q": F.lead("offset").over(w)})
+    pts = kernels_at(curve.select("e").distinct() if by else curve.select("e"), kernels).withColumns({"p": F.lag("offset").over(w), "q": F.lead("offset").over(w)})
     width = F.when(F.col("p").isNull() & F.col("q").isNull(), 1.0).when(F.col("p").isNull(), F.col("q") - F.col("offset")).when(F.col("q").isNull(), F.col("offset") - F.col("p")).otherwise((F.col("q") - F.col("p")) / 2)
     tof = K.TOF_FACTOR * flight_m / F.sqrt("e") + F.col("offset")
     pts = pts.select("e", (F.col("weight") * F.abs(width)).alias("wt"), F.col("weight"), tof.alias("tof")).where("weight > 0 AND tof > 0")
     pts = pts.select(F.col("e").alias("out"), "wt", F.pow(K.TOF_FACTOR * flight_m / F.col("tof"), F.lit(2.0)).alias("x"))
-    seg = curve.select(F.col("e").alias("x0"), F.col("value").alias("y0"), F.lead("e").over(W.orderBy("e")).alias("x1"), F.lead("value").over(W.orderBy("e")).alias("y1"))
+    if by:
+        pts = pts.join(curve.select(*by, F.col("e").alias("out")), "out")
+    own = W.partitionBy(*by).orderBy("e")
+    seg = curve.select(*[F.col(c).alias(f"s_{c}") for c in by], F.col("e").alias("x0"), F.col("value").alias("y0"), F.lead("e").over(own).alias("x1"), F.lead("value").over(own).alias("y1"))
     last = F.col("x1").isNull()
     inside = (F.col("x") >= F.col("x0")) & ((F.col("x") < F.col("x1")) | (last & (F.col("x") == F.col("x0"))))
     bucket = lambda c: F.floor(F.ln(c) * 50.0)
     seg = seg.withColumn("b", F.explode(F.sequence(bucket("x0"), bucket(F.coalesce("x1", "x0")))))
-    rows = pts.withColumn("xb", bucket("x")).join(seg, (F.col("xb") == F.col("b")) & inside)
+    rows = pts.withColumn("xb", bucket("x")).join(seg, [*(F.col(c) == F.col(f"s_{c}") for c in by), F.col("xb") == F.col("b"), inside])
     y = F.when(last, F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / F.when(last, 1.0).otherwise(F.col("x1") - F.col("x0")))
-    return rows.groupBy(F.col("out").alias("e")).agg((F.sum(F.col("wt") * y) / F.sum("wt")).alias("value"))
+    return rows.groupBy(*by, F.col("out").alias("e")).agg((F.sum(F.col("wt") * y) / F.sum("wt")).alias("value"))
 
 
 def fisher_matrix(sigma: DataFrame, densities: DataFrame, counts: float) -> DataFrame:

@@ -41,6 +41,12 @@ def curve(spark: SparkSession) -> DataFrame:
     return A.grid(spark).select(F.col("value").alias("e"), F.exp(-1.0 / (1.0 + F.pow((F.col("value") - 15.0) / 0.8, F.lit(2.0)))).alias("value"))
 
 
+def curves(spark: SparkSession, sf: str) -> DataFrame:
+    """A curve for each brand of part, its dip at a place of its own."""
+    k = spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().withColumn("at", 10.0 + F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") * 0.3)
+    return A.grid(spark).select(F.col("value").alias("e")).join(F.broadcast(k)).select("p_brand", "e", F.exp(-1.0 / (1.0 + F.pow((F.col("e") - F.col("at")) / 0.8, F.lit(2.0)))).alias("value"))  # some brands
+
+
 def externals(spark: SparkSession) -> DataFrame:
     r = F.struct(F.lit(0.1).alias("con"), F.lit(0.01).alias("lin"), F.lit(0.001).alias("quad"), F.lit(0.2).alias("s_con"), F.lit(0.02).alias("s_lin"), F.lit(2.0).alias("e_low"), F.lit(60.0).alias("e_up"))
     return A.grid(spark).select("i", F.round(X.external_r(F.col("value"), r), 9).alias("r"))
@@ -68,6 +74,7 @@ QUERIES = {
     "background_jacobian": lambda s, d: curve(s).select(R("e").alias("e"), *[R(c).alias(n) for n, c in X.background_jacobian(F.col("value"), F.col("e"), 0.03, 1.5).items()]),
     "kernel_at_energy": lambda s, d: X.kernels_at(A.grid(s).select(F.col("value").alias("e")), kernels(s)).select(R("e").alias("e"), "k", R("offset").alias("offset"), R("weight").alias("weight")),
     "tabulated_resolution": lambda s, d: X.tabulated_resolution(curve(s), kernels(s), L).select(R("e").alias("e"), R("value", 8).alias("value")),
+    "tabulated_resolution_curves": lambda s, d: X.tabulated_resolution(curves(s, d), kernels(s), L, ["p_brand"]).select("p_brand", R("e").alias("e"), R("value", 8).alias("value")),
     "fisher_matrix": lambda s, d: X.fisher_matrix(P.M.group_sigma(P.spectra(s, d).drop("grp"), P.members(s, d)), P.members(s, d).select("grp").distinct().select("grp", (0.0005 * (1 + F.col("grp").cast("int") % 4)).alias("n")), 1e3).select("g1", "g2", R("fisher", 4).alias("fisher")),
     "noisy_cube": lambda s, d: X.add_poisson_noise(C.C.to_spectra(C.cells(s, d), "transmission"), 1e4, 7),
     "embedded_size": lambda s, d: project.embedded_size(C.full(s, d, "view")),
@@ -93,6 +100,11 @@ SELECT i, round(CASE WHEN i >= 2 THEN v1 ELSE 0 END + CASE WHEN i >= 1 THEN 5 *
 pt AS (SELECT e AS oe, w * abs(CASE WHEN p IS NULL AND q IS NULL THEN 1 WHEN p IS NULL THEN q - o WHEN q IS NULL THEN o - p ELSE (q - p) / 2 END) AS wt, pow({_FL} / ({_FL} / sqrt(e) + o), 2) AS x FROM wd WHERE w > 0 AND {_FL} / sqrt(e) + o > 0),
 cv AS (SELECT value AS x0, exp(-1 / (1 + pow((value - 15) / 0.8::DOUBLE, 2))) AS y0, lead(value) OVER (ORDER BY i) AS x1, exp(-1 / (1 + pow((lead(value) OVER (ORDER BY i) - 15) / 0.8::DOUBLE, 2))) AS y1 FROM gr)
 SELECT round(oe, 9) AS e, round(sum(wt * coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0)) / sum(wt), 8) AS value FROM pt JOIN cv ON x >= x0 AND (x < x1 OR (x1 IS NULL AND x = x0)) GROUP BY oe""",
+    "tabulated_resolution_curves": f"""WITH {_AT}, wd AS (SELECT *, lag(o) OVER x AS p, lead(o) OVER x AS q FROM ka WINDOW x AS (PARTITION BY e ORDER BY k)),
+pt AS (SELECT e AS oe, w * abs(CASE WHEN p IS NULL AND q IS NULL THEN 1 WHEN p IS NULL THEN q - o WHEN q IS NULL THEN o - p ELSE (q - p) / 2 END) AS wt, pow({_FL} / ({_FL} / sqrt(e) + o), 2) AS x FROM wd WHERE w > 0 AND {_FL} / sqrt(e) + o > 0),
+br AS (SELECT DISTINCT p_brand, 10 + regexp_extract(p_brand, '([0-9]+)$', 1)::INT * 0.3::DOUBLE AS m FROM part),
+cv AS (SELECT p_brand, value AS x0, exp(-1 / (1 + pow((value - m) / 0.8::DOUBLE, 2))) AS y0, lead(value) OVER z AS x1, exp(-1 / (1 + pow((lead(value) OVER z - m) / 0.8::DOUBLE, 2))) AS y1 FROM gr, br WINDOW z AS (PARTITION BY p_brand ORDER BY i))
+SELECT p_brand, round(oe, 9) AS e, round(sum(wt * coalesce(y0 + (y1 - y0) * (x - x0) / (x1 - x0), y0)) / sum(wt), 8) AS value FROM pt JOIN cv ON x >= x0 AND (x < x1 OR (x1 IS NULL AND x = x0)) GROUP BY p_brand, oe""",
     "fisher_matrix": f"WITH {P.SP}, g AS (SELECT grp, i, sum(sigma / n) AS sigma FROM sp JOIN (SELECT label::VARCHAR AS grp, count(*) AS n FROM embeddings GROUP BY 1) USING (grp) GROUP BY grp, i), t AS (SELECT i, exp(-sum(0.0005::DOUBLE * (1 + grp::INT % 4) * sigma)) AS t FROM g GROUP BY i) SELECT a.grp AS g1, b.grp AS g2, round(sum(1e3 * a.sigma * b.sigma * t), 4) AS fisher FROM g a JOIN g b ON a.i = b.i AND a.grp <= b.grp JOIN t ON t.i = a.i GROUP BY ALL",
     "embedded_size": f"WITH {C.EV} SELECT count(*) * 8 AS raw_bytes, floor(count(*) * 8 / 3.0)::BIGINT AS compressed_bytes FROM vw",
     "map_report_rows": f"WITH {C.EV}, {C.NORM} SELECT 'a\\|' || y AS label, count(*) FILTER (WHERE isfinite(sigma)) AS n_converged, count(*) AS n_total FROM nm GROUP BY y",
