@@ -89,3 +89,20 @@ def test_files(spark):
     k2 = 2 * 939.56542052e6 * (236.006 / 237.006) ** 2 * 223 / hc**2
     pre = math.pi / k2 / 100 * 4 / 4 * 2 * math.pi * gn / d / (gn + gg + gx)
     assert math.isclose(xs[0]["capture"], pre * gg, rel_tol=1e-9) and math.isclose(xs[0]["total"], pre * (gn + gg + gx) + 4 * math.pi * 0.81, rel_tol=1e-9)
+
+
+def test_background_terms(spark):
+    """A real R added to the neutron channel: against the one-channel formula in numpy."""
+    e = np.linspace(1.0, 60.0, 80)
+    t = spark.createDataFrame([("u", float(x)) for x in e], "za string, e double")
+    res = spark.createDataFrame([("u", 236.006, 9.48, 0, 0.5, 6.67, 0.0015, 0.023, 0.0), ("u", 236.006, 9.48, 1, 0.5, 11.0, 1e-6, 0.023, 0.0)], "za string, awr double, radius double, l int, j double, er double, gn double, gg double, gf double")
+    ext = spark.createDataFrame([("u", 0, -0.5, 0.05, 1e-4, 1e-6, 0.02, 1e-4, -100.0, 900.0)], "za string, l int, j double, con double, lin double, quad double, s_con double, s_lin double, e_low double, e_up double")
+    got = np.array([r["total"] for r in M.reich_moore(t, res, external=ext).orderBy("e").collect()])
+    plain = np.array([r["total"] for r in M.reich_moore(t, res).orderBy("e").collect()])
+    only = np.array([r["total"] for r in M.reich_moore(t, res.where("l = 0")).orderBy("e").collect()])
+    k = lambda x: L.wave_number(x * 236.006 / 237.006, 236.006 / 237.006)
+    rho = k(e) * 9.48
+    bg = 0.05 + 1e-4 * e + 1e-6 * e * e - (0.02 + 1e-4 * e) * np.log((900 - e) / (e + 100)) + 1e-4 * 1000
+    r = (0.0015 / (2 * k(np.array([6.67])) * 9.48)) / (6.67 - e - 0.0115j)
+    total = lambda r: 2 * math.pi / k(e) ** 2 / 100 * (1 - (np.exp(-2j * rho) * (1 + 1j * rho * r) / (1 - 1j * rho * r)).real)
+    assert np.allclose(only, total(r), rtol=1e-8) and np.allclose(got - plain, total(r + bg) - total(r), rtol=1e-6, atol=1e-7)

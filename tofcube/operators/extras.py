@@ -80,13 +80,7 @@ def kernel_parameters(dl: Column, dg: Column, de: Column, off: Column) -> Column
     return F.when(some, F.struct((dg / (2.0 * 0.6931471805599453**0.5)).alias("dt_us"), (dl / 6.0**0.5).alias("dl_m"), de.alias("de")))
 
 
-def external_r(e: Column, r: Column) -> Column:
-    """Background R at e from a struct (con, lin, quad, s_con, s_lin, e_low, e_up): the logarithm only where both of its distances are positive."""
-    up, low = r["e_up"] - e, e - r["e_low"]
-    base = r["con"] + r["lin"] * e + r["quad"] * e * e
-    both = (up > 0) & (low > 0)
-    log = F.ln(F.when(both, up).otherwise(1.0) / F.when(both, low).otherwise(1.0))
-    return base + F.when(both, -(r["s_con"] + r["s_lin"] * e) * log).otherwise(0.0) + r["s_lin"] * (r["e_up"] - r["e_low"])
+external_r = S.external_r
 
 
 def background_jacobian(t: Column, e: Column, b_d: float, b_f: float) -> dict[str, Column]:

@@ -96,7 +96,7 @@ def _kinematics(energies: DataFrame, res: DataFrame, spin: float) -> DataFrame:
     inside = F.col("e_low").isNull() | ((F.col("e") >= F.col("e_low")) & ((F.col("e") < F.col("e_high")) | (~F.coalesce("open", F.lit(False)) & (F.col("e") == F.col("e_high")))))
     rho = k(F.col("e")) * F.col("radius")
     left = energies.select("za", "e").distinct().join(groups, "za").where(inside)
-    left = left.select("za", "e", "gid", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), rho).alias("phi"), S.penetrability(F.col("l"), rho).alias("p"), F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int").alias("salt"))
+    left = left.select("za", "e", "gid", "l", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), rho).alias("phi"), S.penetrability(F.col("l"), rho).alias("p"), F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int").alias("salt"))
     rho_r = k(F.abs("er")) * F.col("radius")
     right = rows.withColumn("pr", S.penetrability(F.col("l"), rho_r))
     right = right.select(F.col("gid").alias("r_gid"), F.round("j", 9).alias("j"), S.statistical_weight(F.col("j"), F.col("spin")).alias("g"), "er", "gn", "gg", "gfa", "gfb", (F.abs("gfa") + F.abs("gfb")).alias("gf"), "pr", (F.abs("gn") / F.sqrt(F.abs("er")) / F.col("pr")).alias("gnr"))
@@ -147,9 +147,12 @@ def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
 _PAIRS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
 
 
-def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
+def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0, external: DataFrame | None = None) -> DataFrame:
     """Reich-Moore with a neutron channel and up to two of fission.
 
+    external: background terms (za, l, j, con, lin, quad, s_con, s_lin, e_low, e_up) of functions.scalars.external_r,
+    a dimension, added to the neutron channel's R of their (l, j).
+
     R_ij = sum b_i b_j / (er - e - i gg/2) of each (l, j) are grouped sums; the 3 by 3 systems of
     the groups are then solved in batches. With L = iP for the neutron and i for fission,
     A = (1/L - R)**-1 R gives U_nn = exp(-2 i phi) (1 + 2 A_nn) and |U_nf|**2 = 4 |A_nf|**2 / P;
@@ -161,10 +164,16 @@ def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataF
     den = F.col("d") * F.col("d") + half * half
     real, imag = -F.col("d") / den, half / den
     sums = rows.groupBy(_GROUP).agg(
-        F.first(F.col("pk") * F.col("g")).alias("unit"), F.first("phi").alias("phi"), F.first("p").alias("p"),
+        F.first(F.col("pk") * F.col("g")).alias("unit"), F.first("phi").alias("phi"), F.first("p").alias("p"), F.first("l").alias("l"),
         F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}") * real) for i, j in _PAIRS]).alias("re"),
         F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}") * imag) for i, j in _PAIRS]).alias("im"),
     )
+    if external is not None:
+        terms = ["con", "lin", "quad", "s_con", "s_lin", "e_low", "e_up"]
+        x = external.select(F.col("za").alias("x_za"), F.col("l").alias("x_l"), F.round(F.abs("j"), 9).alias("x_j"), F.struct(*terms).alias("x"))
+        sums = sums.join(x, (F.col("za") == F.col("x_za")) & (F.col("l") == F.col("x_l")) & (F.col("j") == F.col("x_j")), "left")
+        more = F.when(F.col("x").isNotNull(), S.external_r(F.col("e"), F.col("x"))).otherwise(0.0)
+        sums = sums.withColumn("re", F.transform("re", lambda v, k: F.when(k == 0, v + more).otherwise(v)))
     solved = sums.select("za", "e", "unit", "phi", "p", "re", "im").mapInArrow(_solve_channels, "za string, e double, elastic double, capture double, fission double")
     return _totals(solved)
 
