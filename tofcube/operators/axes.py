@@ -14,6 +14,17 @@ from tofcube import constants as K
 from tofcube.functions import scalars as S
 
 
+#: Rows of a dimension that may be broadcast.
+MOST_ROWS = 1_000_000
+
+
+def bounded(rows: DataFrame, by: str, most: int = MOST_ROWS) -> DataFrame:
+    """A dimension for broadcasting: with more than `most` rows, numbered by the column, the query ends with an error."""
+    n = F.row_number().over(W.orderBy(by))
+    fits = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} rows in a dimension to be broadcast")).cast("boolean"))
+    return F.broadcast(rows.withColumn("_n", n).where(fits).drop("_n"))
+
+
 def linspace_edges(spark: SparkSession, lo: float, hi: float, n: int) -> DataFrame:
     """n + 1 edges."""
     return spark.range(n + 1).select(F.col("id").cast("int").alias("i"), (F.lit(lo) + F.col("id") * (hi - lo) / n).alias("value"))

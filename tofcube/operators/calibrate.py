@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
+from tofcube.operators.axes import bounded
 
 SCALES, OFFSETS, DENSITIES = 11, 9, 5
 
@@ -151,7 +152,7 @@ def grid_search(spectrum: DataFrame, flight_m: float) -> DataFrame:
     good = spectrum.where("NOT isnan(t) AND abs(t) < double('inf') AND sigma > 0 AND sigma < double('inf')")
     points = grid(spectrum.sparkSession)
     tof = K.TOF_FACTOR * flight_m / F.sqrt("e")
-    cells = points.join(F.broadcast(good), F.lit(True))  # one spectrum; its bins are the bound
+    cells = points.join(bounded(good, "e", 100_000), F.lit(True))  # one spectrum
     e = F.pow(K.TOF_FACTOR * flight_m * F.col("l_scale") / (tof - F.col("t0_us")), F.lit(2.0))
     model = F.exp(-F.col("n") / (1.0 + F.pow((e - 6.0) / 0.2, F.lit(2.0))))
     r = (F.col("t") - model) / F.col("sigma")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tofcube import constants as K
 from tofcube.functions import scalars as S
+from tofcube.operators.axes import bounded
 from tofcube.operators.isotopes import z_to_symbol
 
 
@@ -96,7 +97,7 @@ def kernels_at(energies: DataFrame, kernels: DataFrame) -> DataFrame:
     size = kernels.groupBy("ref_energy").agg(F.count("*").alias("m"))
     refs = size.select(F.col("ref_energy").alias("lo"), F.col("m").alias("m_lo"), F.lead("ref_energy").over(W.orderBy("ref_energy")).alias("hi"), F.lead("m").over(W.orderBy("ref_energy")).alias("m_hi"), (F.row_number().over(W.orderBy("ref_energy")) == 1).alias("lowest"))
     e = F.col("e")
-    at = energies.join(F.broadcast(refs), ((e > F.col("lo")) | F.col("lowest")) & (F.col("hi").isNull() | (e <= F.col("hi"))))  # one row per reference kernel
+    at = energies.join(bounded(refs, "lo", 10_000), ((e > F.col("lo")) | F.col("lowest")) & (F.col("hi").isNull() | (e <= F.col("hi"))))  # one row per reference kernel
     inside = (e > F.col("lo")) & F.col("hi").isNotNull()
     frac = F.when(inside, (F.ln("e") - F.ln("lo")) / (F.ln("hi") - F.ln("lo"))).otherwise(0.0)
     at = at.withColumn("frac", frac)

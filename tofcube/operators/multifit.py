@@ -30,6 +30,8 @@ from tofcube import constants as K
 BOUNDS = {"temperature": (293.6, 1.0, 5000.0), "t0_us": (0.0, -10.0, 10.0), "l_scale": (1.0, 0.99, 1.01), "a": (1.0, 0.5, 2.0), "b_a": (0.0, -0.5, 0.5), "b_b": (0.0, -0.5, 0.5), "b_c": (0.0, -0.5, 0.5), "b_d": (0.01, 0.0, 1.0), "b_f": (1.0, 0.0, 100.0)}
 #: Bytes of dimensions that may be broadcast.
 MOST_BYTES = 256 << 20
+#: Rows of a table of dimensions that may be read to the driver.
+MOST_ROWS = 4_000_000
 
 
 @dataclass
@@ -296,15 +298,29 @@ def fit_pixels(cells: DataFrame, by: list[str], model: Model, fit: Fit = Fit(),
 
 
 def model_of(sigma: DataFrame, axis: DataFrame, **more) -> Model:
-    """A model from tables sigma (grp, i, sigma; optionally temperature) and axis (i, energy): dimensions, whose size is checked."""
-    e = axis.orderBy("i").toPandas()
-    t = sigma.toPandas()
-    if "temperature" not in t:
-        t["temperature"] = 293.6
-    groups, nodes = sorted(t.grp.astype(str).unique()), np.sort(t.temperature.unique())
-    out = np.zeros((len(groups), len(nodes), len(e)))
-    out[np.searchsorted(groups, t.grp.astype(str)), np.searchsorted(nodes, t.temperature), np.searchsorted(e.i, t.i)] = t.sigma
-    return Model(groups, e.energy.to_numpy(), out, nodes=nodes, **more)
+    """A model from tables sigma (grp, i, sigma; optionally temperature, else 293.6) and axis (i, energy), numbered by energy.
+
+    Both are dimensions: more than MOST_ROWS rows of either are refused before they reach the driver.
+    A row on no bin of the axis or a repeated row is refused; a bin without a row, or a null one, has no cross section."""
+    if "temperature" not in sigma.columns:
+        sigma = sigma.withColumn("temperature", F.lit(293.6))
+    sigma = sigma.select(F.col("grp").cast("string"), F.col("temperature").cast("double"), F.col("i").cast("bigint"), F.col("sigma").cast("double"))
+    axis = axis.select(F.col("i").cast("bigint"), F.col("energy").cast("double"))
+    t, e = (d.limit(MOST_ROWS + 1).toArrow() for d in (sigma, axis))
+    if max(t.num_rows, e.num_rows) > MOST_ROWS:
+        raise ValueError(f"a dimension has more than {MOST_ROWS} rows")
+    e = e.sort_by("i")
+    groups, g = np.unique(t.column("grp").to_numpy().astype(str), return_inverse=True)
+    nodes, k = np.unique(t.column("temperature").to_numpy(), return_inverse=True)
+    bins, i = e.column("i").to_numpy(), t.column("i").to_numpy()
+    if not np.isin(i, bins).all():
+        raise ValueError("a cross section lies on no bin of the axis")
+    at = g, k, np.searchsorted(bins, i)
+    out = np.full((len(groups), len(nodes), len(bins)), np.nan)
+    out[at] = t.column("sigma").to_numpy()
+    if len(np.unique(np.ravel_multi_index(at, out.shape))) < len(i):
+        raise ValueError("a group has two cross sections on one bin and temperature")
+    return Model(groups.tolist(), e.column("energy").to_numpy(), np.where(np.isnan(out), 0.0, out), nodes=nodes, **more)
 
 
 def jacobian_and_fisher(cells: DataFrame, model: Model, names: list[str], values: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tofcube.functions import scalars as S
+from tofcube.operators import axes as A
 from tofcube.operators import cube as C
 from tofcube.operators import fit, multifit
 
@@ -98,7 +99,7 @@ def fit_cube(data: InputData, sigma: DataFrame, config: FitConfig = FitConfig(),
     """y, x, density, uncertainty, objective_r, iterations, converged of each live pixel. sigma: (tof_bin, energy, sigma), one row per bin."""
     solver = check(data, config)
     bins = sigma.where(F.col("energy").between(*config.window)) if config.window else sigma
-    bins = F.broadcast(bins.select("tof_bin", F.col("sigma").alias("s")))  # one row per bin of the detector
+    bins = A.bounded(bins.select("tof_bin", F.col("sigma").alias("s")), "tof_bin")
     cells = _cells(data, config, solver, dead).join(bins, "tof_bin")
     if solver == "kl" and data.kind == "transmission":
         objective, one = "poisson", F.struct("tof_bin", F.col("a").alias("t"), "s")
