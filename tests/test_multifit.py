@@ -96,6 +96,26 @@ def test_information(spark):
     assert np.allclose(mu, o * t) and np.allclose(jac, -(o * s * t).T) and np.allclose(info, (o * s * t) @ s.T)
 
 
+    by_steps = X.jacobian_and_fisher(df, m, ["n_a", "n_b"], [0.002, 0.003], 1e-8)
+    assert np.allclose(by_steps[0], jac, rtol=1e-3, atol=1e-4 * np.abs(jac).max()) and np.allclose(by_steps[1], info, rtol=1e-3) and np.allclose(by_steps[2], mu)
+
+
+def test_differences_step_back_from_an_upper_bound():
+    m = model()
+    names = ["n_a", "n_b", "a", "b_a", "b_b", "b_c"]
+    x = np.array([[0.002, 0.003, 2.0, 0.5, 0.5, 0.5], [0.001, 0.0, 1.0, 0.0, 0.0, -0.5]])
+    _, j = X.evaluate(m, names, x)
+    assert np.allclose(X.differences(m, names, x, 1e-8), j, rtol=1e-3, atol=1e-4 * np.abs(j).max())
+    seen = []
+    plain = X.evaluate
+    try:
+        X.evaluate = lambda m, names, x, slopes=True: (seen.append(x), plain(m, names, x, slopes))[1]
+        X.differences(m, names, x)
+    finally:
+        X.evaluate = plain
+    assert all((v[:, 2] <= 2.0).all() and (v[:, 3:] <= 0.5).all() for v in seen)
+
+
 def test_energy_scale_is_the_axis_formula():
     m = model(fine=True)
     tof = K.TOF_FACTOR * m.flight_m / np.sqrt(E)

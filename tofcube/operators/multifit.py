@@ -323,9 +323,23 @@ def model_of(sigma: DataFrame, axis: DataFrame, **more) -> Model:
     return Model(groups.tolist(), e.column("energy").to_numpy(), np.where(np.isnan(out), 0.0, out), nodes=nodes, **more)
 
 
-def jacobian_and_fisher(cells: DataFrame, model: Model, names: list[str], values: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Without a fit: the derivatives (bin, parameter), the information J' diag(1 / mu) J and mu = O T summed over all cells (i, b: open-beam counts)."""
-    t, j = evaluate(model, names, np.array([values], float))
+def differences(m: Model, names: list[str], x: np.ndarray, step: float = 1e-6) -> np.ndarray:
+    """Derivatives (pixel, bin, parameter) at x (pixel, parameter) by forward steps of step * (1 + |p|), backward where the upper bound is in the way."""
+    t, _ = evaluate(m, names, x, False)
+    top = np.array([BOUNDS[c][2] if c in BOUNDS else np.inf for c in names])
+    h = step * (1.0 + np.abs(x))
+    h = np.where(x + h > top, -h, h)
+    moved = [evaluate(m, names, x + h * one, False)[0] for one in np.eye(len(names))]
+    return np.stack([(v - t) / h[:, k, None] for k, v in enumerate(moved)], 2)
+
+
+def jacobian_and_fisher(cells: DataFrame, model: Model, names: list[str], values: list[float], step: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without a fit: the derivatives (bin, parameter), the information J' diag(1 / mu) J and mu = O T summed over all cells (i, b: open-beam counts).
+
+    With a step the derivatives are differences."""
+    x = np.array([values], float)
+    t, j = evaluate(model, names, x, step is None)
+    j = j if step is None else differences(model, names, x, step)
     o = np.zeros(len(model.energies))
     for i, b in cells.groupBy("i").agg(F.sum("b").alias("b")).collect():  # one row for each bin
         o[i] = b
