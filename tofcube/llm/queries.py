@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tofcube.llm import decontam, lines, near, packing, quality, shards, substrings, tokens, urls, warc
+from tofcube.llm import decontam, lines, near, packing, quality, resample, shards, substrings, tokens, urls, warc
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -235,6 +235,43 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "archive", "ordinal", "start", "stop", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
+# -- 11 ----------------------------------------------------------------------------
+
+RESAMPLE = resample.ResampleRules(orders=1, buckets=10000, min_words=20, percent=10, seed=2024)
+
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), RESAMPLE)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def crc32_sql(text: str, tab: str = "crc_t") -> str:
+    """The CRC-32 of a text in SQL, byte by byte; CRC_TABLE gives the column of its 256 entries."""
+    h = f"hex(encode({text}))"
+    each = f"list_transform(range(length({h}) // 2), lambda i: ('0x' || substr({h}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(c >> 8, {tab}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_t)"
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, {_WORDS3} AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, unnest(w) AS word FROM d),
+y AS MATERIALIZED (SELECT unnest({_WORDS3}) AS word FROM benchmark),
+k AS MATERIALIZED (SELECT word, {crc32_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM x UNION ALL SELECT word FROM y)), crc),
+g AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, sum(s) AS s, sum(t) AS t FROM (SELECT bucket, 1 AS s, 0 AS t FROM x JOIN k USING (word) UNION ALL SELECT bucket, 0, 1 FROM y JOIN k USING (word)) GROUP BY bucket)),
+v AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM x JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+s AS MATERIALIZED (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+         ('0x' || sha256('2024:' || doc_id::VARCHAR)[1:8])::BIGINT AS h FROM d LEFT JOIN v USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM s),
+r AS (SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS rn, count(*) FILTER (WHERE n_features >= 20) OVER () AS fits FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND rn <= fits * 10 // 100 THEN rn END AS rank FROM r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
@@ -246,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_merkle_audit": op10_merkle_audit,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -255,4 +293,5 @@ ORACLES: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op9_quality_rules": _op9_sql(),
+    "op11_importance_resampling": OP11_SQL,
 }
