@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tofcube.llm import decontam, lines, near, packing, quality, resample, shards, substrings, tokens, urls, warc
+from tofcube.llm import concat, decontam, dialogue, lines, near, packing, quality, resample, shards, substrings, tokens, urls, warc
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -272,6 +272,79 @@ r AS (SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_featu
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND rn <= fits * 10 // 100 THEN rn END AS rank FROM r
 """
 
+# -- 12 ----------------------------------------------------------------------------
+
+
+def op12_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = concat.concatenate_and_cut(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), capacity=1024, end_id=0)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+# -- 13 ----------------------------------------------------------------------------
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text after the damage that the contract states; nulls are one space, in the key too."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20)).alias("d")).where("d <> 0")
+    text = F.when(F.col("d") == 1, F.lit("")).when(F.col("d") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("d") == 4, F.lit("user")).otherwise(F.col("role"))
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("d") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = dialogue.repair(damaged(rows)).withColumnRenamed("conv_id", "f_conv")
+    out = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("f_conv")), "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", sha256(F.lit(""))).alias("repaired_sha256"))
+
+
+def _op13_sql() -> str:
+    """Backwards over the rows, each state's cheapest edits to the end as text: the cost in eight digits, then the letters, so that the least text is the least cost and then the least in ASCII."""
+    add = lambda v, cost, letter: f"(lpad((({v}[1:8])::BIGINT + {cost})::VARCHAR, 8, '0') || '{letter}' || {v}[9:])"
+    initials, edit = "sua", []
+    for q in range(4):
+        keep = " ".join(f"WHEN initial = '{initials[k]}' THEN {add(f'v{dialogue.SAID[q][k]}', 'cut', 'K')}" for k in range(3) if dialogue.SAID[q][k] >= 0)
+        edit.append(f"least({add(f'v{q}', 3, 'D')}, CASE WHEN NOT gone THEN {add(f'v{dialogue.NEXT[q]}', '2 + cut', 'R')} ELSE '9' END, CASE WHEN gone THEN '9' {keep} ELSE '9' END) AS e{q}")
+    put = []
+    for q in range(4):
+        one = add(f"e{dialogue.NEXT[q]}", 2, "I")
+        two = add(f"e{dialogue.NEXT[dialogue.NEXT[q]]}", 4, "II")
+        put.append(f"least(e{q}, {one}, {two}) AS v{q}")
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(key)} % 20 AS d FROM conversations, crc),
+x AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM d, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) WHERE d <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k, rtrim(text, {white}) AS bare FROM x),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS dup FROM n),
+r AS MATERIALIZED (SELECT conv_id, turn, role, text, k, blank, dup, left(role, 1) AS initial, blank OR dup AS gone, CASE WHEN NOT blank AND NOT dup AND right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut FROM f),
+p AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS prior FROM r),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, sum(cut)::BIGINT AS truncated,
+      count(*) FILTER (WHERE prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM p GROUP BY conv_id),
+t AS (
+  SELECT conv_id, n + 1 AS k, '00000000' AS v0, '00000004II' AS v1, '00000002I' AS v2, '00000000' AS v3 FROM s
+  UNION ALL
+  SELECT conv_id, k, {", ".join(put)} FROM (SELECT t.conv_id, r.k, {", ".join(edit)} FROM t JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.k = t.k - 1)
+),
+a AS MATERIALIZED (SELECT conv_id, v0[1:8]::BIGINT AS cost, v0[9:] AS audit FROM t WHERE k = 1),
+l AS (SELECT conv_id, j, audit[j] AS letter FROM a, unnest(range(1, length(audit) + 1)) AS u(j)),
+m AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS k, count(*) FILTER (WHERE letter <> 'D') OVER w AS place FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+o AS (SELECT m.conv_id, j, letter, place, r.role, r.text, max(CASE WHEN place = 1 AND letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS headed
+      FROM m LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.k = m.k AND letter <> 'I' WHERE letter <> 'D'),
+h AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS repaired FROM o GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
@@ -284,6 +357,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_merkle_audit": op10_merkle_audit,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_concatenate_and_cut": op12_concatenate_and_cut,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -294,4 +369,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op9_quality_rules": _op9_sql(),
     "op11_importance_resampling": OP11_SQL,
+    "op13_conversation_repair": _op13_sql(),
 }
