@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +38,17 @@ from tofcube.llm.common import bound_batches, work_table
 CHUNK, TOGETHER = 1 << 15, 1 << 19
 #: A single space between ASCII letters: byte-level pre-tokenizers start a piece there, whatever is around.
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A space between white space and white space or the end, and the other spaces: where no special string is near, a piece starts at each of these.
+_INSIDE, _STARTS = re.compile(r"\s (?=\s|\Z)"), re.compile(r"(?<=\S) | (?=\S)")
 
 
 class Encoder:
-    """A tokenizer file as a function of texts; without added tokens, truncation or padding."""
+    """A tokenizer file as a function of texts; without added tokens, truncation or padding.
+
+    Byte-level vocabularies are looked up by word: words between spaces where a piece always
+    starts are encoded by the tokenizer once, and kept in two dictionaries that start anew at MOST."""
+
+    MOST, LONG = 500_000, 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
@@ -51,9 +59,15 @@ class Encoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        plain = all(not (a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"])) for a in spec.get("added_tokens", []))
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        plain = all(not (a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"])) for a in added)
         self.cuts = plain and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.special = [a["content"] for a in added]
+        names = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.lengths[list(names.values())] = [len(x) for x in names]
+        self.heads: dict[str, bytes] = {}  # words that start a text, to their ids of four bytes each
+        self.words: dict[str, bytes] = {}  # words behind a space
 
     def chunks(self, text: str) -> list[str]:
         out, at = [], 0
@@ -62,24 +76,57 @@ class Encoder:
             at = m.start()
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        pieces = [self.chunks(t) for t in texts]
-        flat = [c for p in pieces for c in p]
-        ids: list[np.ndarray] = []
+    def _together(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each, some at a time."""
         at = 0
-        while at < len(flat):
+        while at < len(texts):
             stop, held = at, 0
-            while stop < len(flat) and (stop == at or held + len(flat[stop]) <= TOGETHER):
-                held += len(flat[stop])
+            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= TOGETHER):
+                held += len(texts[stop])
                 stop += 1
-            ids += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(flat[at:stop], add_special_tokens=False)]
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[at:stop], add_special_tokens=False))
             at = stop
-        out, at = [], 0
-        for p in pieces:
-            out.append(ids[at] if len(p) == 1 else np.concatenate(ids[at : at + len(p)]))
-            at += len(p)
-        return out
+
+    def _learn(self, held: dict[str, bytes], words: set[str], before: str) -> list[str]:
+        """Encode the words that aren't held; those too long to be kept are returned."""
+        new = [w for w in words if w not in held]
+        if len(held) + len(new) > self.MOST:
+            held.clear()
+            new = list(words)
+        alone = new
+        if before:  # in a row, where each starts a piece; a token is as many bytes as its name has letters
+            row = [w for w in new if w[:1].strip() and len(w) <= self.LONG]
+            for at in range(0, len(row), 4096):
+                some = row[at : at + 4096]
+                ids = np.array(next(self._together([before + before.join(some)])), np.int32)
+                ends = np.cumsum([len(w.encode()) + 1 for w in some])
+                stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
+                raw = ids.tobytes()
+                held.update(zip(some, (raw[4 * x : 4 * y] for x, y in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)), strict=True))
+            alone = [w for w in new if w not in held]
+        held.update(zip(alone, (array("i", ids).tobytes() for ids in self._together([before + w for w in alone])), strict=True))
+        return [w for w in new if len(w) > self.LONG]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split: dict[int, list[str]] = {}
+        for i, t in enumerate(texts):
+            if self.cuts and not any(s in t for s in self.special):
+                split[i] = _STARTS.split(t) if _INSIDE.search(t) else t.split(" ")
+        heads = [p[0] for p in split.values()]
+        for p in split.values():
+            del p[0]
+        long = [(self.heads, self._learn(self.heads, set(heads), "")), (self.words, self._learn(self.words, set().union(*split.values()), " "))]
+        find = self.words.__getitem__
+        out = {i: np.frombuffer(b"".join([self.heads[h], *map(find, p)]), np.int32) for h, (i, p) in zip(heads, split.items(), strict=True)}
+        for held, words in long:
+            for w in words:
+                del held[w]
+        pieces = {i: self.chunks(t) for i, t in enumerate(texts) if i not in split}
+        ids = self._together([c for p in pieces.values() for c in p])
+        for i, p in pieces.items():
+            out[i] = np.array([x for _ in p for x in next(ids)], np.int32)
+        return [out[i] for i in range(len(texts))]
 
 
 @lru_cache(2)
