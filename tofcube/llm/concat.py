@@ -46,9 +46,10 @@ class Encoder:
     """A tokenizer file as a function of texts; without added tokens, truncation or padding.
 
     Byte-level vocabularies are looked up by word: words between spaces where a piece always
-    starts are encoded by the tokenizer once, and kept in two dictionaries that start anew at MOST."""
+    starts are encoded by the tokenizer once, and kept. A dictionary of more than MOST words is
+    set aside for a new one, into which it gives what is met again until that is full too."""
 
-    MOST, LONG = 500_000, 48
+    MOST, LONG = 400_000, 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
@@ -68,6 +69,7 @@ class Encoder:
         self.lengths[list(names.values())] = [len(x) for x in names]
         self.heads: dict[str, bytes] = {}  # words that start a text, to their ids of four bytes each
         self.words: dict[str, bytes] = {}  # words behind a space
+        self.older: dict[str, bytes] = {}  # such words of before
 
     def chunks(self, text: str) -> list[str]:
         out, at = [], 0
@@ -91,8 +93,13 @@ class Encoder:
         """Encode the words that aren't held; those too long to be kept are returned."""
         new = [w for w in words if w not in held]
         if len(held) + len(new) > self.MOST:
+            if before:
+                self.older = dict(held)
             held.clear()
             new = list(words)
+        if before:
+            held.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in held]
         alone = new
         if before:  # in a row, where each starts a piece; a token is as many bytes as its name has letters
             row = [w for w in new if w[:1].strip() and len(w) <= self.LONG]
