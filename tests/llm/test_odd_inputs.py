@@ -102,20 +102,26 @@ def test_layout_does_not_depend_on_the_split(spark):
 
 
 def test_tree_hashes(spark):
-    """Leaves, a level and the root against hashlib."""
-    index = common.work_table(warc.archive_index(warc_pages(spark, 40), "page_id", "bytes", archive_rows=16), "idx")
-    rows = index.withColumn("node", warc.leaf_of(16)).collect()
-    leaves = defaultdict(Counter)
+    """Ranges, archives, a level and the root against hashlib."""
+    index = common.work_table(warc.archive_index(warc_pages(spark, 40), "page_id", "bytes", archive_rows=8), "idx")
+    cuts = {r["record_key"] for r in index.where(F.pmod(F.xxhash64("record_key"), F.lit(3)) == 0).collect()}
+    sha = lambda parts: hashlib.sha256(",".join(parts).encode()).hexdigest()
+    rows, ranges = sorted(index.collect(), key=lambda r: (r["archive"], r["ordinal"])), []
     for r in rows:
-        leaves[r["node"]][r["record_key"], r["stop"] - r["start"], r["sha256"]] += 1
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    level = {k: sha(",".join(f"{len(a.encode())}:{a}:{b}:{c}:{n}" for (a, b, c), n in sorted(v.items()))) for k, v in leaves.items()}
-    for table in warc.merkle_levels(index, 4, 2):
+        if not ranges or ranges[-1][-1]["archive"] != r["archive"] or ranges[-1][-1]["record_key"] in cuts:
+            ranges.append([])
+        ranges[-1].append(r)
+    leaf = lambda g: sha(f"{len(r['record_key'].encode())}:{r['record_key']}:{r['start'] - g[0]['start']}:{r['stop'] - g[0]['start']}:{r['sha256']}" for r in g)
+    want = [(g[0]["archive"], g[0]["ordinal"], g[-1]["ordinal"], g[0]["start"], g[-1]["stop"], leaf(g)) for g in ranges]
+    leaves = warc.merkle_leaves(index, 3)
+    assert sorted(map(tuple, leaves.select("archive", "ordinal", "last", "start", "stop", "hash").collect())) == want and len(want) > 10
+    level = {k: sha(f"{s}:{e}:{h}" for a, _, _, s, e, h in want if a == k) for k in {w[0] for w in want}}
+    for table in warc.merkle_levels(leaves, 4, 2):
         assert dict(map(tuple, table.collect())) == level
-        level = {k: sha(",".join(f"{n}:{h}" for n, h in sorted(level.items()) if n // 4 == k)) for k in {n // 4 for n in level}}
+        level = {k: sha(f"{n}:{h}" for n, h in sorted(level.items()) if n // 4 == k) for k in {n // 4 for n in level}}
     assert table.count() == 1
     raw = {r["page_id"]: r["bytes"] for r in warc_pages(spark, 40).collect() if r["page_id"] not in (5, None)}
-    assert all(r["sha256"] == sha(raw[r["page_id"]]) for r in rows if r["page_id"] in raw)
+    assert all(r["sha256"] == sha([raw[r["page_id"]]]) for r in rows if r["page_id"] in raw)
 
 
 def test_ten_megabyte_text(spark, vocabulary):

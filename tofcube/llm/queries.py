@@ -220,17 +220,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {bas
 
 
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC archives against a second replica with planted damage: the page text of
-    ids that leave 13 modulo 97 has its last character replaced, and records of ids that leave 5
-    modulo 211 are lost. The second replica's records are indexed on their own. One row per
+    """The pages as WARC archives against a second replica of them with planted damage: the page
+    text of ids that leave 13 modulo 97 has its last character replaced, and records of ids that
+    leave 5 modulo 211 are lost, so that what follows them in their archive moves up. One row per
     record of the first, with what the audit finds."""
     pages = table(spark, sf_dir, "pages")
     spoilt = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\u0000"))).otherwise(F.col("html"))
-    records = lambda p, html: p.select("page_id", warc.record_bytes(F.col("page_id"), F.col("url"), html).alias("bytes"))
-    first = warc.work_table(warc.archive_index(records(pages, F.col("html")), "page_id", "bytes"), "warc-index")
-    kept = pages.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False)))
-    second = warc.work_table(warc.archive_index(records(kept, spoilt), "page_id", "bytes"), "warc-index")
-    found = warc.audit(first, second).where("status <> 'extra'").select(F.col("archive").alias("f_archive"), F.col("ordinal").alias("f_ordinal"), "status")
+    record = lambda html: warc.record_bytes(F.col("page_id"), F.col("url"), html)
+    records = pages.select("page_id", record(F.col("html")).alias("bytes"), F.sha2(record(spoilt).cast("binary"), 256).alias("sha_b"))
+    first = warc.work_table(warc.archive_index(records, "page_id", "bytes", extra=("sha_b",)), "warc-index")
+    second = warc.without(first, F.col("page_id") % 211 == 5).withColumn("sha256", F.col("sha_b"))
+    found = warc.audit(first, warc.work_table(second, "warc-index")).where("status <> 'extra'")
+    found = found.select(F.col("archive").alias("f_archive"), F.explode(F.sequence("ordinal", "last")).alias("f_ordinal"), "status")
     out = first.join(found, (F.col("archive") == F.col("f_archive")) & (F.col("ordinal") == F.col("f_ordinal")), "left")
     return out.select("page_id", "archive", "ordinal", "start", "stop", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 

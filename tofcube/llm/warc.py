@@ -1,20 +1,22 @@
-"""WARC records and a Merkle fixity audit of replicas.
-
-An archive index has one row per record: its archive, ordinal, offset range, SHA-256 and record
-key. Replicas are aligned by record key, whatever archive or position a record has in either: a
-hash of key and content deals records to the leaves of one tree of `fanout` children a node, so
-a lost record alters its own branch alone and not those of the records behind it, and a key of
-very many records is spread. A leaf's hash is that of its records' keys, lengths, SHA-256 and
-numbers; a node's hash is that of its children's. The levels are written once. The trees are
-compared at the root, and only the branches whose hashes differ are descended, to the records
-that are damaged. Absolute offsets are not hashed, as those behind a lost record shift.
+"""WARC records and a Merkle fixity audit of replicas by ordered offset ranges.
+
+An archive index has one row per record: its archive (a file), ordinal, offset range, SHA-256 and
+record key. Replicas hold the same archives, and an archive's bytes are to be the same at the
+same offsets. Its records are cut, in order, into ranges of about `range_rows`: a range ends
+after a record whose key hashes to the cut, so ranges meet their own again behind a lost or added
+record. A leaf is a range: its hash is that of its records' keys, hashes and offsets from its
+start, in order; a node's hash is that of its leaves' or children's keys, hashes and absolute
+offsets, in order. So nothing that is shifted, reordered, lost or changed leaves the root as it
+is. Roots are compared first, and only children of nodes that differ are compared with their
+own, down to ranges. A range that is the same but for its start is reported as it is; of the
+others the records are read and told apart.
 
 Archives are ranges of `archive_rows` records in the order of key and SHA-256, whatever the
 layout of the input. Records' bytes are hashed where they are read and not shuffled.
 
 Defined cases: a null url or page is written as an empty one; repeated rows are records of
-their own, and of one key those of equal bytes are matched first; a record that one replica lacks is 'missing' or 'extra'; empty tables give empty
-results; other columns are ignored.
+their own, and of one key those of equal bytes are matched first; a record that one replica's
+archive lacks is 'missing' or 'extra'; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,75 +57,122 @@ def archive_index(records: DataFrame, key_col: str, bytes_col: str, archive_rows
     return rows.select(F.col("key").alias(key_col), "archive", "ordinal", (stop - F.col("length")).alias("start"), stop.alias("stop"), "sha256", F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("record_key"), *extra)
 
 
-_SAME = ["record_key", "length", "sha256"]
+def without(index: DataFrame, gone: Column) -> DataFrame:
+    """The index of the same archives after the loss of some records: what follows one moves up."""
+    w = W.partitionBy("archive").orderBy("ordinal")
+    stop = F.sum(F.col("stop") - F.col("start")).over(w)
+    rows = index.where(~F.coalesce(gone, F.lit(False)))
+    return rows.withColumns({"stop": stop, "start": stop - (F.col("stop") - F.col("start")), "ordinal": (F.row_number().over(w) - 1).cast("int")})
+
+
+def _hash(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, ",").cast("binary"), 256)
 
 
-def leaf_of(slots: int) -> Column:
-    return F.pmod(F.xxhash64("record_key", "sha256"), F.lit(slots))
+def merkle_leaves(index: DataFrame, range_rows: int) -> DataFrame:
+    """archive, end (the key of the range's last record, or null), again, ordinal, last, start, stop, hash: one row per range of an archive."""
+    w = W.partitionBy("archive").orderBy("ordinal")
+    cut = F.pmod(F.xxhash64("record_key"), F.lit(range_rows)) == 0
+    before = F.coalesce(F.count_if(cut).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = index.select("archive", "ordinal", "start", "stop", "sha256", "record_key", before.alias("range"), cut.alias("cut"))
+    held = F.array_sort(F.collect_list(F.struct("ordinal", "start", "stop", "sha256", "record_key")))
+    at = F.col("rows")[0]["start"]
+    text = F.transform("rows", lambda r: F.concat_ws(":", F.octet_length(r["record_key"]), r["record_key"], r["start"] - at, r["stop"] - at, r["sha256"]))
+    leaves = rows.groupBy("archive", "range").agg(held.alias("rows"), F.max_by(F.when(F.col("cut"), F.col("record_key")), "ordinal").alias("end"))
+    again = F.row_number().over(W.partitionBy("archive", "end").orderBy("range"))
+    return leaves.select("archive", "end", again.alias("again"), F.col("rows")[0]["ordinal"].alias("ordinal"), F.element_at("rows", -1)["ordinal"].alias("last"), at.alias("start"), F.element_at("rows", -1)["stop"].alias("stop"), _hash(text).alias("hash"))
 
 
-def merkle_leaves(index: DataFrame, slots: int) -> DataFrame:
-    """node, hash: the records of each of so many ranges of hashes of key and content; equal ones as one, with their number."""
-    rows = index.select(leaf_of(slots).alias("node"), "record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256")
-    rows = rows.groupBy("node", *_SAME).agg(F.count("*").alias("n")).select("node", F.struct(*_SAME, "n").alias("r"))
-    text = F.array_join(F.transform("rs", lambda r: F.concat_ws(":", F.octet_length(r["record_key"]).cast("string"), r["record_key"], r["length"].cast("string"), r["sha256"], r["n"].cast("string"))), ",")
-    return rows.groupBy("node").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("node", F.sha2(text.cast("binary"), 256).alias("hash"))
+def merkle_archives(leaves: DataFrame) -> DataFrame:
+    """node (the archive), hash of its ranges with their offsets, in order."""
+    held = F.array_sort(F.collect_list(F.struct("ordinal", "start", "stop", "hash")))
+    nodes = leaves.groupBy(F.col("archive").cast("bigint").alias("node")).agg(held.alias("kids"))
+    return nodes.select("node", _hash(F.transform("kids", lambda k: F.concat_ws(":", k["start"], k["stop"], k["hash"]))).alias("hash"))
 
 
 def merkle_level(nodes: DataFrame, fanout: int) -> DataFrame:
     """The level above: node, hash, from the same columns."""
     up = nodes.groupBy(F.floor(F.col("node") / fanout).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("kids"))
-    joined = F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["node"].cast("string"), k["hash"])), ",")
-    return up.select(F.col("up").alias("node"), F.sha2(joined.cast("binary"), 256).alias("hash"))
+    return up.select(F.col("up").alias("node"), _hash(F.transform("kids", lambda k: F.concat_ws(":", k["node"], k["hash"]))).alias("hash"))
 
 
-def merkle_levels(index: DataFrame, fanout: int, height: int) -> list[DataFrame]:
-    """Leaves first, the root last."""
-    levels = [work_table(merkle_leaves(index, fanout**height), "merkle-leaves")]
+def merkle_levels(leaves: DataFrame, fanout: int, height: int) -> list[DataFrame]:
+    """Archives first, the root last: a row for each archive is written, what is above it follows from that."""
+    levels = [work_table(merkle_archives(leaves), "merkle-archives")]
     for _ in range(height):
-        levels.append(work_table(merkle_level(levels[-1], fanout), "merkle-level"))
+        levels.append(merkle_level(levels[-1], fanout))
     return levels
 
 
-def tree_height(records: int, fanout: int) -> int:
+def tree_height(archives: int, fanout: int) -> int:
     height = 1
-    while fanout**height < records:
+    while fanout**height < archives:
         height += 1
     return height
 
 
-def audit(first: DataFrame, second: DataFrame, fanout: int = 8) -> DataFrame:
-    """The damaged ranges: archive, ordinal, start, stop (of the first replica, else of the second), status.
-
-    status: 'changed', 'missing' (the second lacks it) or 'extra'. Both are index tables."""
-    height = tree_height(max(first.count(), second.count()), fanout)
+def damaged_archives(first: DataFrame, second: DataFrame, fanout: int) -> DataFrame:
+    """node: the archives whose hashes differ, from leaves; found from the root down, below nodes that differ alone."""
+    last = max(x.agg(F.max("archive")).first()[0] or 0 for x in (first, second))
+    height = tree_height(last + 1, fanout)
     one, two = merkle_levels(first, fanout, height), merkle_levels(second, fanout, height)
     suspect: DataFrame | None = None
-    for level in range(height, -1, -1):
-        a, b = one[level], two[level]
+    for a, b in zip(reversed(one), reversed(two), strict=True):
         if suspect is not None:
             parent = F.floor(F.col("node") / fanout) == F.col("s_node")
             a, b = a.join(suspect, parent, "left_semi"), b.join(suspect, parent, "left_semi")
         b = b.select(F.col("node").alias("b_node"), F.col("hash").alias("b_hash"))
         both = a.join(b, F.col("node") == F.col("b_node"), "full_outer").where(~F.col("hash").eqNullSafe(F.col("b_hash")))
-        suspect = work_table(both.select(F.coalesce("node", "b_node").alias("s_node")), "merkle-suspects")
-
-    def held(index: DataFrame) -> DataFrame:
-        rows = index.select("archive", "ordinal", "start", "stop", "record_key", (F.col("stop") - F.col("start")).alias("length"), "sha256")
-        rows = rows.join(suspect, leaf_of(fanout**height) == F.col("s_node"), "left_semi")
-        return work_table(rows.withColumn("copy", F.row_number().over(W.partitionBy(*_SAME).orderBy("archive", "ordinal"))), "merkle-records")
+        suspect = both.select(F.coalesce("node", "b_node").alias("s_node"))
+    return work_table(suspect, "merkle-suspects")
+
+
+FOUND = ["archive", "ordinal", "last", "start", "stop", "status"]
+
+
+def audit(first: DataFrame, second: DataFrame, fanout: int = 64, range_rows: int = 64) -> DataFrame:
+    """The damage: archive, ordinal and last (of the records), start, stop (of the first replica, else of the second), status.
+
+    status: 'changed', 'missing' (the second lacks it), 'extra', 'shifted' (the same bytes at
+    other offsets; a whole range at once where it is the same otherwise) or 'reordered' (among the
+    records of its damaged ranges, at another place). Both are index tables."""
+    one, two = (work_table(merkle_leaves(x, range_rows), "merkle-leaves") for x in (first, second))
+    archives = damaged_archives(one, two, fanout)
+    inside = F.col("archive") == F.col("s_node")
+    names = ["archive", "end", "again", "ordinal", "last", "start", "stop", "hash"]
+    a = one.join(archives, inside, "left_semi")
+    b = two.join(archives, inside, "left_semi").select(*[F.col(c).alias(f"b_{c}") for c in names])
+    same = (F.col("archive") == F.col("b_archive")) & F.col("end").eqNullSafe(F.col("b_end")) & (F.col("again") == F.col("b_again"))
+    both = work_table(a.join(b, same, "full_outer").where(~(F.col("hash").eqNullSafe(F.col("b_hash")) & F.col("start").eqNullSafe(F.col("b_start")))), "merkle-ranges")
+    shifted = both.where(F.col("hash") == F.col("b_hash")).select("archive", "ordinal", "last", "start", "stop", F.lit("shifted").alias("status"))
+    both = both.where(~F.col("hash").eqNullSafe(F.col("b_hash")))
+
+    def held(index: DataFrame, x: str) -> DataFrame:
+        """The records of the damaged ranges, equal ones of an archive numbered."""
+        ranges = both.where(F.col(f"{x}archive").isNotNull()).select(F.col(f"{x}archive").alias("r_archive"), F.col(f"{x}ordinal").alias("r_first"), F.col(f"{x}last").alias("r_last"))
+        rows = index.select("archive", "ordinal", "start", "stop", "record_key", "sha256")
+        # an archive has few ranges, so they meet its records by the archive
+        rows = rows.join(ranges, (F.col("archive") == F.col("r_archive")) & F.col("ordinal").between(F.col("r_first"), F.col("r_last"))).drop("r_archive", "r_first", "r_last")
+        return work_table(rows.withColumn("copy", F.row_number().over(W.partitionBy("archive", "record_key", "sha256").orderBy("ordinal"))), "merkle-records")
+
+    x, y = held(first, ""), held(second, "b_")
+    key = ["archive", "record_key", "sha256", "copy"]
+    kept = x.join(y.select(*key, F.col("ordinal").alias("b_ordinal"), F.col("start").alias("b_start")), key)
+    place = lambda c: F.row_number().over(W.partitionBy("archive").orderBy(c))
+    status = F.when(F.col("i") != F.col("j"), "reordered").when(F.col("start") != F.col("b_start"), "shifted")
+    moved = kept.withColumns({"i": place("ordinal"), "j": place("b_ordinal")}).withColumn("status", status).where("status IS NOT NULL")
 
     def left(these: DataFrame, those: DataFrame) -> DataFrame:
-        rest = these.join(those.select(*_SAME, "copy"), [*_SAME, "copy"], "left_anti")
-        return rest.withColumn("k", F.row_number().over(W.partitionBy("record_key").orderBy("archive", "ordinal")))
+        rest = these.join(those.select(*key), key, "left_anti")
+        return rest.withColumn("k", F.row_number().over(W.partitionBy("archive", "record_key").orderBy("ordinal")))
 
-    x, y = held(first), held(second)
-    names = ["archive", "ordinal", "start", "stop"]
-    b = left(y, x).select(*[F.col(c).alias(f"b_{c}") for c in [*names, "record_key", "k"]])
-    both = left(x, y).join(b, (F.col("record_key") == F.col("b_record_key")) & (F.col("k") == F.col("b_k")), "full_outer")
+    b = left(y, x).select(*[F.col(c).alias(f"b_{c}") for c in ["archive", "ordinal", "start", "stop", "record_key", "k"]])
+    lost = left(x, y).join(b, (F.col("archive") == F.col("b_archive")) & (F.col("record_key") == F.col("b_record_key")) & (F.col("k") == F.col("b_k")), "full_outer")
     status = F.when(F.col("b_k").isNull(), "missing").when(F.col("k").isNull(), "extra").otherwise("changed")
     # a record's place is that of one replica as a whole
-    return both.select(*[F.when(F.col("k").isNull(), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in names], status.alias("status"))
+    lost = lost.select(*[F.when(F.col("k").isNull(), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in ("archive", "ordinal", "start", "stop")], status.alias("status"))
+    one_row = lambda d: d.withColumn("last", F.col("ordinal")).select(FOUND)
+    return shifted.select(FOUND).unionByName(one_row(moved)).unionByName(one_row(lost))
 
 
 def write_warc(index: DataFrame, bytes_col: str, path: str) -> None:
