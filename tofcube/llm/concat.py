@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +39,10 @@ from tofcube.llm.common import bound_batches, work_table
 CHUNK, TOGETHER = 1 << 15, 1 << 19
 #: A single space between ASCII letters: byte-level pre-tokenizers start a piece there, whatever is around.
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: The pieces of byte-level pre-tokenizers, and the letters that stand for bytes in their vocabularies. Fixed values.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: A space between white space and white space or the end, and the other spaces: where no special string is near, a piece starts at each of these.
 _INSIDE, _STARTS = re.compile(r"\s (?=\s|\Z)"), re.compile(r"(?<=\S) | (?=\S)")
 
@@ -64,9 +69,7 @@ class Encoder:
         plain = all(not (a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"])) for a in added)
         self.cuts = plain and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [a["content"] for a in added]
-        names = self.tokenizer.get_vocab()
-        self.lengths = np.zeros(max(names.values(), default=0) + 1, np.int64)
-        self.lengths[list(names.values())] = [len(x) for x in names]
+        self.tokenize, self.short = self.tokenizer.model.tokenize, {}
         self.heads: dict[str, bytes] = {}  # words that start a text, to their ids of four bytes each
         self.words: dict[str, bytes] = {}  # words behind a space
         self.older: dict[str, bytes] = {}  # such words of before
@@ -89,6 +92,18 @@ class Encoder:
             yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[at:stop], add_special_tokens=False))
             at = stop
 
+    def _ids(self, word: str) -> bytes:
+        """The ids of a short text of Latin letters or ASCII: its pieces follow from the pattern, and the vocabulary is asked for each, past the steps that align characters."""
+        out: list[int] = []
+        for p in (word,) if word.isalpha() or word[1:].isalpha() and word[0] == " " else _PIECES.findall(word):
+            ids = self.short.get(p)
+            if ids is None:
+                ids = [t.id for t in self.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]
+                if len(p) < 3:  # few of them
+                    self.short[p] = ids
+            out += ids
+        return array("i", out).tobytes()
+
     def _learn(self, held: dict[str, bytes], words: set[str], before: str) -> list[str]:
         """Encode the words that aren't held; those too long to be kept are returned."""
         new = [w for w in words if w not in held]
@@ -100,17 +115,12 @@ class Encoder:
         if before:
             held.update((w, self.older[w]) for w in new if w in self.older)
             new = [w for w in new if w not in held]
-        alone = new
-        if before:  # in a row, where each starts a piece; a token is as many bytes as its name has letters
-            row = [w for w in new if w[:1].strip() and len(w) <= self.LONG]
-            for at in range(0, len(row), 4096):
-                some = row[at : at + 4096]
-                ids = np.array(next(self._together([before + before.join(some)])), np.int32)
-                ends = np.cumsum([len(w.encode()) + 1 for w in some])
-                stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "left") + 1
-                raw = ids.tobytes()
-                held.update(zip(some, (raw[4 * x : 4 * y] for x, y in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)), strict=True))
-            alone = [w for w in new if w not in held]
+        alone = []
+        for w in new:
+            if 0 < len(w) <= self.LONG and (w.isascii() or max(w) < "\u0250"):
+                held[w] = self._ids(before + w)
+            else:
+                alone.append(w)
         held.update(zip(alone, (array("i", ids).tobytes() for ids in self._together([before + w for w in alone])), strict=True))
         return [w for w in new if len(w) > self.LONG]
 
