@@ -74,20 +74,6 @@ def test_stacks_and_folders(spark, tmp_path):
         tiff.load_tiff_stack(spark, str(tmp_path / "none.tif"))
 
 
-def test_extended_grid(spark):
-    e = np.linspace(5.0, 8.0, 31)
-    grid, own = S.extended_grid(e, 25.0, 2.0, 0.05, resonances=[(6.67, 1e-3), (50.0, 1e-3)])
-    w = lambda x: np.hypot(2 * 2.0 * x**1.5 / (72.2982543982928 * 25), 2 * 0.05 * x / 25)
-    assert (np.diff(grid) > 0).all() and np.allclose(grid[own], e) and grid[0] <= 5 - 5 * w(5.0) and grid[-1] >= 8 + 5 * w(8.0)
-    assert (np.diff(grid) <= 0.25 * w(0.5 * (grid[1:] + grid[:-1])) * 1.05).all()
-    assert ((grid > 6.669) & (grid < 6.671)).sum() >= 10
-    edge, at = S.extended_grid(e, 25.0, 2.0, 0.05, 1.5, between=False)
-    assert np.allclose(edge[at], e) and ((edge > 5) & (edge < 8)).sum() == 29 and edge[-1] > grid[-1]
-    rows = S.grid_table(spark, grid, own)
-    assert rows.where("own IS NOT NULL").count() == 31
-    assert S.extended_grid(e[:1], 25.0, 2.0, 0.05)[0].tolist() == [5.0]
-
-
 def test_surrogate_outside_its_box(spark):
     plan = S.chebyshev_plan(spark.createDataFrame([(0, 50.0), (1, 0.0)], "i int, sigma double"), None, 0.02)
     got = {(r["i"], r["n"]): r["v"] for r in plan.join(spark.createDataFrame([(x,) for x in (0.0, 0.013, 0.02, 0.021, -1.0)], "n double")).select("i", "n", S.chebyshev_value(F.col("coefficients"), F.col("box"), F.col("n")).alias("v")).collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tofcube.functions import scalars
-from tofcube.operators import axes, broaden, calibrate, cube, decks, extras, isotopes, limited, models, multifit, spatial, surrogate, texts
+from tofcube.operators import axes, broaden, calibrate, cube, decks, extras, grids, isotopes, limited, models, multifit, spatial, texts
 from tofcube.sources import resonance, tiff
 
 # -- sources -----------------------------------------------------------------------------
@@ -124,7 +124,7 @@ def resolution_broaden(curves: DataFrame, by: list[str], flight_m: float, dt_us:
 
 apply_resolution = models.apply_matrix
 broadened_cross_sections_for_transmission = broaden.effective_sigma
-extended_grid = surrogate.extended_grid
+extended_grid = grids.extended_grid
 trace_detectability_survey = models.detectability
 calibrate_energy = calibrate.calibrate_energy
 

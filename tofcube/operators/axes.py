@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tofcube import constants as K
 from tofcube.functions import scalars as S
+from tofcube.operators.ordering import kept_values
 
 
 #: Rows of a dimension that may be broadcast.
@@ -19,10 +20,9 @@ MOST_ROWS = 1_000_000
 
 
 def bounded(rows: DataFrame, by: str, most: int = MOST_ROWS) -> DataFrame:
-    """A dimension for broadcasting: with more than `most` rows, numbered by the column, the query ends with an error."""
-    n = F.row_number().over(W.orderBy(by))
-    fits = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} rows in a dimension to be broadcast")).cast("boolean"))
-    return F.broadcast(rows.withColumn("_n", n).where(fits).drop("_n"))
+    """A dimension for broadcasting: with more than `most` rows of the column, the query ends with an error."""
+    n = rows.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} rows in a dimension to be broadcast")).cast("boolean")).alias("_fits"))
+    return F.broadcast(rows.join(F.broadcast(n)).where("_fits").drop("_fits"))  # one row, a count
 
 
 def linspace_edges(spark: SparkSession, lo: float, hi: float, n: int) -> DataFrame:
@@ -108,9 +108,5 @@ def densify(axis: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def dedup_sorted(values: DataFrame, rel: float = 1e-10, floor: float = 1e-30) -> DataFrame:
-    """Sorted values; one within rel * max(|last kept|, floor) of the last kept is left out. A fold over one array: the axis is one dimension."""
-    arr = values.agg(F.array_sort(F.collect_list("value")).alias("v"))
-    tol = lambda p: F.greatest(F.abs(p), F.lit(floor)) * rel
-    empty = F.array().cast("array<double>")
-    kept = F.aggregate("v", empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.abs(x - F.try_element_at(acc, F.lit(-1))) <= tol(F.try_element_at(acc, F.lit(-1)))), acc).otherwise(F.array_append(acc, x)))
-    return arr.select(F.posexplode(kept).alias("i", "value"))
+    """i, value: sorted values; one within rel * max(|last kept|, floor) of the last kept is left out."""
+    return kept_values(values, rel, floor)

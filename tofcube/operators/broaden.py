@@ -1,22 +1,28 @@
-"""Doppler and resolution broadening, curve by curve.
-
-A curve is one grid of energies (thousands of points at most); the many curves of isotopes,
-temperatures or pixels are the long side. One group-by deals the curves over the cluster, and a
-task sums a curve's (point, segment) pairs in blocks with numpy, so its memory is bounded by a
-block and not by the width of the kernel. Nothing is joined and no job runs while the plan is built.
+"""Doppler and resolution broadening: band joins of a curve with itself.
+
+A point's value is a sum over its neighbours within a window. Curves of at most BLOCK_ROWS points
+are dealt over the cluster, one group each. A longer curve is cut into blocks of so many points
+in the order of energy; each point is copied to the blocks whose windows reach it, with a margin
+of three points, and the blocks are summed apart from each other. As a point's sum runs over the
+same neighbours in the same order wherever the cuts are, the result is the same to the bit.
+A task sums its (point, segment) pairs in pieces with numpy, so its memory is bounded by a block
+and its halo, and not by the width of the kernel.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
+from tofcube.work import written
 
 #: (point, segment) pairs of a block.
 _PAIRS = 1 << 19
@@ -76,18 +82,80 @@ def _blocks(first: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, n
         at = to
 
 
-def _by_curve(curves: DataFrame, by: list[str], f: Callable[[pa.Table], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    """by, e and the columns of f for each curve, its points in the order of e."""
-    kinds = {c: curves.schema[c].dataType.simpleString() for c in by}
+#: Points of a block of a long curve.
+BLOCK_ROWS = 1 << 14
+#: Points beyond a window that its sums look at: the ends of segments, and two more for the weights of points.
+MARGIN = 3
+
+
+def _by_curve(curves: DataFrame, by: list[str], f: Callable[[pa.Table], dict[str, np.ndarray]], names: list[str], window: tuple[Column, Column]) -> DataFrame:
+    """by, e and the columns of f for each curve, its points in the order of e.
+
+    window: the energies that a point's sums reach, at least, down and up."""
+    out = ", ".join([*(f"`{c}` {curves.schema[c].dataType.simpleString()}" for c in by), "e double", *(f"{c} double" for c in names)])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("e")
-        out = t.select([*by, "e"])
+        found = t.select([*by, "e"])
         for name, values in f(t).items():
-            out = out.append_column(name, pa.array(values, pa.float64()))
-        return out.select([*by, "e", *names])
+            found = found.append_column(name, pa.array(values, pa.float64()))
+        found = found.select([*by, "e", *names])
+        return found.filter(t.column("_own")) if "_own" in t.column_names else found
+
+    sizes = curves.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK_ROWS)
+    long = sizes.select(*[F.col(c).alias(f"_l_{c}") for c in by])
+    if long.isEmpty():
+        return curves.groupBy(*by).applyInArrow(run, out)
+    same = _all(F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in by)
+    short = curves.join(long, same, "left_anti").groupBy(*by).applyInArrow(run, out)
+    return short.unionByName(halo_blocks(curves.join(long, same, "left_semi"), by, window).groupBy(*by, "_block").applyInArrow(run, out))
+
+
+def _all(conditions: Iterator[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def halo_blocks(curves: DataFrame, by: list[str], window: tuple[Column, Column], rows: int | None = None) -> DataFrame:
+    """The rows with _block and _own: each in its block of `rows` points, and copied (not _own) to each block whose window it is in, or next to."""
+    rows = max(rows or BLOCK_ROWS, MARGIN)
+    placed = curves.withColumns({"_lo": window[0], "_hi": window[1]}).repartitionByRange(*by, "e").sortWithinPartitions(*by, "e")
+    placed = written(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "curve-points")
+    # numbers within a curve: those of its partition, moved by the counts of the partitions before
+    counts = placed.groupBy("_part", *by).agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moves = counts.select(F.col("_part").alias("_m_part"), *[F.col(c).alias(f"_m_{c}") for c in by], (before - F.col("first")).alias("_shift"))
+    at = W.partitionBy("_part", *by).orderBy("_at")
+    near = placed.withColumns({"_down": F.lag("e", MARGIN).over(at), "_up": F.lead("e", MARGIN).over(at)})
+    near = near.join(moves, (F.col("_part") == F.col("_m_part")) & _all(F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in by))
+    # where the neighbours are in another partition, the point is taken to reach anywhere
+    near = near.withColumns({"_block": F.floor((F.col("_at") + F.col("_shift")) / rows), "_down": F.coalesce("_down", F.lit(float("-inf"))), "_up": F.coalesce("_up", F.lit(float("inf")))})
+    keep = [*curves.columns, "_block", "_down", "_up"]
+    blocks = near.groupBy(*by, "_block").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.min("e").alias("least"), F.max("e").alias("most"))
+    targets = blocks.groupBy(*by).applyInArrow(_reached(by), ", ".join([*(f"`{c}` {curves.schema[c].dataType.simpleString()}" for c in by), "_of bigint, targets array<struct<block:bigint,lo:double,hi:double>>"]))
+    targets = targets.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_of", "targets")
+    held = near.select(keep).join(targets, (F.col("_block") == F.col("_of")) & _all(F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by))
+    mine = F.filter("targets", lambda t: (t["block"] == F.col("_block")) | ((F.col("_up") >= t["lo"]) & (F.col("_down") <= t["hi"])))
+    each = held.withColumn("_t", F.explode(mine))
+    return each.select(*curves.columns, F.col("_t.block").alias("_block"), (F.col("_t.block") == F.col("_block")).alias("_own"))
+
+
+def _reached(by: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """For each block of a curve (one small row each) the blocks that want points of it, with their windows."""
 
-    return curves.groupBy(*by).applyInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "e double", *(f"{c} double" for c in names)]))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_block")
+        lo, hi, least, most = (t.column(c).to_numpy() for c in ("lo", "hi", "least", "most"))
+        n = len(lo)
+        # windows widened so that both ends rise from block to block; points within the margin of one may stand in the block next to it
+        low, high = np.minimum.accumulate(lo[::-1])[::-1], np.maximum.accumulate(hi)
+        first = np.searchsorted(high, np.append(least[:1], least[:-1]), "left")
+        stop = np.searchsorted(low, np.append(most[1:], most[-1:]), "right")
+        block = t.column("_block").to_pylist()
+        wanted = [[{"block": block[k], "lo": low[k], "hi": high[k]} for k in range(a, b)] for a, b in zip(first, stop, strict=True)]
+        kind = pa.list_(pa.struct([("block", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())]))
+        return t.select(by).append_column("_of", t.column("_block")).append_column("targets", pa.array(wanted, kind))
+
+    return run
 
 
 def free_gas(e: np.ndarray, sigma: np.ndarray, temperature: float, awr: float) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +192,19 @@ def _one(t: pa.Table, awr: float | str) -> float:
     return float(t.column(awr)[0].as_py()) if isinstance(awr, str) else awr
 
 
+def _doppler_window(temperature: float, awr: float | str) -> tuple[Column, Column]:
+    six = 6.0 * F.sqrt(F.lit(K.BOLTZMANN_EV_K * temperature) / (F.col(awr) if isinstance(awr, str) else F.lit(float(awr))))
+    low = F.greatest(F.sqrt("e") - six, F.lit(0.0))
+    return low * low * (1.0 - 1e-12), F.pow(F.sqrt("e") + six, F.lit(2.0)) * (1.0 + 1e-12)
+
+
 def doppler(curves: DataFrame, temperature: float, awr: float | str, by: list[str]) -> DataFrame:
     """Free-gas broadening of (by, e, sigma): by, e, sigma. awr: a number, or the column that holds each curve's."""
 
     def f(t: pa.Table) -> dict[str, np.ndarray]:
         return {"sigma": free_gas(t.column("e").to_numpy(), t.column("sigma").to_numpy(), temperature, _one(t, awr))[0]}
 
-    return _by_curve(curves, by, f, ["sigma"])
+    return _by_curve(curves, by, f, ["sigma"], _doppler_window(temperature, awr))
 
 
 def doppler_with_derivative(curves: DataFrame, temperature: float, awr: float | str, by: list[str]) -> DataFrame:
@@ -139,7 +213,7 @@ def doppler_with_derivative(curves: DataFrame, temperature: float, awr: float |
     def f(t: pa.Table) -> dict[str, np.ndarray]:
         return dict(zip(("sigma", "d_sigma"), free_gas(t.column("e").to_numpy(), t.column("sigma").to_numpy(), temperature, _one(t, awr)), strict=True))
 
-    return _by_curve(curves, by, f, ["sigma", "d_sigma"])
+    return _by_curve(curves, by, f, ["sigma", "d_sigma"], _doppler_window(temperature, awr))
 
 
 #: Above this ratio of half the Gaussian to the exponential width the tail is left out. Fixed value.
@@ -224,7 +298,11 @@ def gaussian_resolution(curves: DataFrame, flight_m: float, dt_us: float, dl_m:
     def f(t: pa.Table) -> dict[str, np.ndarray]:
         return {"value": blur(t.column("e").to_numpy(), t.column("value").to_numpy(), flight_m, dt_us, dl_m, de_us)}
 
-    return _by_curve(curves, by, f, ["value"])
+    e = F.col("e")
+    w = F.hypot(F.pow(e, F.lit(1.5)) * (2.0 * dt_us / (K.TOF_FACTOR * flight_m)), e * (2.0 * dl_m / flight_m))
+    # with the tail the window reaches at most so far above
+    up = F.greatest(15.0 * w, F.pow(e, F.lit(1.5)) * (12.5 * de_us / (K.TOF_FACTOR * flight_m))) if de_us > 0 else 5.0 * w
+    return _by_curve(curves, by, f, ["value"], (e - 5.0 * w * (1.0 + 1e-12), e + up * (1.0 + 1e-12)))
 
 
 def forward(sigma: DataFrame, densities: DataFrame, temperature: float, awr: float | str, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0) -> DataFrame:

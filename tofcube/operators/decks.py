@@ -7,6 +7,7 @@ one group; decks are spread over the cluster. Everything after the cards is join
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ DECK = "file string, title string, symbol string, awr double, e_min double, e_ma
 NAMES = [x.split()[0] for x in DECK.split(", ")]
 #: First letters of the observations that are read. Fixed values.
 OBSERVED = {"TRANS": "transmission", "TOTAL": "total", "FISSI": "fission"}
+#: Those that are refused. Fixed values.
+UNREAD = ("CAPTU", "DIRAC")
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 
@@ -30,58 +33,90 @@ def _number(text: str, other: float | None = None) -> float:
     return other
 
 
+#: The cards in columns: name, first and last column (from 0, the last not included), how it is read, and what a blank stands for
+#: (nothing: it must be there). Fixed values of the format.
+COLUMNS = {
+    "case": [("symbol", 0, 10, str.strip, ""), ("awr", 10, 20, _number), ("e_min", 20, 30, _number), ("e_max", 30, 40, _number, None)],
+    "group": [("number", 0, 5, int), ("entrance", 5, 10, int, 1), ("exit", 10, 15, int, 0), ("j", 15, 20, _number), ("abundance", 20, 30, _number, 1.0), ("spin", 30, 35, _number, 0.0), ("label", 36, None, str.strip, None)],
+}
+#: The cards of free numbers: their names, how many must be there, and what stands for them otherwise. Fixed values of the format.
+FREE = {
+    "physical": (["temperature", "flight_m", "dl", "de", "dg"], 2, [300.0, 0.0, 0.0, 0.0, 0.0]),
+    "sample": (["radius_fm", "thickness"], 2, [0.0, 0.0]),
+    "widths": (["radius", "temperature", "thickness", "dl", "dg", "de"], 6, []),
+}
+#: Commands that leave out the physical card, unless both cards are there.
+UNBROADENED = re.compile(r"BROADENING IS NOT|.*NO LOW-ENERGY BROADENING")
+
+
+def in_columns(card: str, line: str) -> dict:
+    out = {}
+    for name, first, last, read, *blank in COLUMNS[card]:
+        text = line[first:last]
+        out[name] = read(text) if text.strip() or not blank else blank[0]
+    return out
+
+
+def in_words(card: str, line: str) -> dict[str, float]:
+    names, least, missing = FREE[card]
+    words = [float(x) if _NUMBER.match(x) else 0.0 for x in line.upper().replace("D", "E").split()]
+    return dict(zip(names, (words + [0.0] * len(names)) if len(words) >= least else missing, strict=False))
+
+
+def _sections(lines: list[str]) -> list[list[str]]:
+    """Runs of lines between blank ones."""
+    return [list(run) for some, run in groupby(lines, key=lambda x: bool(x.strip())) if some]
+
+
+def _spin_groups(lines: list[str]) -> list[dict]:
+    """Each group's card with l of its first channel; the cards of its channels follow it."""
+    out, channels = [], 0
+    for line in lines:
+        if channels:
+            if channels == out[-1]["entrance"] + out[-1]["exit"] and line[18:20].strip().isdigit():
+                out[-1]["l"] = int(line[18:20])
+            channels -= 1
+        elif line[:5].strip().isdigit() or out:
+            out.append({"l": 0} | in_columns("group", line))
+            channels = out[-1]["entrance"] + out[-1]["exit"]
+    return out
+
+
 def deck(lines: list[str]) -> list[tuple]:
     """Rows of DECK without the file, one for each spin group.
 
-    Title; symbol, mass and energies in columns of ten; commands up to a blank line; temperature, path and
-    widths, and radius and thickness, where broadening is on or both cards are there; then the observation
-    and its spin groups: number, entrance and exit channels and spin in columns of five, abundance in ten,
-    target spin in five, label; the first channel line has l in columns 19-20. Widths that follow
-    BROADENING take the place of the others unless they are 0."""
+    Title, case and commands, to the first blank line; then the free numbers: physical, where
+    broadening is on or both cards are there, and sample; then sections that open with their
+    observation and hold its spin groups. Widths that follow BROADENING take the place of the others unless they are 0."""
     if len(lines) < 2 or len(lines[1]) < 30:
         raise ValueError("a deck has a title and a card of symbol, mass and energies")
-    card = lines[1]
-    symbol, awr, lo = card[:10].strip(), _number(card[10:20]), _number(card[20:30])
-    hi = _number(card[30:40], lo)
-    at, broadened = 2, True
-    while at < len(lines) and lines[at].strip():
-        command = lines[at].strip().upper()
-        if command.startswith("BROADENING IS NOT") or "NO LOW-ENERGY BROADENING" in command:
-            broadened = False
-        at += 1
-    at += 1
-    cards = []
-    both = at + 1 < len(lines) and re.match(r"[\d.+-]", lines[at + 1].strip() or " ")
-    for _ in range(2 if broadened or both else 1):
-        cards.append([_number(x) if _NUMBER.match(x) else 0.0 for x in lines[at].split()] if at < len(lines) else [])
-        at += 1
-    physical, sample = (cards[0], cards[1]) if len(cards) == 2 else ([], cards[0])
-    physical = (physical + [0.0] * 5)[:5] if len(physical) >= 2 else [300.0, 0.0, 0.0, 0.0, 0.0]
-    sample = sample[:2] if len(sample) >= 2 else [0.0, 0.0]
-    temperature, flight, dl, de, dg = physical
-    seen, groups = "transmission", []
-    while at < len(lines):
-        word = lines[at].strip().upper()
-        if word[:5] in ("CAPTU", "DIRAC"):
-            raise ValueError(f"observation {word.split()[0]} is not read")
-        if word[:5] in OBSERVED:
-            seen = OBSERVED[word[:5]]
-            at += 1
-            while at < len(lines) and lines[at][:5].strip() and not lines[at][:5].strip().isdigit():
-                at += 1
-            while at < len(lines) and lines[at].strip():
-                g = lines[at]
-                channels = int(g[5:10].strip() or 1) + int(g[10:15].strip() or 0)
-                ell = lines[at + 1][18:20].strip() if at + 1 < len(lines) else ""
-                groups.append((int(g[:5]), _number(g[15:20]), int(ell) if ell.isdigit() else 0, _number(g[20:30], 1.0), _number(g[30:35], 0.0), g[36:].strip() or None))
-                at += 1 + channels
-        elif word.startswith("BROADENING"):
-            own = lines[at + 1].split() if at + 1 < len(lines) else []
-            if len(own) >= 6:
-                dl, dg, de = (float(x) if _NUMBER.match(x) and float(x) else base for x, base in zip(own[3:6], (dl, dg, de), strict=True))
+    head, *rest = _sections(lines[2:]) if any(x.strip() for x in lines[2:3]) else [[], *_sections(lines[2:])]
+    broadened = not any(UNBROADENED.match(x.strip().upper()) for x in head)
+    body = [*rest[0], *([""] if len(rest) > 1 else []), *(x for run in rest[1:] for x in (*run, ""))] if rest else []
+    both = broadened or len(body) > 1 and re.match(r"[\d.+-]", body[1].strip() or " ")
+    names = ["physical", "sample"] if both else ["sample"]
+    values = in_words("physical", "") | {k: v for card, line in zip(names, body, strict=False) for k, v in in_words(card, line).items()}
+    row = {"title": lines[0].strip(), "observation": "transmission", "broadened": broadened} | in_words("sample", "") | in_columns("case", lines[1]) | values
+    row["e_max"] = row["e_min"] if row["e_max"] is None else row["e_max"]
+    groups: list[dict] = []
+    for run in _sections(body[len(names) :]):
+        words = [x.strip().upper() for x in run]
+        for k, word in enumerate(words):
+            if word[:5] in UNREAD:
+                raise ValueError(f"observation {word.split()[0]} is not read")
+            if word[:5] in OBSERVED:
+                row["observation"] = OBSERVED[word[:5]]
+                groups += _spin_groups(run[k + 1 :])
+                break
+            if word.startswith("BROADENING"):
+                own = in_words("widths", run[k + 1]) if k + 1 < len(run) else {}
+                row |= {c: own[c] for c in ("dl", "dg", "de") if own.get(c)}
+                break
+        else:
+            continue
+        if word.startswith("BROADENING"):
             break
-        at += 1
-    return [(lines[0].strip(), symbol, awr, lo, hi, temperature, flight, dl, de, dg, broadened, *sample, seen, *g) for g in groups]
+    return [tuple((row | g)[c] for c in NAMES[1:]) for g in groups]
 
 
 def decks(lines: DataFrame) -> DataFrame:

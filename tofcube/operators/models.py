@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
 from tofcube.functions import scalars as S
+from tofcube.operators.asof import bracket, in_intervals
+from tofcube.operators.ordering import numbered
 
 
 def group_sigma(sigma: DataFrame, members: DataFrame) -> DataFrame:
@@ -30,17 +31,14 @@ def transmit(sigma: DataFrame, densities: DataFrame) -> DataFrame:
 
 
 def interpolate(x: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of x (by, x) with y from the tables (by, x, y, law), clamped at the ends.
+    """The rows of x (by, x) with y from the tables (by, x, y, law), clamped at the ends; rows without a table are left out.
 
     Laws by interval: 1 histogram, 2 lin-lin, 3 linear in ln x, 4 ln y linear in x, 5 log-log; lin-lin
-    where a logarithm has no argument. Each row meets the one interval that holds it."""
-    w = W.partitionBy(*by).orderBy("x")
-    cut = table.select(
-        *[F.col(c).alias(f"t_{c}") for c in by], F.col("x").alias("t_x0"), F.col("y").alias("t_y0"), F.col("law").alias("t_law"), F.lead("x").over(w).alias("t_x1"), F.lead("y").over(w).alias("t_y1"), (F.row_number().over(w) == 1).alias("t_lowest")
-    )
-    inside = ((F.col("x") >= F.col("t_x0")) | F.col("t_lowest")) & (F.col("t_x1").isNull() | (F.col("x") < F.col("t_x1")))
-    joined = x.join(cut, [*(F.col(c) == F.col(f"t_{c}") for c in by), inside])
-    return joined.select(*x.columns, law_value(F.col("x"), F.col("t_x0"), F.col("t_y0"), F.col("t_x1"), F.col("t_y1"), F.col("t_law")).alias("y"))
+    where a logarithm has no argument. Each row meets the two table rows around it in one ordered scan."""
+    found = bracket(x, table, by, "x", ["y", "law"]).where("before IS NOT NULL OR after IS NOT NULL")
+    low = F.coalesce("before", "after")
+    high = lambda c: F.when(F.col("before").isNotNull(), F.col("after")[c])
+    return found.select(*x.columns, law_value(F.col("x"), low["x"], low["y"], high("x"), high("y"), low["law"]).alias("y"))
 
 
 def law_value(x: Column, x0: Column, y0: Column, x1: Column, y1: Column, law: Column) -> Column:
@@ -61,42 +59,44 @@ def law_value(x: Column, x0: Column, y0: Column, x1: Column, y1: Column, law: Co
 
 def in_ranges(energies: DataFrame, ranges: DataFrame) -> DataFrame:
     """Energies (za, e) with the ranges (za, lo, hi) of their isotope that hold them: half open where
-    the next range starts where this one ends, else closed. An equi-join on the isotope."""
-    w = W.partitionBy("za").orderBy("lo")
-    r = ranges.withColumn("open", F.coalesce(F.lead("lo").over(w) == F.col("hi"), F.lit(False)))
-    return energies.join(r, "za").where((F.col("e") >= F.col("lo")) & ((F.col("e") < F.col("hi")) | (~F.col("open") & (F.col("e") == F.col("hi")))))
+    the next range starts where this one ends, else closed. An as-of join on the start."""
+    return in_intervals(energies, ranges, "za", "e", "lo", "hi")
 
 
 #: Copies of the resonance table, so that the energies of one isotope spread over as many tasks.
 SALTS = 16
 
 
-def _kinematics(energies: DataFrame, res: DataFrame, spin: float) -> DataFrame:
+def _kinematics(energies: DataFrame, res: DataFrame, spin: float, radii: DataFrame | None = None) -> DataFrame:
     """Energies (e) with resonances (za, awr, radius, l, j, er, gn, gg, gf, and gfa, gfb for gf) and what all formalisms need.
 
     Columns spin, e_low and e_high of the resonances tell each one's target spin (else `spin` holds
-    for all) and range (else all energies): a shared end belongs to the range above. What depends
-    on the resonance alone, and what depends on energy and l alone, is computed before they meet.
-    They meet by a salted equi-join, so no side is broadcast and a hot isotope is spread."""
+    for all) and range (else all energies): a shared end belongs to the range above. phase_radius
+    is that of the phase shift (else radius). radii: tables (za, e_low, x, y, law) of a range's
+    radius by energy; it takes the place of both radii, or of those that radius_tabled and
+    phase_tabled name. What depends on the resonance alone, and what depends on energy and l alone,
+    is computed before they meet. They meet by a salted equi-join, so no side is broadcast and a hot isotope is spread."""
     has = set(res.columns)
-    fa = F.col("gfa") if "gfa" in has else F.col("gf")
-    fb = F.col("gfb") if "gfb" in has else F.lit(0.0)
+    col = lambda c, other: (F.col(c) if c in has else other).alias(c)
     none = F.lit(None).cast("double")
     rows = res.select(
-        "za", "awr", "radius", "l", F.abs("j").alias("j"), "er", "gn", "gg", fa.alias("gfa"), fb.alias("gfb"),
-        (F.col("spin") if "spin" in has else F.lit(float(spin))).alias("spin"), (F.col("e_low") if "e_low" in has else none).alias("e_low"), (F.col("e_high") if "e_high" in has else none).alias("e_high"),
+        "za", "awr", "radius", "l", F.abs("j").alias("j"), "er", "gn", "gg", (F.col("gfa") if "gfa" in has else F.col("gf")).alias("gfa"), col("gfb", F.lit(0.0)), col("spin", F.lit(float(spin))), col("e_low", none), col("e_high", none),
+        col("phase_radius", F.col("radius")), col("radius_tabled", F.lit(True)), col("phase_tabled", F.lit(True)),
     )
     # one group for each isotope, l and range; equal j are those that agree to 1e-9
-    rows = rows.withColumn("gid", F.xxhash64("za", "awr", "radius", "l", "spin", "e_low", "e_high"))
+    own = ["za", "awr", "radius", "phase_radius", "radius_tabled", "phase_tabled", "l", "e_low", "e_high"]
+    rows = rows.withColumn("gid", F.xxhash64(*own, "spin"))
     k = lambda e: F.sqrt(S.wave_number_squared(e, F.col("awr")))
-    groups = rows.select("gid", "za", "awr", "radius", "l", "e_low", "e_high").distinct()
-    ends = groups.where("e_low IS NOT NULL").select("za", "e_low", "e_high").distinct()
-    ends = ends.select(F.col("za").alias("o_za"), F.col("e_low").alias("o_low"), F.col("e_high").alias("o_high"), F.coalesce(F.lead("e_low").over(W.partitionBy("za").orderBy("e_low", "e_high")) == F.col("e_high"), F.lit(False)).alias("open"))
-    groups = groups.join(ends, (F.col("za") == F.col("o_za")) & (F.col("e_low") == F.col("o_low")) & (F.col("e_high") == F.col("o_high")), "left").drop("o_za", "o_low", "o_high")
-    inside = F.col("e_low").isNull() | ((F.col("e") >= F.col("e_low")) & ((F.col("e") < F.col("e_high")) | (~F.coalesce("open", F.lit(False)) & (F.col("e") == F.col("e_high")))))
-    rho = k(F.col("e")) * F.col("radius")
-    left = energies.select("za", "e").distinct().join(groups, "za").where(inside)
-    left = left.select("za", "e", "gid", "l", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), rho).alias("phi"), S.penetrability(F.col("l"), rho).alias("p"), F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int").alias("salt"))
+    groups = rows.select("gid", *own).distinct()
+    points = energies.select("za", "e").distinct()
+    left = points.join(groups.where("e_low IS NULL"), "za")
+    if "e_low" in has:
+        ranges = groups.where("e_low IS NOT NULL").select("za", F.col("e_low").alias("lo"), F.col("e_high").alias("hi")).distinct()
+        held = in_ranges(points, ranges).withColumnRenamed("za", "r_za").join(groups, (F.col("za") == F.col("r_za")) & (F.col("e_low") == F.col("lo")) & (F.col("e_high") == F.col("hi")))
+        left = left.unionByName(held.select(left.columns))
+    if radii is not None:
+        left, rows = _with_radii(left, radii, "e"), _with_radii(rows, radii, "er")
+    left = left.select("za", "e", "gid", "l", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), k(F.col("e")) * F.col("phase_radius")).alias("phi"), S.penetrability(F.col("l"), k(F.col("e")) * F.col("radius")).alias("p"), F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int").alias("salt"))
     rho_r = k(F.abs("er")) * F.col("radius")
     right = rows.withColumn("pr", S.penetrability(F.col("l"), rho_r))
     right = right.select(F.col("gid").alias("r_gid"), F.round("j", 9).alias("j"), S.statistical_weight(F.col("j"), F.col("spin")).alias("g"), "er", "gn", "gg", "gfa", "gfb", (F.abs("gfa") + F.abs("gfb")).alias("gf"), "pr", (F.abs("gn") / F.sqrt(F.abs("er")) / F.col("pr")).alias("gnr"))
@@ -105,12 +105,27 @@ def _kinematics(energies: DataFrame, res: DataFrame, spin: float) -> DataFrame:
     return out.withColumns({"d": F.col("e") - F.col("er"), "gne": F.col("gnr") * F.sqrt("e") * F.col("p")})
 
 
+def radius_at(points: DataFrame, radii: DataFrame) -> DataFrame:
+    """za, e_low, x, y: the radius of points (za, e_low, x) whose range has a table (za, e_low, x, y, law)."""
+    return interpolate(points, radii, ["za", "e_low"])
+
+
+def _with_radii(rows: DataFrame, radii: DataFrame, e: str) -> DataFrame:
+    """rows with radius and phase_radius taken from their range's table at |e|, where it has one and they follow it. Ranges without a start are those of tables at 0."""
+    at = rows.withColumns({"a_low": F.coalesce("e_low", F.lit(0.0)), "a_x": F.abs(e)})
+    found = radius_at(at.select("za", F.col("a_low").alias("e_low"), F.col("a_x").alias("x")).distinct(), radii)
+    found = found.select(F.col("za").alias("t_za"), F.col("e_low").alias("t_low"), F.col("x").alias("t_x"), F.col("y").alias("t_y"))
+    out = at.join(found, (F.col("za") == F.col("t_za")) & (F.col("a_low") == F.col("t_low")) & (F.col("a_x") == F.col("t_x")), "left")
+    follow = lambda c, flag: F.when(F.col(flag) & F.col("t_y").isNotNull(), F.col("t_y")).otherwise(F.col(c))
+    return out.withColumns({"radius": follow("radius", "radius_tabled"), "phase_radius": follow("phase_radius", "phase_tabled")}).select(rows.columns)
+
+
 _GROUP = ["gid", "salt", "za", "e", "j"]
 
 
-def slbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
+def slbw(energies: DataFrame, res: DataFrame, spin: float = 0.0, radii: DataFrame | None = None) -> DataFrame:
     """za, e and elastic, capture, fission, total of the single-level formulas."""
-    rows = _kinematics(energies, res, spin).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
+    rows = _kinematics(energies, res, spin, radii).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
     den = F.col("d") * F.col("d") + F.col("tot") * F.col("tot") / 4.0
     s, c = F.sin("phi"), F.cos("phi")
     unit = F.col("pk") * F.col("g")
@@ -123,9 +138,9 @@ def slbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
     return _totals(groups.withColumn("elastic", F.col("pot") + F.col("peak")))
 
 
-def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
+def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0, radii: DataFrame | None = None) -> DataFrame:
     """As slbw, with the elastic part from the coherent sum X = sum gn / (er - e - i tot/2) of each (l, j)."""
-    rows = _kinematics(energies, res, spin).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
+    rows = _kinematics(energies, res, spin, radii).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
     den = F.col("d") * F.col("d") + F.col("tot") * F.col("tot") / 4.0
     unit = F.col("pk") * F.col("g")
     sums = rows.groupBy(_GROUP).agg(
@@ -147,7 +162,7 @@ def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0) -> DataFrame:
 _PAIRS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
 
 
-def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0, external: DataFrame | None = None) -> DataFrame:
+def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0, external: DataFrame | None = None, radii: DataFrame | None = None) -> DataFrame:
     """Reich-Moore with a neutron channel and up to two of fission.
 
     external: background terms (za, l, j, con, lin, quad, s_con, s_lin, e_low, e_up) of functions.scalars.external_r,
@@ -157,7 +172,7 @@ def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0, external
     the groups are then solved in batches. With L = iP for the neutron and i for fission,
     A = (1/L - R)**-1 R gives U_nn = exp(-2 i phi) (1 + 2 A_nn) and |U_nf|**2 = 4 |A_nf|**2 / P;
     capture is what is left of the total. A singular system gives zeros."""
-    rows = _kinematics(energies, res, spin)
+    rows = _kinematics(energies, res, spin, radii)
     root = lambda w, per: F.signum(w) * F.sqrt(F.abs(w) / per)
     rows = rows.withColumns({"b0": root(F.col("gn"), 2.0 * F.col("pr")), "b1": root(F.col("gfa"), F.lit(2.0)), "b2": root(F.col("gfb"), F.lit(2.0))})
     half = F.col("gg") / 2.0
@@ -205,22 +220,28 @@ def _totals(groups: DataFrame) -> DataFrame:
     return out.withColumn("total", F.col("elastic") + F.col("capture") + F.col("fission"))
 
 
-def unresolved(energies: DataFrame, table: DataFrame) -> DataFrame:
+def unresolved(energies: DataFrame, table: DataFrame, radii: DataFrame | None = None) -> DataFrame:
     """za, e, elastic, capture, fission, total from tables of averages, within their ranges.
 
     table: za, awr, spin, radius (fm), e_low, e_high, l, j, law, reduced, and points x (energy) with
     spacing, gx, gn, gg, gf. Of each (za, range, l, j) the points are interpolated by the law, clamped
     at the ends; one point holds everywhere. reduced: gn is a reduced width, to be multiplied by 2 P.
+    radii: tables (za, e_low, x, y, law) of the radius by energy, in place of radius.
     Each energy meets the one interval of each (l, j) that holds it; gx is in the total alone."""
     key = ["za", "e_low", "l", "j"]
     values = ["spacing", "gx", "gn", "gg", "gf"]
-    w = W.partitionBy(*key).orderBy("x")
-    cut = table.select("*", F.lead("x").over(w).alias("x1"), *[F.lead(v).over(w).alias(f"{v}_1") for v in values], (F.row_number().over(w) == 1).alias("lowest"))
     e = F.col("e")
-    inside = ((e >= F.col("x")) | F.col("lowest")) & (F.col("x1").isNull() | (e < F.col("x1"))) & e.between(F.col("e_low"), F.col("e_high"))
-    rows = energies.select("za", "e").distinct().join(cut, "za").where(inside)
-    at = {v: law_value(e, F.col("x"), F.col(v), F.col("x1"), F.col(f"{v}_1"), F.col("law")) for v in values}
-    rows = rows.select("za", "e", "e_low", "radius", "awr", "spin", "l", "j", "reduced", *[c.alias(v) for v, c in at.items()])
+    # a range's (l, j) are few and move with its interval; each energy in it looks up each of them
+    parts = F.collect_set(F.struct("awr", "spin", "radius", "l", "j", "reduced")).alias("parts")
+    ranges = table.groupBy("za", "e_low", "e_high").agg(parts)
+    held = in_intervals(energies.select("za", "e").distinct(), ranges, "za", "e", "e_low", "e_high", both_ends=True).select("za", "e", "e_low", F.inline("parts"))
+    found = bracket(held.withColumn("x", e), table, key, "x", [*values, "law"])
+    low, up = F.coalesce("before", "after"), F.when(F.col("before").isNotNull(), F.col("after"))
+    at = {v: law_value(e, low["x"], low[v], up["x"], up[v], low["law"]) for v in values}
+    rows = found.select("za", "e", "e_low", "radius", "awr", "spin", "l", "j", "reduced", *[c.alias(v) for v, c in at.items()])
+    if radii is not None:
+        here = radius_at(rows.select("za", "e_low", e.alias("x")).distinct(), radii).select(F.col("za").alias("t_za"), F.col("e_low").alias("t_low"), F.col("x").alias("t_x"), "y")
+        rows = rows.join(here, (F.col("za") == F.col("t_za")) & (F.col("e_low") == F.col("t_low")) & (e == F.col("t_x")), "left").withColumn("radius", F.coalesce("y", "radius"))
     rho = F.sqrt(S.wave_number_squared(e, F.col("awr"))) * F.col("radius")
     rows = rows.withColumn("gn", F.when(F.col("reduced"), 2.0 * S.penetrability(F.col("l"), rho) * F.col("gn")).otherwise(F.col("gn")))
     tot = F.col("gn") + F.col("gg") + F.col("gf") + F.col("gx")
@@ -297,4 +318,4 @@ def detectability(matrix: DataFrame, traces: DataFrame, density: float, i0: floa
         F.max(F.struct("dt", "i", "energy")).alias("peak"), F.greatest(F.max(F.when(~F.isnan("snr"), F.col("snr"))), F.lit(0.0)).alias("peak_snr"), F.avg((F.col("t") < K.OPAQUE).cast("double")).alias("opaque")
     )
     ranked = out.select("iso", "ordinal", F.col("peak.dt").alias("peak_dt"), F.col("peak.energy").alias("peak_energy"), "peak_snr", "opaque")
-    return ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("peak_snr"), "ordinal")))
+    return numbered(ranked, [F.desc("peak_snr"), F.col("ordinal")]).withColumn("rank", F.col("rank").cast("int"))

@@ -1,101 +1,16 @@
-"""Auxiliary grids and density surrogates: dimensions that are built once and broadcast by their size.
+"""Density surrogates: dimensions that are built once and broadcast by their size.
 
-The extended grid is that of one axis: points beyond its ends, between far neighbours and around
-narrow resonances. A Chebyshev surrogate tabulates a blurred transmission at a few densities; each
-bin's polynomial is a row, built by grouped sums and evaluated by Clenshaw's recurrence in place.
+A Chebyshev surrogate tabulates a blurred transmission at a few densities; each bin's polynomial
+is a row, built by grouped sums and evaluated by Clenshaw's recurrence in place.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tofcube import constants as K
-
-#: Points at an end that set its spacing, parts of a width, points that a width needs, and the tolerance of equal points. Fixed values.
-END_POINTS, WIDTH_PART, WIDTH_POINTS, EQUAL = 5, 2.0 / 14.0, 10, 1e-10
-
-
-def _merged(x: np.ndarray) -> np.ndarray:
-    """Sorted, without what is equal to the last kept."""
-    out: list[float] = []
-    for v in np.sort(x).tolist():
-        if not out or abs(v - out[-1]) > EQUAL * max(abs(out[-1]), 1e-30):
-            out.append(v)
-    return np.array(out)
-
-
-def _around(grid: np.ndarray, e: float, width: float) -> list[float]:
-    """Points within a resonance's width if the grid has too few there, and ever wider ones towards the grid."""
-    lo, hi, step = max(e - width, 1e-6), e + width, WIDTH_PART * width
-    if width < 1e-30 or e <= 0 or not grid[0] <= e <= grid[-1]:
-        return []
-    first, stop = int(np.searchsorted(grid, lo, "left")), int(np.searchsorted(grid, hi, "right"))
-    if stop - first >= WIDTH_POINTS:
-        return []
-    out = [x for x in (lo + step * k for k in range(math.ceil((hi - lo) / step) + 1)) if 0 < x <= hi + 0.01 * step]
-    for edge, sign, near in ((lo, -1.0, grid[first - 1] if first else None), (hi, 1.0, grid[stop] if stop < len(grid) else None)):
-        if near is None or abs(edge - near) <= 2 * step:
-            continue
-        at, gap = edge, step
-        for _ in range(20):
-            gap *= 2
-            at += sign * gap
-            if sign * (near - at) <= EQUAL * max(abs(near), 1e-30):
-                break
-            out.append(at)
-    return out
-
-
-def extended_grid(energies: np.ndarray, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0, resonances: list[tuple[float, float]] = (), between: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """An axis with its auxiliary points, and where its own points are in it.
-
-    resonances: (energy, total width). between: points between neighbours that are further apart
-    than a quarter of the Gaussian width at their middle."""
-    e = np.asarray(energies, float)
-    if len(e) < 2:
-        return e, np.arange(len(e))
-    gauss = lambda x: math.hypot(2.0 * dt_us * x**1.5 / (K.TOF_FACTOR * flight_m), 2.0 * dl_m * x / flight_m)
-    up = 5.0 * gauss(e[-1])
-    tail = 2.0 * de_us * e[-1] ** 1.5 / (K.TOF_FACTOR * flight_m)
-    if tail > 1e-30:
-        ratio = gauss(e[-1]) / tail
-        up = 6.25 * tail if ratio <= 1 else 5.0 * (3.0 - ratio) * gauss(e[-1]) if ratio <= 2 else up
-    k = min(END_POINTS, len(e))
-    root = np.sqrt(e)
-    parts = [e]
-    low, high = (root[k - 1] - root[0]) / max(k - 1, 1), (root[-1] - root[-k]) / max(k - 1, 1)
-    if gauss(e[0]) > 0 and low > 1e-30:
-        n = math.ceil((root[0] - math.sqrt(max(e[0] - 5.0 * gauss(e[0]), 0.001))) / low)
-        more = root[0] - low * np.arange(1, n + 1)
-        parts.append(more[more > 0] ** 2)
-    if up > 0 and high > 1e-30:
-        n = math.ceil((math.sqrt(e[-1] + up) - root[-1]) / high)
-        parts.append((root[-1] + high * np.arange(1, n + 1)) ** 2)
-    grid = _merged(np.concatenate(parts))
-    if between:
-        extra = []
-        for a, b in zip(grid, grid[1:], strict=False):
-            most = 0.25 * gauss(0.5 * (a + b))
-            if most > 1e-60 and b - a > most:
-                n = math.ceil((b - a) / most)
-                extra += [a + (b - a) / n * j for j in range(1, n)]
-        grid = _merged(np.concatenate((grid, extra)))
-    fine = [x for at, width in resonances for x in _around(grid, at, width)]
-    grid = _merged(np.concatenate((grid, fine)))
-    grid = grid[grid > 0]
-    k = np.clip(np.searchsorted(grid, e), 1, len(grid) - 1)
-    return grid, np.where(np.abs(grid[k - 1] - e) <= np.abs(grid[k] - e), k - 1, k)
-
-
-def grid_table(spark: SparkSession, grid: np.ndarray, own: np.ndarray) -> DataFrame:
-    """i, value, own: the number of the axis's point, or null for an auxiliary one."""
-    at = {int(k): n for n, k in enumerate(own)}
-    return spark.createDataFrame([(i, float(x), at.get(i)) for i, x in enumerate(grid)], "i int, value double, own int")
-
 
 def chebyshev_plan(sigma: DataFrame, matrix: DataFrame | None, most: float, order: int = 12) -> DataFrame:
     """i, box, coefficients: of each bin, the polynomial in the density from 0 to `most` of R exp(-n sigma).
