@@ -52,7 +52,7 @@ URL_RULES = (
     urls.UrlRule("block", "com/de/"),
 )
 #: The SQL has no loop and so a number of rounds; the tables have no links between hosts, where one is enough.
-URL_ROUNDS, URL_DAMPING, URL_LEAST = 8, 0.85, 1e-9
+URL_ROUNDS, URL_DAMPING, URL_LEAST = 8, 0.85, 0.05
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,20 +68,21 @@ def _op2_sql() -> str:
     ctes = [
         rf"n AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UP}', '{LOW}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
         f"j AS MATERIALIZED (SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM n)",
-        "h AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS allowed, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM j WHERE host <> '' GROUP BY host)",
+        "h AS (SELECT host, count(*) AS pages, count(*) FILTER (WHERE ruled = 'allow') AS allowed, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM j WHERE host <> '' GROUP BY host)",
         rf"""l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1)) AS link FROM n)""",
         rf"d AS (SELECT src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END, '(?s)^.*?://([^/?#]*)', 1), '{UP}', '{LOW}') AS dst FROM l)",
         "e AS MATERIALIZED (SELECT src, dst, count(*) AS links FROM d WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
         "f AS MATERIALIZED (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS share FROM e)",
-        "b AS MATERIALIZED (SELECT dst AS src, src AS dst, links / sum(links) OVER (PARTITION BY dst) AS share FROM e)",
+        "b AS MATERIALIZED (SELECT dst AS src, src AS dst, links / sum(links) OVER (PARTITION BY src) AS share FROM e)",
         "t0 AS (SELECT host, allowed / (SELECT sum(allowed) FROM h) AS rank FROM h WHERE allowed > 0)",
-        "s0 AS (SELECT host, blocked / (SELECT sum(blocked) FROM h) AS rank FROM h WHERE blocked > 0)",
+        "s0 AS (SELECT host, blocked / pages AS rank FROM h WHERE blocked > 0)",
     ]
     for x, edges in (("t", "f"), ("s", "b")):
         for k in range(1, URL_ROUNDS + 1):
             ctes.append(f"{x}{k} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT dst AS host, {URL_DAMPING} * share * rank AS rank FROM {edges} JOIN {x}{k - 1} ON src = host UNION ALL SELECT host, {1 - URL_DAMPING} * rank FROM {x}0) GROUP BY host)")
     k = URL_ROUNDS
-    ctes.append(f"bad AS (SELECT s.host FROM s{k} s LEFT JOIN t{k} t ON s.host = t.host WHERE s.rank >= {URL_LEAST} AND s.rank > coalesce(t.rank, 0))")
+    rest = 1 - URL_DAMPING
+    ctes.append(f"bad AS (SELECT s.host FROM s{k} s LEFT JOIN t{k} t ON s.host = t.host WHERE s.rank >= {URL_LEAST * rest!r}::DOUBLE AND s.rank / {rest!r}::DOUBLE > coalesce(t.rank / {rest!r}::DOUBLE * (SELECT count(*) FROM t0), 0))")
     return f"WITH {', '.join(ctes)} SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bad ON j.host = bad.host"
 
 

@@ -3,8 +3,11 @@
 The longest rule that fits a url decides it. For the rest, host edges are taken from the links
 in the pages and counted per pair of hosts; trust spreads along them as personalised PageRank
 from the hosts of allowed pages, and distrust against them from the hosts of blocked pages (who
-links to the blocked is suspect). A host whose distrust is over both its trust and a threshold
-(relative to the mean weight of a seed) is blocked.
+links to the blocked is suspect). A step back carries the share that the link has in the links
+of the host that it starts from, so a host's distrust is that share of its own links, damped
+once for each step, that leads to blocked pages: 0.85 for one that links to nothing else, 0.004
+for one with a single such link among 200. A host whose distrust is at least `min_distrust` (a
+twentieth, unless stated) and greater than its trust, in units of a mean seed's, is blocked.
 
 Hosts with very many pages or links are pre-aggregated by map-side sums before any shuffle; the
 joins on hosts are equi-joins which adaptive execution splits when skewed and broadcasts when
@@ -76,55 +79,54 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return out.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float, tolerance: float = 0.0, every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float, tolerance: float = 0.0, every: int = 4, reverse: bool = False) -> DataFrame:
     """host, rank: personalised PageRank over edges (src, dst, links) from seeds (host, seed; seeds sum to 1).
 
-    rounds None: until the summed change of a round is below tolerance. A round shrinks the
-    change by damping at least and the first is 2 at most, so the number of rounds is bounded.
-    Rank that reaches a host without edges out is lost, so ranks sum to 1 at most."""
+    reverse: against the edges, each with its share in the links of its src all the same; seeds
+    are 1 at most, and so are ranks. rounds None: until the change of a round, summed over hosts
+    (reverse: the greatest), is below tolerance. A round shrinks the change by damping at least
+    and the first is 2 at most, so the number of rounds is bounded. Rank that reaches a host
+    without edges out is lost, so ranks sum to 1 at most."""
     most = rounds
     if most is None:
         if not 0 < damping < 1 or tolerance <= 0:
             raise ValueError("rounds without a number need a damping within 0 and 1 and a positive tolerance")
         most = max(1, math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1)
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
-    share = work_table(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), "link-shares")
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    share = work_table(edges.join(out, "src").select(F.col(a).alias("start"), F.col(b).alias("to"), (F.col("links") / F.col("total")).alias("share")), "link-shares")
     start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
     rank = seeds.select("host", F.col("seed").alias("rank"))
     for k in range(1, most + 1):
-        moved = share.join(rank, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
+        moved = share.join(rank, F.col("start") == F.col("host")).select(F.col("to").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
         before, rank = rank, moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
         if k % every == 0 or k == most:
             rank = work_table(rank, "link-ranks")
             if rounds is None and k < most:
                 both = rank.unionByName(before.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.abs(F.sum("rank")).alias("change"))
-                if (both.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+                if (both.agg((F.max if reverse else F.sum)("change")).first()[0] or 0.0) < tolerance:
                     break
     return rank
 
 
-def _seeds(hosts: DataFrame, count: str) -> tuple[DataFrame, float]:
-    """The seeds, and their mean weight."""
-    total, n = hosts.agg(F.sum(count), F.count_if(F.col(count) > 0)).first()
-    return hosts.where(F.col(count) > 0).select("host", (F.col(count) / F.lit(float(max(total or 0, 1)))).alias("seed")), 1.0 / max(n, 1)
-
-
-def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int | None = None, damping: float = 0.85, min_distrust: float = 1e-9) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int | None = None, damping: float = 0.85, min_distrust: float = 0.05) -> DataFrame:
     """id, host, path, rule (null if none fits), verdict ('allow' or 'block'), and by_links (the method decided).
 
-    min_distrust is a multiple of the mean seed weight, so that it doesn't depend on the number of
-    seeds. Ranks are iterated until their summed change is below that of one host at the threshold."""
+    min_distrust is a share of a host's own links: it depends on no other host. A blocked seed
+    counts by the share of its pages that are blocked. Ranks are iterated until a round changes
+    them by less than a hundredth of the threshold."""
     named = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     judged = named.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
-    hosts = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     hosts = work_table(hosts, "link-hosts")
     edges = work_table(host_edges(pages, url_col, html_col), "link-edges")
-    (good, _), (suspect, mean) = _seeds(hosts, "allowed"), _seeds(hosts, "blocked")
-    least = min_distrust * mean
-    trust = propagate(edges, good, rounds, damping, least)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = propagate(back, suspect, rounds, damping, least)
-    bad = distrust.select("host", F.col("rank").alias("distrust")).join(trust, "host", "left").where((F.col("distrust") >= least) & (F.col("distrust") > F.coalesce(F.col("rank"), F.lit(0.0))))
+    total, n = hosts.agg(F.sum("allowed"), F.count_if(F.col("allowed") > 0)).first()
+    good = hosts.where("allowed > 0").select("host", (F.col("allowed") / F.lit(float(total or 1))).alias("seed"))
+    suspect = hosts.where("blocked > 0").select("host", (F.col("blocked") / F.col("pages")).alias("seed"))
+    unit, least = (1.0 - damping) / max(n, 1), min_distrust * (1.0 - damping)
+    trust = propagate(edges, good, rounds, damping, 0.01 * min_distrust * unit).withColumnRenamed("rank", "trust")
+    distrust = propagate(edges, suspect, rounds, damping, 0.01 * least, reverse=True)
+    bad = distrust.join(trust, "host", "left").where((F.col("rank") >= least) & (F.col("rank") / (1.0 - damping) > F.coalesce(F.col("trust") / unit, F.lit(0.0))))
     bad = bad.select(F.col("host").alias("bad_host"))
     out = judged.join(bad, F.col("host") == F.col("bad_host"), "left")
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow"))
