@@ -37,19 +37,19 @@ def kernels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ref_energy double, k int, offset double, weight double")
 
 
-def curve(spark: SparkSession) -> DataFrame:
-    return A.grid(spark).select(F.col("value").alias("e"), F.exp(-1.0 / (1.0 + F.pow((F.col("value") - 15.0) / 0.8, F.lit(2.0)))).alias("value"))
+def curve(spark: SparkSession, sf: str) -> DataFrame:
+    return A.grid(spark, sf).select(F.col("value").alias("e"), F.exp(-1.0 / (1.0 + F.pow((F.col("value") - 15.0) / 0.8, F.lit(2.0)))).alias("value"))
 
 
 def curves(spark: SparkSession, sf: str) -> DataFrame:
     """A curve for each brand of part, its dip at a place of its own."""
     k = spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().withColumn("at", 10.0 + F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") * 0.3)
-    return A.grid(spark).select(F.col("value").alias("e")).join(F.broadcast(k)).select("p_brand", "e", F.exp(-1.0 / (1.0 + F.pow((F.col("e") - F.col("at")) / 0.8, F.lit(2.0)))).alias("value"))  # some brands
+    return A.grid(spark, sf).select(F.col("value").alias("e")).join(F.broadcast(k)).select("p_brand", "e", F.exp(-1.0 / (1.0 + F.pow((F.col("e") - F.col("at")) / 0.8, F.lit(2.0)))).alias("value"))  # some brands
 
 
-def externals(spark: SparkSession) -> DataFrame:
+def externals(spark: SparkSession, sf: str) -> DataFrame:
     r = F.struct(F.lit(0.1).alias("con"), F.lit(0.01).alias("lin"), F.lit(0.001).alias("quad"), F.lit(0.2).alias("s_con"), F.lit(0.02).alias("s_lin"), F.lit(2.0).alias("e_low"), F.lit(60.0).alias("e_up"))
-    return A.grid(spark).select("i", F.round(X.external_r(F.col("value"), r), 9).alias("r"))
+    return A.grid(spark, sf).select("i", F.round(X.external_r(F.col("value"), r), 9).alias("r"))
 
 
 R = lambda c, n=9: F.round(c, n)
@@ -61,7 +61,7 @@ _FL = f"({K.TOF_FACTOR!r}::DOUBLE * {L})"
 _SG = "sg AS (SELECT c_nationkey AS \"case\", c_custkey AS number, (c_custkey % 3)::INT AS l, (0.5 + c_custkey % 4)::DOUBLE AS j, CASE WHEN c_nationkey % 2 = 0 THEN 3.5 ELSE 0 END::DOUBLE AS spin FROM customer), rs AS (SELECT c_nationkey AS \"case\", CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS number, o_totalprice AS er, (o_orderkey % 11) * 0.001::DOUBLE AS gn FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 QUERIES = {
-    "quadrature_weights": lambda s, d: X.quadrature_weights(A.grid(s)).select("i", R("weight").alias("weight")),
+    "quadrature_weights": lambda s, d: X.quadrature_weights(A.grid(s, d)).select("i", R("weight").alias("weight")),
     "sparse_row_offsets": lambda s, d: X.row_offsets(P.matrix(s)),
     "distinct_parameters": lambda s, d: X.distinct_parameters(P.spectra(s, d).select("grp", (F.col("iso") % 7).alias("p")), ["grp"], "p").select("grp", F.array_join(F.transform("parameters", lambda x: x.cast("string")), ",").alias("parameters")),
     "spin_group_offsets": lambda s, d: X.spin_offsets(spin_groups(s, d)).select("case", "number", "l", R("j").alias("j")),
@@ -69,22 +69,22 @@ QUERIES = {
     "undefined_spin_groups": lambda s, d: X.undefined_groups(spin_groups(s, d), orders(s, d)),
     "group_expansion": lambda s, d: X.expand_groups(I.natural_group(P.abundances(s)).select("grp").distinct().withColumn("n", F.lit(0.002)), I.natural_group(P.abundances(s))).withColumn("n", R("n", 12)),
     "library_filenames": lambda s, d: I.with_lookup(P.abundances(s).select("z", "a"), I.evaluations(P.abundances(s))).select("z", "a", F.explode(F.array(*map(F.lit, LIBRARIES))).alias("library"), "mat").select("library", "z", "a", X.evaluation_file(F.col("library"), F.col("z"), F.col("a"), F.col("mat")).alias("file")),
-    "resolution_conversion": lambda s, d: A.grid(s).select("i", X.kernel_parameters(F.col("value") % 2, F.col("value") % 3, F.lit(0.1), F.col("i") % 5 == 0).alias("p")).select("i", R("p.dt_us").alias("dt_us"), R("p.dl_m").alias("dl_m"), "p.de"),
-    "external_r": lambda s, d: externals(s),
-    "background_jacobian": lambda s, d: curve(s).select(R("e").alias("e"), *[R(c).alias(n) for n, c in X.background_jacobian(F.col("value"), F.col("e"), 0.03, 1.5).items()]),
-    "kernel_at_energy": lambda s, d: X.kernels_at(A.grid(s).select(F.col("value").alias("e")), kernels(s)).select(R("e").alias("e"), "k", R("offset").alias("offset"), R("weight").alias("weight")),
-    "tabulated_resolution": lambda s, d: X.tabulated_resolution(curve(s), kernels(s), L).select(R("e").alias("e"), R("value", 8).alias("value")),
+    "resolution_conversion": lambda s, d: A.grid(s, d).select("i", X.kernel_parameters(F.col("value") % 2, F.col("value") % 3, F.lit(0.1), F.col("i") % 5 == 0).alias("p")).select("i", R("p.dt_us").alias("dt_us"), R("p.dl_m").alias("dl_m"), "p.de"),
+    "external_r": lambda s, d: externals(s, d),
+    "background_jacobian": lambda s, d: curve(s, d).select(R("e").alias("e"), *[R(c).alias(n) for n, c in X.background_jacobian(F.col("value"), F.col("e"), 0.03, 1.5).items()]),
+    "kernel_at_energy": lambda s, d: X.kernels_at(A.grid(s, d).select(F.col("value").alias("e")), kernels(s)).select(R("e").alias("e"), "k", R("offset").alias("offset"), R("weight").alias("weight")),
+    "tabulated_resolution": lambda s, d: X.tabulated_resolution(curve(s, d), kernels(s), L).select(R("e").alias("e"), R("value", 8).alias("value")),
     "tabulated_resolution_curves": lambda s, d: X.tabulated_resolution(curves(s, d), kernels(s), L, ["p_brand"]).select("p_brand", R("e").alias("e"), R("value", 8).alias("value")),
     "fisher_matrix": lambda s, d: X.fisher_matrix(P.M.group_sigma(P.spectra(s, d).drop("grp"), P.members(s, d)), P.members(s, d).select("grp").distinct().select("grp", (0.0005 * (1 + F.col("grp").cast("int") % 4)).alias("n")), 1e3).select("g1", "g2", R("fisher", 4).alias("fisher")),
     "noisy_cube": lambda s, d: X.add_poisson_noise(C.C.to_spectra(C.cells(s, d), "transmission"), 1e4, 7),
     "embedded_size": lambda s, d: project.embedded_size(C.full(s, d, "view")),
     "map_report_rows": lambda s, d: project.report_rows(C.cells(s, d).select(F.concat(F.lit("a|"), F.col("y").cast("string")).alias("label"), F.round("transmission", 2).alias("density"), (F.col("sigma") < float("inf")).alias("converged"))).select("label", "n_converged", "n_total"),
-    "wave_numbers": lambda s, d: A.grid(s).select("i", R(S.wave_number_squared(F.col("value"), F.lit(236.006)), 15).alias("k2"), R(S.pi_over_k2_barns(F.col("value"), F.lit(236.006)), 6).alias("pi_k2"), R(S.channel_radius_fm(F.col("value")), 9).alias("radius"), R(S.statistical_weight(F.lit(0.5) + F.col("i") % 4, F.lit(3.5)), 9).alias("g")),
+    "wave_numbers": lambda s, d: A.grid(s, d).select("i", R(S.wave_number_squared(F.col("value"), F.lit(236.006)), 15).alias("k2"), R(S.pi_over_k2_barns(F.col("value"), F.lit(236.006)), 6).alias("pi_k2"), R(S.channel_radius_fm(F.col("value")), 9).alias("radius"), R(S.statistical_weight(F.lit(0.5) + F.col("i") % 4, F.lit(3.5)), 9).alias("g")),
 }
 ORACLES = {
     "quadrature_weights": f"""WITH {A.GR}, v AS (SELECT i, value, lag(value, 2, 0) OVER w AS a, lag(value, 1, 0) OVER w AS b, lead(value, 1, 0) OVER w AS d, lead(value, 2, 0) OVER w AS f FROM gr WINDOW w AS (ORDER BY i)),
 x AS (SELECT i, b - a AS v1, value - b AS v2, d - value AS v3, f - d AS v4 FROM v)
-SELECT i, round(CASE WHEN i >= 2 THEN v1 ELSE 0 END + CASE WHEN i >= 1 THEN 5 * v2 ELSE 0 END + CASE WHEN i <> 299 THEN 5 * v3 ELSE 0 END + CASE WHEN i < 298 THEN v4 ELSE 0 END + CASE WHEN i >= 2 AND i <> 299 THEN (v3 * v3 - v1 * v1) / v2 ELSE 0 END - CASE WHEN i >= 1 AND i < 298 THEN (v4 * v4 - v2 * v2) / v3 ELSE 0 END, 9) AS weight FROM x""",
+SELECT i, round(CASE WHEN i >= 2 THEN v1 ELSE 0 END + CASE WHEN i >= 1 THEN 5 * v2 ELSE 0 END + CASE WHEN i <> (SELECT max(i) FROM gr) THEN 5 * v3 ELSE 0 END + CASE WHEN i < (SELECT max(i) FROM gr) - 1 THEN v4 ELSE 0 END + CASE WHEN i >= 2 AND i <> (SELECT max(i) FROM gr) THEN (v3 * v3 - v1 * v1) / v2 ELSE 0 END - CASE WHEN i >= 1 AND i < (SELECT max(i) FROM gr) - 1 THEN (v4 * v4 - v2 * v2) / v3 ELSE 0 END, 9) AS weight FROM x""",
     "sparse_row_offsets": "SELECT i::INT AS i, (sum(c) OVER (ORDER BY i) - c)::BIGINT AS first, (sum(c) OVER (ORDER BY i))::BIGINT AS stop FROM (SELECT i, count(*) AS c FROM range(64) a(i), range(64) b(j) WHERE abs(i - j) <= 3 GROUP BY i)",
     "distinct_parameters": "SELECT grp, string_agg(p::VARCHAR, ',' ORDER BY p) AS parameters FROM (SELECT DISTINCT label::VARCHAR AS grp, vec_id % 7 AS p FROM embeddings) GROUP BY grp",
     "spin_group_offsets": f"WITH {_SG} SELECT \"case\", number, l, round(j + CASE WHEN spin > 0 THEN (row_number() OVER (PARTITION BY \"case\", l, j ORDER BY number) - 1) * 1e-6 ELSE 0 END, 9) AS j FROM sg",

@@ -60,15 +60,15 @@ def surrogate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("iso", F.col("p.i").alias("i"), N(C.chebyshev_value(F.col("p.coefficients"), F.col("p.box"), F.col("n")), 7).alias("value"))
 
 
-_GRID = lambda s: A.grid(s).select("i", F.col("value").alias("e"), F.exp(-0.01 * F.col("value")).alias("t"))
+_GRID = lambda s, d: A.grid(s, d).select("i", F.col("value").alias("e"), F.exp(-0.01 * F.col("value")).alias("t"))
 _WAVES = lambda s: s.range(600).select((F.col("id") % 3).cast("int").alias("l"), (0.05 + F.floor(F.col("id") / 3) * 0.021).alias("rho"))
 _HIGH = lambda s: s.range(200).select((5 + F.col("id") % 2).cast("int").alias("l"), (0.5 + F.floor(F.col("id") / 2) * 0.071).alias("rho"))
 
 
 QUERIES = {
     "poisson_weights": lambda s, d: P.fit_cells(s, d).select("tof_bin", "y", "x", N(S.poisson_weight(F.col("s"), F.col("o") * F.col("t"))).alias("weight"), N(S.poisson_curvature(F.col("s"), F.col("o") * F.col("t"))).alias("curvature")),
-    "counts_models": lambda s, d: _GRID(s).select("i", N(S.counts_model(F.col("e") * 100, F.col("t"), F.lit(3.0), 1.02, 0.9)).alias("counts"), N(S.likelihood_background(F.col("t"), F.col("e"), 0.01, 0.02)).alias("t")),
-    "center_of_mass": lambda s, d: _GRID(s).select("i", N(S.lab_to_cm(F.col("e"), F.lit(55.454))).alias("e_cm"), N(S.scattering_radius(F.when(F.col("i") % 3 == 0, F.col("e") * 0.1), F.lit(5.4))).alias("radius")),
+    "counts_models": lambda s, d: _GRID(s, d).select("i", N(S.counts_model(F.col("e") * 100, F.col("t"), F.lit(3.0), 1.02, 0.9)).alias("counts"), N(S.likelihood_background(F.col("t"), F.col("e"), 0.01, 0.02)).alias("t")),
+    "center_of_mass": lambda s, d: _GRID(s, d).select("i", N(S.lab_to_cm(F.col("e"), F.lit(55.454))).alias("e_cm"), N(S.scattering_radius(F.when(F.col("i") % 3 == 0, F.col("e") * 0.1), F.lit(5.4))).alias("radius")),
     "penetrability_slope": lambda s, d: _WAVES(s).select("l", N("rho", 6).alias("rho"), N(S.penetrability_slope(F.col("l"), F.col("rho"))).alias("slope")),
     "penetrability_high_l": lambda s, d: _HIGH(s).select("l", N("rho", 6).alias("rho"), N(S.penetrability(F.col("l"), F.col("rho"))).alias("p")),
     "resonance_counts": lambda s, d: R.resonance_counts(P.resonances(s, d), ["za", "l"]),
