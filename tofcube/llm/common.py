@@ -167,7 +167,7 @@ def parts_for(hashes: int) -> int:
 def twice_filter(routed: DataFrame, expected: int, parts_log2: int, most_log2: int, heavy_at: int = 0) -> tuple[TwiceFilter, dict[int, int]]:
     """Build both Bloom filters from packed hashes (part int, hashes binary), part by part on the executors.
 
-    Each task holds the once-seen filter of its parts alone, with 8 bits for each expected hash,
+    Each task holds the once-seen filter of its parts alone, with 8 bits, a byte each, for each expected hash,
     and reads its hashes as a stream: those whose bits are all set, or that are twice in a row,
     are kept. Of these the twice-seen filter is made, part by part again; it alone leaves the
     executors. Its size follows the number of distinct repeats, not that of all hashes, and is

@@ -50,7 +50,7 @@ def line_keys(text: bytes | None, min_chars: int) -> list[bytes]:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 2, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), max_filter_log2: int = 28, max_key_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: id, the columns named in carry, n_lines, n_dropped, and text without the dropped lines.
+    """One row per document: id, the columns named in carry, n_lines, n_dropped (each left out where a carried column has its name), and text without the dropped lines.
 
     Keys of at least min_chars code points found in at least min_docs documents lose their
     lines except in the document with the least (keep='first') or greatest ('last') id.
@@ -137,4 +137,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 2, keep: s
         named = map_batches(whole, others, f"row {whole.schema['row'].dataType.simpleString()}, text string")
         joined = named.join(lost, F.col("row.id").eqNullSafe(F.col("l_id")), "left").select("row", "text", "lost")
         out = map_batches(whole, clean, schema).unionByName(map_batches(joined, rebuild, schema))
-    return out.select(F.col("row.id").alias(id_col), *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(carry)], "n_lines", "n_dropped", F.col("text").alias(text_col))
+    counts = [c for c in ("n_lines", "n_dropped") if c.lower() not in {x.lower() for x in (id_col, text_col, *carry)}]
+    return out.select(F.col("row.id").alias(id_col), *[F.col(f"row.c{k}").alias(c) for k, c in enumerate(carry)], *counts, F.col("text").alias(text_col))

@@ -329,6 +329,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
 
 def drop_near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one of each component (rows that repeat its id and text stay with it)."""
-    gone = _judged(_input(docs, id_col, text_col), rules).where("id <> component").select(F.col("id").alias("__gone"), F.col("fp").alias("__fp")).distinct()
+    name = "gone"
+    while any(c.lower().startswith(name) for c in docs.columns):  # a name of our own, whatever theirs are
+        name += "_"
+    gone = _judged(_input(docs, id_col, text_col), rules).where("id <> component").select(F.col("id").alias(name), F.col("fp").alias(f"{name}fp")).distinct()
     gone = work_table(gone, "near-gone")
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__gone")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__fp")), "left_anti")
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col(name)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(f"{name}fp")), "left_anti")

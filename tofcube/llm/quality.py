@@ -105,7 +105,8 @@ def signals(text: bytes, rules: QualityRules) -> tuple:
                     line_chars += _points(line)
             else:
                 seen.add(line)
-    repeat, dup = 0, dict.fromkeys(NGRAMS, 0)
+    lengths = tuple(dict.fromkeys((*NGRAMS, *(k for k, _ in rules.max_ngram_share))))  # those of the rules are measured too
+    repeat, dup = 0, dict.fromkeys(lengths, 0)
     if n >= 3:
         number: dict[bytes, int] = {}
         ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
@@ -121,13 +122,13 @@ def signals(text: bytes, rules: QualityRules) -> tuple:
                 flat = (np.frombuffer(text.translate(None, SPACE), np.uint8) & 0xC0) != 0x80
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, n))
                 chars = np.diff(np.concatenate(([0], np.cumsum(flat)[ends - 1])))
-                for k, h in rolling(ids).items():
+                for k, h in rolling(ids, lengths).items():
                     d = _duplicated(h)
                     if d.any():
                         dup[k] = int(chars[_covered(d, k, n)].sum())
     base = n < rules.min_words or 100 * repeat > rules.max_repeat_percent * n
     kept = not base and line_chars <= rules.max_line_share * word_chars and all(dup[k] <= share * word_chars for k, share in rules.max_ngram_share)
-    return n, word_chars, symbols, dup_lines, repeat, line_chars, *dup.values(), base, kept
+    return n, word_chars, symbols, dup_lines, repeat, line_chars, *(dup[k] for k in NGRAMS), base, kept
 
 
 def quality_signals(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
