@@ -54,7 +54,7 @@ class Encoder:
     starts are encoded by the tokenizer once, and kept. A dictionary of more than MOST words is
     set aside for a new one, into which it gives what is met again until that is full too."""
 
-    MOST, LONG = 400_000, 48
+    MOST, LONG = 500_000, 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
@@ -106,15 +106,16 @@ class Encoder:
 
     def _learn(self, held: dict[str, bytes], words: set[str], before: str) -> list[str]:
         """Encode the words that aren't held; those too long to be kept are returned."""
-        new = [w for w in words if w not in held]
+        new = words.difference(held)
         if len(held) + len(new) > self.MOST:
             if before:
                 self.older = dict(held)
             held.clear()
-            new = list(words)
+            new = words
         if before:
-            held.update((w, self.older[w]) for w in new if w in self.older)
-            new = [w for w in new if w not in held]
+            rest = new.difference(self.older)
+            held.update((w, self.older[w]) for w in new.difference(rest))
+            new = rest
         alone = []
         for w in new:
             if 0 < len(w) <= self.LONG and (w.isascii() or max(w) < "\u0250"):
