@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def chebyshev_plan(sigma: DataFrame, matrix: DataFrame | None, most: float, order: int = 12) -> DataFrame:
-    """i, box, coefficients: of each bin, the polynomial in the density from 0 to `most` of R exp(-n sigma).
+def chebyshev_plan(sigma: DataFrame, matrix: DataFrame | None, most: float, order: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, i, box, coefficients: of each bin, the polynomial in the density from 0 to `most` of R exp(-n sigma).
 
-    sigma: (i, sigma); matrix: (i, j, w) or None. Each bin is exploded over the nodes, blurred by the
+    sigma: (by, i, sigma); matrix: (i, j, w) or None. Each bin is exploded over the nodes, blurred by the
     sparse matrix, and summed into coefficients."""
     nodes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(0.5 * most * (1 + math.cos(math.pi * (k + 0.5) / order))).alias("n")) for k in range(order)])
-    t = sigma.select("i", "sigma", F.explode(nodes).alias("node")).select("i", F.col("node.k").alias("k"), F.exp(-F.col("node.n") * F.col("sigma")).alias("t"))
+    t = sigma.select(*by, "i", "sigma", F.explode(nodes).alias("node")).select(*by, "i", F.col("node.k").alias("k"), F.exp(-F.col("node.n") * F.col("sigma")).alias("t"))
     if matrix is not None:
-        t = matrix.join(t.withColumnRenamed("i", "j"), "j").groupBy("i", "k").agg(F.sum(F.col("w") * F.col("t")).alias("t"))
+        t = matrix.join(t.withColumnRenamed("i", "j"), "j").groupBy(*by, "i", "k").agg(F.sum(F.col("w") * F.col("t")).alias("t"))
     cos = lambda m: F.cos(F.lit(math.pi * m / order) * (F.col("k") + 0.5))
     coefs = [(F.sum(F.col("t") * cos(m)) * ((1.0 if m == 0 else 2.0) / order)) for m in range(order)]
-    return t.groupBy("i").agg(F.array(*coefs).alias("coefficients")).select("i", F.lit(float(most)).alias("box"), "coefficients")
+    return t.groupBy(*by, "i").agg(F.array(*coefs).alias("coefficients")).select(*by, "i", F.lit(float(most)).alias("box"), "coefficients")
 
 
 def chebyshev_value(coefficients: Column, box: Column, n: Column) -> Column:

@@ -93,7 +93,7 @@ QUERIES = {
     "counts_to_transmission": lambda s, d: C.counts_to_transmission(full(s, d, "view"), full(s, d, "click")).select(*C.CELL, R6(F.col("transmission")).alias("transmission"), R6(F.col("sigma")).alias("sigma")),
     "dead_pixels": lambda s, d: C.dead_pixels(full(s, d, "view")),
     "live_pixels": lambda s, d: C.live(full(s, d, "view"), C.dead_pixels(full(s, d, "view")), ROIS).select("y", "x").distinct(),
-    "rebin_counts": lambda s, d: C.rebin(months(s, d).where("run = 'N'"), 7),
+    "rebin_counts": lambda s, d: C.rebin(months(s, d), 7, by=("run",)),
     "rebin_transmission": lambda s, d: C.rebin(cells(s, d), 4, "avg", "transmission").withColumn("transmission", R6(F.col("transmission"))),
     "sum_over_angle": lambda s, d: C.sum_over_angle(months(s, d)),
     "select_angle": lambda s, d: months(s, d).where("run = 'R'").drop("run"),
@@ -124,7 +124,7 @@ SELECT tof_bin, y, x, {_ROUND2}, {_finite('sigma')} FROM n2""",
     "counts_to_transmission": f"WITH {EV}, {NORM} SELECT tof_bin, y, x, round(CASE WHEN o > 0 THEN s / o ELSE 0 END, 6) AS transmission, round(CASE WHEN o <= 0 THEN 1e30 WHEN s <= 0 THEN 1e10 ELSE sqrt(greatest(s, 1)) / greatest(o, 1e-10) END, 6) AS sigma FROM both_",
     "dead_pixels": f"WITH {EV} SELECT y, x FROM vw GROUP BY y, x HAVING bool_and(value = 0)",
     "live_pixels": f"WITH {EV} SELECT y, x FROM vw WHERE {ROI_SQL} GROUP BY y, x HAVING NOT bool_and(value = 0)",
-    "rebin_counts": f"WITH {MONTHS} SELECT (tof_bin // 7)::INT AS tof_bin, y, x, sum(value)::BIGINT AS value FROM mo WHERE run = 'N' GROUP BY ALL",
+    "rebin_counts": f"WITH {MONTHS} SELECT run, (tof_bin // 7)::INT AS tof_bin, y, x, sum(value)::BIGINT AS value FROM mo GROUP BY ALL",
     "rebin_transmission": f"WITH {EV}, {NORM} SELECT (tof_bin // 4)::INT AS tof_bin, y, x, round(avg(transmission), 6) AS transmission FROM nm GROUP BY ALL",
     "sum_over_angle": f"WITH {MONTHS} SELECT tof_bin, y, x, sum(value)::BIGINT AS value FROM mo GROUP BY ALL",
     "select_angle": f"WITH {MONTHS} SELECT tof_bin, y, x, value FROM mo WHERE run = 'R'",

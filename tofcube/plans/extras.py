@@ -9,9 +9,11 @@ from tofcube import constants as K
 from tofcube.functions import scalars as S
 from tofcube.operators import extras as X
 from tofcube.operators import isotopes as I
+from tofcube.operators import sparse
 from tofcube.plans import axes as A
 from tofcube.plans import cubes as C
 from tofcube.plans import models as P
+from tofcube.plans import scans
 from tofcube.sources import project
 
 LIBRARIES = ["ENDF-B-VIII.0", "ENDF-B-VIII.1", "JEFF-3.3", "JENDL-5", "TENDL-2023", "CENDL-3.2"]
@@ -62,13 +64,13 @@ _SG = "sg AS (SELECT c_nationkey AS \"case\", c_custkey AS number, (c_custkey %
 
 QUERIES = {
     "quadrature_weights": lambda s, d: X.quadrature_weights(A.grid(s, d)).select("i", R("weight").alias("weight")),
-    "sparse_row_offsets": lambda s, d: X.row_offsets(P.matrix(s)),
+    "sparse_row_offsets": lambda s, d: X.row_offsets(sparse.entries(scans.plan(s, d))),
     "distinct_parameters": lambda s, d: X.distinct_parameters(P.spectra(s, d).select("grp", (F.col("iso") % 7).alias("p")), ["grp"], "p").select("grp", F.array_join(F.transform("parameters", lambda x: x.cast("string")), ",").alias("parameters")),
     "spin_group_offsets": lambda s, d: X.spin_offsets(spin_groups(s, d)).select("case", "number", "l", R("j").alias("j")),
     "spin_group_resonances": lambda s, d: X.attach_resonances(spin_groups(s, d), orders(s, d)).select("case", "number", "er", "gn"),
     "undefined_spin_groups": lambda s, d: X.undefined_groups(spin_groups(s, d), orders(s, d)),
-    "group_expansion": lambda s, d: X.expand_groups(I.natural_group(P.abundances(s)).select("grp").distinct().withColumn("n", F.lit(0.002)), I.natural_group(P.abundances(s))).withColumn("n", R("n", 12)),
-    "library_filenames": lambda s, d: I.with_lookup(P.abundances(s).select("z", "a"), I.evaluations(P.abundances(s))).select("z", "a", F.explode(F.array(*map(F.lit, LIBRARIES))).alias("library"), "mat").select("library", "z", "a", X.evaluation_file(F.col("library"), F.col("z"), F.col("a"), F.col("mat")).alias("file")),
+    "group_expansion": lambda s, d: X.expand_groups(I.natural_group(P.abundances(s, d)).select("grp").distinct().withColumn("n", F.lit(0.002)), I.natural_group(P.abundances(s, d))).withColumn("n", R("n", 12)),
+    "library_filenames": lambda s, d: I.with_lookup(P.abundances(s, d).select("z", "a"), I.evaluations(P.abundances(s, d))).select("z", "a", F.explode(F.array(*map(F.lit, LIBRARIES))).alias("library"), "mat").select("library", "z", "a", X.evaluation_file(F.col("library"), F.col("z"), F.col("a"), F.col("mat")).alias("file")),
     "resolution_conversion": lambda s, d: A.grid(s, d).select("i", X.kernel_parameters(F.col("value") % 2, F.col("value") % 3, F.lit(0.1), F.col("i") % 5 == 0).alias("p")).select("i", R("p.dt_us").alias("dt_us"), R("p.dl_m").alias("dl_m"), "p.de"),
     "external_r": lambda s, d: externals(s, d),
     "background_jacobian": lambda s, d: curve(s, d).select(R("e").alias("e"), *[R(c).alias(n) for n, c in X.background_jacobian(F.col("value"), F.col("e"), 0.03, 1.5).items()]),
@@ -85,7 +87,7 @@ ORACLES = {
     "quadrature_weights": f"""WITH {A.GR}, v AS (SELECT i, value, lag(value, 2, 0) OVER w AS a, lag(value, 1, 0) OVER w AS b, lead(value, 1, 0) OVER w AS d, lead(value, 2, 0) OVER w AS f FROM gr WINDOW w AS (ORDER BY i)),
 x AS (SELECT i, b - a AS v1, value - b AS v2, d - value AS v3, f - d AS v4 FROM v)
 SELECT i, round(CASE WHEN i >= 2 THEN v1 ELSE 0 END + CASE WHEN i >= 1 THEN 5 * v2 ELSE 0 END + CASE WHEN i <> (SELECT max(i) FROM gr) THEN 5 * v3 ELSE 0 END + CASE WHEN i < (SELECT max(i) FROM gr) - 1 THEN v4 ELSE 0 END + CASE WHEN i >= 2 AND i <> (SELECT max(i) FROM gr) THEN (v3 * v3 - v1 * v1) / v2 ELSE 0 END - CASE WHEN i >= 1 AND i < (SELECT max(i) FROM gr) - 1 THEN (v4 * v4 - v2 * v2) / v3 ELSE 0 END, 9) AS weight FROM x""",
-    "sparse_row_offsets": "SELECT i::INT AS i, (sum(c) OVER (ORDER BY i) - c)::BIGINT AS first, (sum(c) OVER (ORDER BY i))::BIGINT AS stop FROM (SELECT i, count(*) AS c FROM range(64) a(i), range(64) b(j) WHERE abs(i - j) <= 3 GROUP BY i)",
+    "sparse_row_offsets": f"WITH {P.SP}, {scans._PLAN} SELECT i::INT AS i, (sum(c) OVER (ORDER BY i) - c)::BIGINT AS first, (sum(c) OVER (ORDER BY i))::BIGINT AS stop FROM (SELECT i, count(*) AS c FROM pl WHERE w <> 0 GROUP BY i)",
     "distinct_parameters": "SELECT grp, string_agg(p::VARCHAR, ',' ORDER BY p) AS parameters FROM (SELECT DISTINCT label::VARCHAR AS grp, vec_id % 7 AS p FROM embeddings) GROUP BY grp",
     "spin_group_offsets": f"WITH {_SG} SELECT \"case\", number, l, round(j + CASE WHEN spin > 0 THEN (row_number() OVER (PARTITION BY \"case\", l, j ORDER BY number) - 1) * 1e-6 ELSE 0 END, 9) AS j FROM sg",
     "spin_group_resonances": f"WITH {_SG} SELECT sg.\"case\", sg.number, coalesce(er, 0) AS er, coalesce(gn, 0) AS gn FROM sg LEFT JOIN rs ON sg.\"case\" = rs.\"case\" AND sg.number = rs.number",

@@ -14,17 +14,23 @@ from tofcube.plans import cubes as P
 
 # -- stand-ins ---------------------------------------------------------------------------
 
-#: (z, a, fraction) of a few elements, as a caller would load them.
-ABUNDANCES = [(26, 54, 0.05845), (26, 56, 0.91754), (26, 57, 0.02119), (26, 58, 0.00282), (63, 151, 0.4781), (63, 153, 0.5219), (72, 174, 0.0016), (72, 176, 0.0526), (72, 177, 0.186), (72, 178, 0.2728), (72, 179, 0.1362), (72, 180, 0.3508), (92, 234, 0.000054), (92, 235, 0.007204), (92, 238, 0.992742)]
-TEXTS = ["U-238", "u-235", " Fe - 56", "n-1", "N-14", "Xx-1", "U-", "U", "U-238-1", "H-0", "He-1", "fe-56x", "Hf-177", ""]
+def abundances(spark: SparkSession, sf: str) -> DataFrame:
+    """z, a, fraction from parts: ten elements of five isotopes, with shares by the mean price; of some the shares don't sum to 1."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select((1 + F.col("p_partkey") % 10 * 9).cast("int").alias("z"), (F.col("p_size") % 5).alias("k"), "p_retailprice")
+    p = p.groupBy("z", (2 * F.col("z") + F.col("k")).cast("int").alias("a")).agg(F.avg("p_retailprice").alias("m"))
+    off = F.when(F.col("z") % 3 == 0, 1.0).when(F.col("z") % 2 == 0, 1.0005).otherwise(1.01)
+    return p.select("z", "a", (F.col("m") / F.sum("m").over(W.partitionBy("z")) * off).alias("fraction"))
 
 
-def abundances(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ABUNDANCES, "z int, a int, fraction double")
-
-
-def names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "k int, text string")
+def names(spark: SparkSession, sf: str) -> DataFrame:
+    """k, text: isotopes' names from parts, in several ways, some of them wrong."""
+    k, a = F.col("p_partkey"), (F.col("p_size") * 6).cast("string")
+    s = I.z_to_symbol((1 + k % 92).cast("int"))
+    ways = [F.concat(s, F.lit("-"), a), F.concat(F.lower(s), F.lit("-"), a), F.concat(F.lit(" "), s, F.lit(" - "), a), F.concat(s, F.lit("-")), F.col("p_name"), F.concat(s, F.lit("-"), a, F.lit("x")), F.lit("n-1")]
+    text = F.lit("")
+    for n, way in enumerate(ways):
+        text = F.when(k % 8 == n, way).otherwise(text)
+    return spark.read.parquet(f"{sf}/part.parquet").select(k.alias("k"), text.alias("text"))
 
 
 def spectra(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,9 +84,11 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 # -- SQL pieces -----------------------------------------------------------------------------
 
-AB = "ab AS (SELECT * FROM (VALUES " + ", ".join(f"({z}::INT, {a}::INT, {f}::DOUBLE)" for z, a, f in ABUNDANCES) + ") t(z, a, fraction))"
+AB = """ab AS (SELECT z, a, m / sum(m) OVER (PARTITION BY z) * CASE WHEN z % 3 = 0 THEN 1.0 WHEN z % 2 = 0 THEN 1.0005 ELSE 1.01 END::DOUBLE AS fraction
+ FROM (SELECT (1 + p_partkey % 10 * 9)::INT AS z, (2 * (1 + p_partkey % 10 * 9) + p_size % 5)::INT AS a, avg(p_retailprice) AS m FROM part GROUP BY 1, 2))"""
 SY = "sy AS (SELECT (row_number() OVER () - 1)::INT AS z, s AS symbol FROM (SELECT unnest([" + ", ".join(f"'{s}'" for s in I.SYMBOLS) + "]) AS s))"
-TX = "tx AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::INT, '{t}')" for k, t in enumerate(TEXTS)) + ") t(k, text))"
+TX = """tx AS (SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN symbol || '-' || n WHEN 1 THEN lower(symbol) || '-' || n WHEN 2 THEN ' ' || symbol || ' - ' || n WHEN 3 THEN symbol || '-' WHEN 4 THEN p_name WHEN 5 THEN symbol || '-' || n || 'x' WHEN 6 THEN 'n-1' ELSE '' END AS text
+ FROM (SELECT *, (p_size * 6)::VARCHAR AS n FROM part) JOIN sy ON z = 1 + p_partkey % 92)"""
 SP = "sp AS (SELECT vec_id AS iso, label::VARCHAR AS grp, i - 1 AS i, abs(embedding[i]::DOUBLE) * 100 AS sigma FROM embeddings, unnest(range(1, 65)) t(i))"
 RS = """rs AS (SELECT hex(right(p_brand, 2)) AS za, 178.0::DOUBLE AS awr, 7.5::DOUBLE AS radius, (p_partkey % 3)::INT AS l, (0.5 + p_partkey % 2)::DOUBLE AS j, 0.5::DOUBLE + p_size * 0.8::DOUBLE + (p_partkey % 97) * 0.01::DOUBLE AS er,
  0.001::DOUBLE + (p_partkey % 5) * 0.0005::DOUBLE AS gn, 0.05::DOUBLE + (p_partkey % 7) * 0.004::DOUBLE AS gg, CASE WHEN p_partkey % 4 = 0 THEN 0.01 ELSE 0 END::DOUBLE AS gf FROM part),
@@ -113,11 +121,13 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RANGES = [("a", 0.0, 10.0), ("a", 10.0, 20.0), ("a", 25.0, 30.0), ("b", 0.0, 30.0), ("b", 5.0, 30.0)]
-PT = "pt AS (SELECT l::INT AS l, 0.05::DOUBLE + m * 0.037::DOUBLE AS rho FROM unnest(range(0, 5)) a(l), unnest(range(0, 100)) b(m))"
+PT = "pt AS (SELECT (p_partkey % 5)::INT AS l, 0.05::DOUBLE + p_size * 0.074::DOUBLE + (p_retailprice - 900) * 0.0007::DOUBLE AS rho FROM part)"
 
 
-def waves(spark: SparkSession) -> DataFrame:
-    return spark.range(500).select((F.col("id") % 5).cast("int").alias("l"), (0.05 + F.floor(F.col("id") / 5) * 0.037).alias("rho"))
+def waves(spark: SparkSession, sf: str) -> DataFrame:
+    """l and rho of every part, from its size and price."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select((F.col("p_partkey") % 5).cast("int").alias("l"), (0.05 + F.col("p_size") * 0.074 + (F.col("p_retailprice") - 900.0) * 0.0007).alias("rho"))
 
 
 def matrix(spark: SparkSession) -> DataFrame:
@@ -140,20 +150,20 @@ def candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 QUERIES = {
-    "isotope_parse": lambda s, d: names(s).withColumn("iso", I.parse_isotope(F.col("text"))).select("k", F.col("iso.z").alias("z"), F.col("iso.a").alias("a")),
-    "symbol_lookup": lambda s, d: I.elements(s).select("z", "symbol", I.symbol_to_z(F.upper("symbol")).alias("back")),
-    "za_codec": lambda s, d: abundances(s).select("z", "a", I.za(F.col("z"), F.col("a")).alias("za"), I.from_za(I.za(F.col("z"), F.col("a")))["a"].alias("back_a"), I.isotope_name(F.col("z"), F.col("a")).alias("name")),
-    "natural_group": lambda s, d: _r(I.natural_group(abundances(s)), "ratio", digits=9),
-    "group_subset": lambda s, d: _r(I.subset_group(abundances(s), 72, [177, 178]), "ratio", digits=9),
-    "custom_group_check": lambda s, d: _r(I.check_custom(abundances(s).select(I.z_to_symbol(F.col("z")).alias("grp"), F.col("fraction").alias("ratio"))), "total"),
-    "mat_lookup": lambda s, d: I.with_lookup(abundances(s).select("z", "a"), I.evaluations(abundances(s))),
+    "isotope_parse": lambda s, d: names(s, d).withColumn("iso", I.parse_isotope(F.col("text"))).select("k", F.col("iso.z").alias("z"), F.col("iso.a").alias("a")),
+    "symbol_lookup": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") % 119).cast("int").alias("z")).withColumn("symbol", I.z_to_symbol(F.col("z"))).select("p_partkey", "z", "symbol", I.symbol_to_z(F.upper("symbol")).alias("back")),
+    "za_codec": lambda s, d: abundances(s, d).select("z", "a", I.za(F.col("z"), F.col("a")).alias("za"), I.from_za(I.za(F.col("z"), F.col("a")))["a"].alias("back_a"), I.isotope_name(F.col("z"), F.col("a")).alias("name")),
+    "natural_group": lambda s, d: _r(I.natural_group(abundances(s, d)), "ratio", digits=9),
+    "group_subset": lambda s, d: _r(I.subset_group(abundances(s, d), 73, [147, 148]), "ratio", digits=9),
+    "custom_group_check": lambda s, d: _r(I.check_custom(abundances(s, d).select(I.z_to_symbol(F.col("z")).alias("grp"), F.col("fraction").alias("ratio"))), "total"),
+    "mat_lookup": lambda s, d: I.with_lookup(abundances(s, d).select("z", "a"), I.evaluations(abundances(s, d))),
     "group_effective_sigma": lambda s, d: _r(M.group_sigma(spectra(s, d).drop("grp"), members(s, d)), "sigma"),
     "beer_lambert_multi": lambda s, d: _r(M.transmit(M.group_sigma(spectra(s, d).drop("grp"), members(s, d)), members(s, d).select("grp").distinct().select("grp", (0.001 * (F.col("grp").cast("int") % 4)).alias("n"))), "transmission", digits=9),
     "background_model": lambda s, d: spectra(s, d).select("iso", "i", F.round(S.background(S.beer_lambert(F.col("sigma"), 0.01), 1.0 + F.col("i"), 0.98, 0.01, 0.02, -0.001, 0.03, 1.5), 9).alias("t")),
     "tab1_interpolate": lambda s, d: _r(M.interpolate(points(s, d), tables(s, d), ["brand"]), "x", "y"),
     "range_select_half_open": lambda s, d: M.in_ranges(s.range(128).select(F.when(F.col("id") < 64, "a").otherwise("b").alias("za"), (F.col("id") % 64 * 0.5).alias("e")), s.createDataFrame(RANGES, "za string, lo double, hi double")).select("e", "za", "lo"),
-    "penetrability_table": lambda s, d: waves(s).select("l", F.round("rho", 6).alias("rho"), F.round(S.penetrability(F.col("l"), F.col("rho")), 9).alias("p"), F.round(S.shift_factor(F.col("l"), F.col("rho")), 9).alias("s")),
-    "phase_shift_table": lambda s, d: waves(s).select("l", F.round("rho", 6).alias("rho"), F.round(S.phase_shift(F.col("l"), F.col("rho")), 9).alias("phi")),
+    "penetrability_table": lambda s, d: waves(s, d).select("l", F.round("rho", 6).alias("rho"), F.round(S.penetrability(F.col("l"), F.col("rho")), 9).alias("p"), F.round(S.shift_factor(F.col("l"), F.col("rho")), 9).alias("s")),
+    "phase_shift_table": lambda s, d: waves(s, d).select("l", F.round("rho", 6).alias("rho"), F.round(S.phase_shift(F.col("l"), F.col("rho")), 9).alias("phi")),
     "slbw_sql": _XS(M.slbw),
     "mlbw_sql": _XS(M.mlbw),
     "reich_moore_sql": _XS(lambda e, r: M.reich_moore(e, r)),
@@ -170,11 +180,11 @@ QUERIES = {
 }
 
 ORACLES = {
-    "isotope_parse": f"WITH {TX}, {SY}, p AS (SELECT k, text, string_split(text, '-') AS p FROM tx) SELECT k, CASE WHEN ok THEN z END AS z, CASE WHEN ok THEN a END AS a FROM (SELECT p.k, sy.z, try_cast(trim(p.p[2]) AS INT) AS a, coalesce(len(p.p) = 2 AND sy.z IS NOT NULL AND regexp_matches(trim(p.p[2]), '^\\+?[0-9]+$') AND try_cast(trim(p.p[2]) AS INT) > 0 AND sy.z <= try_cast(trim(p.p[2]) AS INT), false) AS ok FROM p LEFT JOIN sy ON CASE WHEN trim(p.p[1]) = 'n' THEN sy.z = 0 ELSE sy.z > 0 AND lower(sy.symbol) = lower(trim(p.p[1])) END)",
-    "symbol_lookup": f"WITH {SY} SELECT z, symbol, CASE WHEN z = 0 THEN 7 ELSE z END::INT AS back FROM sy",
+    "isotope_parse": f"WITH {SY}, {TX}, p AS (SELECT k, text, string_split(text, '-') AS p FROM tx) SELECT k, CASE WHEN ok THEN z END AS z, CASE WHEN ok THEN a END AS a FROM (SELECT p.k, sy.z, try_cast(trim(p.p[2]) AS INT) AS a, coalesce(len(p.p) = 2 AND sy.z IS NOT NULL AND regexp_matches(trim(p.p[2]), '^\\+?[0-9]+$') AND try_cast(trim(p.p[2]) AS INT) > 0 AND sy.z <= try_cast(trim(p.p[2]) AS INT), false) AS ok FROM p LEFT JOIN sy ON CASE WHEN trim(p.p[1]) = 'n' THEN sy.z = 0 ELSE sy.z > 0 AND lower(sy.symbol) = lower(trim(p.p[1])) END)",
+    "symbol_lookup": f"WITH {SY} SELECT p_partkey, z, symbol, CASE WHEN z = 0 THEN 7 ELSE z END::INT AS back FROM part JOIN sy ON z = p_partkey % 119",
     "za_codec": f"WITH {AB}, {SY} SELECT z, a, z * 1000 + a AS za, a AS back_a, symbol || '-' || a AS name FROM ab JOIN sy USING (z)",
     "natural_group": f"WITH {AB}, {SY} SELECT symbol || ' (nat)' AS grp, z, a, round(fraction / sum(fraction) OVER (PARTITION BY z), 9) AS ratio FROM ab JOIN sy USING (z)",
-    "group_subset": f"WITH {AB} SELECT 'Hf-177/178' AS grp, z, a, round(fraction / sum(fraction) OVER (), 9) AS ratio FROM ab WHERE z = 72 AND a IN (177, 178)",
+    "group_subset": f"WITH {AB} SELECT 'Ta-147/148' AS grp, z, a, round(fraction / sum(fraction) OVER (), 9) AS ratio FROM ab WHERE z = 73 AND a IN (147, 148)",
     "custom_group_check": f"WITH {AB}, {SY}, t AS (SELECT symbol AS grp, sum(fraction) AS total FROM ab JOIN sy USING (z) GROUP BY symbol) SELECT grp, round(total, 6) AS total, CASE WHEN abs(total - 1) > 1e-3 THEN 'reject' WHEN abs(total - 1) > 1e-6 THEN 'renormalise' ELSE 'accept' END AS verdict FROM t",
     "mat_lookup": f"WITH {AB} SELECT z, a, (100 * z + 25 + 3 * (a - min(a) OVER (PARTITION BY z)))::INT AS mat FROM ab",
     "group_effective_sigma": f"WITH {SP} SELECT grp, i::INT AS i, round(sum(sigma / n), 6) AS sigma FROM sp JOIN (SELECT label::VARCHAR AS grp, count(*) AS n FROM embeddings GROUP BY 1) USING (grp) GROUP BY grp, i",
