@@ -13,6 +13,7 @@ from tofcube.operators import models as M
 from tofcube.operators import multifit as X
 from tofcube.plans import cubes as C
 from tofcube.plans import models as P
+from tofcube.plans import scans
 
 
 def pixel_bins(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -99,15 +100,31 @@ def fit_multi(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "fit_multi_parameter": fit_multi,
     "calibrate_energy": lambda s, d: calibrate.calibrate_energy(runs(s, d), ["p_brand"], dips(s), 25.0).select("p_brand", F.round("flight_path_m", 6).alias("flight_path_m"), F.round("t0_us", 4).alias("t0_us"), F.round("total_density", 9).alias("total_density"), "n_bins"),
-    "doppler_derivative": lambda s, d: B.doppler_with_derivative(curves(s, d), 293.6, 178.0, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("sigma", 6).alias("sigma"), F.round("d_sigma", 9).alias("d_sigma")),
+    "doppler_derivative": lambda s, d: B.doppler_with_derivative(curves(s, d), 293.6, 178.0, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("sigma", 4).alias("sigma"), F.round("d_sigma", 6).alias("d_sigma")),
     "resolution_tail": lambda s, d: B.gaussian_resolution(curves(s, d).select("grp", "e", F.exp(-0.01 * F.col("sigma")).alias("value")), 25.0, 0.5, 0.01, ["grp"], 1.5).select("grp", F.round("e", 6).alias("e"), F.round("value", 9).alias("value")),
     "fit_spectrum_lm": lambda s, d: _rounded(spatial_map(s, d, "lm")),
     "fit_counts_kl": lambda s, d: _rounded(spatial_map(s, d, "kl")),
     "spatial_map": lambda s, d: event_map(s, d).select("y", "x", F.round("density", 5).alias("density"), "converged"),
     "map_report": lambda s, d: fit.map_summary(spatial_map(s, d, "lm")).select("n_total", "n_converged", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std")),
-    "doppler_broaden": lambda s, d: B.doppler(curves(s, d), 293.6, 178.0, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("sigma", 6).alias("sigma")),
+    "doppler_broaden": lambda s, d: B.doppler(curves(s, d), 293.6, 178.0, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("sigma", 4).alias("sigma")),
     "resolution_broaden": lambda s, d: B.gaussian_resolution(curves(s, d).select("grp", "e", F.exp(-0.01 * F.col("sigma")).alias("value")), 25.0, 0.5, 0.01, ["grp"]).select("grp", F.round("e", 6).alias("e"), F.round("value", 9).alias("value")),
     "forward_model": lambda s, d: B.forward(curves(s, d), P.energies(s, d).select(F.col("za").alias("grp")).distinct().withColumn("n", F.lit(0.002)), 293.6, 178.0, 25.0, 0.5, 0.01).select(F.round("e", 6).alias("e"), F.round("value", 9).alias("value")),
 }
-# Optimisers and broadening have no SQL; tests hold them against plain versions.
-ORACLES: dict[str, str] = {}
+_SEEN = "cv AS MATERIALIZED (SELECT grp, e, exp(-0.01::DOUBLE * sigma) AS value FROM cs)"
+_FORWARD = "fw AS MATERIALIZED (SELECT 1 AS one, e, exp(-sum(0.002::DOUBLE * sigma)) AS value FROM broad GROUP BY e)"
+#: Each pixel's least squares by forty Gauss-Newton steps over its two lists.
+_LM = f"""RECURSIVE {P.SP}, px AS MATERIALIZED (SELECT iso, list(sigma + 1 ORDER BY i) AS s, list(exp(-(0.01::DOUBLE + iso % 5 * 0.01::DOUBLE) * (sigma + 1)) + ((iso * 31 + i * 17) % 13 - 6) * 0.001::DOUBLE ORDER BY i) AS t FROM sp GROUP BY iso),
+gn AS (
+  SELECT iso, 0 AS k, 0.03::DOUBLE AS n FROM px
+  UNION ALL
+  SELECT gn.iso, k + 1, n - list_sum(list_transform(range(1, len(s) + 1), lambda j: s[j] * exp(-n * s[j]) * (t[j] - exp(-n * s[j])))) / list_sum(list_transform(s, lambda x: pow(x * exp(-n * x), 2))) FROM gn JOIN px ON px.iso = gn.iso WHERE k < 40),
+lm AS (SELECT (iso // 20)::INT AS y, (iso % 20)::INT AS x, n FROM gn WHERE k = 40)"""
+# Other optimisers have no SQL; tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "doppler_broaden": f"WITH {scans.CURVES}, {scans.doppler_sql('cs', 'grp', 293.6, 178.0)} SELECT grp, round(e, 6) AS e, round(sigma, 4) AS sigma FROM broad",
+    "doppler_derivative": f"WITH {scans.CURVES}, {scans.doppler_sql('cs', 'grp', 293.6, 178.0)} SELECT grp, round(e, 6) AS e, round(sigma, 4) AS sigma, round(d_sigma, 6) AS d_sigma FROM broad",
+    "fit_spectrum_lm": f"WITH {_LM} SELECT y, x, round(n, 5) AS density, true AS converged FROM lm",
+    "map_report": f"WITH {_LM} SELECT count(*) AS n_total, count(*) AS n_converged, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS std FROM lm",
+    "resolution_broaden": f"WITH {scans.CURVES}, {_SEEN}, {scans.blur_sql('cv', 'grp', 0.5, 0.01)} SELECT grp, round(e, 6) AS e, round(value, 9) AS value FROM blurred",
+    "forward_model": f"WITH {scans.CURVES}, {scans.doppler_sql('cs', 'grp', 293.6, 178.0)}, {_FORWARD}, {scans.blur_sql('fw', 'one', 0.5, 0.01)} SELECT round(e, 6) AS e, round(value, 9) AS value FROM blurred",
+}

@@ -137,6 +137,24 @@ bq AS (SELECT {by}, e, sum(fa - fc) AS norm, sum(y0 * (fa - fc) + slope * w * ({
 blurred AS (SELECT b.{by}, b.e, CASE WHEN norm > 1e-30 THEN part / norm ELSE value END AS value FROM bw b LEFT JOIN bq q ON b.{by} = q.{by} AND b.e = q.e)"""
 
 
+def doppler_sql(curve: str, by: str, temperature: float, awr: float) -> str:
+    """The CTE `broad` (by, e, sigma, d_sigma) of a CTE (by, e, sigma): in v = sqrt(e), lines of v sigma, kept level six widths beyond the ends."""
+    u = math.sqrt(K.BOLTZMANN_EV_K * temperature / awr)
+    return f"""dv AS MATERIALIZED (SELECT {by}, e, sqrt(e) AS v, sqrt(e) * sigma AS y FROM {curve}),
+dn AS (SELECT {by}, min(v) AS a, max(v) AS b FROM dv GROUP BY {by}),
+dx AS (SELECT {by}, v, y FROM dv UNION ALL SELECT dn.{by}, greatest(a - 6 * {u!r}::DOUBLE, 1e-12), y FROM dn JOIN dv ON dn.{by} = dv.{by} AND v = a UNION ALL SELECT dn.{by}, b + 6 * {u!r}::DOUBLE, y FROM dn JOIN dv ON dn.{by} = dv.{by} AND v = b),
+ds AS MATERIALIZED (SELECT * FROM (SELECT {by}, v AS x0, y AS y0, lead(v) OVER q AS x1, lead(y) OVER q AS y1 FROM dx WINDOW q AS (PARTITION BY {by} ORDER BY v)) WHERE x1 IS NOT NULL),
+dp AS (SELECT d.{by}, e, v, y0, (y1 - y0) / (x1 - x0) AS slope, (x0 - v) / {u!r}::DOUBLE AS a, (x1 - v) / {u!r}::DOUBLE AS c FROM dv d JOIN ds s ON d.{by} = s.{by} AND x1 > v - 6 * {u!r}::DOUBLE AND x0 < v + 6 * {u!r}::DOUBLE),
+df AS (SELECT *, {math.sqrt(math.pi) / 2!r}::DOUBLE * ({erfc_sql('a')} - ({erfc_sql('c')})) AS j0, 0.5 * (exp(-a * a) - exp(-c * c)) AS j1 FROM dp),
+dq AS (SELECT {by}, e, v, sum(j0) AS norm, sum((y0 - slope * {u!r}::DOUBLE * a) * j0 + slope * {u!r}::DOUBLE * j1) AS part, sum(slope * j1) AS bent FROM df GROUP BY {by}, e, v),
+broad AS (SELECT {by}, e, greatest(part / norm / v, 0) AS sigma, CASE WHEN part > 0 THEN bent / norm / v * {u / (2 * temperature)!r}::DOUBLE ELSE 0 END AS d_sigma FROM dq)"""
+
+
+#: Cross sections (grp, e, sigma) on the fine grid of the broadening queries.
+CURVES = P.KI.replace("0.7::DOUBLE + m * 1.03::DOUBLE AS e", "1.0::DOUBLE + m * 0.02::DOUBLE AS e").replace("range(0, 40)", "range(0, 800)") + """,
+cw AS (SELECT za, e, first(4 * u * pow(sin(phi), 2)) + sum(u * ge * ge / den + u * 2 * ge * (2 * d * sin(phi) * cos(phi) - tot * pow(sin(phi), 2)) / den) AS el, sum(u * ge * gg / den) AS cap, sum(u * ge * gf / den) AS fis FROM k3 GROUP BY za, e, l, j),
+cs AS MATERIALIZED (SELECT za AS grp, e, sum(el) + sum(cap) + sum(fis) AS sigma FROM cw GROUP BY za, e)"""
+
 _STEPS = "st AS MATERIALIZED (SELECT p_partkey % 4 AS key, p_retailprice * p_size AS x, min(p_partkey) AS part FROM part GROUP BY 1, 2)"
 _BANDS = "bn AS (SELECT *, coalesce(lead(lo) OVER (PARTITION BY key ORDER BY lo, hi) = hi, false) AS op FROM (SELECT key, s * 2000 AS lo, s * 2000 + CASE WHEN key = 3 THEN 5000 WHEN s % 3 = 0 THEN 2000 ELSE 1100 END AS hi FROM (SELECT DISTINCT p_partkey % 4 AS key, p_size::DOUBLE AS s FROM part)))"
 _PLAN = f"""ax AS (SELECT i, 1 + 0.5::DOUBLE * i AS e FROM (SELECT DISTINCT i FROM sp)),
