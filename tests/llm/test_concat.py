@@ -67,7 +67,7 @@ def test_pieces_and_sequences(spark, path, tokenizer, capacity, parts):
     check([tuple(r) for r in got.withColumn("ids", F.crc32("ids")).collect()], rows, tokenizer, capacity)
     stream = concat.token_stream(df, path)
     whole = {r.sequence_id: r for r in concat.sequences(stream, capacity, pad_id=7).collect()}
-    flat = [x for r in sorted(stream.collect(), key=lambda r: r.place) for x in r.ids]
+    flat = [x for r in sorted(stream.collect(), key=lambda r: r.place) for x in np.frombuffer(r.ids, "<u2").tolist()]
     assert sorted(whole) == list(range(-(-len(flat) // capacity)))
     for s, r in whole.items():
         own = flat[s * capacity : (s + 1) * capacity]
@@ -75,6 +75,14 @@ def test_pieces_and_sequences(spark, path, tokenizer, capacity, parts):
         assert r.n_ids == len(own) and np.frombuffer(r.ids, "<u4").tolist() == own + [7] * pad
 
 
+def test_ids_of_four_bytes(spark, path, tokenizer):
+    """An end id that needs more than two bytes."""
+    rows = [(1, "one two"), (2, ""), (3, None)]
+    stream = concat.token_stream(spark.createDataFrame(rows, EMPTY), path, end_id=1 << 20)
+    assert {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in stream.collect()} == {i: ids_of(tokenizer, t)[:-1] + [1 << 20] for i, t in rows}
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in concat.pieces(stream, 100).collect())[0] == [*ids_of(tokenizer, "one two")[:-1], 1 << 20][:100]
+
+
 def test_power_of_two_is_not_padded(spark, path):
     stream = concat.token_stream(spark.createDataFrame([(1, ""), (2, None), (3, ""), (4, "")], EMPTY), path)
     assert [(r.n_ids, len(r.ids)) for r in concat.sequences(stream, 7).collect()] == [(4, 16)]

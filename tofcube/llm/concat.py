@@ -70,6 +70,7 @@ class Encoder:
         self.cuts = plain and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [a["content"] for a in added]
         self.tokenize, self.short = self.tokenizer.model.tokenize, {}
+        self.most = max(self.tokenizer.get_vocab().values(), default=0)
         self.heads: dict[str, bytes] = {}  # words that start a text, to their ids of four bytes each
         self.words: dict[str, bytes] = {}  # words behind a space
         self.older: dict[str, bytes] = {}  # such words of before
@@ -152,19 +153,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
-
-
 def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (with the end id), n and place (the ids before it in the whole stream), one row per document."""
+    """id, ids (with the end id; binary, little-endian, of two bytes each where all ids of the vocabulary fit, else of four), n and place (the ids before it in the whole stream), one row per document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer_path).encode
+        own = encoder(tokenizer_path)
+        width = "<u2" if max(own.most, end_id) < 1 << 16 else "<u4"
+        end = np.array([end_id], width).tobytes()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             at = 0
@@ -173,26 +170,26 @@ def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
                 while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 4 * TOGETHER):
                     held += len(texts[stop])
                     stop += 1
-                ids = [np.append(x, np.int32(end_id)) for x in encode(texts[at:stop])]
-                n = np.array([len(x) for x in ids], np.int64)
+                found = own.encode(texts[at:stop])
+                n = np.array([len(x) + 1 for x in found], np.int64)
+                ids = [x.astype(width).tobytes() + end for x in found]
                 local = before + np.cumsum(n) - n
                 before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), _lists(ids), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(local)], names=["id", "ids", "n", "part", "local"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(local)], names=["id", "ids", "n", "part", "local"])
                 at = stop
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = work_table(rows.mapInArrow(run, f"id {kind}, ids array<int>, n bigint, part int, local bigint"), "token-stream")
+    rows = work_table(rows.mapInArrow(run, f"id {kind}, ids binary, n bigint, part int, local bigint"), "token-stream")
     totals = rows.groupBy(F.col("part").alias("t_part")).agg(F.sum("n").alias("total"))
     before = F.coalesce(F.sum("total").over(W.orderBy("t_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("t_part", before.alias("before"))  # a row for each partition of the input
     return rows.join(F.broadcast(offsets), F.col("part") == F.col("t_part")).select("id", "ids", "n", (F.col("local") + F.col("before")).alias("place"))
 
 
-def _ids(col: pa.ListArray) -> list[np.ndarray]:
-    """Little-endian 32-bit ids of each row, without a copy."""
-    ends, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def _ids(col: pa.Array, n: list[int]) -> list[np.ndarray]:
+    """The ids of each row, of four bytes."""
+    return [np.frombuffer(raw, "<u2" if len(raw) == 2 * k else "<u4").astype("<u4", copy=False) for raw, k in zip(col.to_pylist(), n, strict=True)]
 
 
 def pieces(stream: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -210,7 +207,7 @@ def pieces(stream: DataFrame, capacity: int = 1024) -> DataFrame:
             sequence = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
             start = np.maximum(sequence * capacity - place[row], 0)
             stop = np.minimum((sequence + 1) * capacity - place[row], n[row])
-            ids = _ids(b.column(1))
+            ids = _ids(b.column(1), n.tolist())
             cut = [ids[r][x:y].tobytes() for r, x, y in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)]
             cols = [b.column(0).take(pa.array(row)), pa.array(start), pa.array(stop - start), pa.array(cut, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(place[row] + start - sequence * capacity)]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "start", "length", "ids", "n", "sequence_id", "offset"])
@@ -238,7 +235,7 @@ def sequences(stream: DataFrame, capacity: int = 1024, pad_id: int = 0) -> DataF
 
         for b in batches:
             out = []
-            for ids, place in zip(_ids(b.column(1)), b.column(3).to_pylist(), strict=True):
+            for ids, place in zip(_ids(b.column(1), b.column(2).to_pylist()), b.column(3).to_pylist(), strict=True):
                 if place != end and held:
                     out.append(record(b"".join(held), at))
                     held = []
