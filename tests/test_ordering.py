@@ -82,7 +82,7 @@ def test_extended_grid(spark):
     # ends: even steps in the root, the mean of the outermost five points'
     root = np.sqrt(e)
     for n, (step, at, sign) in enumerate([((root[4] - root[0]) / 4, root[0], -1), ((root[-1] - root[-5]) / 4, root[-1], 1)]):
-        for k in range(1, 4):
+        for k in (1, 2):
             assert np.abs(grid - (at + sign * step * k) ** 2).min() < 1e-9, n
     # around the narrow resonance: steps of 2 / 14 of its width, then 2, 4, ... of them further
     step = 2e-3 / 14
@@ -101,6 +101,6 @@ def test_gaps_and_edges_of_the_grid(spark):
     assert points(12.0, 1.0) == []
     low = points(10.0, 0.01)
     assert low[0] == pytest.approx(9.99) and all(x < 10.1 for x in low)
-    assert points(12.05, 0.46) != []
+    assert points(12.05, 0.46) == [] and points(12.05, 0.44) != []  # ten points, and eight
     assert grids.gap_points(grid.select("value"), lambda x: F.lit(0.4)).count() == 0
     assert grids.gap_points(grid.select("value"), lambda x: F.lit(0.2)).count() == 49
