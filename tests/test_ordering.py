@@ -102,5 +102,5 @@ def test_gaps_and_edges_of_the_grid(spark):
     low = points(10.0, 0.01)
     assert low[0] == pytest.approx(9.99) and all(x < 10.1 for x in low)
     assert points(12.05, 0.46) == [] and points(12.05, 0.44) != []  # ten points, and eight
-    assert grids.gap_points(grid.select("value"), lambda x: F.lit(0.4)).count() == 0
-    assert grids.gap_points(grid.select("value"), lambda x: F.lit(0.2)).count() == 49
+    assert grids.gap_points(grid.select("value"), lambda x: F.lit(0.41)).count() == 0
+    assert grids.gap_points(grid.select("value"), lambda x: F.lit(0.21)).count() == 49
