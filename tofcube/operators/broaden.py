@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
+from tofcube.operators.pieces import PIECE_ROWS
 from tofcube.work import written
 
 #: (point, segment) pairs of a block.
@@ -88,10 +89,10 @@ BLOCK_ROWS = 1 << 14
 MARGIN = 3
 
 
-def _by_curve(curves: DataFrame, by: list[str], f: Callable[[pa.Table], dict[str, np.ndarray]], names: list[str], window: tuple[Column, Column]) -> DataFrame:
+def _by_curve(curves: DataFrame, by: list[str], f: Callable[[pa.Table], dict[str, np.ndarray]], names: list[str], window: tuple[Column, Column], long_way: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """by, e and the columns of f for each curve, its points in the order of e.
 
-    window: the energies that a point's sums reach, at least, down and up."""
+    window: the energies that a point's sums reach, at least, down and up. long_way: what is done with long curves, if not blocks with halos."""
     out = ", ".join([*(f"`{c}` {curves.schema[c].dataType.simpleString()}" for c in by), "e double", *(f"{c} double" for c in names)])
 
     def run(t: pa.Table) -> pa.Table:
@@ -108,6 +109,8 @@ def _by_curve(curves: DataFrame, by: list[str], f: Callable[[pa.Table], dict[str
         return curves.groupBy(*by).applyInArrow(run, out)
     same = _all(F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in by)
     short = curves.join(long, same, "left_anti").groupBy(*by).applyInArrow(run, out)
+    if long_way:
+        return short.unionByName(long_way(curves.join(long, same, "left_semi")))
     return short.unionByName(halo_blocks(curves.join(long, same, "left_semi"), by, window).groupBy(*by, "_block").applyInArrow(run, out))
 
 
@@ -251,13 +254,32 @@ def point_weights(e: np.ndarray) -> np.ndarray:
     return out - np.where((k >= 1) & (k < last - 1), ratio(v4 * v4 - v2 * v2, v3), 0.0)
 
 
+def width(e: np.ndarray, flight_m: float, dt_us: float, dl_m: float) -> np.ndarray:
+    """The Gaussian width at energies."""
+    return np.sqrt((2.0 * dt_us * e**1.5 / (K.TOF_FACTOR * flight_m)) ** 2 + (2.0 * dl_m * e / flight_m) ** 2)
+
+
+def segment_sums(x: np.ndarray, y: np.ndarray, slope: np.ndarray, e: np.ndarray, w: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For points e of widths w the Gaussian's integral, and that of the curve (x, y) under it, over the segments between x[first] and x[stop - 1]."""
+    norm, part = np.zeros(len(e)), np.zeros(len(e))
+    for rows, own, edge in _blocks(first, stop):
+        a = (x[edge] - e[rows][own]) / w[rows][own]
+        f, g = _erfc(a), np.exp(-a * a)
+        seg = np.flatnonzero(own[1:] == own[:-1])
+        k = edge[seg]
+        i0, i1 = f[seg] - f[seg + 1], 0.5 * (g[seg] - g[seg + 1])
+        norm[rows] = np.bincount(own[seg], i0, len(rows))
+        part[rows] = np.bincount(own[seg], y[k] * i0 + slope[k] * w[rows][own[seg]] * (2.0 / math.sqrt(math.pi) * i1 - a[seg] * i0), len(rows))
+    return norm, part
+
+
 def blur(e: np.ndarray, value: np.ndarray, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0) -> np.ndarray:
     """The curve seen with a Gaussian of energy-dependent width W over 5W, with an exponential tail where it matters, normalised by the window's own weight.
 
     Pure Gaussian: exact integrals of the piecewise-linear curve between the grid's points in the
     window. With the tail: point weights times the combined kernel, its peak at the energy. One
     point in the window passes through."""
-    w = np.sqrt((2.0 * dt_us * e**1.5 / (K.TOF_FACTOR * flight_m)) ** 2 + (2.0 * dl_m * e / flight_m) ** 2)
+    w = width(e, flight_m, dt_us, dl_m)
     we = 2.0 * de_us * e**1.5 / (K.TOF_FACTOR * flight_m)
     c = w / np.where(we > 1e-60, 2.0 * we, 1.0)
     tail = (we > 1e-60) & (c <= TAIL_RATIO) & (w > 0)
@@ -267,16 +289,8 @@ def blur(e: np.ndarray, value: np.ndarray, flight_m: float, dt_us: float, dl_m:
     some = (stop - first > 1) & (w > 1e-60)
     slope = np.diff(value) / np.where(np.diff(e) > 0, np.diff(e), 1.0) if len(e) > 1 else np.zeros(0)
     plain = np.flatnonzero(some & ~tail)
-    for rows, own, edge in _blocks(first[plain], stop[plain]):
-        at = plain[rows]
-        a = (e[edge] - e[at][own]) / w[at][own]
-        f, g = _erfc(a), np.exp(-a * a)
-        seg = np.flatnonzero(own[1:] == own[:-1])
-        k = edge[seg]
-        i0, i1 = f[seg] - f[seg + 1], 0.5 * (g[seg] - g[seg + 1])
-        norm = np.bincount(own[seg], i0, len(rows))
-        part = np.bincount(own[seg], value[k] * i0 + slope[k] * w[at][own[seg]] * (2.0 / math.sqrt(math.pi) * i1 - a[seg] * i0), len(rows))
-        out[at] = np.where(norm > K.DIVISION_FLOOR, part / np.where(norm > K.DIVISION_FLOOR, norm, 1.0), out[at])
+    norm, part = segment_sums(e, value, slope, e[plain], w[plain], first[plain], stop[plain])
+    out[plain] = np.where(norm > K.DIVISION_FLOOR, part / np.where(norm > K.DIVISION_FLOOR, norm, 1.0), out[plain])
     if tail.any():
         weight, shift = point_weights(e), np.zeros_like(e)
         shift[tail] = (c[tail] - _peak(c[tail])) * w[tail]
@@ -294,6 +308,7 @@ def blur(e: np.ndarray, value: np.ndarray, flight_m: float, dt_us: float, dl_m:
 
 def gaussian_resolution(curves: DataFrame, flight_m: float, dt_us: float, dl_m: float, by: list[str], de_us: float = 0.0) -> DataFrame:
     """Resolution of (by, e, value): by, e, value; de_us adds the exponential tail."""
+    from tofcube.operators import moments
 
     def f(t: pa.Table) -> dict[str, np.ndarray]:
         return {"value": blur(t.column("e").to_numpy(), t.column("value").to_numpy(), flight_m, dt_us, dl_m, de_us)}
@@ -302,7 +317,9 @@ def gaussian_resolution(curves: DataFrame, flight_m: float, dt_us: float, dl_m:
     w = F.hypot(F.pow(e, F.lit(1.5)) * (2.0 * dt_us / (K.TOF_FACTOR * flight_m)), e * (2.0 * dl_m / flight_m))
     # with the tail the window reaches at most so far above
     up = F.greatest(15.0 * w, F.pow(e, F.lit(1.5)) * (12.5 * de_us / (K.TOF_FACTOR * flight_m))) if de_us > 0 else 5.0 * w
-    return _by_curve(curves, by, f, ["value"], (e - 5.0 * w * (1.0 + 1e-12), e + up * (1.0 + 1e-12)))
+    # without the tail, pieces of long curves stand in the windows of others by their moments
+    far = None if de_us > 0 else lambda long: moments.blurred(long, by, lambda x: width(x, flight_m, dt_us, dl_m), min(BLOCK_ROWS, PIECE_ROWS))
+    return _by_curve(curves, by, f, ["value"], (e - 5.0 * w * (1.0 + 1e-12), e + up * (1.0 + 1e-12)), far)
 
 
 def forward(sigma: DataFrame, densities: DataFrame, temperature: float, awr: float | str, flight_m: float, dt_us: float, dl_m: float, de_us: float = 0.0) -> DataFrame:
