@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
 from tofcube.functions import scalars as S
+from tofcube.operators import pieces
 from tofcube.operators.axes import bounded
 from tofcube.operators.isotopes import z_to_symbol
 
@@ -112,28 +114,95 @@ def kernels_at(energies: DataFrame, kernels: DataFrame) -> DataFrame:
     return rows.select("e", "k", mix("o1", "o2").alias("offset"), mix("w1", "w2").alias("weight"))
 
 
+#: Kernel points that are brought to the tasks.
+MOST_KERNEL_POINTS = 1_000_000
+
+
+class Kernels:
+    """Tabulated kernels as arrays, interpolated as kernels_at does it."""
+
+    def __init__(self, rows: list[tuple[float, int, float, float]]):
+        by_ref: dict[float, list] = {}
+        for ref, k, offset, weight in sorted(rows):
+            by_ref.setdefault(ref, []).append((k, offset, weight))
+        self.refs = np.array(list(by_ref))
+        each = list(by_ref.values())
+        self.size = np.array([len(x) for x in each])
+        self.most = int(self.size.max())
+        self.own, self.other = np.full((2, len(each), 2, self.most), np.nan)
+        for i, x in enumerate(each):
+            self.own[i, :, : len(x)] = np.array([p[1:] for p in x]).T
+            if i + 1 < len(each):
+                held = {p[0]: p[1:] for p in each[i + 1]}
+                self.other[i, :, : len(x)] = np.array([held.get(p[0], (np.nan, np.nan)) for p in x]).T
+
+    def shifted(self, e: np.ndarray, flight_m: float) -> tuple[np.ndarray, np.ndarray]:
+        """For energies the weights and the shifted energies of kernel points, a row for each energy: nan where there is none, without weight, or without positive time."""
+        at = np.maximum(np.searchsorted(self.refs, e, "left") - 1, 0)
+        up = np.minimum(at + 1, len(self.refs) - 1)
+        inside = (e > self.refs[at]) & (up > at)
+        with np.errstate(all="ignore"):
+            frac = np.where(inside, (np.log(e) - np.log(self.refs[at])) / (np.log(self.refs[up]) - np.log(self.refs[at])), 0.0)
+            same = self.size[at] == self.size[up]
+            own = self.own[np.where(inside & ~same & (frac >= 0.5), up, at)]
+            mixed = own + frac[:, None, None] * (self.other[at] - own)
+            offset, weight = np.moveaxis(np.where((inside & same)[:, None, None] & ~np.isnan(self.other[at]), mixed, own), 1, 0)
+            before, after = np.full_like(offset, np.nan), np.full_like(offset, np.nan)
+            before[:, 1:], after[:, :-1] = offset[:, :-1], offset[:, 1:]
+            width = np.where(np.isnan(before), np.where(np.isnan(after), 1.0, after - offset), np.where(np.isnan(after), offset - before, (after - before) / 2))
+            tof = (K.TOF_FACTOR * flight_m / np.sqrt(e))[:, None] + offset
+            good = (weight > 0) & (tof > 0)
+            return np.where(good, weight * np.abs(width), np.nan), np.where(good, (K.TOF_FACTOR * flight_m / tof) ** 2, np.nan)
+
+
 def tabulated_resolution(curve: DataFrame, kernels: DataFrame, flight_m: float, by: list[str] | None = None) -> DataFrame:
     """by, e, value: curves (by, e, value) seen through tabulated kernels: sums over kernel points of weight times trapezoid
     width times the curve at the shifted energy, over the sums of those weights. Points without weight, without positive
-    time or off the grid are left out. Kernels are interpolated once for each energy, whatever the number of curves."""
-    by = by or []
-    w = W.partitionBy("e").orderBy("k")
-    pts = kernels_at(curve.select("e").distinct() if by else curve.select("e"), kernels).withColumns({"p": F.lag("offset").over(w), "q": F.lead("offset").over(w)})
-    width = F.when(F.col("p").isNull() & F.col("q").isNull(), 1.0).when(F.col("p").isNull(), F.col("q") - F.col("offset")).when(F.col("q").isNull(), F.col("offset") - F.col("p")).otherwise((F.col("q") - F.col("p")) / 2)
-    tof = K.TOF_FACTOR * flight_m / F.sqrt("e") + F.col("offset")
-    pts = pts.select("e", (F.col("weight") * F.abs(width)).alias("wt"), F.col("weight"), tof.alias("tof")).where("weight > 0 AND tof > 0")
-    pts = pts.select(F.col("e").alias("out"), "wt", F.pow(K.TOF_FACTOR * flight_m / F.col("tof"), F.lit(2.0)).alias("x"))
-    if by:
-        pts = pts.join(curve.select(*by, F.col("e").alias("out")), "out")
-    own = W.partitionBy(*by).orderBy("e")
-    seg = curve.select(*[F.col(c).alias(f"s_{c}") for c in by], F.col("e").alias("x0"), F.col("value").alias("y0"), F.lead("e").over(own).alias("x1"), F.lead("value").over(own).alias("y1"))
-    last = F.col("x1").isNull()
-    inside = (F.col("x") >= F.col("x0")) & ((F.col("x") < F.col("x1")) | (last & (F.col("x") == F.col("x0"))))
-    bucket = lambda c: F.floor(F.ln(c) * 50.0)
-    seg = seg.withColumn("b", F.explode(F.sequence(bucket("x0"), bucket(F.coalesce("x1", "x0")))))
-    rows = pts.withColumn("xb", bucket("x")).join(seg, [*(F.col(c) == F.col(f"s_{c}") for c in by), F.col("xb") == F.col("b"), inside])
-    y = F.when(last, F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / F.when(last, 1.0).otherwise(F.col("x1") - F.col("x0")))
-    return rows.groupBy(*by, F.col("out").alias("e")).agg((F.sum(F.col("wt") * y) / F.sum("wt")).alias("value"))
+    time or off the grid are left out. Kernels are a dimension, whose size is checked, and are brought to the tasks; a curve
+    is cut into pieces, and a piece meets those alone on which one of its kernel points falls."""
+    given, by = by or [], by or ["_one"]
+    curve = curve.where("e IS NOT NULL").select(*given, *([] if given else [F.lit(1).alias("_one")]), "e", "value")
+    rows = kernels.select("ref_energy", "k", "offset", "weight").limit(MOST_KERNEL_POINTS + 1).collect()
+    if len(rows) > MOST_KERNEL_POINTS:
+        raise ValueError(f"kernels of at most {MOST_KERNEL_POINTS} points are brought to the tasks")
+    if not rows:
+        return curve.where("false").select(*given, "e", "value")
+    held = Kernels([tuple(r) for r in rows])
+    step = max(1, (1 << 19) // held.most)
+
+    def facts(e: np.ndarray, _: np.ndarray) -> np.ndarray:
+        lo, hi = np.full(held.most, np.inf), np.full(held.most, -np.inf)
+        for at in range(0, len(e), step):
+            x = held.shifted(e[at : at + step], flight_m)[1]
+            lo, hi = np.fmin(lo, np.fmin.reduce(x)), np.fmax(hi, np.fmax.reduce(x))
+        return np.concatenate((lo, hi))
+
+    def plan(ends: pieces.Ends):
+        """The pieces that each kernel point of a piece sweeps."""
+        for k, f in enumerate(ends.facts):
+            first, stop = np.searchsorted(ends.end, f[: held.most], "left"), np.searchsorted(ends.lo, f[held.most :], "right")
+            swept = [np.arange(a, z) for a, z in zip(first, stop, strict=True) if z > a]
+            yield k, np.unique(np.concatenate([[k], *swept])).astype(int), []
+
+    def run(own: pieces.Held):
+        x, y = (np.concatenate(c) for c in zip(*own.runs, strict=True))
+        e = own.e[np.append(own.e[1:], own.next_e) != own.e]  # one row for an energy
+        value = np.full(len(e), np.nan)
+        some = np.zeros(len(e), bool)
+        for at in range(0, len(e), step):
+            wt, to = held.shifted(e[at : at + step], flight_m)
+            k = np.searchsorted(x, to, "right") - 1
+            inside = ~np.isnan(to) & (k >= 0) & ((k < len(x) - 1) | (to == x[-1]))
+            k, up = np.maximum(k, 0), np.minimum(k + 1, len(x) - 1)
+            share = np.where(inside & (up > k), (to - x[k]) / np.where(x[up] > x[k], x[up] - x[k], 1.0), 0.0)
+            here = np.where(up > k, y[k] + (y[up] - y[k]) * share, y[k])
+            total = np.where(inside, wt, 0.0).sum(1)
+            some[at : at + step] = inside.any(1)
+            value[at : at + step] = np.where(inside, wt * here, 0.0).sum(1) / np.where(total > 0, total, 1.0)
+        return {"e": e[some], "value": value[some]}
+
+    cut = pieces.cut(curve, by, lambda e: np.floor(np.log2(np.maximum(e, 1e-300))), facts, pieces.PIECE_ROWS)
+    return pieces.meet(cut, by, plan, run, ["value"]).select(*given, "e", "value")
 
 
 def fisher_matrix(sigma: DataFrame, densities: DataFrame, counts: float) -> DataFrame:
@@ -151,7 +220,6 @@ def add_poisson_noise(pixels: DataFrame, counts: float, seed: int) -> DataFrame:
     """y, x, transmission, sigma arrays of pixels (y, x, spectrum): N ~ Poisson(counts max(T, 0)), T' = N / counts, sigma = sqrt(max(N, 1)) / counts.
 
     Each pixel has a generator of its own from (seed, y, x), so the result does not depend on partitions."""
-    import numpy as np
     import pyarrow as pa
 
     def run(batches):

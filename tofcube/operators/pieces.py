@@ -82,7 +82,7 @@ class Ends:
 
 
 def meet(pieces: DataFrame, by: list[str], plan: Callable[[Ends], Iterator[tuple[int, np.ndarray, list[np.ndarray]]]], run: Callable[["Held"], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    """by, e and the columns of run for each piece, from what the plan says that it wants: its number among the curve's, the numbers of pieces (its own among them), and nodes."""
+    """by, e (the piece's own, if run gives none) and the columns of run for each piece, from what the plan says that it wants: its number among the curve's, the numbers of pieces (its own among them), and nodes."""
     kinds = _kinds(pieces, by)
 
     def planned(t: pa.Table) -> pa.Table:
@@ -107,7 +107,8 @@ def meet(pieces: DataFrame, by: list[str], plan: Callable[[Ends], Iterator[tuple
     def one(t: pa.Table) -> pa.Table:
         held = Held(t)
         out = run(held)
-        found = t.select(by).take(pa.array(np.zeros(len(held.e), np.int64))).append_column("e", pa.array(held.e))
+        e = out.get("e", held.e)
+        found = t.select(by).take(pa.array(np.zeros(len(e), np.int64))).append_column("e", pa.array(e))
         for name in names:
             found = found.append_column(name, pa.array(out[name], pa.float64()))
         return found
@@ -123,7 +124,7 @@ class Held:
         self.nodes = np.array([x for x in t.column("node").to_pylist() if x is not None])
         xs, vs = ([x.values.to_numpy() for x in raw.column(c)] for c in ("e", "value"))
         own = raw.column("own").to_pylist().index(True)
-        self.e, self.value = xs[own], vs[own]
+        self.e, self.value, self.next_e = xs[own], vs[own], raw.column("next_e")[own].as_py()
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         at = 0
         for k, (last, ne, nv) in enumerate(zip(*(raw.column(c).to_pylist() for c in ("last", "next_e", "next_value")), strict=True)):
