@@ -33,3 +33,11 @@ def test_a_dense_curve(spark, monkeypatch):
         assert len(got) == n
         got = got.set_index("e").value
         assert all(abs(got[a] - times * b) < 1e-9 for a, b in want.items())
+
+
+def test_rows_without_a_kernel_point_on_the_curve_are_left_out(spark):
+    kernels = spark.createDataFrame([(1.0, 0, 50.0, 1.0), (1.0, 1, 51.0, 1.0)], "ref_energy double, k int, offset double, weight double")
+    curve = spark.createDataFrame([(float(a), 1.0) for a in range(1, 40)], "e double, value double")
+    low = [a for a in range(1, 40) if (K.TOF_FACTOR * 25.0 / (K.TOF_FACTOR * 25.0 / np.sqrt(a) + 50.0)) ** 2 < 1.0]
+    assert sorted(r["e"] for r in X.tabulated_resolution(curve, kernels, 25.0).collect()) == [float(a) for a in range(1, 40) if a not in low]
+    assert X.tabulated_resolution(curve, kernels.where("false"), 25.0).count() == 0
