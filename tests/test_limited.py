@@ -106,3 +106,25 @@ def test_background_terms(spark):
     r = (0.0015 / (2 * k(np.array([6.67])) * 9.48)) / (6.67 - e - 0.0115j)
     total = lambda r: 2 * math.pi / k(e) ** 2 / 100 * (1 - (np.exp(-2j * rho) * (1 + 1j * rho * r) / (1 - 1j * rho * r)).real)
     assert np.allclose(only, total(r), rtol=1e-8) and np.allclose(got - plain, total(r + bg) - total(r), rtol=1e-6, atol=1e-7)
+
+
+def test_no_row_holds_a_ranges_groups(spark):
+    """A range of many (l, j) moves point by point: nothing in the plan collects them. Clamped ends, one point, shared ends and tables of unequal length as before."""
+    rows = [("1", 178.0, 3.5, 7.5, lo, hi, k % 3, 0.5 + k, 2, False, x, 2.0 + 0.1 * x, 0.0, 0.01 * (1 + k % 2), 0.06, 0.0) for lo, hi in ((2.0, 10.0), (10.0, 35.0)) for k in range(40) for x in ([lo + 1.0] if k % 4 == 0 else [lo + 1.0, lo + 3.0, hi])]
+    t = spark.createDataFrame(rows, "za string, awr double, spin double, radius double, e_low double, e_high double, l int, j double, law int, reduced boolean, x double, spacing double, gx double, gn double, gg double, gf double")
+    at = [2.0, 2.5, 3.0, 4.0, 9.0, 10.0, 11.5, 35.0, 36.0]
+    out = M.unresolved(spark.createDataFrame([("1", e) for e in at], "za string, e double"), t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "parts" not in plan
+    got = {r["e"]: r for r in out.collect()}
+    assert sorted(got) == at[:-1]
+    for e in at[:-1]:
+        capture = 0.0
+        for lo, hi in ((2.0, 10.0), (10.0, 35.0)):
+            if lo <= e <= hi:
+                pi_k2 = float(spark.range(1).select(M.S.pi_over_k2_barns(F.lit(e), F.lit(178.0))).first()[0])
+                for k in range(40):
+                    x = lo + 1.0 if k % 4 == 0 else min(max(e, lo + 1.0), hi)
+                    gn = 0.01 * (1 + k % 2)
+                    capture += pi_k2 * (2 * (0.5 + k) + 1) / 16 * 2 * np.pi * gn * 0.06 / (2.0 + 0.1 * x) / (gn + 0.06)
+        assert abs(got[e]["capture"] / capture - 1) < 1e-9, e

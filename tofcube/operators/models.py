@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tofcube import constants as K
@@ -227,17 +228,23 @@ def unresolved(energies: DataFrame, table: DataFrame, radii: DataFrame | None =
     spacing, gx, gn, gg, gf. Of each (za, range, l, j) the points are interpolated by the law, clamped
     at the ends; one point holds everywhere. reduced: gn is a reduced width, to be multiplied by 2 P.
     radii: tables (za, e_low, x, y, law) of the radius by energy, in place of radius.
-    Each energy meets the one interval of each (l, j) that holds it; gx is in the total alone."""
-    key = ["za", "e_low", "l", "j"]
+    Each energy meets the one interval of each (l, j) that holds it, dealt by its range and a salt of (l, j), so no row
+    holds more than a point, however many (l, j) a range has; gx is in the total alone."""
+    key = ["za", "e_low", "e_high"]
     values = ["spacing", "gx", "gn", "gg", "gf"]
     e = F.col("e")
-    # a range's (l, j) are few and move with its interval; each energy in it looks up each of them
-    parts = F.collect_set(F.struct("awr", "spin", "radius", "l", "j", "reduced")).alias("parts")
-    ranges = table.groupBy("za", "e_low", "e_high").agg(parts)
-    held = in_intervals(energies.select("za", "e").distinct(), ranges, "za", "e", "e_low", "e_high", both_ends=True).select("za", "e", "e_low", F.inline("parts"))
-    found = bracket(held.withColumn("x", e), table, key, "x", [*values, "law"])
-    low, up = F.coalesce("before", "after"), F.when(F.col("before").isNotNull(), F.col("after"))
-    at = {v: law_value(e, low["x"], low[v], up["x"], up[v], low["law"]) for v in values}
+    held = in_intervals(energies.select("za", "e").distinct(), table.select(key).distinct(), "za", "e", "e_low", "e_high", both_ends=True)
+    # a point of a (l, j) holds from its own energy to the next one's, the first from below it too
+    own = W.partitionBy(*key, "l", "j").orderBy("x", "_row")
+    points = table.where("x IS NOT NULL").withColumn("_row", F.monotonically_increasing_id())
+    points = points.withColumns({"up": F.lead(F.struct("x", *values)).over(own), "_first": F.row_number().over(own) == 1, "salt": F.pmod(F.xxhash64("l", "j"), F.lit(SALTS)).cast("int")})
+    near = held.select(*[F.col(c).alias(f"h_{c}") for c in key], "e", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("h_salt"))
+    same = F.col("salt") == F.col("h_salt")
+    for c in key:
+        same &= F.col(c) == F.col(f"h_{c}")
+    found = points.join(near.hint("shuffle_hash"), same & ((e >= F.col("x")) | F.col("_first")) & (F.col("up").isNull() | (e < F.col("up.x"))))
+    up = F.col("up")
+    at = {v: law_value(e, F.col("x"), F.col(v), up["x"], up[v], F.col("law")) for v in values}
     rows = found.select("za", "e", "e_low", "radius", "awr", "spin", "l", "j", "reduced", *[c.alias(v) for v, c in at.items()])
     if radii is not None:
         here = radius_at(rows.select("za", "e_low", e.alias("x")).distinct(), radii).select(F.col("za").alias("t_za"), F.col("e_low").alias("t_low"), F.col("x").alias("t_x"), "y")
