@@ -7,7 +7,7 @@ grouped aggregation with map-side partials, so nothing is gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +64,21 @@ def in_ranges(energies: DataFrame, ranges: DataFrame) -> DataFrame:
     return in_intervals(energies, ranges, "za", "e", "lo", "hi")
 
 
-#: Copies of the resonance table, so that the energies of one isotope spread over as many tasks.
+#: Copies of a range's energies, so that its many (l, j) spread over as many tasks.
 SALTS = 16
+#: Energies and resonances of a block, and pairs that are held at once.
+BLOCK_E, BLOCK_R, BLOCK_PAIRS = 1 << 11, 1 << 14, 1 << 19
 
 
-def _kinematics(energies: DataFrame, res: DataFrame, spin: float, radii: DataFrame | None = None) -> DataFrame:
-    """Energies (e) with resonances (za, awr, radius, l, j, er, gn, gg, gf, and gfa, gfb for gf) and what all formalisms need.
+def _kinematics(energies: DataFrame, res: DataFrame, spin: float, radii: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Energies (e) and resonances (za, awr, radius, l, j, er, gn, gg, gf, and gfa, gfb for gf) and what all formalisms need.
 
     Columns spin, e_low and e_high of the resonances tell each one's target spin (else `spin` holds
     for all) and range (else all energies): a shared end belongs to the range above. phase_radius
     is that of the phase shift (else radius). radii: tables (za, e_low, x, y, law) of a range's
     radius by energy; it takes the place of both radii, or of those that radius_tabled and
     phase_tabled name. What depends on the resonance alone, and what depends on energy and l alone,
-    is computed before they meet. They meet by a salted equi-join, so no side is broadcast and a hot isotope is spread."""
+    is computed before they meet, by gid."""
     has = set(res.columns)
     col = lambda c, other: (F.col(c) if c in has else other).alias(c)
     none = F.lit(None).cast("double")
@@ -97,13 +99,62 @@ def _kinematics(energies: DataFrame, res: DataFrame, spin: float, radii: DataFra
         left = left.unionByName(held.select(left.columns))
     if radii is not None:
         left, rows = _with_radii(left, radii, "e"), _with_radii(rows, radii, "er")
-    left = left.select("za", "e", "gid", "l", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), k(F.col("e")) * F.col("phase_radius")).alias("phi"), S.penetrability(F.col("l"), k(F.col("e")) * F.col("radius")).alias("p"), F.pmod(F.xxhash64("e"), F.lit(SALTS)).cast("int").alias("salt"))
+    left = left.select("za", "e", "gid", "l", S.pi_over_k2_barns(F.col("e"), F.col("awr")).alias("pk"), S.phase_shift(F.col("l"), k(F.col("e")) * F.col("phase_radius")).alias("phi"), S.penetrability(F.col("l"), k(F.col("e")) * F.col("radius")).alias("p"))
     rho_r = k(F.abs("er")) * F.col("radius")
     right = rows.withColumn("pr", S.penetrability(F.col("l"), rho_r))
-    right = right.select(F.col("gid").alias("r_gid"), F.round("j", 9).alias("j"), S.statistical_weight(F.col("j"), F.col("spin")).alias("g"), "er", "gn", "gg", "gfa", "gfb", (F.abs("gfa") + F.abs("gfb")).alias("gf"), "pr", (F.abs("gn") / F.sqrt(F.abs("er")) / F.col("pr")).alias("gnr"))
-    right = right.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = left.join(right.hint("shuffle_hash"), (F.col("gid") == F.col("r_gid")) & (F.col("salt") == F.col("r_salt")))
-    return out.withColumns({"d": F.col("e") - F.col("er"), "gne": F.col("gnr") * F.sqrt("e") * F.col("p")})
+    right = right.select("gid", F.round("j", 9).alias("j"), S.statistical_weight(F.col("j"), F.col("spin")).alias("g"), "er", "gn", "gg", "gfa", "gfb", (F.abs("gfa") + F.abs("gfb")).alias("gf"), "pr", (F.abs("gn") / F.sqrt(F.abs("er")) / F.col("pr")).alias("gnr"))
+    return left, right
+
+
+_ENERGY, _RESONANCE = ["pk", "phi", "p"], ["g", "er", "gn", "gg", "gfa", "gfb", "gf", "pr", "gnr"]
+
+
+def _pair_sums(sides: tuple[DataFrame, DataFrame], terms: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """gid, za, e, j, unit (pk g), phi, p, l and, for each energy and j, the sums of terms over resonances.
+
+    terms gives matrices (energies, resonances) from columns of energies and rows of resonances. Each isotope's
+    energies and resonances are dealt into blocks by a hash; each block of the ones meets each of the others in a
+    group of its own, as array products. Equal resonances are one row with their number."""
+    left, right = sides
+    sums = ", ".join(f"{n} double" for n in names)
+
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy(F.col("gid").alias(f"{name}_gid")).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    sizes = blocks(left, BLOCK_E, "n_e").join(blocks(right, BLOCK_R, "n_r"), F.col("n_e_gid") == F.col("n_r_gid"))
+    left, right = (x.join(sizes, F.col("gid") == F.col("n_e_gid")) for x in (left, right.groupBy(right.columns).agg(F.count("*").cast("double").alias("times"))))
+    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.select("gid", part("n_e", "e").alias("b_e"), each("n_r").alias("b_r"), "za", "e", "l", *_ENERGY)
+    right = right.select(F.col("gid").alias("r_gid"), each("n_e").alias("r_e"), part("n_r", "j", *_RESONANCE).alias("r_r"), "j", "times", *_RESONANCE)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("j")
+        own = {c: y.column(c).to_numpy() for c in ("j", "times", *_RESONANCE)}
+        starts = np.flatnonzero(np.append(True, own["j"][1:] != own["j"][:-1])) if y.num_rows else np.zeros(0, int)
+        js, m = own["j"][starts], len(x) * len(starts)
+        found = np.zeros((len(x), len(starts), len(names)))
+        # a resonance with a missing number adds nothing
+        whole = ~np.any([np.isnan(own[c]) for c in _RESONANCE], axis=0)
+        times = np.where(whole, own["times"], 0.0)
+        res = {c: np.where(whole, own[c], 1.0) for c in _RESONANCE} | {"g": own["g"]}
+        at = {c: x.column(c).to_numpy()[:, None] for c in ("e", *_ENERGY)}
+        step = max(1, BLOCK_PAIRS // max(1, y.num_rows))
+        for a in range(0, len(x) if m else 0, step):
+            for k, t in enumerate(terms({c: v[a : a + step] for c, v in at.items()}, res)):
+                found[a : a + step, :, k] = np.add.reduceat(t * times, starts, axis=1)
+        rows = np.repeat(np.arange(len(x)), len(starts))
+        out = x.select(["gid", "za", "e", *_ENERGY, "l"]).take(pa.array(rows))
+        j, g = np.tile(js, len(x)), np.tile(own["g"][starts], len(x))
+        out = pa.table({"gid": out.column("gid"), "za": out.column("za"), "e": out.column("e"), "j": pa.array(j, pa.float64()), "unit": pa.array(out.column("pk").to_numpy() * g), "phi": out.column("phi"), "p": out.column("p"), "l": out.column("l")})
+        none = np.isnan(found)
+        for k, n in enumerate(names):
+            out = out.append_column(n, pa.array(found[:, :, k].ravel(), pa.float64(), mask=none[:, :, k].ravel()))
+        return out
+
+    kinds = f"gid long, za {left.schema['za'].dataType.simpleString()}, e double, j double, unit double, phi double, p double, l {left.schema['l'].dataType.simpleString()}, {sums}"
+    parts = left.groupBy("gid", "b_e", "b_r").cogroup(right.groupBy("r_gid", "r_e", "r_r")).applyInArrow(run, kinds)
+    return parts.groupBy("gid", "za", "e", "j").agg(*[F.first(c).alias(c) for c in ("unit", "phi", "p", "l")], *[F.sum(n).alias(n) for n in names])
 
 
 def radius_at(points: DataFrame, radii: DataFrame) -> DataFrame:
@@ -121,37 +172,36 @@ def _with_radii(rows: DataFrame, radii: DataFrame, e: str) -> DataFrame:
     return out.withColumns({"radius": follow("radius", "radius_tabled"), "phase_radius": follow("phase_radius", "phase_tabled")}).select(rows.columns)
 
 
-_GROUP = ["gid", "salt", "za", "e", "j"]
+def _level(at: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distance, neutron width at the energy, total width and denominator of each pair."""
+    d, gne = at["e"] - r["er"], r["gnr"] * (np.sqrt(at["e"]) * at["p"])
+    tot = gne + (r["gg"] + r["gf"])
+    return d, gne, tot, d * d + tot * tot / 4.0
 
 
 def slbw(energies: DataFrame, res: DataFrame, spin: float = 0.0, radii: DataFrame | None = None) -> DataFrame:
     """za, e and elastic, capture, fission, total of the single-level formulas."""
-    rows = _kinematics(energies, res, spin, radii).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
-    den = F.col("d") * F.col("d") + F.col("tot") * F.col("tot") / 4.0
-    s, c = F.sin("phi"), F.cos("phi")
-    unit = F.col("pk") * F.col("g")
-    groups = rows.groupBy(_GROUP).agg(
-        F.first(4.0 * unit * s * s).alias("pot"),
-        F.sum(unit * F.col("gne") * F.col("gg") / den).alias("capture"),
-        F.sum(unit * F.col("gne") * F.col("gf") / den).alias("fission"),
-        F.sum(unit * F.col("gne") * F.col("gne") / den + unit * 2.0 * F.col("gne") * (2.0 * F.col("d") * s * c - F.col("tot") * s * s) / den).alias("peak"),
-    )
-    return _totals(groups.withColumn("elastic", F.col("pot") + F.col("peak")))
+
+    def terms(at: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> list[np.ndarray]:
+        d, gne, tot, den = _level(at, r)
+        s, c = np.sin(at["phi"]), np.cos(at["phi"])
+        over = at["pk"] * r["g"] * gne / den
+        return [over * r["gg"], over * r["gf"], over * (gne + 2.0 * (2.0 * s * c * d - tot * (s * s)))]
+
+    groups = _pair_sums(_kinematics(energies, res, spin, radii), terms, ["capture", "fission", "peak"])
+    s = F.sin("phi")
+    return _totals(groups.withColumn("elastic", 4.0 * F.col("unit") * s * s + F.col("peak")))
 
 
 def mlbw(energies: DataFrame, res: DataFrame, spin: float = 0.0, radii: DataFrame | None = None) -> DataFrame:
     """As slbw, with the elastic part from the coherent sum X = sum gn / (er - e - i tot/2) of each (l, j)."""
-    rows = _kinematics(energies, res, spin, radii).withColumn("tot", F.col("gne") + F.col("gg") + F.col("gf"))
-    den = F.col("d") * F.col("d") + F.col("tot") * F.col("tot") / 4.0
-    unit = F.col("pk") * F.col("g")
-    sums = rows.groupBy(_GROUP).agg(
-        F.first(unit).alias("unit"),
-        F.first("phi").alias("phi"),
-        F.sum(-F.col("gne") * F.col("d") / den).alias("xr"),
-        F.sum(F.col("gne") * F.col("tot") / 2.0 / den).alias("xi"),
-        F.sum(unit * F.col("gne") * F.col("gg") / den).alias("capture"),
-        F.sum(unit * F.col("gne") * F.col("gf") / den).alias("fission"),
-    )
+
+    def terms(at: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> list[np.ndarray]:
+        d, gne, tot, den = _level(at, r)
+        over = gne / den
+        return [-over * d, over * tot / 2.0, at["pk"] * r["g"] * over * r["gg"], at["pk"] * r["g"] * over * r["gf"]]
+
+    sums = _pair_sums(_kinematics(energies, res, spin, radii), terms, ["xr", "xi", "capture", "fission"])
     # 1 + i X, turned by exp(-2 i phi)
     ar, ai = 1.0 - F.col("xi"), F.col("xr")
     c, s = F.cos(2.0 * F.col("phi")), F.sin(2.0 * F.col("phi"))
@@ -173,17 +223,17 @@ def reich_moore(energies: DataFrame, res: DataFrame, spin: float = 0.0, external
     the groups are then solved in batches. With L = iP for the neutron and i for fission,
     A = (1/L - R)**-1 R gives U_nn = exp(-2 i phi) (1 + 2 A_nn) and |U_nf|**2 = 4 |A_nf|**2 / P;
     capture is what is left of the total. A singular system gives zeros."""
-    rows = _kinematics(energies, res, spin, radii)
-    root = lambda w, per: F.signum(w) * F.sqrt(F.abs(w) / per)
-    rows = rows.withColumns({"b0": root(F.col("gn"), 2.0 * F.col("pr")), "b1": root(F.col("gfa"), F.lit(2.0)), "b2": root(F.col("gfb"), F.lit(2.0))})
-    half = F.col("gg") / 2.0
-    den = F.col("d") * F.col("d") + half * half
-    real, imag = -F.col("d") / den, half / den
-    sums = rows.groupBy(_GROUP).agg(
-        F.first(F.col("pk") * F.col("g")).alias("unit"), F.first("phi").alias("phi"), F.first("p").alias("p"), F.first("l").alias("l"),
-        F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}") * real) for i, j in _PAIRS]).alias("re"),
-        F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}") * imag) for i, j in _PAIRS]).alias("im"),
-    )
+    root = lambda w, per: np.sign(w) * np.sqrt(np.abs(w) / per)
+
+    def terms(at: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> list[np.ndarray]:
+        b = root(r["gn"], 2.0 * r["pr"]), root(r["gfa"], 2.0), root(r["gfb"], 2.0)
+        d, half = at["e"] - r["er"], r["gg"] / 2.0
+        den = d * d + half * half
+        return [b[i] * b[j] * x for x in (-d / den, half / den) for i, j in _PAIRS]
+
+    names = [f"{part}{i}{j}" for part in ("re", "im") for i, j in _PAIRS]
+    sums = _pair_sums(_kinematics(energies, res, spin, radii), terms, names)
+    sums = sums.withColumns({"re": F.array(*names[:6]), "im": F.array(*names[6:])})
     if external is not None:
         terms = ["con", "lin", "quad", "s_con", "s_lin", "e_low", "e_up"]
         x = external.select(F.col("za").alias("x_za"), F.col("l").alias("x_l"), F.round(F.abs("j"), 9).alias("x_j"), F.struct(*terms).alias("x"))
