@@ -1,5 +1,7 @@
 """Tabulated kernels over dense curves: pieces meet the pieces that their kernel points fall on, and no others."""
 
+from threading import Timer
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -41,3 +43,24 @@ def test_rows_without_a_kernel_point_on_the_curve_are_left_out(spark):
     low = [a for a in range(1, 40) if (K.TOF_FACTOR * 25.0 / (K.TOF_FACTOR * 25.0 / np.sqrt(a) + 50.0)) ** 2 < 1.0]
     assert sorted(r["e"] for r in X.tabulated_resolution(curve, kernels, 25.0).collect()) == [float(a) for a in range(1, 40) if a not in low]
     assert X.tabulated_resolution(curve, kernels.where("false"), 25.0).count() == 0
+
+
+def test_one_curve_of_many_points_in_a_narrow_range(spark):
+    """200,000 points within a hundredth of ln E, of which each kernel point met all before: 1e11 pairs, stopped here after two minutes."""
+    n, offsets, weights = 200_000, (-0.3, 0.0, 0.3), (1.0, 2.0, 1.0)
+    kernels = spark.createDataFrame([(5.0, k, o, w) for k, (o, w) in enumerate(zip(offsets, weights, strict=True))], "ref_energy double, k int, offset double, weight double")
+    e = 10.0 + F.col("id") * 5e-7
+    curve = spark.range(n).select(e.alias("e"), F.sin(e * 300.0).alias("value"))
+    stop = Timer(120, spark.sparkContext.cancelJobsWithTag, ["narrow-range"])
+    spark.sparkContext.addJobTag("narrow-range")
+    stop.start()
+    try:
+        got = X.tabulated_resolution(curve, kernels, 25.0).toPandas().sort_values("e")
+    finally:
+        stop.cancel()
+        spark.sparkContext.removeJobTag("narrow-range")
+    x = 10.0 + np.arange(n) * 5e-7
+    to = (K.TOF_FACTOR * 25.0 / (K.TOF_FACTOR * 25.0 / np.sqrt(x)[:, None] + offsets)) ** 2
+    wt = np.where((to >= x[0]) & (to <= x[-1]), weights, 0.0)
+    assert np.array_equal(got.e, x[wt.any(1)])
+    assert np.abs(got.value - ((wt * np.interp(to, x, np.sin(x * 300.0))).sum(1) / wt.sum(1))).max() < 1e-9
